@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_counts
+from . import bpe, packing, substring_dedup, token_counts
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest_repeated_spans(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
@@ -23,5 +27,5 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_bpe, op6_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_token_counts, op5_bpe, op6_packing)}
 ORACLE_SQL: dict[str, str] = {}
