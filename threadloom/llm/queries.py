@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash, substring_dedup, token_counts
+from . import bpe, minhash, packing, simhash, substring_dedup, token_counts
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,5 +31,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_token_counts, op5_bpe, op6_packing, op7_simhash)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_edits(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_token_counts, op5_bpe, op6_packing, op7_simhash, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}
