@@ -17,6 +17,7 @@ U = np.uint64
 WIDTH = 5
 PERMUTATIONS = 128
 SLOT_BYTES = 2 << 20
+MOST_SLOTS = 1 << 20
 STEP = 1 << 15  # shingles at once, so that a permutation's arrays stay in cache
 NULL_ID = -(1 << 63)
 
@@ -77,13 +78,13 @@ def edited(text: str, following: str) -> str:
 def _slots(docs: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Bounds that deal ids into slots, and for each slot the first id (in descending order) of the next.
 
-    The bounds come from a sample of 64 ids for each slot; the ids alone are read, and the driver
+    The bounds come from a sample of 16 ids for each slot; the ids alone are read, and the driver
     holds numbers of slots.
     """
-    slots = int(max(64, estimated_bytes(docs) // SLOT_BYTES))
+    slots = int(min(MOST_SLOTS, max(64, estimated_bytes(docs) // SLOT_BYTES)))
     ids = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"))
     n = ids.count()
-    sample = ids.sample(min(1.0, 64 * slots / max(n, 1)), seed=1).toPandas()["id"].to_numpy()
+    sample = ids.sample(min(1.0, 16 * slots / max(n, 1)), seed=1).toPandas()["id"].to_numpy()
     bounds = np.unique(np.sort(sample)[:: max(1, len(sample) // slots)]) if len(sample) else np.zeros(0, np.int64)
     most = {
         r["slot"]: r["id"]
@@ -119,9 +120,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     bounds, heads = _slots(own)
     slot = _slot_of(bounds)
     keyed = own.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    # 12 bytes a slot and MOST_SLOTS slots at most: 12 MB whatever the input
     guests = spark.createDataFrame(heads or [(0, -1)], "id long, slot int")
     rows = keyed.withColumn("slot", slot("id")).withColumn("guest", F.lit(False)).unionByName(
-        keyed.join(guests, "id").withColumn("guest", F.lit(True))
+        keyed.join(F.broadcast(guests), "id").withColumn("guest", F.lit(True))
     )
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
