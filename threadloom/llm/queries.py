@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing, simhash, substring_dedup, token_counts
+from . import ann, bpe, minhash, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -15,6 +15,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest_repeated_spans(documents(spark, sf_dir))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
@@ -31,9 +39,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_token_counts, op5_bpe, op6_packing, op7_simhash, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_toxicity, op4_token_counts, op5_bpe, op6_packing, op7_simhash, op9_nearest, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}
