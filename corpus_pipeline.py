@@ -5,16 +5,36 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import packing
+from threadloom.llm import packing, simhash, suffix_dedup, toxicity
 from threadloom.llm.common import documents, materialise
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the scorer, learned from the labels, doesn't call toxic; texts may be null."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the least id."""
+    return simhash.keep_one_of_each(docs)
+
+
+def shorten(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the strings of 100 bytes that start earlier."""
+    return suffix_dedup.shorten_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: pieces of at most 1024 tokens and their places."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("SimHash near-dedup", drop_near_copies),
+    ("suffix-array dedup", shorten),
+    ("best-fit packing", pack),
+]
 
 #: Tokenizers and trained models are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

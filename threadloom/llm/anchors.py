@@ -12,6 +12,9 @@ form a piece, a path that travels as one entry. Documents are dealt into blocks
  3. blocks joined with those verdicts -> bucket of edges: the edges of branching anchors only;
  4. blocks joined with all verdicts: repeats in the block itself are found there, spans are marked.
 
+Anchors with few paths can go to shards of their own instead, as the paths' symbols, where another
+search (`decide_shard`) tells their windows apart; those with more go the way of edges.
+
 Equal edges agree in two 64-bit hashes (anchor and edge, or anchor and path). A key occurs at most
 once for each block, however many documents share it, so no bucket grows with a hot line, and the
 entries of a bucket travel as packed arrays. The documents are shuffled once; the three uses of that
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_bytes, ids_and_texts, pack, parts, prepare, unpack
@@ -31,9 +34,13 @@ U = np.uint64
 CHUNK = 1 << 20
 BLOCK_BYTES = 3 << 20
 LAST = np.iinfo(np.int64).max
-ENTRIES = "bucket long, block long, a binary, b binary, doc binary"
+ENTRIES = "way long, bucket long, block long, a binary, b binary, doc binary, size binary, text binary"
 VERDICTS = "block long, kind int, a binary, b binary"
-EXPAND, COVERED_PATH, COVERED_EDGE = 0, 1, 2
+#: what a verdict says of a block's anchors (the first three), edges, path windows and paths
+EXPAND, SHARD, COVERED_ANCHOR, COVERED_EDGE, COVERED_WINDOW, COVERED_PATH = range(6)
+KINDS = ("expand", "shard", "anchor", "edge", "window", "path")
+EDGES, SHARDS = -1, -2  # ways of entries; a verdict that passes through goes the way of its block
+MANY = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 BYTE = _rng.integers(0, 1 << 63, 256, dtype=U) * U(2) + U(1)
@@ -83,6 +90,7 @@ class Text:
 
     def __init__(self, table: pa.Table, words: bool, k: int):
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.table = table
         self.ids = table.column("doc_id").combine_chunks()
         self.key = table.column("doc_id").fill_null(LAST).to_numpy().astype(np.int64)
         self.data, self.bytes_at = column_bytes(table.column("text"))
@@ -155,7 +163,7 @@ class Pieces:
             new[1:] = (at[1:] != at[:-1]) | ~valid[:-1] | doc_end[1:n]
             a = np.flatnonzero(new & valid)
             end = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True))
-            path = r.spans(a, end + k) ^ mixed((end - a + 1).astype(U))
+            path = (r.spans(a, end + k) ^ mixed((end - a + 1).astype(U))) | U(1 << 63)
             found.append((small[at[a]], path, a + c, end - a + 1))
         cols = zip(*found, strict=True) if found else ([np.zeros(0, t)] for t in (U, U, np.int64, np.int64))
         self.anchor, self.path, self.first, self.count = map(np.concatenate, cols)
@@ -173,11 +181,12 @@ class Pieces:
         self.group = np.empty(len(by), np.int64)  # of each piece
         self.group[self.order] = np.repeat(np.arange(len(self.heads)), np.diff(np.append(self.heads, len(by))))
 
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the chosen pieces, in order of position: start, edge hash and anchor of each window."""
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the chosen pieces, in order of position: start, edge hash, anchor and place in the path of each window."""
         n = self.count[chosen]
         total = np.cumsum(n)
-        start = np.repeat(self.first[chosen] - (total - n), n) + np.arange(total[-1] if len(n) else 0)
+        offset = np.arange(total[-1] if len(n) else 0) - np.repeat(total - n, n)
+        start = np.repeat(self.first[chosen], n) + offset
         edge, text, k = np.empty(len(start), U), self.text, self.text.k
         lo = 0
         while lo < len(start):
@@ -186,7 +195,12 @@ class Pieces:
             r = Rolling(text.values(c, min(text.n, c + CHUNK + k - 1)))
             edge[lo:hi] = r.spans(start[lo:hi] - c, start[lo:hi] - c + k)
             lo = hi
-        return start, edge, np.repeat(self.anchor[chosen], n)
+        return start, edge, np.repeat(self.anchor[chosen], n), window_keys(np.repeat(self.path[chosen], n), offset)
+
+
+def window_keys(path: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Names of windows by their place in a path."""
+    return mixed(path ^ mixed(offset.astype(U) + U(1)))
 
 
 def _merge(cut: np.ndarray, k: int):
@@ -201,18 +215,24 @@ def _within(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
 
 
-def _bucketed(a: np.ndarray, b: np.ndarray, doc: np.ndarray, block: int, buckets: int) -> dict:
-    """Entries sorted by a as one packed row for each bucket of a."""
+def _bucketed(
+    way: int, a: np.ndarray, b: np.ndarray, doc: np.ndarray, block: int, buckets: int, texts: list[bytes] | None = None
+) -> dict:
+    """Entries sorted by a, and their texts if any, as one packed row for each bucket of a."""
     of = ((a >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
     cut = np.searchsorted(of, np.arange(buckets + 1)) if buckets < len(a) else None
     keys = np.unique(of)
     lo = cut[keys] if cut is not None else np.searchsorted(of, keys)
     hi = cut[keys + 1] if cut is not None else np.searchsorted(of, keys, side="right")
     rows = list(zip(lo.tolist(), hi.tolist(), strict=True))
+    sizes = np.array([len(t) for t in texts], np.int64) if texts is not None else None
     return {
-        "bucket": keys,
-        "block": np.full(len(keys), block),
+        "way": [way] * len(keys),
+        "bucket": keys.tolist(),
+        "block": [block] * len(keys),
         **{n: [pack(x[i:j]) for i, j in rows] for n, x in (("a", a), ("b", b), ("doc", doc))},
+        "size": [pack(sizes[i:j]) if texts is not None else b"" for i, j in rows],
+        "text": [b"".join(texts[i:j]) if texts is not None else b"" for i, j in rows],
     }
 
 
@@ -229,7 +249,7 @@ def _table(rows: dict, schema: str) -> pa.Table:
     return pa.table({n: pa.array(rows.get(n, []), kinds[t]) for n, t in fields})
 
 
-def _verdict_rows(block: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray) -> dict:
+def verdict_rows(block: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray) -> dict:
     """One packed row for each block."""
     order = np.lexsort((a, block))
     block, a, b = block[order], a[order], b[order]
@@ -247,8 +267,8 @@ def _joined(*rows: dict) -> dict:
     return {k: [x for r in rows for x in r[k]] for k in rows[0]}
 
 
-def decide_paths(table: pa.Table) -> pa.Table:
-    """One bucket of anchors: which blocks' paths are covered, which anchors branch."""
+def decide_paths(table: pa.Table, few: int = 0) -> pa.Table:
+    """One bucket of anchors: which blocks' paths are covered, which anchors branch, into how many paths."""
     blocks = table.column("block").to_numpy()
     anchor, row = _join(table.column("a"), U)
     path, _ = _join(table.column("b"), U)
@@ -264,29 +284,24 @@ def decide_paths(table: pa.Table) -> pa.Table:
         return _table({}, VERDICTS)
     head = np.cumsum(size) - size
     low, high = np.minimum.reduceat(path, head), np.maximum.reduceat(path, head)
-    branching = np.repeat((low != high) | (low == 0), size)
+    several = path < U(MANY)  # the block itself has so many paths
+    paths = np.add.reduceat(np.where(several, path, U(1)).astype(np.int64), head)
+    branching = np.repeat((low != high) | (low < U(MANY)), size)
+    shard = branching & np.repeat(paths <= few, size)
     source = np.repeat(np.minimum.reduceat(doc, head), size)
     covered = ~branching & (source < doc)
-    return _table(
-        _joined(
-            _verdict_rows(block[branching], EXPAND, anchor[branching], source[branching]),
-            _verdict_rows(block[covered], COVERED_PATH, anchor[covered], source[covered]),
-        ),
-        VERDICTS,
-    )
+    chosen = ((EXPAND, branching & ~shard), (SHARD, shard), (COVERED_ANCHOR, covered))
+    return _table(_joined(*(verdict_rows(block[x], k, anchor[x], source[x]) for k, x in chosen)), VERDICTS)
+
+
+def passed_through(table: pa.Table) -> pa.Table:
+    """Verdicts on a block's paths, which travel among the entries."""
+    names = (("block", "block"), ("kind", "bucket"), ("a", "a"), ("b", "b"))
+    return _table({n: table.column(c).to_pylist() for n, c in names}, VERDICTS)
 
 
 def decide_edges(table: pa.Table) -> pa.Table:
-    """One bucket of edges, or the verdicts on a block's paths, which pass through."""
-    bucket = table.column("bucket").to_numpy()
-    if bucket[0] < 0:
-        return _table(
-            {
-                "block": table.column("block").to_pylist(), "kind": (-1 - bucket).tolist(),
-                "a": table.column("a").to_pylist(), "b": table.column("b").to_pylist(),
-            },
-            VERDICTS,
-        )
+    """One bucket of edges: which blocks' edges are covered."""
     blocks = table.column("block").to_numpy()
     edge, row = _join(table.column("a"), U)
     anchor, _ = _join(table.column("b"), U)
@@ -298,7 +313,7 @@ def decide_edges(table: pa.Table) -> pa.Table:
     new = np.concatenate([[True], (edge[1:] != edge[:-1]) | (anchor[1:] != anchor[:-1])])
     source = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
     covered = source < doc
-    return _table(_verdict_rows(block[covered], COVERED_EDGE, edge[covered], source[covered]), VERDICTS)
+    return _table(verdict_rows(block[covered], COVERED_EDGE, edge[covered], source[covered]), VERDICTS)
 
 
 class Verdicts:
@@ -306,7 +321,7 @@ class Verdicts:
 
     def __init__(self, table: pa.Table):
         kind = table.column("kind").to_numpy()
-        for name, k in (("expand", EXPAND), ("path", COVERED_PATH), ("edge", COVERED_EDGE)):
+        for k, name in enumerate(KINDS):
             own = table.filter(pa.array(kind == k))
             a, _ = _join(own.column("a"), U)
             b, _ = _join(own.column("b"), np.int64)
@@ -327,9 +342,12 @@ class Marked:
         leader = p.order[p.heads] if len(p.heads) else p.order
         first_of = leader[p.group]
         one = p.one_path[p.group]
-        gone = _within(p.anchor, verdicts.path[0])
         source = np.full(len(p.anchor), LAST)
-        source[gone] = verdicts.source("path", p.anchor[gone])
+        gone = np.zeros(len(p.anchor), bool)
+        for name, x in (("anchor", p.anchor), ("path", p.path)):
+            own = _within(x, getattr(verdicts, name)[0])
+            source[own] = verdicts.source(name, x[own])
+            gone |= own
         here = one & (first_of != np.arange(len(one)))
         if not same_document:
             here &= text.key[p.doc[first_of]] < text.key[p.doc]
@@ -337,8 +355,8 @@ class Marked:
         gone |= here
         self.first, self.count, self.source = p.first[gone], p.count[gone], source[gone]
 
-        open_ = np.flatnonzero(~gone & (~one | _within(p.anchor, verdicts.expand[0])))
-        start, edge, anchor = p.windows(open_)
+        told = _within(p.anchor, verdicts.expand[0]) | _within(p.anchor, verdicts.shard[0])
+        start, edge, anchor, key = p.windows(np.flatnonzero(~gone & (~one | told)))
         order = np.lexsort((start, anchor, edge))
         e, a, s = edge[order], anchor[order], start[order]
         new = np.concatenate([[True], (e[1:] != e[:-1]) | (a[1:] != a[:-1])]) if len(e) else np.zeros(0, bool)
@@ -346,9 +364,10 @@ class Marked:
         own = text.key[text.doc_of(s)]
         origin = text.key[text.doc_of(lead)]
         drop = (s != lead) if same_document else (origin < own)
-        across = _within(e, verdicts.edge[0])
-        origin[across] = verdicts.source("edge", e[across])
-        drop |= across
+        for name, x in (("edge", e), ("window", key[order])):
+            across = _within(x, getattr(verdicts, name)[0])
+            origin[across] = verdicts.source(name, x[across])
+            drop |= across
         self.first = np.concatenate([self.first, s[drop]])
         self.count = np.concatenate([self.count, np.ones(int(drop.sum()), np.int64)])
         self.source = np.concatenate([self.source, origin[drop]])
@@ -357,50 +376,81 @@ class Marked:
         self.mask = np.cumsum(diff)[: text.n] > 0
 
 
-def find_repeats(docs: DataFrame, words: bool, k: int, s: int, same_document: bool, emit, schema: str) -> DataFrame:
-    """emit(text, marked) -> Arrow table of `schema`, for every block of documents."""
+def find_repeats(
+    docs: DataFrame, words: bool, k: int, s: int, same_document: bool, emit, schema: str, few: int = 0, decide_shard=None,
+    carried: Column | None = None,
+) -> DataFrame:
+    """emit(text, marked) -> Arrow table of `schema`, for every block of documents.
+
+    Windows have k symbols (words or bytes), anchors s. same_document: whether an earlier start in the
+    same document counts. decide_shard(table) -> verdicts, for anchors of at most `few` paths.
+    `carried` comes along as text.table's column "carried".
+    """
     prepare(docs.sparkSession)
     blocks = parts(docs, BLOCK_BYTES, 128)
     buckets = parts(docs, BLOCK_BYTES, 64)
-    dealt = ids_and_texts(docs).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    own = docs if carried is None else docs.withColumn("_carried", carried)
+    dealt = ids_and_texts(own, more=() if carried is None else (own["_carried"].alias("carried"),)).withColumn(
+        "block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
+    )
     by_block = dealt.groupBy("block")
 
     def paths(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         p = Pieces(Text(table, words, k), s)
         lead = p.order[p.heads] if len(p.heads) else p.order
-        path = np.where(p.one_path, p.path[lead], U(0))
-        return _table(_bucketed(p.anchors, path, p.text.key[p.doc[lead]], block, buckets), ENTRIES)
+        several = np.minimum(np.bincount(p.group, minlength=len(p.heads)), MANY - 1).astype(U)
+        path = np.where(p.one_path, p.path[lead], several)
+        return _table(_bucketed(EDGES, p.anchors, path, p.text.key[p.doc[lead]], block, buckets), ENTRIES)
 
-    def edges(table: pa.Table, found: pa.Table) -> pa.Table:
+    def entries(table: pa.Table, found: pa.Table) -> pa.Table:
         if not found.num_rows or not table.num_rows:
             return _table({}, ENTRIES)
         block = table.column("block")[0].as_py()
-        v = Verdicts(found)
-        passed = {
-            "bucket": [-1 - x for x in found.column("kind").to_pylist()], "block": [block] * found.num_rows,
-            "a": found.column("a").to_pylist(), "b": found.column("b").to_pylist(), "doc": [b""] * found.num_rows,
-        }
-        if not len(v.expand[0]):
-            return _table(passed, ENTRIES)
-        p = Pieces(Text(table, words, k), s)
-        start, edge, anchor = p.windows(np.flatnonzero(_within(p.anchor, v.expand[0])))
-        order = np.lexsort((start, anchor, edge))
-        start, edge, anchor = start[order], edge[order], anchor[order]
-        new = np.concatenate([[True], (edge[1:] != edge[:-1]) | (anchor[1:] != anchor[:-1])])
-        start, edge, anchor = start[new], edge[new], anchor[new]
-        key = p.text.key[p.text.doc_of(start)]
-        return _table(_joined(passed, _bucketed(edge, anchor, key, block, buckets)), ENTRIES)
+        v, n = Verdicts(found), found.num_rows
+        a, b = found.column("a").to_pylist(), found.column("b").to_pylist()
+        out = [
+            {"way": [block] * n, "bucket": found.column("kind").to_pylist(), "block": [block] * n, "a": a, "b": b}
+            | {c: [b""] * n for c in ("doc", "size", "text")}
+        ]
+        if len(v.expand[0]) or len(v.shard[0]):
+            p = Pieces(Text(table, words, k), s)
+            out += [_edge_entries(p, v.expand[0], block, buckets), _shard_entries(p, v.shard[0], block, buckets)]
+        return _table(_joined(*out), ENTRIES)
+
+    def decide(table: pa.Table) -> pa.Table:
+        way = table.column("way")[0].as_py()
+        return decide_edges(table) if way == EDGES else decide_shard(table) if way == SHARDS else passed_through(table)
 
     def mark(table: pa.Table, found: pa.Table) -> pa.Table:
         text = Text(table, words, k)
         return emit(text, Marked(Pieces(text, s), Verdicts(found), same_document))
 
-    on_paths = by_block.applyInArrow(paths, ENTRIES).groupBy("bucket").applyInArrow(decide_paths, VERDICTS)
-    entries = by_block.cogroup(on_paths.groupBy("block")).applyInArrow(edges, ENTRIES)
-    # verdicts that pass through are spread by their block
-    spread = F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.lit(-1))
-    verdicts = entries.withColumn("way", spread).groupBy("way", "bucket").applyInArrow(
-        lambda t: decide_edges(t), VERDICTS
-    )
+    on_paths = by_block.applyInArrow(paths, ENTRIES).groupBy("bucket").applyInArrow(lambda t: decide_paths(t, few), VERDICTS)
+    dealt_entries = by_block.cogroup(on_paths.groupBy("block")).applyInArrow(entries, ENTRIES)
+    verdicts = dealt_entries.groupBy("way", "bucket").applyInArrow(decide, VERDICTS)
     return by_block.cogroup(verdicts.groupBy("block")).applyInArrow(mark, schema)
+
+
+def _edge_entries(p: Pieces, anchors: np.ndarray, block: int, buckets: int) -> dict:
+    """Each distinct edge of the anchors, with the least document."""
+    start, edge, anchor, _ = p.windows(np.flatnonzero(_within(p.anchor, anchors)))
+    order = np.lexsort((start, anchor, edge))
+    start, edge, anchor = start[order], edge[order], anchor[order]
+    new = np.ones(len(edge), bool)
+    new[1:] = (edge[1:] != edge[:-1]) | (anchor[1:] != anchor[:-1])
+    start, edge, anchor = start[new], edge[new], anchor[new]
+    return _bucketed(EDGES, edge, anchor, p.text.key[p.text.doc_of(start)], block, buckets)
+
+
+def _shard_entries(p: Pieces, anchors: np.ndarray, block: int, buckets: int) -> dict:
+    """Each distinct path of the anchors, with the least document and its bytes."""
+    own = np.flatnonzero(_within(p.anchor, anchors))
+    own = own[np.lexsort((own, p.path[own], p.anchor[own]))]
+    new = np.ones(len(own), bool)
+    new[1:] = (p.anchor[own][1:] != p.anchor[own][:-1]) | (p.path[own][1:] != p.path[own][:-1])
+    own = own[new]
+    data = p.text.data
+    stop = p.first[own] + p.count[own] + p.text.k - 1
+    texts = [data[a:b].tobytes() for a, b in zip(p.first[own].tolist(), stop.tolist(), strict=True)]
+    return _bucketed(SHARDS, p.anchor[own], p.path[own], p.text.key[p.doc[own]], block, buckets, texts)

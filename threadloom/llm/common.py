@@ -23,11 +23,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Two columns, whatever else the input has: doc_id as long, text with null as empty."""
+def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple = ()) -> DataFrame:
+    """Two columns, whatever else the input has: doc_id as long, text with null as empty; and `more`."""
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
+        *more,
     )
 
 
