@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import column_bytes, ids_and_texts, pack, parts, prepare, unpack
 
 U = np.uint64
-CHUNK = 1 << 20
-BLOCK_BYTES = 3 << 20
+CHUNK = 1 << 18
+BLOCK_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max
 ENTRIES = "way long, bucket long, block long, a binary, b binary, doc binary, size binary, text binary"
 VERDICTS = "block long, kind int, a binary, b binary"
@@ -218,12 +218,17 @@ def _within(x: np.ndarray, among: np.ndarray) -> np.ndarray:
 def _bucketed(
     way: int, a: np.ndarray, b: np.ndarray, doc: np.ndarray, block: int, buckets: int, texts: list[bytes] | None = None
 ) -> dict:
-    """Entries sorted by a, and their texts if any, as one packed row for each bucket of a."""
-    of = ((a >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-    cut = np.searchsorted(of, np.arange(buckets + 1)) if buckets < len(a) else None
-    keys = np.unique(of)
-    lo = cut[keys] if cut is not None else np.searchsorted(of, keys)
-    hi = cut[keys + 1] if cut is not None else np.searchsorted(of, keys, side="right")
+    """Entries, and their texts if any, as one packed row for each bucket of a.
+
+    Anchors are least hashes and so crowd near zero; they are mixed again to fill the buckets evenly.
+    """
+    of = ((mixed(a) >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    of, a, b, doc = of[order], a[order], b[order], doc[order]
+    if texts is not None:
+        texts = [texts[i] for i in order.tolist()]
+    keys, lo = np.unique(of, return_index=True)
+    hi = np.append(lo[1:], len(of)) if len(of) else lo
     rows = list(zip(lo.tolist(), hi.tolist(), strict=True))
     sizes = np.array([len(t) for t in texts], np.int64) if texts is not None else None
     return {

@@ -65,6 +65,7 @@ class RunIndex:
         self.to = row
         self.key = self.symbol[self.by_symbol] * runs + self.by_symbol
         self.runs, self.n, self.any = runs, n, int(sa[0])
+        self.sa = sa
         self.hash = Rolling(np.concatenate([[0], BYTE, BYTE[:1]])[t].astype(np.uint64) * np.uint64(3))
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -78,6 +79,21 @@ class RunIndex:
             lo, hi = np.where(open_ & same, mid, lo), np.where(open_ & ~same, mid - 1, hi)
         return lo
 
+    def least(self, values: np.ndarray, k: int) -> np.ndarray:
+        """For each place, the least of the values (one for each place) at all places whose k symbols are the same.
+
+        Such places are a range of rows.
+        """
+        h, down, sa = self.hash.h, self.hash.down, self.sa
+        far = np.minimum(sa + k, self.n)
+        own = (h[far] - h[sa]) * down[sa]
+        head = np.ones(self.n, bool)
+        head[1:] = (own[1:] != own[:-1]) | (far[1:] == self.n) | (far[:-1] == self.n)
+        low = np.minimum.reduceat(values[sa], np.flatnonzero(head))
+        out = np.empty_like(values)
+        out[sa] = low[np.cumsum(head) - 1]
+        return out
+
     def matching_statistics(self, data: np.ndarray, offs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """For each position of the queries: the longest match (up to `most`) of the text from there with
         any indexed text, and a place of that match.

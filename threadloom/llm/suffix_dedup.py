@@ -1,8 +1,8 @@
 """Suffix-array dedup over bytes with run-length indexes.
 
 Repetitive passages meet by anchors (see anchors.py); where the paths of an anchor differ, shards of
-them build a run-compressed Burrows-Wheeler index of the earlier paths, stream the matching statistics
-of the later ones through it, and mark the matches that are long enough.
+them build a run-compressed Burrows-Wheeler index of the paths, stream each one's matching statistics
+through it, and mark the matches that are long enough and have a place in an earlier document.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .run_index import RunIndex
 from .substring_dedup import _runs
 
 ANCHOR_BYTES = 20
-FEW_PATHS = 8  # anchors with more go by window hashes, which no group of copies makes one task's
+FEW_PATHS = 512  # anchors with more go by window hashes, which no group of copies makes one task's
 
 
 def decide_shard(k: int):
@@ -43,35 +43,22 @@ def decide_shard(k: int):
         same = head[np.cumsum(new) - 1]
         later = order[doc[same] < doc[order]]
         out = [verdict_rows(blocks[row[later]], COVERED_PATH, path[later], doc[same[doc[same] < doc[order]]])]
-        head = head[np.lexsort((doc[head], anchor[head]))]
-        turn = _turns(anchor[head], doc[head])
-        for t in range(1, int(turn.max(initial=0)) + 1):
-            asked = head[turn == t]
-            known = head[(turn < t) & np.isin(anchor[head], anchor[asked])]
-            index = RunIndex(_gather(data, stop[known] - size[known], size[known]), size[known])
-            query = _gather(data, stop[asked] - size[asked], size[asked])
-            offs = np.concatenate([[0], np.cumsum(size[asked])])
-            length, place = index.matching_statistics(query, offs, k)
-            at = np.flatnonzero(length >= k)
-            own = np.searchsorted(offs, at, side="right") - 1
-            origin = known[np.searchsorted(np.cumsum(size[known] + 1), place[at], side="right")]
-            key = window_keys(path[asked][own], at - offs[own])
-            out.append(verdict_rows(blocks[row[asked[own]]], COVERED_WINDOW, key, doc[origin]))
+        if len(head):
+            text, n = _gather(data, stop[head] - size[head], size[head]), size[head]
+            index = RunIndex(text, n)
+            offs = np.concatenate([[0], np.cumsum(n)])
+            length, place = index.matching_statistics(text, offs, k)
+            source = index.least(np.repeat(doc[head], n + 1), k)[place]
+            own = np.repeat(np.arange(len(head)), n)
+            at = np.flatnonzero((length >= k) & (source < doc[head][own]))
+            own = own[at]
+            key = window_keys(path[head][own], at - offs[own])
+            out.append(verdict_rows(blocks[row[head[own]]], COVERED_WINDOW, key, source[at]))
         return _table(_joined(*out), VERDICTS)
 
     return decide
 
 
-def _turns(anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Rank of each document among those of its anchor; both sorted."""
-    step = np.zeros(len(anchor), np.int64)
-    step[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-    total = np.cumsum(step)
-    first = np.ones(len(anchor), bool)
-    first[1:] = anchor[1:] != anchor[:-1]
-    return total - np.maximum.accumulate(np.where(first, total, 0))
-
-
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     total = np.cumsum(size)
     return data[np.repeat(start - (total - size), size) + np.arange(total[-1] if len(size) else 0)]
