@@ -272,3 +272,11 @@ def match(node: Node, found: Positions) -> tuple[bool, list[dict[str, list[int]]
 def phrase_counts(node: Node, found: Positions) -> list[bool]:
     """For each phrase of the query, whether it occurs at all: what inverse document frequencies count."""
     return [bool(instances(p, found)) for p in node.all_phrases()]
+
+
+def occurrences(node: Node, found: Positions) -> list[dict[str, list[int]]]:
+    """The instances of each phrase, whether or not the whole query matches."""
+    if node.kind == "near":
+        every = [instances(p, found) for p in node.phrases]
+        return _near(node, every) if all(every) else [{} for _ in every]
+    return [x for p in node.parts for x in occurrences(p, found)]
