@@ -80,7 +80,7 @@ def grams(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndar
     return feature >> (BITS + 2), feature & ((1 << (BITS + 2)) - 1)
 
 
-def _runs(texts: list[bytes], size: int = 1 << 20):
+def _runs(texts: list[bytes], size: int = 1 << 18):
     lo = total = 0
     for i, t in enumerate(texts):
         total += len(t)
@@ -206,9 +206,12 @@ def _voters(sample: DataFrame) -> np.ndarray:
         n = np.zeros((2, FEATURES), np.int32)
         for b in batches:
             toxic = b.column(1).to_numpy()
-            doc, gram = grams([t.encode() for t in b.column(0).to_pylist()])
-            for k in (0, 1):
-                n[k] += np.bincount(gram[toxic[doc] == k], minlength=FEATURES).astype(np.int32)
+            texts = [t.encode() for t in b.column(0).to_pylist()]
+            for lo, hi in _runs(texts, 1 << 20):  # the features of a whole batch would take too much memory
+                doc, gram = grams(texts[lo:hi])
+                for k in (0, 1):
+                    own, times = np.unique(gram[toxic[lo + doc] == k], return_counts=True)
+                    n[k, own] += times.astype(np.int32)
         rows = n.reshape(2, CHUNKS, -1)
         if n.any():
             yield pa.RecordBatch.from_arrays(
