@@ -76,6 +76,12 @@ def test_topic_search(chat):
         search("")
 
 
+def test_stored_postings_give_the_same(chat):
+    for q in ("deploy OR database", "da* NOT pointer", '"database query"', "content_text: the AND sender_name: alice"):
+        a, b = ({r["rowid"]: r["bm25"] for r in T.message_index(chat, stored=x).scores(q).collect()} for x in (False, True))
+        assert a == pytest.approx(b) and len(a) > 0
+
+
 def test_message_search_ranks(chat):
     hits = T.search_messages(chat, "deploy", NOW).collect()
     assert [h["message_id"] for h in hits] == [1002, 1001] and all(h["resolved"] for h in hits)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .archive import Archive
 from .functions import columns as C
 from .operators.upsert import recompute_topics
+from .storage import spread
 
 AS_OF = datetime(2024, 3, 1, tzinfo=UTC)
 MODEL = "table"
@@ -54,7 +55,7 @@ def documents_archive(spark: SparkSession, folder: str) -> Archive:
     One message comes every five minutes; every fifth has an upload, of which some are fetched or
     failed. Embeddings are the topics' vectors where the numbers agree.
     """
-    d = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", F.regexp_extract("source", r"(\d+)", 1).cast("long").alias("n"))
+    d = spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "text", "lang", "source", F.regexp_extract("source", r"(\d+)", 1).cast("long").alias("n"))
     streams = _numbered(d.select(F.col("lang").alias("name")).distinct(), "name")
     name = F.concat(F.when(F.col("n") % 3 == 0, "✔ ").otherwise(""), "source")
     topics = _numbered(

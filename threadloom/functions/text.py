@@ -148,6 +148,24 @@ def stem(word: str) -> str:
     return s.encode("latin-1").decode("utf-8", "replace")
 
 
+class _Folding(dict):
+    """Each character's folded form, a space for separators, nothing for marks; filled as they come."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        kind = _kind(ch)
+        self[code] = out = fold(ch) if kind == "t" else "" if kind == "m" else " "
+        return out
+
+
+_FOLDING = _Folding()
+
+
+def split(text: str) -> list[str]:
+    """The folded words of a text, without their places."""
+    return text.translate(_FOLDING).split(" ") if text else []
+
+
 def terms(text: str, stemmed: bool = True) -> list[str]:
     """Index terms of a text in order."""
-    return [stem(w) if stemmed else w for w, _, _ in words(text or "")]
+    return [stem(w) if stemmed else w for w in split(text) if w]

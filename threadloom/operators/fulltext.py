@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..archive import Archive
 from ..functions import columns as C
-from ..functions.text import stem, words
+from ..functions.text import split, stem, words
 from ..plans.fulltext import Node, Phrase, match, occurrences, parse, phrase_counts
 from ..storage import staged
 
@@ -24,69 +25,121 @@ TOPIC_COLUMNS = ("name",)
 BUCKETS = 64
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
-POSTINGS = "bucket int, term string, rowid long, n int, hits array<struct<col:int,positions:array<int>>>"
+POSTINGS = "bucket int, term string, rowid long, n int, col int, positions array<int>"
 LENGTHS = -1  # the bucket of rows that hold documents' lengths alone
 
 
+@dataclass(frozen=True)
+class Wanted:
+    """Terms that a search needs: whole ones and beginnings."""
+
+    whole: frozenset[str]
+    begins: tuple[str, ...]
+
+    @classmethod
+    def of(cls, phrases: list[Phrase]) -> Wanted:
+        whole = {t for p in phrases for t in (p.terms[:-1] if p.prefix else p.terms)}
+        return cls(frozenset(whole), tuple(sorted({p.terms[-1] for p in phrases if p.prefix and p.terms})))
+
+    def has(self, term: str) -> bool:
+        return term in self.whole or term.startswith(self.begins) if self.begins else term in self.whole
+
+    def condition(self) -> Column:
+        c = F.col("term").isin(sorted(self.whole)) if self.whole else F.lit(False)
+        for x in self.begins:
+            c = c | F.col("term").startswith(x)
+        if not self.begins:
+            c = c & F.col("bucket").isin(sorted({bucket_of(t) for t in self.whole}) or [LENGTHS])
+        return c & (F.col("bucket") != LENGTHS)
+
+
+def postings_of(rows: DataFrame, columns: tuple[str, ...], stemmed: bool, wanted: Wanted | None = None) -> DataFrame:
+    """POSTINGS of a table of rowid and text columns, all or only the wanted terms', and every row's length."""
+    texts = rows.select("rowid", *(F.coalesce(c, F.lit("")).alias(c) for c in columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[str, int] = {}  # of the folded word's term, -1 if it isn't wanted
+        terms: dict[str, int] = {}
+        for b in batches:
+            size = b.num_rows
+            if len(number) > 500_000:
+                number, terms = {}, {}
+            codes: list[int] = []
+            counts = np.zeros((size, len(columns)), np.int64)
+            column_texts = [b.column(k + 1).to_pylist() for k in range(len(columns))]
+            for i in range(size):
+                for k in range(len(columns)):
+                    own = [w for w in split(column_texts[k][i]) if w]
+                    counts[i, k] = len(own)
+                    for w in own:
+                        if (c := number.get(w)) is None:
+                            t = stem(w) if stemmed else w
+                            c = number[w] = -1 if wanted is not None and not wanted.has(t) else terms.setdefault(t, len(terms))
+                        codes.append(c)
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            n = counts.sum(1)
+            flat = counts.ravel()
+            slot = np.repeat(np.arange(len(flat)), flat)  # row and column of each word
+            at = np.arange(len(slot)) - np.repeat(np.cumsum(flat) - flat, flat)
+            code = np.array(codes, np.int64)
+            keep = np.flatnonzero(code >= 0)
+            keep = keep[np.lexsort((at[keep], slot[keep], code[keep]))]
+            code, slot, at = code[keep], slot[keep], at[keep]
+            new = np.ones(len(code), bool)
+            new[1:] = (code[1:] != code[:-1]) | (slot[1:] != slot[:-1])
+            first = np.flatnonzero(new)
+            names = list(terms)
+            bucket = np.array([bucket_of(t) for t in names], np.int32)
+            row, column = slot[first] // len(columns), slot[first] % len(columns)
+            none = np.zeros(size, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([bucket[code[first]] if len(first) else bucket[:0], none - 1]).astype(np.int32)),
+                    pa.array([names[c] for c in code[first].tolist()] + [""] * size, pa.string()),
+                    pa.array(np.concatenate([ids[row], ids])),
+                    pa.array(np.concatenate([n[row], n]).astype(np.int32)),
+                    pa.array(np.concatenate([column, none]).astype(np.int32)),
+                    pa.ListArray.from_arrays(np.concatenate([first, none + len(at), [len(at)]]).astype(np.int32), pa.array(at.astype(np.int32))),
+                ],
+                ["bucket", "term", "rowid", "n", "col", "positions"],
+            )
+
+    return texts.mapInArrow(run, POSTINGS)
+
+
 @dataclass(frozen=True)
 class FullTextIndex:
-    """Postings of a table: (bucket, term, rowid, n, hits), dealt by the hash of the term.
+    """Search over a table's texts: by stored postings, or by one pass over the texts for each search.
 
-    n is the number of words of the whole row, so scoring needs no join to a table of lengths. A
-    search reads the buckets of its terms only; where a term is in most rows, its bucket is many files.
+    A posting has the number of words of its whole row, so scoring joins no table of lengths. Stored
+    postings are dealt by the hash of their term, and a search reads its terms' buckets; a term that is
+    in most rows fills many files of its bucket.
     """
 
-    postings: DataFrame
+    rows: DataFrame
     columns: tuple[str, ...]
     stemmed: bool = True
+    postings: DataFrame | None = None
 
     @classmethod
     def build(cls, rows: DataFrame, columns: tuple[str, ...], stemmed: bool = True, stored: bool = True) -> FullTextIndex:
-        """From a table of rowid and text columns. stored: written to the shared folder, by bucket."""
-        texts = rows.select("rowid", *(F.coalesce(c, F.lit("")).alias(c) for c in columns))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out: list[tuple] = []
-                ids = b.column(0).to_pylist()
-                texts_ = [b.column(k + 1).to_pylist() for k in range(len(columns))]
-                for i, rowid in enumerate(ids):
-                    found: dict[str, dict[int, list[int]]] = {}
-                    n = 0
-                    for k in range(len(columns)):
-                        own = [stem(w) if stemmed else w for w, _, _ in words(texts_[k][i])]
-                        n += len(own)
-                        for at, term in enumerate(own):
-                            found.setdefault(term, {}).setdefault(k, []).append(at)
-                    out.append((LENGTHS, "", rowid, n, []))
-                    out += [
-                        (bucket_of(t), t, rowid, n, [{"col": k, "positions": p} for k, p in by.items()])
-                        for t, by in found.items()
-                    ]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _KINDS, strict=True)], _NAMES)
-
-        postings = texts.mapInArrow(run, POSTINGS)
+        """From a table of rowid and text columns. stored: postings are written to the shared folder."""
+        postings = None
         if stored:
             spread = F.pmod(F.xxhash64("rowid"), F.lit(8))
-            postings = staged(postings.repartition("bucket", spread).sortWithinPartitions("term", "rowid"), ("bucket",))
-        return cls(postings, tuple(columns), stemmed)
+            every = postings_of(rows, tuple(columns), stemmed)
+            postings = staged(every.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "rowid"), ("bucket",))
+        return cls(rows, tuple(columns), stemmed, postings)
 
     def parse(self, query: str) -> Node:
         return parse(query, self.columns, self.stemmed)
 
-    def _found(self, phrases: list[Phrase]) -> DataFrame:
-        """rowid, n and the hits of the query's terms."""
-        exact = {t for p in phrases for t in (p.terms[:-1] if p.prefix else p.terms)}
-        begins = {p.terms[-1] for p in phrases if p.prefix and p.terms}
-        wanted = F.col("term").isin(sorted(exact)) if exact else F.lit(False)
-        for b in sorted(begins):
-            wanted = wanted | F.col("term").startswith(b)
-        rows = self.postings.where(wanted & (F.col("bucket") != LENGTHS))
-        if not begins:
-            rows = rows.where(F.col("bucket").isin(sorted({bucket_of(t) for t in exact}) or [LENGTHS]))
-        # at most the query's terms of one row come together
-        return rows.groupBy("rowid").agg(F.first("n").alias("n"), F.collect_list(F.struct("term", "hits")).alias("found"))
+    def _postings(self, phrases: list[Phrase]) -> DataFrame:
+        """The lengths and the postings of the query's terms."""
+        wanted = Wanted.of(phrases)
+        if self.postings is None:
+            return staged(postings_of(self.rows, self.columns, self.stemmed, wanted))
+        return self.postings.where(wanted.condition() | (F.col("bucket") == LENGTHS))
 
     def scores(self, query: str) -> DataFrame:
         """rowid, bm25 of the rows that match; statistics are those of the whole table."""
@@ -98,15 +151,22 @@ class FullTextIndex:
         def judge(found: pd.Series) -> pd.DataFrame:
             rows = []
             for one in found:
-                where = {x["term"]: {columns[h["col"]]: list(h["positions"]) for h in x["hits"]} for x in one}
+                where: dict[str, dict[str, list[int]]] = {}
+                for x in one:
+                    where.setdefault(x["term"], {})[columns[x["col"]]] = list(x["positions"])
                 ok, hits = match(node, where)
                 present = [int(p) for p in phrase_counts(node, where)]
                 rows.append((ok, present, [sum(map(len, h.values())) for h in hits]))
             return pd.DataFrame(rows, columns=["matched", "present", "tf"])
 
-        judged = self._found(phrases).select("rowid", "n", judge("found").alias("j"))
+        postings = self._postings(phrases)
+        # at most the query's terms of one row come together
+        found = postings.where(F.col("bucket") != LENGTHS).groupBy("rowid").agg(
+            F.first("n").alias("n"), F.collect_list(F.struct("term", "col", "positions")).alias("found")
+        )
+        judged = found.select("rowid", "n", judge("found").alias("j"))
         have = judged.agg(*(F.coalesce(F.sum(F.col("j.present")[i]), F.lit(0)).alias(f"p{i}") for i in range(len(phrases))))
-        size = self.postings.where(F.col("bucket") == LENGTHS).agg(
+        size = postings.where(F.col("bucket") == LENGTHS).agg(
             F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")
         )
         one = F.broadcast(have.crossJoin(size))  # one row each
@@ -129,13 +189,6 @@ class FullTextIndex:
         return rows.withColumn(out, cut(F.col(column)))
 
 
-_NAMES = ["bucket", "term", "rowid", "n", "hits"]
-_KINDS = [
-    pa.int32(), pa.string(), pa.int64(), pa.int32(),
-    pa.list_(pa.struct([("col", pa.int32()), ("positions", pa.list_(pa.int32()))])),
-]
-
-
 def bucket_of(term: str) -> int:
     return zlib.crc32(term.encode()) % BUCKETS
 
@@ -206,11 +259,11 @@ def message_rows(archive: Archive) -> DataFrame:
     )
 
 
-def message_index(archive: Archive, stemmed: bool = True, stored: bool = True) -> FullTextIndex:
+def message_index(archive: Archive, stemmed: bool = True, stored: bool = False) -> FullTextIndex:
     return FullTextIndex.build(message_rows(archive), MESSAGE_COLUMNS, stemmed, stored)
 
 
-def topic_index(archive: Archive, stemmed: bool = True, stored: bool = True) -> FullTextIndex:
+def topic_index(archive: Archive, stemmed: bool = True, stored: bool = False) -> FullTextIndex:
     return FullTextIndex.build(archive.topics.select(F.col("id").alias("rowid"), "name"), TOPIC_COLUMNS, stemmed, stored)
 
 

@@ -10,13 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir as the session names it; a local folder only where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return (named or os.path.join(tempfile.gettempdir(), "threadloom-shared")).rstrip("/")
 
 
 def staged(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """The table written once and read back."""
-    path = f"{shared_folder(df.sparkSession)}/threadloom/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """The table written once to the shared folder and read back.
+
+    This cuts lineage and survives lost executors. The files go when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/threadloom/{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt over all cores where its files give fewer tasks than that (small tables in one file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if tasks < cores else df
