@@ -1,9 +1,12 @@
 """The pipeline's stages on their own inputs."""
 
+import duckdb
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from threadloom.llm import queries
 from threadloom.llm.common import materialise
 
 from . import brute
@@ -42,3 +45,13 @@ def test_odd_documents_pass_all_stages(spark, folder):
         for _, stage in corpus_pipeline.STAGES:
             now = materialise(stage(spark, now, folder))
         assert (now.count() > 0) == (rows.count() > 0)
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_sql_says_the_same(spark, folder, name):
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{folder}/documents.parquet'")
+    out = queries.QUERIES[name](spark, folder)
+    wanted = c.sql(queries.ORACLE_SQL[name])
+    assert sorted(out.columns) == sorted(wanted.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(wanted.select(*out.columns).fetchall())

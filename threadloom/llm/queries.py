@@ -58,6 +58,34 @@ QUERIES = {
         op6_packing, op7_simhash, op8_suffix_dedup, op9_nearest, op10_minhash,
     )
 }
-#: None of them can be told whole in SQL (tokenizers, trained models, XXH64, bytes of windows); tests hold
-#: each against brute force or an exact round trip.
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be told whole in SQL (tokenizers, trained models, XXH64, approximate search); tests hold
+#: each against brute force, an exact round trip or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM w),
+x AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY words[i:i + 12]) AS first FROM g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM x WHERE first < doc_id),
+kept AS (
+  SELECT t.doc_id, count(g.i) AS n_removed, string_agg(t.word, ' ' ORDER BY t.i) FILTER (g.i IS NULL) AS text
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w) t LEFT JOIN gone g USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op8_suffix_dedup": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+g AS (SELECT doc_id, unnest(range(0, len(x) // 2 - 99)) AS i, unnest(list_transform(range(0, len(x) // 2 - 99), lambda i: md5_number(substring(x, 2 * i + 1, 200)))) AS m FROM h),
+f AS (SELECT m, min((doc_id, i)) AS first FROM g GROUP BY m HAVING count(*) > 1),
+k AS (SELECT doc_id, i FROM g JOIN f USING (m) WHERE (doc_id, i) > first),
+r AS (SELECT doc_id, i, i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) > 100 AS fresh FROM k),
+n AS (SELECT doc_id, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY ALL),
+l AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, sum(b - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY 1)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN starts IS NULL THEN x ELSE list_aggregate(
+         list_transform(range(1, len(starts) + 2), lambda j: substring(x, 2 * (CASE WHEN j = 1 THEN 0 ELSE ends[j - 1] END) + 1,
+           2 * ((CASE WHEN j > len(starts) THEN len(x) // 2 ELSE starts[j] END) - (CASE WHEN j = 1 THEN 0 ELSE ends[j - 1] END)))), 'string_agg', '') END)) AS kept_sha256
+FROM h LEFT JOIN l USING (doc_id)
+""",
+}
