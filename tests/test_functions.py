@@ -143,3 +143,41 @@ def test_retries():
 
     assert [m["id"] for m in Client("https://a", "e", "k", paged).messages([], 5)] == [5, 9, 10]
     assert "anchor=5&" in asked[0] and "anchor=10&" in asked[1]
+
+
+def test_rest_source(spark):
+    """Two streams and direct messages read from a server by Spark."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    from threadloom.sources import rest
+
+    held = {"general": [1, 2, 3, 4, 5], "dev": [7], "": [9]}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked = parse_qs(urlsplit(self.path).query)
+            (narrow,) = json.loads(asked["narrow"][0])
+            ids = held[narrow["operand"] if narrow["operator"] == "stream" else ""]
+            anchor = 0 if asked["anchor"][0] == "oldest" else int(asked["anchor"][0])
+            page = [i for i in ids if i >= anchor][:2]
+            found = [{"id": i, "sender_id": 1, "content": f"<p>{i}</p>", "timestamp": i, "topic": "t", "reactions": [{"e": 1}]} for i in page]
+            body = json.dumps({"messages": found, "found_newest": not page or page[-1] == ids[-1]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(rest.MessageSource)
+    streams = json.dumps([[10, "general", 2], [11, "dev", 0], [0, "", 0]])
+    url = f"http://127.0.0.1:{server.server_port}"
+    rows = spark.read.format("chat_rest").options(url=url, email="e", api_key="k", streams=streams).load().collect()
+    server.shutdown()
+    assert sorted((r["stream_id"], r["id"]) for r in rows) == [(0, 9), (10, 2), (10, 3), (10, 4), (10, 5), (11, 7)]
+    assert rows[0]["reactions"] == '[{"e": 1}]'

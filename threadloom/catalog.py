@@ -266,6 +266,40 @@ def resolved_flag(spark, folder):
     return names.union(more).select("name", C.is_resolved(F.col("name")).alias("resolved"))
 
 
+@query("SELECT max(event_id) AS greatest_id, count(*) AS messages, count(*) FILTER (event_id <= 500) AS through FROM events")
+def snapshot_counts(spark, folder):
+    return S.snapshot(A.events_archive(spark, folder), 500)
+
+
+@query(
+    f"{_DOC} SELECT id, CASE WHEN id % 10 = 0 THEN 'cache/' || CAST(id AS VARCHAR) ELSE '' END AS media_path,"
+    " CASE WHEN id % 10 = 0 THEN 'fetched' ELSE media_status END AS media_status, CASE WHEN id % 10 = 0 THEN id * 3 ELSE 0 END AS media_bytes FROM att"
+)
+def media_update(spark, folder):
+    uploads = A.documents_archive(spark, folder).message_attachments
+    done = uploads.where("id % 10 = 0").select(
+        "id", F.concat(F.lit("cache/"), F.col("id").cast("string")).alias("media_path"), F.lit("fetched").alias("media_status"),
+        C.instant(AS_OF).alias("media_fetched_at"), F.lit(" ").alias("media_content_type"), (F.col("id") * 3).alias("media_bytes"), F.lit("").alias("media_error"),
+    )
+    out = U.update_media(uploads, done)
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("media_path", "media_status")]
+    return out.select("id", *text, F.coalesce("media_bytes", F.lit(0)).alias("media_bytes"))
+
+
+@query(f"{_DOC} SELECT media_status, count(*) AS n FROM att GROUP BY 1")
+def media_status_counts(spark, folder):
+    uploads = A.documents_archive(spark, folder).message_attachments
+    return uploads.groupBy(F.coalesce("media_status", F.lit("")).alias("media_status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id AS message_id, user_id AS mentioned_user_id, 'User ' || user_id AS mentioned_name, 'user' AS mention_kind FROM events WHERE user_id > 0 AND event_id <= 5000")
+def derived_rows_rebuilt(spark, folder):
+    a = A.events_archive(spark, folder)
+    html = F.expr(_SPAN.format(u="sender_id", e="id", t="content"))
+    a.tables["messages"] = a.messages.withColumn("content", html)
+    return U.rebuild_derived(a, 5000)["message_mentions"].select("message_id", "mentioned_user_id", "mentioned_name", "mention_kind")
+
+
 # ---------------------------------------------------------------- rendered messages
 
 
@@ -365,6 +399,35 @@ def vector_codec(spark, folder):
     )
 
 
+@query("SELECT vec_id AS topic_id, len(embedding) AS size FROM embeddings WHERE vec_id % 10 <> 3")
+def vector_scan(spark, folder):
+    return V.vectors_of(A.vectors_archive(spark, folder), A.MODEL).select("topic_id", F.size("vector").cast("long").alias("size"))
+
+
+@query(
+    "SELECT vec_id AS topic_id, 'label ' || CAST(label AS VARCHAR) AS stream_name, 'topic ' || CAST(vec_id AS VARCHAR) AS topic_name,"
+    " vec_id % 4 = 0 AS resolved, vec_id % 7 AS message_count, '' AS last_message_at FROM embeddings WHERE vec_id = 17"
+)
+def topic_lookup(spark, folder):
+    return V.topic_meta(A.vectors_archive(spark, folder), 17)
+
+
+@query(
+    "SELECT vec_id AS topic_id, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE 'local' END AS provider,"
+    " CASE WHEN vec_id % 2 = 0 THEN 8 ELSE len(embedding) END AS dimension FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 10 <> 3"
+)
+def embedding_upsert(spark, folder):
+    e = A.table(spark, folder, "embeddings").where("vec_id % 2 = 0")
+    new = e.select(F.col("vec_id").alias("topic_id"), F.lit(A.MODEL).alias("model"), F.slice("embedding", 1, 8).alias("vector"))
+    out = V.store_vectors(A.vectors_archive(spark, folder), new, "new", AS_OF)
+    return out.select("topic_id", "provider", F.col("dimension").cast("long").alias("dimension"))
+
+
+@query("SELECT count(*) AS vectors FROM embeddings WHERE false")
+def embeddings_of_model_deleted(spark, folder):
+    return V.delete_vectors(A.vectors_archive(spark, folder), A.MODEL).agg(F.count("*").alias("vectors"))
+
+
 @query()
 def embed_and_search(spark, folder):
     """Topic texts embedded offline, then searched."""

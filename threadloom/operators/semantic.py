@@ -69,6 +69,40 @@ def coverage(archive: Archive, model: str) -> DataFrame:
     return total.crossJoin(have).withColumn("missing", F.col("total") - F.col("embedded"))
 
 
+def vectors_of(archive: Archive, model: str) -> DataFrame:
+    """topic_id, vector of a model, by topic."""
+    return archive.topic_embeddings.where(F.col("model") == model).select("topic_id", "vector").orderBy("topic_id")
+
+
+def vector_of(archive: Archive, topic_id: int, model: str) -> list[float]:
+    """One stored vector; LookupError without it."""
+    row = archive.topic_embeddings.where((F.col("topic_id") == topic_id) & (F.col("model") == model)).select("vector").first()
+    if row is None:
+        raise LookupError(f"topic {topic_id} has no vector of {model!r}")
+    return row["vector"]
+
+
+def topic_meta(archive: Archive, topic_id: int) -> DataFrame:
+    """One topic's id, names, resolution, count and last time."""
+    s = archive.streams.select(F.col("id").alias("stream_id"), F.col("name").alias("stream_name"))
+    t = archive.topics.where(F.col("id") == topic_id).join(s, "stream_id")
+    last = F.coalesce(C.rfc3339(F.col("last_message_at")), F.lit("")).alias("last_message_at")
+    return t.select(F.col("id").alias("topic_id"), "stream_name", F.col("name").alias("topic_name"), "resolved", "message_count", last)
+
+
+def store_vectors(archive: Archive, new: DataFrame, provider: str, as_of: datetime) -> DataFrame:
+    """The vector table with (topic_id, model, vector) rows in place of older ones; an empty vector is an error."""
+    size = F.coalesce(F.size("vector"), F.lit(0))
+    checked = F.when(size > 0, F.col("vector")).otherwise(F.raise_error(F.lit("empty vector")).cast("array<float>"))
+    rows = new.select("topic_id", "model", F.lit(provider).alias("provider"), size.cast("int").alias("dimension"),
+                      checked.alias("vector"), C.instant(as_of).alias("indexed_at"))
+    return upsert("topic_embeddings", archive.topic_embeddings, rows)
+
+
+def delete_vectors(archive: Archive, model: str) -> DataFrame:
+    return archive.topic_embeddings.where(F.col("model") != model)
+
+
 def _check_dimension(archive: Archive, model: str, dim: int) -> None:
     if dim > 0:
         e = archive.topic_embeddings.where(F.col("model") == model)
@@ -129,7 +163,7 @@ def embed_topics(archive: Archive, vectorizer: Vectorizer, options: EmbedOptions
         raise RuntimeError("embeddings are switched off")
     model = vectorizer.model
     if options.force:
-        archive = Archive(archive.spark, archive.tables | {"topic_embeddings": archive.topic_embeddings.where(F.col("model") != model)}, archive.root)
+        archive = Archive(archive.spark, archive.tables | {"topic_embeddings": delete_vectors(archive, model)}, archive.root)
     _check_dimension(archive, model, vectorizer.dim or len(vectorizer.embed(["x"])[0]))
     todo = topics_without_vector(archive, model, options.limit)
     n = todo.count()

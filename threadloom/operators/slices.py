@@ -157,3 +157,29 @@ def choose_streams(streams: DataFrame, include: Sequence[str] = (), exclude: Seq
     out = streams.where(~F.lower("name").isin(plain(exclude))) if plain(exclude) else streams
     wanted = plain(asked or include)
     return out.where(F.lower("name").isin(wanted)) if wanted else out
+
+
+def snapshot(archive: Archive, through_id: int | None = None) -> DataFrame:
+    """One row: the greatest message id (0 without messages), all messages, and those up to an id."""
+    through = F.lit(True) if through_id is None else F.col("id") <= through_id
+    return archive.messages.agg(
+        F.coalesce(F.max("id"), F.lit(0)).alias("greatest_id"), F.count("*").alias("messages"), F.count_if(through).alias("through")
+    )
+
+
+def tsv(df: DataFrame) -> str:
+    """A small result as tab-separated lines under a heading; null is <nil>."""
+    def text(v) -> str:
+        return "<nil>" if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+
+    return "\n".join(["\t".join(df.columns), *("\t".join(map(text, r)) for r in df.collect())])
+
+
+def message_lines(rows: DataFrame) -> str:
+    """Messages as text, with their number."""
+    found = rows.collect()
+    if not found:
+        return "No messages found."
+    at = lambda r: r["timestamp"].replace("T", " ").removesuffix("Z")
+    lines = [f"[{at(r)}] #{r['stream_name']} > {r['topic_name']} | {r['sender_name']}\n  {r['content']}\n" for r in found]
+    return "\n".join([*lines, f"({len(found)} messages)"])

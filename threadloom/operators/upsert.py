@@ -202,3 +202,20 @@ def bookmark(archive: Archive, stream_id: int, org_id: int = 1) -> int:
     """The last message id ingested of a stream, 0 if none."""
     s = archive.sync_state.where((F.col("org_id") == org_id) & (F.col("stream_id") == stream_id))
     return s.agg(F.coalesce(F.max("last_message_id"), F.lit(0))).first()[0]
+
+
+def ensure_user(users: DataFrame, user_id: int, name: str, org_id: int = 1) -> DataFrame:
+    """The user table with this user; id 0 stands for none and changes nothing."""
+    if user_id == 0:
+        return users
+    row = users.sparkSession.createDataFrame([(user_id, org_id, "", name, False, "")], "id long, org_id long, email string, full_name string, is_bot boolean, avatar_url string")
+    return merge_senders(users, row.withColumn("synced_at", F.lit(None).cast("timestamp")))
+
+
+def ensure_stream(streams: DataFrame, stream_id: int, name: str, org_id: int = 1) -> DataFrame:
+    """The stream table with this stream under this name; id 0 is an error."""
+    if stream_id == 0:
+        raise ValueError("a stream needs an id")
+    row = streams.sparkSession.createDataFrame([(stream_id, org_id, name)], "id long, org_id long, name string")
+    new = streams.limit(0).unionByName(row, allowMissingColumns=True)
+    return upsert("streams", streams, new, kept=("org_id",))
