@@ -149,6 +149,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, mining: M
     matched = match(open_.select(F.col("tokens").alias("key"), "tokens"), mined).select(
         "key", F.col("verdict").alias("says"), "mined_rule", "confidence"
     )
+    matched = materialise(matched)  # so that the join's sides are both shuffled and a hot token set can be split
     out = rows.withColumn("key", F.when(F.col("fixed").isNull(), F.array_sort("tokens"))).join(matched, "key", "left")
     return out.select(
         "page_id",
