@@ -14,7 +14,7 @@ from .common import materialise, prepare
 TREES = 8
 SAMPLE_ROWS = 20_000  # the trees are fitted on at most about so many rows
 LEAF_ROWS = 16  # of the sample
-SHARE = 0.15  # of all leaves, that a query searches
+SHARE = 0.12  # of all leaves, that a query searches
 LEAST_LEAVES = 96
 CELL_LEAVES = 64  # neighbouring leaves that are searched together
 CELL_ROWS = 40_000
