@@ -156,8 +156,8 @@ class Pieces:
             doc_end = np.zeros(n + 1, bool)  # a window can't cross the end of a document
             cut = text.at[(text.at > c) & (text.at < c + n + k)] - c
             valid = np.ones(n, bool)
-            for e in _merge(cut, k):
-                valid[max(0, e[0]) : min(n, e[1])] = False
+            for e in cut.tolist():
+                valid[max(0, e - k + 1) : min(n, e)] = False
             doc_end[cut[cut <= n]] = True
             new = np.ones(n, bool)
             new[1:] = (at[1:] != at[:-1]) | ~valid[:-1] | doc_end[1:n]
@@ -203,11 +203,6 @@ def window_keys(path: np.ndarray, offset: np.ndarray) -> np.ndarray:
     return mixed(path ^ mixed(offset.astype(U) + U(1)))
 
 
-def _merge(cut: np.ndarray, k: int):
-    """Ranges of windows that cross a document's end, for each end."""
-    return ((int(e) - k + 1, int(e)) for e in cut)
-
-
 def _within(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Which of x are in the sorted array."""
     if not len(among):

@@ -7,18 +7,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import staged
+from ..storage import spread, staged
 
 BATCH_ROWS = 2000
+BATCH_BYTES = "8m"
 
 
 def prepare(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that a worker never holds many long texts at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple = ()) -> DataFrame:
