@@ -1,10 +1,12 @@
-"""An archive: named tables, each version of a table a folder of Parquet behind one pointer file."""
+"""An archive: named tables, each version of a table (or of a part of one) a folder of Parquet behind one pointer file."""
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
+import tempfile
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +15,32 @@ from pyspark.sql import functions as F
 from .schema import SCHEMAS
 from .sources.lock import WriterLock
 
+#: tables kept in parts, by the message id in this column
+PARTED = {"messages": "id", "message_mentions": "message_id", "message_attachments": "message_id"}
+PART_IDS = 1 << 20
+WHOLE = "*"
+Pointer = dict[str, dict[str, str]]  # table -> part -> folder
+
+
+class ConflictError(RuntimeError):
+    """The archive was changed since it was opened."""
+
+
+def part_of(column: str):
+    return F.floor(F.col(column) / PART_IDS)
+
 
 class Archive:
     """Tables as DataFrames; `root` is the folder they are kept in, if any.
 
     A write makes new folders and then swaps the pointer file, so readers see the whole old state or
-    the whole new one, and a run that fails in between leaves the old one.
+    the whole new one, and a run that fails in between leaves the old one. Messages and their children
+    are kept in parts of 2^20 ids, and a write may replace some parts only: an ingest costs what its
+    messages' parts cost, however large the archive is.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], root: str | None = None):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], root: str | None = None, pointer: Pointer | None = None):
+        self.spark, self.root, self.pointer = spark, root, pointer or {}
         self.tables = {n: _shaped(spark, n, tables.get(n)) for n in SCHEMAS}
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -34,23 +52,45 @@ class Archive:
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Archive:
         """The archive's present state; a new folder is an empty archive."""
-        tables = {n: spark.read.parquet(f"{root}/{p}") for n, p in _pointer(root).items()}
-        return cls(spark, tables, root)
+        pointer = _Store(spark, root).read()
+        tables = {n: _read(spark, root, n, list(p.values())) for n, p in pointer.items() if p}
+        return cls(spark, tables, root, pointer)
+
+    def some_parts(self, table: str, parts: Sequence[int], other: bool = False) -> DataFrame:
+        """The rows of these parts of a table kept in parts (or of all others); only their folders are read."""
+        own = {str(p) for p in parts}
+        if self.root is None:
+            inside = part_of(PARTED[table]).isin([int(p) for p in parts])
+            return self.tables[table].where(~inside if other else inside)
+        paths = [f for p, f in self.pointer.get(table, {}).items() if (p in own) != other]
+        return _shaped(self.spark, table, _read(self.spark, self.root, table, paths) if paths else None)
+
+    def commit(self, changed: dict[str, DataFrame], parts: Sequence[int] | None = None, locked: bool = False) -> Archive:
+        """Writes new versions of tables and swaps the pointer, under the writer lock.
 
-    def commit(self, changed: dict[str, DataFrame], locked: bool = False) -> Archive:
-        """Writes new versions of tables and swaps the pointer, under the writer lock."""
+        parts: of tables kept in parts, `changed` has all rows of these parts, and the others stay.
+        ConflictError if another write came in between.
+        """
         if self.root is None:
             raise ValueError("this archive has no folder")
-        lock = None if locked else WriterLock(f"{self.root}/writer.lock").acquire()
+        store = _Store(self.spark, self.root)
+        lock = None if locked else store.lock().acquire()
         try:
-            now = _pointer(self.root)
+            if store.read() != self.pointer:
+                raise ConflictError(self.root)
+            new = {n: dict(p) for n, p in self.pointer.items()}
             for name, df in changed.items():
-                path = f"{name}/{uuid.uuid4().hex}"
-                _shaped(self.spark, name, df).write.parquet(f"{self.root}/{path}")
-                now[name] = path
-            fresh = Path(self.root, f"tables.{uuid.uuid4().hex}")
-            fresh.write_text(json.dumps(now))
-            os.replace(fresh, Path(self.root, "tables.json"))
+                folder = f"{name}/{uuid.uuid4().hex}"
+                rows = _shaped(self.spark, name, df)
+                if name not in PARTED:
+                    rows.write.parquet(f"{self.root}/{folder}")
+                    new[name] = {WHOLE: folder}
+                    continue
+                rows.withColumn("part", part_of(PARTED[name])).write.partitionBy("part").parquet(f"{self.root}/{folder}")
+                made = {x.removeprefix("part="): f"{folder}/{x}" for x in store.names(folder) if x.startswith("part=")}
+                kept = {} if parts is None else {p: f for p, f in new.get(name, {}).items() if int(p) not in set(parts)}
+                new[name] = kept | made
+            store.write(new)
         finally:
             if lock:
                 lock.release()
@@ -76,16 +116,68 @@ class Archive:
     def size_in_bytes(self) -> int:
         if self.root is None:
             return 0
-        return sum(p.stat().st_size for n in _pointer(self.root).values() for p in Path(self.root, n).rglob("*.parquet"))
+        store = _Store(self.spark, self.root)
+        return sum(store.size(f) for p in self.pointer.values() for f in p.values())
+
+    def lock(self) -> WriterLock:
+        return _Store(self.spark, self.root).lock()
 
 
-def _pointer(root: str) -> dict[str, str]:
-    file = Path(root, "tables.json")
-    return json.loads(file.read_text()) if file.exists() else {}
+class _Store:
+    """The pointer file and folders, by the file system that Spark itself uses."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.root, self.jvm = root, spark._jvm
+        self.conf = spark._jsc.hadoopConfiguration()
+        self.gateway = spark.sparkContext._gateway
+        self.fs = self._path("").getFileSystem(self.conf)
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def read(self) -> Pointer:
+        file = self._path("tables.json")
+        if not self.fs.exists(file):
+            return {}
+        stream = self.fs.open(file)
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def write(self, pointer: Pointer) -> None:
+        """A new file takes the old one's place in one step."""
+        fresh, file = self._path(f"tables.{uuid.uuid4().hex}"), self._path("tables.json")
+        out = self.fs.create(fresh, True)
+        out.write(bytearray(json.dumps(pointer).encode()))
+        out.close()
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        qualified = self.fs.makeQualified(file)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), self.conf)
+        context.rename(self.fs.makeQualified(fresh), qualified, how)
+
+    def names(self, folder: str) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self._path(folder))]
+
+    def size(self, folder: str) -> int:
+        return self.fs.getContentSummary(self._path(folder)).getLength()
+
+    def lock(self) -> WriterLock:
+        """Beside the tables if these are in local files, else in the driver's temporary folder."""
+        if self.fs.getScheme() == "file":
+            return WriterLock(Path(self._path("").toUri().getPath(), "writer.lock"))
+        return WriterLock(Path(tempfile.gettempdir(), f"threadloom-{hashlib.sha256(self.root.encode()).hexdigest()[:16]}.lock"))
+
+
+def _read(spark: SparkSession, root: str, name: str, folders: list[str]) -> DataFrame:
+    """Folders of any version of a table; columns that an older one lacks are null."""
+    return spark.read.schema(SCHEMAS[name]).parquet(*(f"{root}/{f}" for f in folders))
 
 
 def _shaped(spark: SparkSession, name: str, df: DataFrame | None) -> DataFrame:
-    """The table's columns in order; ones that an older version lacks are null."""
+    """The table's columns in order; ones that are missing are null."""
     schema = SCHEMAS[name]
     if df is None:
         return spark.createDataFrame([], schema)
@@ -96,12 +188,3 @@ def _shaped(spark: SparkSession, name: str, df: DataFrame | None) -> DataFrame:
             for f in schema.fields
         )
     )
-
-
-def sql_dialect(query: str) -> str:
-    """Common functions of the archive's former SQL dialect in Spark's names."""
-    import re
-
-    for old, new in ((r"\bgroup_concat\s*\(", "listagg("), (r"\bstrftime\s*\('%Y-%m-%d',\s*([\w.]+)\)", r"date_format(\1, 'yyyy-MM-dd')"), (r"\bGLOB\b", "RLIKE")):
-        query = re.sub(old, new, query, flags=re.I)
-    return query

@@ -115,12 +115,22 @@ def rollup(messages: DataFrame) -> DataFrame:
     )
 
 
-def recompute_topics(topics: DataFrame, messages: DataFrame) -> DataFrame:
-    """The topic table with every rollup anew: 0 and null for topics without messages."""
+def recompute_topics(topics: DataFrame, messages: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """The topic table with rollups anew, of all topics or of those with a topic_id in `only`.
+
+    Topics without messages have 0 and nulls. Three columns of the messages are read.
+    """
     own = ["message_count", "first_message_id", "last_message_id", "first_message_at", "last_message_at"]
-    r = rollup(messages).withColumnRenamed("topic_id", "id")
-    out = topics.drop(*own).join(r, "id", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0).cast("long")))
-    return out.select(*topics.columns)
+    m = messages.select("id", "topic_id", "timestamp")
+    touched = topics
+    if only is not None:
+        m = m.join(only, "topic_id", "left_semi")
+        ids = only.select(F.col("topic_id").alias("id"))
+        touched = topics.join(ids, "id", "left_semi")
+    r = rollup(m).withColumnRenamed("topic_id", "id")
+    out = touched.drop(*own).join(r, "id", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0).cast("long")))
+    out = out.select(*topics.columns)
+    return out if only is None else topics.join(ids, "id", "left_anti").select(*topics.columns).union(out)
 
 
 def derive(messages: DataFrame) -> DataFrame:

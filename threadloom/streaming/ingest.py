@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..archive import Archive
+from ..archive import PARTED, Archive, part_of
 from ..functions import columns as C
 from ..operators import upsert as U
-from ..sources.lock import WriterLock
 from ..storage import staged
 
 
@@ -39,7 +38,8 @@ def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime
     rollups of the topics that gained or lost messages, bookmarks.
 
     Messages before `since` are dropped, but for their senders. All of it becomes visible at once, so a
-    run that fails can be run again; a batch that comes twice changes nothing.
+    run that fails can be run again; a batch that comes twice changes nothing. Of messages and their
+    children only the parts that the batch's ids lie in are written anew.
     """
     rows = staged(prepare(batch, as_of, org_id))
     senders = rows.select(
@@ -53,8 +53,14 @@ def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime
     topics = staged(U.assign_topics(archive.topics, seen, as_of))
     ids = topics.select("stream_id", F.col("name").alias("topic_name"), F.col("id").alias("topic_id"))
     derived = staged(U.derive(rows.join(ids, ["stream_id", "topic_name"])).drop("topic_name", "sender_full_name"))
-    tables = U.upsert_messages(archive, derived)
+    parts = [r["part"] for r in rows.select(part_of("id").alias("part")).distinct().collect()]
+    touched_parts = Archive(archive.spark, {n: archive.some_parts(n, parts) for n in PARTED})
+    tables = U.upsert_messages(touched_parts, derived)
     messages = staged(tables.pop("messages"))
+    # topics that gained or lost messages
+    before_topics = touched_parts.messages.join(derived.select("id"), "id", "left_semi").select("topic_id")
+    touched = staged(derived.select("topic_id").union(before_topics).distinct())
+    every = archive.some_parts("messages", parts, other=True).select("id", "topic_id", "timestamp").union(messages.select("id", "topic_id", "timestamp"))
     direct = archive.spark.createDataFrame([(U.DIRECT_ID, org_id, U.DIRECT_STREAM)], "id long, org_id long, name string")
     new_direct = direct.join(rows.where(F.col("stream_id") == U.DIRECT_ID).select("stream_id").distinct(), F.col("id") == F.col("stream_id"), "left_semi")
     marks = rows.groupBy("org_id", "stream_id").agg(F.max("id").alias("last_message_id")).withColumn("synced_at", C.instant(as_of))
@@ -68,10 +74,11 @@ def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime
         | {
             "messages": messages,
             "users": users,
-            "topics": U.recompute_topics(topics, messages),
+            "topics": U.recompute_topics(topics, every, touched),
             "streams": known.unionByName(new_direct, allowMissingColumns=True),
             "sync_state": U.upsert("sync_state", archive.sync_state, marks),
-        }
+        },
+        parts,
     )
 
 
@@ -86,6 +93,6 @@ def run_stream(source: DataFrame, root: str, checkpoint: str, as_of: datetime, s
 
 def rebuild(archive: Archive) -> Archive:
     """Mentions and uploads of all messages there are now derived again, under the writer lock."""
-    with WriterLock(f"{archive.root}/writer.lock"):
+    with archive.lock():
         top = archive.messages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         return archive.commit(U.rebuild_derived(archive, top), locked=True)
