@@ -37,6 +37,11 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
+def lowered(texts: list[str]) -> list[bytes]:
+    """Texts in lower case, letters outside ASCII included."""
+    return [t.lower().encode() for t in texts]
+
+
 def grams(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature) pairs, each once: a feature is a hashed gram of the bounds and lower-case letters of a
     word, and in how many distinct words of the document it occurs at least (1 to LEVELS).
@@ -91,15 +96,15 @@ def _runs(texts: list[bytes], size: int = 1 << 18):
         yield lo, len(texts)
 
 
-def patterns(texts: list[bytes], lexicon_hits: np.ndarray) -> np.ndarray:
+def patterns(texts: list[str], lexicon_hits: np.ndarray) -> np.ndarray:
     """The pattern voters' votes."""
     out = np.zeros((len(texts), len(PATTERNS)))
     out[:, 0], out[:, 1] = lexicon_hits == 0, lexicon_hits >= 3
     for i, t in enumerate(texts):
-        data = np.frombuffer(t, np.uint8)
+        data = np.frombuffer(t.encode(), np.uint8)
         upper = int(((data >= 65) & (data <= 90)).sum())
-        out[i, 2] = upper > 0.3 * max(len(t), 1)
-        out[i, 3] = t.count(b"!") > 0.01 * len(t)
+        out[i, 2] = upper > 0.3 * max(len(data), 1)
+        out[i, 3] = t.count("!") > 0.01 * len(t)
     return out
 
 
@@ -160,18 +165,18 @@ class Model:
     def __init__(self, voters: np.ndarray, weights: np.ndarray):
         self.voters, self.weights = voters, weights
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
+    def features(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.voters)))
         if len(self.voters):
             wanted = np.zeros(1 << BITS, bool)
             wanted[self.voters >> 2] = True
-            doc, gram = grams(texts, wanted)
+            doc, gram = grams(lowered(texts), wanted)
             at = np.minimum(np.searchsorted(self.voters, gram), len(self.voters) - 1)
             mine = self.voters[at] == gram
             out[doc[mine], at[mine]] = 1
         return np.hstack([out, patterns(texts, out.sum(1))])
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, texts: list[str]) -> np.ndarray:
         x = self.features(texts)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
@@ -206,7 +211,7 @@ def _voters(sample: DataFrame) -> np.ndarray:
         n = np.zeros((2, FEATURES), np.int32)
         for b in batches:
             toxic = b.column(1).to_numpy()
-            texts = [t.encode() for t in b.column(0).to_pylist()]
+            texts = lowered(b.column(0).to_pylist())
             for lo, hi in _runs(texts, 1 << 20):  # the features of a whole batch would take too much memory
                 doc, gram = grams(texts[lo:hi])
                 for k in (0, 1):
@@ -244,7 +249,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     def votes(batches):
         m = Model(voters, np.zeros(1))
         for b in batches:
-            x = m.features([t.encode() for t in b.column(0).to_pylist()])
+            x = m.features(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(1), pa.array([np.flatnonzero(r) for r in x], pa.list_(pa.int32()))], ["toxic", "fired"]
             )
@@ -268,7 +273,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            s = sent.value.score([t.encode() for t in b.column(1).to_pylist()])
+            s = sent.value.score(b.column(1).to_pylist())
             out = [pa.array([held_out(d) for d in b.column(0).to_pylist()]), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([b.column(0), *out], ["doc_id", "held_out", "score", "predicted"])
 
@@ -299,6 +304,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def clean(texts):
         import pandas as pd
 
-        return pd.Series(sent.value.score([(t or "").encode() for t in texts]) < 0.5)
+        return pd.Series(sent.value.score([t or "" for t in texts]) < 0.5)
 
     return docs.where(clean(docs["text"].cast("string")))
