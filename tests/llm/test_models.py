@@ -179,3 +179,28 @@ def test_fingerprints_of_odd_rows(spark):
     out = minhash.fingerprint_edits(brute.frame(spark, [(None, "x y z"), (3, "a b c"), (3, "a b d"), (1, None)])).collect()
     assert sorted((r["doc_id"] or -1, r["n_chars"]) for r in out) == [(-1, 5), (1, 0), (3, 5), (3, 5)]
     assert minhash.fingerprint_edits(brute.frame(spark).limit(0)).count() == 0
+
+
+def test_similar_documents(spark, folder):
+    corpus = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    made = []
+    for i in range(200):
+        w = list(base)
+        for _ in range(rnd.randint(0, 8)):
+            w[rnd.randrange(200)] = f"x{rnd.randint(0, 9)}"
+        made.append((100000 + i, " ".join(w)))
+    rows = corpus + made + [(200000, ""), (200050, " "), (None, made[0][1]), (200001, corpus[0][1])]
+    got = {(r["query_id"], r["doc_id"]): r["jaccard"] for r in minhash.similar_documents(brute.frame(spark, rows), 10).collect()}
+    least, query = {}, {}
+    for d, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        least.setdefault(t, d)
+        if d % 10 == 0:
+            query.setdefault(t, d)
+    wanted = {
+        (q, d): j for t, q in query.items() for u, d in least.items()
+        if t != u and t.split() and u.split() and (j := brute.shingle_likeness(t, u)) >= 0.8
+    }
+    assert len(wanted) > 50 and got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k]) for k in got)
+    assert minhash.similar_documents(brute.frame(spark).limit(0)).count() == 0
