@@ -203,6 +203,15 @@ def window_keys(path: np.ndarray, offset: np.ndarray) -> np.ndarray:
     return mixed(path ^ mixed(offset.astype(U) + U(1)))
 
 
+def _alike(edge: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """An order that brings windows of equal edge and anchor together."""
+    order = np.argsort(edge)
+    e, a = edge[order], anchor[order]
+    if ((e[1:] == e[:-1]) & (a[1:] != a[:-1])).any():  # two windows of one edge hash
+        return np.lexsort((anchor, edge))
+    return order
+
+
 def _within(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Which of x are in the sorted array."""
     if not len(among):
@@ -357,10 +366,10 @@ class Marked:
 
         told = _within(p.anchor, verdicts.expand[0]) | _within(p.anchor, verdicts.shard[0])
         start, edge, anchor, key = p.windows(np.flatnonzero(~gone & (~one | told)))
-        order = np.lexsort((start, anchor, edge))
+        order = _alike(edge, anchor)
         e, a, s = edge[order], anchor[order], start[order]
         new = np.concatenate([[True], (e[1:] != e[:-1]) | (a[1:] != a[:-1])]) if len(e) else np.zeros(0, bool)
-        lead = s[np.flatnonzero(new)][np.cumsum(new) - 1] if len(e) else s
+        lead = np.minimum.reduceat(s, np.flatnonzero(new))[np.cumsum(new) - 1] if len(e) else s
         own = text.key[text.doc_of(s)]
         origin = text.key[text.doc_of(lead)]
         drop = (s != lead) if same_document else (origin < own)

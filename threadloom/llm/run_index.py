@@ -14,7 +14,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     for j in range(k):
         key <<= 9
         key[: max(0, n - j)] |= t[j:]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     new = np.ones(n, bool)
     new[1:] = key[sa][1:] != key[sa][:-1]
     rank = np.empty(n, np.int64)
@@ -29,7 +29,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         at = sa[idx]
         far = at + k
         key = rank[at] << 32 | np.where(far < n, rank[np.minimum(far, n - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, at = key[order], at[order]
         sa[idx] = at
         first = np.ones(len(idx), bool)
@@ -65,6 +65,7 @@ class RunIndex:
         self.to = row
         self.key = self.symbol[self.by_symbol] * runs + self.by_symbol
         self.runs, self.n, self.any = runs, n, int(sa[0])
+        self.run_of = np.repeat(np.arange(runs, dtype=np.int32), size)  # of each row, faster than a search
         self.sa = sa
         self.hash = Rolling(np.concatenate([[0], BYTE, BYTE[:1]])[t].astype(np.uint64) * np.uint64(3))
 
@@ -113,14 +114,13 @@ class RunIndex:
         while live:
             at, begin, row, ptr, l = at[:live], begin[:live], row[:live], ptr[:live], l[:live]
             c = data[at].astype(np.int64) + 1
-            run = np.searchsorted(self.start, row, side="right") - 1
-            k = np.searchsorted(self.key, c * runs + run)
-            own = self.symbol[run] == c
-            away = np.flatnonzero(~own)
+            run = self.run_of[row].astype(np.int64)
+            away = np.flatnonzero(self.symbol[run] != c)
             if len(away):
-                up, down = k[away] - 1, np.minimum(k[away], runs - 1)
+                k = np.searchsorted(self.key, c[away] * runs + run[away])
+                up, down = k - 1, np.minimum(k, runs - 1)
                 has_up = (up >= 0) & (self.key[np.maximum(up, 0)] // runs == c[away])
-                has_down = (k[away] < runs) & (self.key[down] // runs == c[away])
+                has_down = (k < runs) & (self.key[down] // runs == c[away])
                 y, z = self.by_symbol[np.maximum(up, 0)], self.by_symbol[down]
                 a = np.where(has_up, self.common(self.last[y], ptr[away], l[away]), -1)
                 b = np.where(has_down, self.common(self.first[z], ptr[away], l[away]), -1)
