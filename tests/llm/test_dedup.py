@@ -102,6 +102,16 @@ def test_simhash_of_one_large_group(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in odd) == [(0, 0), (0, 4), (4, 4), (4, 4)]
 
 
+def test_one_row_of_each_component_stays(spark):
+    rows = [(None, "nobody's own text here"), (None, "twice without an id"), (None, "twice without an id"), (3, "one two three")]
+    rows += [(3, "one two three"), (2, "once more"), (None, "once more"), (3, "another text of the same id"), (None, None)]
+    kept = simhash.keep_one_of_each(brute.frame(spark, rows))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [
+        (0, ""), (0, "nobody's own text here"), (0, "twice without an id"), (2, "once more"), (3, "another text of the same id"), (3, "one two three"),
+    ]
+    assert kept.columns == brute.frame(spark, rows).columns and simhash.keep_one_of_each(brute.frame(spark, rows).limit(0)).count() == 0
+
+
 def test_masks_cover():
     masks, rnd = simhash.covering_masks(), random.Random(3)
     for _ in range(5000):

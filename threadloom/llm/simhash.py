@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import estimated_bytes, ids_and_texts, materialise, prepare
@@ -16,6 +16,7 @@ from .components import components
 RADIUS = 3
 SMALL = 24  # members of a bucket that are compared pair by pair
 BUCKET_BYTES = 1 << 19
+ROW = ("_row_1", "_row_2")  # hashes of a whole row
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -48,16 +49,17 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (a long that holds its 64 bits) of every row."""
+def fingerprints(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fingerprint (a long that holds its 64 bits) and the longs named in `more` of every row."""
     prepare(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             own = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own)], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own), *b.columns[2:]], ["doc_id", "fingerprint", *more])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, fingerprint long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "fingerprint", *more))
+    return ids_and_texts(docs, more=more).mapInArrow(run, schema)
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -160,6 +162,15 @@ def link(nodes: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
+def _rooted(own: DataFrame, first: Column) -> DataFrame:
+    """Each distinct fingerprint with its rows' aggregate `first` as `least` and the root of its component."""
+    nodes = materialise(own.groupBy("fingerprint").agg(first.alias("least")))
+    roots = components(link(nodes.select("fingerprint")))
+    return nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select(
+        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
@@ -169,11 +180,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null. Repeated rows give repeated rows; an empty table gives an empty one; other columns are ignored.
     """
     own = materialise(fingerprints(docs))
-    nodes = materialise(own.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    roots = components(link(nodes.select("fingerprint")))
-    rooted = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select(
-        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
-    )
+    rooted = _rooted(own, F.min("doc_id"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("fingerprint", "component_id")
     return own.join(classes, "fingerprint").select(
@@ -182,9 +189,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id is its component's least, all columns as they are.
+    """One row of each component, all columns as they are: a row of its least id.
 
-    Rows that share a kept id all stay; rows without an id go, as nothing tells them apart.
+    Null ids rank last, so a component without any id keeps one row as well. Rows of one id are told
+    apart by two 64-bit hashes of the whole row (maps aside), the lesser stays; rows alike are one.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    whole = [x for c, t in docs.dtypes if "map<" not in t for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    keyed = docs.withColumns({c: F.xxhash64(F.lit(c), *whole) for c in ROW})
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *ROW))
+    rooted = _rooted(materialise(fingerprints(keyed, ROW)), first)
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(*(F.col("least")[c].alias(c) for c in ROW))
+    return keyed.join(kept, list(ROW), "left_semi").dropDuplicates(list(ROW)).drop(*ROW)
