@@ -143,6 +143,13 @@ def test_nearest(spark, folder):
         assert [*sorted(ranks)] == [*range(1, 11)] and [x[1] for _, x in sorted(ranks.items())] == sorted(s for _, s in ranks.values())
 
 
+@pytest.mark.parametrize(("times", "step"), [(400, 0.0), (60, 1e-4)])
+def test_nearest_of_one_id_many_times(spark, times, step):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.1 + i * step, 0.0]) for i in range(times)] + [(i, [1.0 + i, 0.0]) for i in range(2, 30)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(i, i) for i in range(1, 11)]
+
+
 def test_nearest_of_copies_and_odd_rows(spark):
     rows = [(i, [float(i % 3), 1.0]) for i in range(300)]
     odd = [(None, [1.0, 2.0]), (1000, None), (1100, [0.0, 0.0]), (1200, [float("nan"), 1.0]), (1300, [None, 1.0]), (1400, [1.0]), (1500, [float("inf"), 1.0])]

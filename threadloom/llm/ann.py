@@ -101,8 +101,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     """query_id, rank, vec_id and score: the k nearest found of each row whose id is divisible by `every`.
 
     score is the Euclidean distance in double precision on the original vectors; ties go to the
-    smaller vec_id and a row is no candidate of its own. Of equal vectors only the k + 1 rows of least
-    id can be in a result, so no more enter the index. Trees are fitted on a bounded sample; every row
+    smaller vec_id and a row is no candidate of its own. Of equal vectors only the k + 1 least ids can
+    be in a result, so no more enter the index, each once. Trees are fitted on a bounded sample; every row
     is then put into its leaf of every tree. Leaves are searched in cells; a cell with many rows is
     split, and its queries go to all parts, so no group grows with the table.
 
@@ -116,7 +116,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     schema = "query_id long, rank int, vec_id long, score double"
     first = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
     rows = _sound(vectors, id_col, vector_col)
-    index = materialise(rows.withColumn("n", first).where(F.col("n") <= k + 1).drop("n"))
+    index = materialise(rows.dropDuplicates(["vec_id", "v"]).withColumn("n", first).where(F.col("n") <= k + 1).drop("n"))
     n = index.count()
     if not n:
         return spark.createDataFrame([], schema)
@@ -137,7 +137,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
             leaf = forest.value.leaves(x)
             at = np.tile(np.arange(len(x)), TREES)
             tree = np.repeat(np.arange(TREES), len(x))
-            salt = b.column(0).to_numpy()[at] // 7 % salts
+            salt = at % salts  # any part will do, as queries go to all
             cell = (tree * cells + leaf.ravel() // CELL_LEAVES) * salts + salt
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cell), pa.array(leaf.ravel().astype(np.int32)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))],
@@ -164,13 +164,18 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
         if own.num_rows and asked.num_rows:
             ids, x = own.column("vec_id").to_numpy(), _matrix(own.column("v"))
             leaf = own.column("leaf").to_numpy()
+            repeated = len(np.unique(ids)) < len(ids)
             for q, v, wanted in zip(
                 asked.column("query_id").to_pylist(), _matrix(asked.column("q")), asked.column("leaves").to_pylist(), strict=True
             ):
                 at = np.flatnonzero(np.isin(leaf, wanted) & (ids != q))
                 d = np.sqrt(((x[at] - v) ** 2).sum(1))
-                if len(at) > 4 * k:  # a row of one id twice may take two places, hence the room
-                    near = d <= np.partition(d, 4 * k - 1)[4 * k - 1]
+                if repeated:  # of one id the nearest row, so that no id takes two places
+                    order = np.argsort(d, kind="stable")
+                    order = order[np.unique(ids[at[order]], return_index=True)[1]]
+                    at, d = at[order], d[order]
+                if len(at) > k:
+                    near = d <= np.partition(d, k - 1)[k - 1]
                     at, d = at[near], d[near]
                 found[0] += [q] * len(at)
                 found[1] += ids[at].tolist()
