@@ -292,12 +292,21 @@ def media_status_counts(spark, folder):
     return uploads.groupBy(F.coalesce("media_status", F.lit("")).alias("media_status")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id AS message_id, user_id AS mentioned_user_id, 'User ' || user_id AS mentioned_name, 'user' AS mention_kind FROM events WHERE user_id > 0 AND event_id <= 5000")
-def derived_rows_rebuilt(spark, folder):
+def _rebuilt_mentions(spark: SparkSession, folder: str, through_id: int | None = None) -> DataFrame:
     a = A.events_archive(spark, folder)
     html = F.expr(_SPAN.format(u="sender_id", e="id", t="content"))
     a.tables["messages"] = a.messages.withColumn("content", html)
-    return U.rebuild_derived(a, 5000)["message_mentions"].select("message_id", "mentioned_user_id", "mentioned_name", "mention_kind")
+    return U.rebuild_derived(a, through_id)["message_mentions"].select("message_id", "mentioned_user_id", "mentioned_name", "mention_kind")
+
+
+@query("SELECT event_id AS message_id, user_id AS mentioned_user_id, 'User ' || user_id AS mentioned_name, 'user' AS mention_kind FROM events WHERE user_id > 0 AND event_id <= 5000")
+def derived_rows_rebuilt(spark, folder):
+    return _rebuilt_mentions(spark, folder, 5000)
+
+
+@query("SELECT event_id AS message_id, user_id AS mentioned_user_id, 'User ' || user_id AS mentioned_name, 'user' AS mention_kind FROM events WHERE user_id > 0")
+def derived_rows_rebuilt_whole(spark, folder):
+    return _rebuilt_mentions(spark, folder)
 
 
 # ---------------------------------------------------------------- rendered messages
