@@ -1,8 +1,9 @@
-"""Suffix-array dedup over bytes with run-length indexes.
+"""Suffix-array dedup over bytes by window hashes along suffix arrays.
 
 Repetitive passages meet by anchors (see anchors.py); where the paths of an anchor differ, shards of
-them build a run-compressed Burrows-Wheeler index of the paths, stream each one's matching statistics
-through it, and mark the matches that are long enough and have a place in an earlier document.
+them build an index of the paths with a full suffix array, and windows of k bytes whose hashes are the
+same there are marked if one lies in an earlier document. Matching statistics are streamed as well, but
+each path is indexed itself, so they only say where k bytes are left.
 """
 
 from __future__ import annotations
