@@ -92,6 +92,15 @@ def test_urls(spark, folder):
     assert url_filter.judge(extra.limit(0)).count() == 0
 
 
+def test_deeper_folders_tell_urls_apart(spark):
+    deep = "/".join(f"d{i}" for i in range(40))
+    rows = [(i, f"http://www.example.com/en/{i % 7}/good/{deep}") for i in range(60)] + [(100 + i, f"http://example.com/en/{i % 7}/bad/x") for i in range(60)]
+    rows += [(200, "http://host.org/x/bad/y"), (201, "http://host.org/x/good/y"), (202, "http://host.org/x/z/d39")]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [got[i]["verdict"] for i in (200, 201, 202)] == ["block", "allow", "allow"]
+    assert [got[i]["mined_rule"] for i in (200, 201, 202)] == ["folder:bad", "folder:good", "folder:d39"]
+
+
 def test_mined_rules_are_those_of_brute_force(spark):
     rnd = random.Random(6)
     rows = [(sorted(rnd.sample("abcdef", rnd.randint(1, 4))), rnd.choice(["allow", "block", "block"])) for _ in range(300)]

@@ -48,7 +48,7 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
 
 def tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens of a URL by place: top domain, other labels of the host, first and further folders."""
+    """Distinct tokens of a URL by place: top domain, words of the host, first folder, all further ones and their number."""
     labels = F.split(host, r"\.")
     folders = F.filter(F.split(path, "/"), lambda x: x != "")
     words = F.flatten(F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: F.split(x, "-")))
@@ -56,6 +56,7 @@ def tokens(host: Column, path: Column) -> Column:
         F.array(F.concat(F.lit("top:"), F.element_at(labels, -1))),
         F.transform(words, lambda x: F.concat(F.lit("host:"), x)),
         F.transform(F.slice(folders, 1, 1), lambda x: F.concat(F.lit("first:"), x)),
+        F.transform(F.slice(folders, 2, F.greatest(F.size(folders) - 1, F.lit(0))), lambda x: F.concat(F.lit("folder:"), x)),
         F.array(F.concat(F.lit("folders:"), F.least(F.size(folders), F.lit(9)).cast("string"))),
     )
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(found))
@@ -65,7 +66,8 @@ def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
     """rule_id, antecedent, verdict, confidence, support of the rules of a table (tokens, label).
 
     Spark's FP-growth finds the frequent token sets. Tokens below the support are dropped first, which
-    no frequent set can hold. A rule is dropped if a part of its antecedent says the same with no less
+    no frequent set can hold. Tokens of the same URLs (all folders of one long path) are mined as one, as
+    together they say no more than each alone, and each stands in for it in the rules. A rule is dropped if a part of its antecedent says the same with no less
     confidence.
     """
     spark = labelled.sparkSession
@@ -74,10 +76,12 @@ def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
     if not n:
         return spark.createDataFrame([], schema)
     # at most (tokens of a URL) / support of these, whatever the number of URLs
-    usual = [
-        r["token"]
-        for r in labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= mining.support * n).collect()
-    ]
+    place = [F.sum(F.xxhash64(F.lit(k), F.array_sort("tokens")).bitwiseAND(F.lit((1 << 31) - 1))).alias(f"h{k}") for k in (1, 2)]
+    counted = labelled.select("tokens", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *place)
+    alike: dict[tuple, list[str]] = {}
+    for r in counted.where(F.col("n") >= mining.support * n).orderBy("token").collect():
+        alike.setdefault((r["n"], r["h1"], r["h2"]), []).append(r["token"])
+    usual = [x[0] for x in alike.values()]
     one = labelled.select("label", F.filter("tokens", lambda x: x.isin(usual) if usual else F.lit(False)).alias("tokens"))
     baskets = one.select(F.array_union("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=mining.support, minConfidence=mining.confidence).fit(baskets)
@@ -102,6 +106,22 @@ def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
         .distinct()
     )
     kept = found.join(parts_, ["antecedent", "verdict"], "left_anti")
+    more = [(x[0], x) for x in alike.values() if len(x) > 1]
+    if more:
+        others = F.broadcast(spark.createDataFrame(more, "token string, others array<string>"))
+        each = kept.select("*", F.explode("antecedent").alias("token")).join(others, "token", "left")
+        sets = F.array_agg(F.coalesce("others", F.array("token")))
+        chosen = F.aggregate(
+            "sets",
+            F.array(F.array().cast("array<string>")),
+            lambda acc, x: F.flatten(F.transform(acc, lambda a: F.transform(x, lambda t: F.array_append(a, t)))),
+        )
+        kept = (
+            each.groupBy("antecedent", "verdict", "confidence", "support")
+            .agg(sets.alias("sets"))
+            .select(F.explode(chosen).alias("antecedent"), "verdict", "confidence", "support")
+            .withColumn("antecedent", F.array_sort("antecedent"))
+        )
     return materialise(kept.select(F.xxhash64("antecedent", "verdict").alias("rule_id"), "antecedent", "verdict", "confidence", "support"))
 
 
@@ -145,12 +165,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, mining: M
         .withColumn("tokens", tokens(F.col("host"), F.col("path")))
     )
     mined = mine(rows.where("fixed IS NOT NULL").select("tokens", F.col("fixed.verdict").alias("label")), mining)
-    open_ = rows.where("fixed IS NULL").select(F.array_sort("tokens").alias("tokens")).distinct()
+    # only tokens of rules matter, so that URLs apart in others are one key
+    known = [r["token"] for r in mined.select(F.explode("antecedent").alias("token")).distinct().collect()]
+    rows = rows.withColumn("tokens", F.array_sort(F.filter("tokens", lambda x: x.isin(known) if known else F.lit(False))))
+    open_ = rows.where("fixed IS NULL").select("tokens").distinct()
     matched = match(open_.select(F.col("tokens").alias("key"), "tokens"), mined).select(
         "key", F.col("verdict").alias("says"), "mined_rule", "confidence"
     )
     matched = materialise(matched)  # so that the join's sides are both shuffled and a hot token set can be split
-    out = rows.withColumn("key", F.when(F.col("fixed").isNull(), F.array_sort("tokens"))).join(matched, "key", "left")
+    out = rows.withColumn("key", F.when(F.col("fixed").isNull(), F.col("tokens"))).join(matched, "key", "left")
     return out.select(
         "page_id",
         "host",
