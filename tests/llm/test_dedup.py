@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from threadloom.llm import simhash, substring_dedup, suffix_dedup
+from threadloom.llm import anchors, simhash, substring_dedup, suffix_dedup
 from threadloom.llm.components import components
 from threadloom.llm.run_index import RunIndex, suffix_array
 
@@ -61,6 +62,67 @@ def test_cases(spark):
     assert whole.columns == df.columns and whole.where("text IS NULL").count() == 2 and whole.where("n_chars <> length(text)").count() == 0
 
 
+def test_long_words_that_differ_in_every_letter(spark):
+    """Thue-Morse words and their complements, on which polynomials modulo 2^64 agree."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    word = lambda n, one: "".join("ab"[b ^ one] for b in bits[:n])
+    rows = []
+    for j, n in enumerate((128, 1024, 2048, 4096)):
+        lead = " ".join(f"{n}w{i}" for i in range(12))
+        rows += [(10 * j + 1, f"{lead} {word(n, 0)}"), (10 * j + 2, f"{lead} {word(n, 1)}"), (10 * j + 3, f"{lead}\t{word(n, 1)} end")]
+    df = brute.frame(spark, rows)
+    assert rows_of(substring_dedup.digest_repeated_spans(df)) == brute.spans_removed(dict(rows))
+    assert rows_of(suffix_dedup.digest_repeated_bytes(df)) == brute.bytes_removed(dict(rows))
+
+
+@pytest.mark.parametrize("broken", ["words", "bytes"])
+def test_no_row_is_wrong_where_hashes_collide(spark, monkeypatch, broken):
+    """Every symbol has one hash: all windows are proposed as equal, and the comparison at the sources refuses."""
+    rows = [(i, " ".join(f"{i}word{j}" for j in range(40))) for i in range(6)]
+    monkeypatch.setattr(anchors, "mixed" if broken == "words" else "byte_values", (lambda x: x * 0) if broken == "words" else lambda seed: np.ones(256, np.uint64))
+    op = substring_dedup.digest_repeated_spans if broken == "words" else suffix_dedup.digest_repeated_bytes
+    text = lambda rows: pa.table({"doc_id": [r[0] for r in rows], "rank": [0] * len(rows), "text": [r[1] for r in rows], "block": [0] * len(rows)})
+    t = anchors.Text(text(rows), broken == "words", 13 if broken == "words" else 100)
+    proposed = anchors.Proposed(anchors.Pieces(t, 4 if broken == "words" else 20), anchors.Verdicts(anchors._table({}, anchors.VERDICTS)), False)
+    assert len(proposed.first)
+    with pytest.raises(RuntimeError, match="one 64-bit hash"):
+        anchors.propose(t, proposed)
+    assert op(brute.frame(spark, rows[:1])).count() == 1
+
+
+def test_paths_are_compacted_and_answered():
+    rows = [(1, "x " + " ".join(f"w{j}" for j in range(90)) + " y"), (2, " ".join(f"w{j}" for j in range(90)))]
+    table = lambda block, rows: pa.table({"doc_id": [r[0] for r in rows], "rank": [0] * len(rows), "text": [r[1] for r in rows], "block": [block] * len(rows)})
+    both = anchors.Text(table(0, rows), True, 13)
+    found = anchors.Proposed(anchors.Pieces(both, 4), anchors.Verdicts(anchors._table({}, anchors.VERDICTS)), False)
+    assert (found.first.tolist(), found.count.tolist(), found.source.tolist()) == ([92], [78], [1])  # one path of all 78 windows
+    source, copy = anchors.Text(table(0, rows[:1]), True, 13), anchors.Text(table(1, rows[1:]), True, 13)
+    found.first -= 92
+    claims = anchors._table(anchors.propose(copy, found), anchors.CLAIMS)
+    asked = claims.filter(pa.array(claims.column("block").to_numpy() == 0))
+    assert asked.num_rows == 1
+    told = anchors.answer(source.table, asked, lambda t: source)
+    own = claims.filter(pa.array(claims.column("block").to_numpy() == 1))
+    marked = anchors.Marked(copy, pa.concat_tables([own, told]))
+    assert marked.mask.all() and marked.source.tolist() == [1]
+    wrong = asked.set_column(asked.schema.get_field_index("digest"), "digest", pa.array([b"0" * 32], pa.binary()))
+    with pytest.raises(RuntimeError, match="one 64-bit hash"):
+        anchors.Marked(copy, pa.concat_tables([own, anchors.answer(source.table, wrong, lambda t: source)]))
+
+
+def test_rows_of_one_id_lie_in_many_blocks(spark):
+    rnd = random.Random(8)
+    text = lambda: " ".join(f"{rnd.random():.17f}" for _ in range(60))
+    shared = text()
+    rows = [(None, f"{text()} {shared} {text()}") for _ in range(40)] + [(7, f"{text()} {shared}") for _ in range(40)]
+    gone = [r["n_removed"] for r in substring_dedup.digest_repeated_spans(brute.frame(spark, rows)).orderBy("doc_id").collect()]
+    assert gone == [60] * 40 + [0] * 40  # nulls first: all have a source, rows of id 7 none
+    left = suffix_dedup.remove_repeated_bytes(brute.frame(spark, rows)).collect()
+    assert sum(r["n_removed"] < 500 for r in left) == 1  # the first of id 7 by rank keeps its passage
+    again = suffix_dedup.remove_repeated_bytes(brute.frame(spark, rows[::-1]).repartition(7)).collect()
+    assert sorted(map(str, left)) == sorted(map(str, again))
+
+
 def test_run_index():
     rnd = random.Random(3)
     for alphabet in (b"ab", b"\x00\xff\x01", bytes(range(256))):

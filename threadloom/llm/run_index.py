@@ -42,7 +42,9 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 class RunIndex:
     """The Burrows-Wheeler transform of texts as runs, with suffix array samples at both ends of each run.
 
-    Texts are byte strings, each followed by a separator that no query has.
+    Texts are byte strings, each followed by a separator that no query has. The index proper has an entry
+    for each run; beside it stand the texts' prefix hashes, for common prefixes, and the bounds of the texts.
+    The whole suffix array exists only while the index is built.
     """
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray):
@@ -65,8 +67,7 @@ class RunIndex:
         self.to = row
         self.key = self.symbol[self.by_symbol] * runs + self.by_symbol
         self.runs, self.n, self.any = runs, n, int(sa[0])
-        self.run_of = np.repeat(np.arange(runs, dtype=np.int32), size)  # of each row, faster than a search
-        self.sa = sa
+        self.text_at = np.concatenate([[0], stop + np.arange(1, len(lengths) + 1)])
         self.hash = Rolling(np.concatenate([[0], BYTE, BYTE[:1]])[t].astype(np.uint64) * np.uint64(3))
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -80,20 +81,10 @@ class RunIndex:
             lo, hi = np.where(open_ & same, mid, lo), np.where(open_ & ~same, mid - 1, hi)
         return lo
 
-    def least(self, values: np.ndarray, k: int) -> np.ndarray:
-        """For each place, the least of the values (one for each place) at all places whose k symbols are the same.
-
-        Such places are a range of rows.
-        """
-        h, down, sa = self.hash.h, self.hash.down, self.sa
-        far = np.minimum(sa + k, self.n)
-        own = (h[far] - h[sa]) * down[sa]
-        head = np.ones(self.n, bool)
-        head[1:] = (own[1:] != own[:-1]) | (far[1:] == self.n) | (far[:-1] == self.n)
-        low = np.minimum.reduceat(values[sa], np.flatnonzero(head))
-        out = np.empty_like(values)
-        out[sa] = low[np.cumsum(head) - 1]
-        return out
+    def whereabouts(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which text a place is in, and how far from its start."""
+        text = np.searchsorted(self.text_at, place, side="right") - 1
+        return text, place - self.text_at[text]
 
     def matching_statistics(self, data: np.ndarray, offs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """For each position of the queries: the longest match (up to `most`) of the text from there with
@@ -114,7 +105,7 @@ class RunIndex:
         while live:
             at, begin, row, ptr, l = at[:live], begin[:live], row[:live], ptr[:live], l[:live]
             c = data[at].astype(np.int64) + 1
-            run = self.run_of[row].astype(np.int64)
+            run = np.searchsorted(self.start, row, side="right") - 1
             away = np.flatnonzero(self.symbol[run] != c)
             if len(away):
                 k = np.searchsorted(self.key, c[away] * runs + run[away])
