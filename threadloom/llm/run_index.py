@@ -74,11 +74,12 @@ class RunIndex:
         """Length of the common prefix of the suffixes a and b, up to `most`."""
         h, down, n = self.hash.h, self.hash.down, self.n
         hi = np.minimum(most, n - np.maximum(a, b))
-        lo = np.zeros(len(a), np.int64)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi + 1) >> 1
-            same = (h[a + mid] - h[a]) * down[a] == (h[b + mid] - h[b]) * down[b]
-            lo, hi = np.where(open_ & same, mid, lo), np.where(open_ & ~same, mid - 1, hi)
+        lo, own = np.zeros(len(a), np.int64), np.arange(len(a))
+        while len(own):
+            x, y, mid = a[own], b[own], (lo[own] + hi[own] + 1) >> 1
+            same = (h[x + mid] - h[x]) * down[x] == (h[y + mid] - h[y]) * down[y]
+            lo[own[same]], hi[own[~same]] = mid[same], mid[~same] - 1
+            own = own[lo[own] < hi[own]]
         return lo
 
     def whereabouts(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,12 +87,13 @@ class RunIndex:
         text = np.searchsorted(self.text_at, place, side="right") - 1
         return text, place - self.text_at[text]
 
-    def matching_statistics(self, data: np.ndarray, offs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    def matching_statistics(self, data: np.ndarray, offs: np.ndarray, most: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """For each position of the queries: the longest match (up to `most`) of the text from there with
         any indexed text, and a place of that match.
 
         Queries are read from their ends, all in step. A row whose run has the next symbol is followed;
         else the nearer end, by common prefix, of the runs of that symbol above and below goes on.
+        A query is left where no match from there or before can reach `least` any more: its places keep 0.
         """
         length, place = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
         at = offs[1:] - 1
@@ -101,7 +103,7 @@ class RunIndex:
         row, ptr, l = (np.zeros(len(at), np.int64) for _ in range(3))
         ptr += self.any
         live = int(np.searchsorted(begin - at, 0, side="right"))
-        runs = self.runs
+        runs, steps = self.runs, 0
         while live:
             at, begin, row, ptr, l = at[:live], begin[:live], row[:live], ptr[:live], l[:live]
             c = data[at].astype(np.int64) + 1
@@ -113,8 +115,13 @@ class RunIndex:
                 has_up = (up >= 0) & (self.key[np.maximum(up, 0)] // runs == c[away])
                 has_down = (k < runs) & (self.key[down] // runs == c[away])
                 y, z = self.by_symbol[np.maximum(up, 0)], self.by_symbol[down]
-                a = np.where(has_up, self.common(self.last[y], ptr[away], l[away]), -1)
-                b = np.where(has_down, self.common(self.first[z], ptr[away], l[away]), -1)
+                most_ = l[away]
+                ask = np.concatenate([np.where(has_up, most_, 0), np.where(has_down, most_, 0)])
+                both = np.zeros(2 * len(away), np.int64)
+                some = np.flatnonzero(ask)
+                both[some] = self.common(np.concatenate([self.last[y], self.first[z]])[some], np.tile(ptr[away], 2)[some], ask[some])
+                a = np.where(has_up, both[: len(away)], -1)
+                b = np.where(has_down, both[len(away) :], -1)
                 upper = a >= b
                 run[away] = np.where(upper, y, z)
                 row[away] = np.where(upper, self.start[np.minimum(y + 1, runs - 1)] - 1, self.start[z])
@@ -127,6 +134,10 @@ class RunIndex:
             ptr = np.where(lost, self.any, ptr - 1)
             l = np.where(lost, 0, np.minimum(new, most))
             length[at], place[at] = l, ptr
+            if least and not steps % 4:
+                hope = np.flatnonzero(at - begin + l >= least)
+                at, begin, row, ptr, l = at[hope], begin[hope], row[hope], ptr[hope], l[hope]
+            steps += 1
             at = at - 1
             live = int(np.searchsorted(begin - at, 0, side="right"))
         return length, place

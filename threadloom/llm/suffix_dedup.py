@@ -50,7 +50,7 @@ def split_paths(k: int):
             index = RunIndex(data[_ranges(first[by] + there, length)], length)
             asked, begin, number = path[second], offset[second], count[second]
             at = np.concatenate([[0], np.cumsum(number + k - 1)])
-            match, place = index.matching_statistics(data[_ranges(first[asked] + begin, number + k - 1)], at, k)
+            match, place = index.matching_statistics(data[_ranges(first[asked] + begin, number + k - 1)], at, k, k)
             window = _ranges(at[:-1], number)
             hit = match[window] >= k
             text, inner = index.whereabouts(np.where(hit, place[window], 0))
