@@ -1,6 +1,7 @@
 """Toxicity, URL rules, nearest neighbours, fingerprints."""
 
 import hashlib
+import pathlib
 import random
 
 import numpy as np
@@ -60,6 +61,40 @@ def test_label_model_trusts_agreeing_voters():
     assert ((toxicity.label_model(votes.astype(float), noisy) > 0.5) == y).mean() > 0.93
 
 
+@pytest.mark.parametrize("share", [0.1, 0.2])
+def test_label_model_mends_flipped_labels(share):
+    rng = np.random.default_rng(1)
+    y = (rng.random(3000) < 0.15).astype(float)
+    votes = np.stack([np.where(y > 0, rng.random(3000) < 0.35, rng.random(3000) < 0.01) for _ in range(20)], 1).astype(float)
+    votes = np.hstack([votes, votes[:, :5], votes.sum(1, keepdims=True) == 0])  # five voters twice, and a pattern
+    flipped = rng.random(3000) < share
+    side = toxicity.label_model(votes, np.where(flipped, 1 - y, y)) > 0.5
+    assert (side == y)[flipped].mean() > 0.9 and (side == y)[~flipped].mean() > 0.97
+
+
+def test_toxicity_on_the_real_labels(spark, folder):
+    """Held-out rows of the whole tables; scores are the same however the tables are cut."""
+    larger = pathlib.Path(folder).parent / "sf0.1"
+    folder = str(larger) if larger.exists() else folder
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    scored = {r["doc_id"]: r for r in toxicity.score_documents(docs, labels).collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    held = [(truth[d], r["predicted"]) for d, r in scored.items() if r["held_out"] and d in truth]
+    assert sum(p for t, p in held if t) >= 0.85 * sum(t for t, _ in held)
+    assert sum(p for t, p in held if not t) <= 0.01 * len(held)
+    again = toxicity.score_documents(docs.repartition(5), labels.repartition(3)).collect()
+    assert {r["doc_id"]: r["score"] for r in again} == {d: r["score"] for d, r in scored.items()}
+
+
+def test_copies_of_one_text_are_one_row_to_learn_from(spark):
+    rows, labels = planted(200)
+    rows += [(1000 + i, "the very same words in a row") for i in range(50)] + [(None, "no id")]
+    known = spark.createDataFrame(labels + [(1000 + i, None, i % 2) for i in range(50)], "doc_id long, quality int, toxic int")
+    kept = toxicity._learnable(brute.frame(spark, rows), known).where("doc_id >= 1000").collect()
+    ids = [1000 + i for i in range(50) if not toxicity.held_out(1000 + i)]
+    assert sorted(r["doc_id"] for r in kept) == sorted([min(i for i in ids if i % 2 == 0), min(i for i in ids if i % 2)])
+
+
 URLS = [
     (1, None), (2, "no scheme"), (3, "http://A.COM"), (4, "http://WWW.example.com/en/x?q"), (5, "http://a.example.com/en/"), (6, "x://net/es/.."),
     (7, "http://xnet/es/"), (8, "http://a.net/fr/?x://b.com/"), (None, "http://a.org/en/1#q"), (9, "http://a.com?b/"), (10, "é://é.com/é\n/x"), (5, "http://a.example.com/en/"),

@@ -1,4 +1,9 @@
-"""Toxicity by weak supervision: many voters, a generative label model, a linear classifier."""
+"""Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
+
+The lexicon voters are mined from all labelled rows that aren't held out, in two folds. The label model
+of a row sees only voters that the other fold's rows gave, and the given label as one more voter whose
+accuracy it has to estimate, so it can tell labels that the texts contradict.
+"""
 
 from __future__ import annotations
 
@@ -9,17 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import BYTE, Rolling
+from .anchors import BYTE, Rolling, mixed
 from .common import ids_and_texts, materialise, pack, prepare, unpack
 from .minhash import shingles
 
 U = np.uint64
-SAMPLE_ROWS = 12_000  # labelled rows that anything is fitted on, at most
+SAMPLE_ROWS = 12_000  # labelled rows that the label model and the classifier are fitted on, at most
+FOLDS = 2
 GRAMS = (4, 5, 6)  # bytes
 BITS = 20
 LEVELS = 3
 FEATURES = 1 << (BITS + 2)
-VOTERS = 400
+VOTERS = 400  # lexicon voters of a lexicon, the most telling ones; grams of the same documents are one voter
 CHUNKS = 64
 LEAST_SUPPORT = 4
 LEAST_SHARE = 0.6  # of a voter's documents that are toxic
@@ -81,7 +87,8 @@ def grams(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndar
             pair, times = np.unique(pair[keep], return_counts=True)
             for level in range(LEVELS):
                 found.append(pair[times > level] << 2 | level)
-    feature = np.unique(np.concatenate(found))
+    feature = np.sort(np.concatenate(found))
+    feature = feature[np.concatenate([[True], feature[1:] != feature[:-1]])] if len(feature) else feature
     return feature >> (BITS + 2), feature & ((1 << (BITS + 2)) - 1)
 
 
@@ -108,28 +115,29 @@ def patterns(texts: list[str], lexicon_hits: np.ndarray) -> np.ndarray:
     return out
 
 
-def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 12) -> np.ndarray:
+def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Posterior probability of label 1 of each row of a 0/1 vote matrix.
 
-    A generative model by expectation maximisation: each voter fires at a rate of its own for each
-    class, the known label being one more, imperfect voter. Correlations of the voters within the
-    classes are estimated too; a voter's evidence is divided by the number of voters that say the same.
-    A voter that doesn't fire abstains.
+    A generative model by expectation maximisation: each voter fires at a rate of its own for each class. The known label is a voter too, that always votes, with unknown
+    rates of being 1 in each class. Silence is evidence too. Correlations of the voters within the classes are
+    estimated as well; a voter's evidence is divided by the number of voters that say the same.
     """
-    p = np.clip(known, 0.02, 0.98)
-    trust = 0.98
+    p = 0.1 + 0.8 * known
     weight = np.ones(votes.shape[1])
     for turn in range(rounds):
+        before = p
         prior = np.clip(p.mean(), 1e-3, 0.999)
         rate = [(w @ votes + 0.5) / (w.sum() + 1) for w in (1 - p, p)]
         if turn % 4 == 0:
             weight = 1 / _agreement(votes, p, rate)
         fire = np.log(rate[1]) - np.log(rate[0])
-        evidence = votes @ (weight * fire)
-        label = np.where(known > 0, 1, -1) * np.log(trust / (1 - trust))
-        p = 1 / (1 + np.exp(-np.clip(evidence + label + np.log(prior / (1 - prior)), -30, 30)))
-        agree = (known * p + (1 - known) * (1 - p)).mean()
-        trust = float(np.clip(agree, 0.7, 0.995))
+        silent = np.log1p(-rate[1]) - np.log1p(-rate[0])
+        told = [float((w @ known + 0.5) / (w.sum() + 1)) for w in (1 - p, p)]
+        label = np.where(known > 0, np.log(told[1] / told[0]), np.log((1 - told[1]) / (1 - told[0])))
+        logit = votes @ (weight * (fire - silent)) + weight @ silent + label + np.log(prior / (1 - prior))
+        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        if turn > 8 and np.abs(p - before).max() < 1e-4:
+            break
     return p
 
 
@@ -154,6 +162,8 @@ def linear_classifier(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rou
     for _ in range(rounds):
         s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (target - s) - penalty * w
+        if np.abs(gradient).max() < 1e-6:
+            break
         step = np.linalg.solve((x * np.maximum(s * (1 - s), 1e-6)[:, None]).T @ x + np.diag(penalty), gradient)
         w += step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
     return w
@@ -181,88 +191,135 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of at most SAMPLE_ROWS labelled rows that aren't held out, one of each family of copies.
+def _learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, toxic and fold of the labelled rows that aren't held out, one of each family of copies.
 
-    The ids are few, so their join to the texts needs no shuffle of these. A family shares its least
-    five-word shingle.
+    A family shares its least five-word shingle; of its rows of one label the one of the least id (then
+    text) stays. Folds are of families. Which rows stay doesn't depend on the partitioning.
     """
     spark = docs.sparkSession
     own = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     usable = own.where(F.col("toxic").isin(0, 1) & (F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5 != 0))
     one = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    texts = ids_and_texts(docs).join(F.broadcast(picked), "doc_id")
+    texts = ids_and_texts(docs).join(one, "doc_id")
 
     def family(batches):
         for b in batches:
-            h, at = shingles([t.encode() for t in b.column(1).to_pylist()])
-            least = [int(h[x:y].min() >> U(1)) if y > x else 0 for x, y in zip(at, at[1:], strict=False)]
+            least = []
+            raw = [t.encode() for t in b.column(1).to_pylist()]
+            for lo, hi in _runs(raw, 1 << 20):
+                h, at = shingles(raw[lo:hi])
+                least += [int(h[x:y].min() >> U(1)) if y > x else 0 for x, y in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], ["doc_id", "text", "toxic", "family"])
 
-    known = texts.mapInArrow(family, "doc_id long, text string, toxic int, family long")
-    return materialise(known.dropDuplicates(["family", "toxic"]).select("text", "toxic").repartition(max(1, spark.sparkContext.defaultParallelism)))
+    known = texts.select("doc_id", "text", "toxic").mapInArrow(family, "doc_id long, text string, toxic int, family long")
+    kept = known.groupBy("family", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("row"))
+    fold = F.pmod(F.xxhash64("family"), F.lit(FOLDS)).cast("int").alias("fold")
+    return materialise(kept.select("row.doc_id", "row.text", "toxic", fold))
 
 
-def _voters(sample: DataFrame) -> np.ndarray:
-    """Features whose documents are mostly toxic: the most telling ones, at most VOTERS, sorted."""
+def _count(rows: DataFrame) -> DataFrame:
+    """gram, clean and toxic of each fold (arrays) and `documents` (a sum of hashes of its documents) of the frequent features."""
 
     def count(batches):
-        n = np.zeros((2, FEATURES), np.int32)
+        n = np.zeros((FOLDS, 2, FEATURES), np.int32)
+        where = np.zeros(FEATURES, U)
+        any_ = False
         for b in batches:
-            toxic = b.column(1).to_numpy()
-            texts = lowered(b.column(0).to_pylist())
+            own, toxic, fold = b.column(0).to_numpy().astype(U), b.column(2).to_numpy(), b.column(3).to_numpy()
+            name = mixed(own + U(1))
+            texts = lowered(b.column(1).to_pylist())
             for lo, hi in _runs(texts, 1 << 20):  # the features of a whole batch would take too much memory
                 doc, gram = grams(texts[lo:hi])
-                for k in (0, 1):
-                    own, times = np.unique(gram[toxic[lo + doc] == k], return_counts=True)
-                    n[k, own] += times.astype(np.int32)
-        rows = n.reshape(2, CHUNKS, -1)
-        if n.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(CHUNKS), pa.int32()), *(pa.array([pack(x) for x in rows[k]], pa.binary()) for k in (0, 1))],
-                ["chunk", "clean", "toxic"],
-            )
+                order = np.argsort(gram, kind="stable")
+                doc, gram = doc[order] + lo, gram[order]
+                head = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+                any_ |= bool(len(head))
+                if len(head):
+                    where[gram[head]] += np.add.reduceat(name[doc], head)
+                    for f in range(FOLDS):
+                        for k in (0, 1):
+                            n[f, k, gram[head]] += np.add.reduceat(((toxic[doc] == k) & (fold[doc] == f)).astype(np.int32), head)
+        if any_:
+            packed = [pa.array([pack(x) for x in a.reshape(CHUNKS, -1)], pa.binary()) for a in (*n.reshape(-1, FEATURES), where)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), *packed], names)
 
     def add(t: pa.Table) -> pa.Table:
-        clean, toxic = (sum(unpack(x, np.int32).astype(np.int64) for x in t.column(c).to_pylist()) for c in ("clean", "toxic"))
-        keep = np.flatnonzero((toxic >= LEAST_SUPPORT) & (toxic >= LEAST_SHARE * (toxic + clean)))
+        def total(c, kind, wide):
+            return sum(unpack(x, kind).astype(wide) for x in t.column(c).to_pylist())
+
+        n = [total(f"n{i}", np.int32, np.int64) for i in range(2 * FOLDS)]
+        where = total("documents", U, U)
+        clean, toxic = sum(n[0::2]), sum(n[1::2])
+        keep = np.flatnonzero((toxic >= LEAST_SUPPORT) & (toxic >= LEAST_SHARE / 2 * (toxic + clean)))
         base = t.column("chunk")[0].as_py() * (FEATURES // CHUNKS)
-        return pa.table({"gram": pa.array(keep + base, pa.int64()), "clean": pa.array(clean[keep], pa.int64()), "toxic": pa.array(toxic[keep], pa.int64())})
+        cols = {"gram": keep + base} | {f"n{i}": n[i][keep] for i in range(2 * FOLDS)} | {"documents": where[keep].view(np.int64)}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in cols.items()})
+
+    names = ["chunk", *(f"n{i}" for i in range(2 * FOLDS)), "documents"]
+    counts = ", ".join(f"n{i} binary" for i in range(2 * FOLDS))
+    found = rows.mapInArrow(count, f"chunk int, {counts}, documents binary")
+    return found.groupBy("chunk").applyInArrow(add, "gram long, " + counts.replace("binary", "long") + ", documents long")
 
-    found = sample.mapInArrow(count, "chunk int, clean binary, toxic binary").groupBy("chunk").applyInArrow(add, "gram long, clean long, toxic long")
-    share = float(np.clip(sample.agg(F.avg("toxic")).first()[0] or 0.5, 0.01, 0.99))
-    n, k = F.col("clean") + F.col("toxic"), F.col("toxic")
-    part = F.greatest(F.col("clean"), F.lit(1e-9))
-    gain = 2 * (k * F.log(k / (n * share)) + part * F.log(part / (n * (1 - share))))
-    best = found.withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "gram").limit(VOTERS)
-    return np.array(sorted(r["gram"] for r in best.collect()), np.int64)
+
+def _lexicon(counted: DataFrame, folds: list[int], share: float) -> np.ndarray:
+    """Features whose documents in these folds are mostly toxic: the most telling ones, at most VOTERS, sorted.
+
+    Of features that occur in the very same documents one is enough.
+    """
+    clean, toxic = (sum((F.col(f"n{2 * f + k}") for f in folds), F.lit(0)) for k in (0, 1))
+    n = clean + toxic
+    part = F.greatest(clean, F.lit(1e-9))
+    gain = 2 * (toxic * F.log(toxic / (n * share)) + part * F.log(part / (n * (1 - share))))
+    able = counted.where((toxic >= LEAST_SUPPORT) & (toxic >= LEAST_SHARE * n)).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
+    each = able.groupBy("documents").agg(F.min("gram").alias("gram"), F.max("gain").alias("gain"))
+    return np.array(sorted(r["gram"] for r in each.orderBy(F.desc("gain"), "gram").limit(VOTERS).collect()), np.int64)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits voters, label model and classifier on a bounded sample of the labelled rows not held out."""
+    """Fits voters (on all labelled rows not held out), label model and classifier (on a bounded sample of them)."""
     prepare(docs.sparkSession)
-    sample = _sample(docs, labels)
-    model = Model(_voters(sample), np.zeros(1))
-    voters = model.voters
+    rows = _learnable(docs, labels)
+    share = float(np.clip(rows.agg(F.avg("toxic")).first()[0] or 0.5, 0.01, 0.99))
+    counted = materialise(_count(rows))
+    every = list(range(FOLDS))
+    model = Model(_lexicon(counted, every, share), np.zeros(1))
+    others = [_lexicon(counted, [g for g in every if g != f], share) for f in every]
+    voters = np.unique(np.concatenate([model.voters, *others]))
+    sent = docs.sparkSession.sparkContext.broadcast(Model(voters, np.zeros(1)))  # at most 3 VOTERS grams
 
     def votes(batches):
-        m = Model(voters, np.zeros(1))
         for b in batches:
-            x = m.features(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(1), pa.array([np.flatnonzero(r) for r in x], pa.list_(pa.int32()))], ["toxic", "fired"]
-            )
-
-    rows = sample.mapInArrow(votes, "toxic int, fired array<int>").collect()
-    x = np.zeros((len(rows), len(voters) + len(PATTERNS)))
-    for i, r in enumerate(rows):
+            x = sent.value.features(b.column(1).to_pylist())
+            fired = pa.array([np.flatnonzero(r) for r in x], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), fired], ["doc_id", "toxic", "fold", "fired"])
+
+    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE_ROWS)
+    voted = sample.mapInArrow(votes, "doc_id long, toxic int, fold int, fired array<int>").collect()
+    voted.sort(key=lambda r: (r["doc_id"], r["toxic"]))  # sums in one order, so that scores are always the same
+    x = np.zeros((len(voted), len(voters) + len(PATTERNS)))
+    for i, r in enumerate(voted):
         x[i, r["fired"]] = 1
-    known = np.array([r["toxic"] for r in rows], float)
-    if not len(rows) or known.min() == known.max():  # nothing to tell apart
-        model.weights = np.append(np.zeros(x.shape[1]), 8.0 if len(rows) and known.max() == 1 else -8.0)
+    known = np.array([r["toxic"] for r in voted], float)
+    fold = np.array([r["fold"] for r in voted])
+
+    def seen(lexicon: np.ndarray) -> np.ndarray:
+        """Votes of this lexicon and of the patterns that go with it."""
+        own = x[:, np.searchsorted(voters, lexicon)]
+        hits = own.sum(1)
+        shared = x[:, len(voters) :].copy()
+        shared[:, 0], shared[:, 1] = hits == 0, hits >= 3
+        return np.hstack([own, shared])
+
+    mine = seen(model.voters)
+    if not len(voted) or known.min() == known.max():  # nothing to tell apart
+        model.weights = np.append(np.zeros(mine.shape[1]), 8.0 if len(voted) and known.max() == 1 else -8.0)
         return model
-    model.weights = linear_classifier(x, label_model(x, known))
+    target = known.copy()
+    for f, lexicon in enumerate(others):
+        if (fold == f).any():
+            target[fold == f] = label_model(seen(lexicon)[fold == f], known[fold == f])
+    model.weights = linear_classifier(mine, target)
     return model
 
 
@@ -283,8 +340,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 if score >= 0.5) of every row.
 
-    Scores depend on texts alone. Lexicon voters are hashed grams mined from the learning rows, joined
-    by pattern voters; the label model's posteriors train the classifier that scores. Null or empty
+    Scores depend on texts alone, and don't on the partitioning. Lexicon voters are hashed grams mined from the
+    learning rows, joined by pattern voters; the label model's posteriors train the classifier that scores. Null or empty
     texts are scored like texts in which no voter fires. A null doc_id stays null and counts as held
     out. Labels that are null, not 0 or 1, or without a document are ignored; of several for one id the
     greatest counts. Without both labels to learn from, all rows get one score. Repeated rows give
