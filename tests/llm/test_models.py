@@ -194,6 +194,50 @@ def test_nearest_of_one_id_many_times(spark, times, step):
     assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(i, i) for i in range(1, 11)]
 
 
+def recall_and_share(x, queries, k=10):
+    """Recall of the k nearest and share of all rows seen, by a forest fitted as the operator does."""
+    forest = ann.Forest(x)
+    most, leaf = forest.effort(x, np.arange(len(x)), k), forest.leaves(x)
+    hits, seen = [], []
+    for i in queries:
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        own = np.zeros(len(x), bool)
+        for t, n in forest.search(x[i], most):
+            own |= leaf[t] == n
+        hits.append(own[np.argsort(d)[:k]].mean())
+        seen.append(own.mean())
+    return np.mean(hits), np.mean(seen)
+
+
+def test_search_prunes_where_vectors_have_structure():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(250, 48))[rng.integers(0, 250, 8000)] + 0.15 * rng.normal(size=(8000, 48))
+    recall, seen = recall_and_share(x, range(0, 8000, 80))
+    assert recall >= 0.95 and seen < 0.1
+    flat = rng.normal(size=(8000, 6))
+    recall, seen = recall_and_share(flat, range(0, 8000, 80))
+    assert recall >= 0.95 and seen < 0.2
+    one, same = np.arange(1), np.ones((50, 3))
+    assert ann.Forest(x[:1]).effort(x[:1], one, 10) == 1 and ann.Forest(same).effort(same, np.zeros(50), 10) == 1
+
+
+def test_recall_over_the_larger_table(spark, folder):
+    larger = pathlib.Path(folder).parent / "sf0.1"
+    df = spark.read.parquet(f"{larger if larger.exists() else folder}/embeddings.parquet")
+    rows = df.collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    found = 0
+    for q, near in got.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        found += len(near & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert set(got) == set(ids[ids % 100 == 0].tolist()) and found >= 0.9 * 10 * len(got)
+
+
 def test_nearest_of_copies_and_odd_rows(spark):
     rows = [(i, [float(i % 3), 1.0]) for i in range(300)]
     odd = [(None, [1.0, 2.0]), (1000, None), (1100, [0.0, 0.0]), (1200, [float("nan"), 1.0]), (1300, [None, 1.0]), (1400, [1.0]), (1500, [float("inf"), 1.0])]

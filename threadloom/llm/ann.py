@@ -14,8 +14,8 @@ from .common import materialise, prepare
 TREES = 8
 SAMPLE_ROWS = 20_000  # the trees are fitted on at most about so many rows
 LEAF_ROWS = 16  # of the sample
-SHARE = 0.15  # of all leaves, that a query searches
-LEAST_LEAVES = 96
+RECALL = 0.98  # of the sample's own nearest neighbours, that as many leaves must hold as a query searches
+CALIBRATION_ROWS = 64  # of the sample, for which that is measured
 CELL_LEAVES = 64  # neighbouring leaves that are searched together
 CELL_ROWS = 40_000
 
@@ -69,7 +69,7 @@ class Forest:
         return out
 
     def search(self, q: np.ndarray, most: int) -> list[tuple[int, int]]:
-        """The `most` most promising leaves of all trees, by one queue: least crossed margin first."""
+        """The `most` most promising leaves of all trees, by one queue: least sum of squared crossed margins first."""
         margin = self.normal @ q - self.at
         inner = (1 << self.depth) - 1
         heap = [(0.0, t, 0) for t in range(self.trees)]
@@ -78,11 +78,30 @@ class Forest:
             d, t, n = heapq.heappop(heap)
             while n < inner:
                 m = margin[t, n]
-                heapq.heappush(heap, (max(d, abs(m)), t, 2 * n + 2 - int(m > 0)))
+                heapq.heappush(heap, (d + m * m, t, 2 * n + 2 - int(m > 0)))
                 n = 2 * n + 1 + int(m > 0)
             out.append((t, n - inner))
         return out
 
+    def effort(self, sample: np.ndarray, ids: np.ndarray, k: int) -> int:
+        """How many leaves a query has to search: as few as hold RECALL of the k nearest ids of some sample rows.
+
+        Data with structure need few, data without any a large share. A larger table has nearer
+        neighbours, which lie in earlier leaves, so the sample's number is on the safe side.
+        """
+        some = np.random.default_rng(11).permutation(len(sample))[:CALIBRATION_ROWS]
+        leaf, needed = self.leaves(sample), []
+        for i in some.tolist():
+            d = ((sample - sample[i]) ** 2).sum(1)
+            order = np.argsort(d, kind="stable")
+            order = order[ids[order] != ids[i]]
+            near = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]  # of each id the nearest row
+            place = np.empty((self.trees, 1 << self.depth), np.int64)
+            t, n = np.array(self.search(sample[i], self.trees << self.depth)).T
+            place[t, n] = np.arange(len(t))
+            needed += place[np.arange(self.trees)[:, None], leaf[:, near]].min(0).tolist()
+        return int(np.quantile(needed, RECALL, method="higher")) + 1 if needed else 1
+
 
 def _sound(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id and v (doubles) of the rows that take part: finite, not zero, of the most usual length."""
@@ -102,8 +121,9 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
 
     score is the Euclidean distance in double precision on the original vectors; ties go to the
     smaller vec_id and a row is no candidate of its own. Of equal vectors only the k + 1 least ids can
-    be in a result, so no more enter the index, each once. Trees are fitted on a bounded sample; every row
-    is then put into its leaf of every tree. Leaves are searched in cells; a cell with many rows is
+    be in a result, so no more enter the index, each once. Trees are fitted on a bounded sample, and how many
+    leaves a query searches is measured there (Forest.effort); every row is then put into its leaf of
+    every tree. Leaves are searched in cells; a cell with many rows is
     split, and its queries go to all parts, so no group grows with the table.
 
     Rows without an id, null or zero vectors and vectors with null or non-finite components take no
@@ -122,10 +142,11 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
         return spark.createDataFrame([], schema)
     share = -(-n // SAMPLE_ROWS)
     sample = index.where(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0).orderBy(F.xxhash64("vec_id", F.lit(1))).limit(2 * SAMPLE_ROWS)
-    fitted = [r["v"] for r in sample.collect()] or [index.first()["v"]]
-    forest = spark.sparkContext.broadcast(Forest(np.array(fitted)))
+    rows_ = sample.collect() or [index.first()]
+    fitted, own = np.array([r["v"] for r in rows_]), np.array([r["vec_id"] for r in rows_])
+    forest = spark.sparkContext.broadcast(Forest(fitted))
     depth = forest.value.depth
-    most = max(LEAST_LEAVES, int(SHARE * TREES * (1 << depth)))
+    most = forest.value.effort(fitted, own, k)
     cells = max(1, (1 << depth) // CELL_LEAVES)
     salts = max(1, n * TREES // (TREES * cells * CELL_ROWS))
 
