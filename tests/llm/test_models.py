@@ -263,6 +263,9 @@ def test_fingerprints(spark, folder):
             new = t[: len(t) - cut] + following[:cut]
             r = got[d]
             assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(new.encode()).hexdigest())
+            for name, other in (("edited", new), ("next", following)):
+                j = brute.shingle_likeness(t, other)
+                assert r[f"jaccard_{name}"] == pytest.approx(j) and (r[f"bands_{name}"] > 0 or j < 0.8) and (r[f"bands_{name}"] == 32 or j < 1)
             errors += [r["near_edited"] - brute.shingle_likeness(t, new), r["near_next"] - brute.shingle_likeness(t, following)]
         assert np.abs(errors).max() < 0.2 and abs(np.mean(errors)) < 0.02
         by_text = {}
@@ -276,6 +279,28 @@ def test_fingerprints_of_odd_rows(spark):
     assert minhash.fingerprint_edits(brute.frame(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 9, 1 << 20])
+def test_successors_over_slots_and_hot_ids(spark, monkeypatch, most):
+    """A third of the rows have one id, a third none: their slots are split, and each row has its successor."""
+    monkeypatch.setattr(minhash, "MOST_SLOTS", most)
+    rnd = random.Random(5)
+    text = lambda i: " ".join(f"{rnd.randrange(50)}" for _ in range(rnd.randint(0, 12)))
+    rows = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, text(i)) for i in range(900)]
+    df = brute.frame(spark, rows).repartition(4)
+    keyed = minhash._keyed(df.select("doc_id", "text"))
+    slot, _ = minhash._slots(keyed)
+    slots = keyed.select(slot("id", "place").alias("slot"), "doc_id").distinct().groupBy("doc_id").count().where("doc_id IS NULL OR doc_id = 77").collect()
+    assert {r["count"] for r in slots} == {1} if most == 1 else max(r["count"] for r in slots) > 1
+    order = [(r["doc_id"], r["text"]) for r in keyed.orderBy(keyed["id"].desc(), keyed["place"].desc(), "text").collect()]
+    wanted = []
+    for i, (d, t) in enumerate(order):
+        following = order[(i + 1) % len(order)][1]
+        cut = len(t) // 3
+        wanted.append((d or -1, len(t), hashlib.sha256((t[: len(t) - cut] + following[:cut]).encode()).hexdigest()))
+    got = [(r["doc_id"] or -1, r["n_chars"], r["edited_sha256"]) for r in minhash.fingerprint_edits(df).collect()]
+    assert sorted(got) == sorted(wanted)
+
+
 def test_similar_documents(spark, folder):
     corpus = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     rnd = random.Random(8)
