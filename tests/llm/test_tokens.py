@@ -84,6 +84,53 @@ def test_every_token_encodes_to_itself(spec):
     assert len(v.ranks) == 50256
 
 
+def test_pairs_pass_where_merging_keeps_them_apart(spec):
+    v, s, rnd = byte_level(spec), bpe.speculator(spec), np.random.default_rng(4)
+    n = len(v.ranks)
+    short = np.array([i for t, i in v.ranks.items() if len(t) <= 2])
+    a = np.concatenate([rnd.integers(0, n, 60000), rnd.choice(short, 60000), np.arange(n)])
+    b = np.concatenate([rnd.integers(0, n, 60000), rnd.choice(short, 60000), np.arange(n)])  # twice the same: ties
+    wanted = [v.exact(s.token[x] + s.token[y]) == [x, y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert s.apart(a, b).tolist() == wanted and 0.05 < np.mean(wanted) < 0.95
+    assert s.whole(np.arange(n)).all()
+
+
+def test_long_words_and_few_words(spec, monkeypatch):
+    """Words beyond any in the corpus, walked alone or in step."""
+    v, rnd = byte_level(spec), random.Random(6)
+    words = ["".join(rnd.choice("abcxyz") for _ in range(n)) for n in (1, 399, 400, 401, 5000, 60000)] + ["a" * 30000, "é" * 900, "ab" * 401]
+    wanted = {w: np.array(v.exact(w.encode()), "<u4").tobytes() for w in words}
+    for few in (0, 3, 16):
+        monkeypatch.setattr(bpe, "FEW_WORDS", few)
+        assert bpe.Speculator(v).encode_words(words[: 9 if few else 4] + ["some", "short", "ones"]).items() >= {w: wanted[w] for w in words[: 9 if few else 4]}.items()
+
+
+def test_the_corpus_and_a_very_long_text(spark, folder):
+    """Every document of the small table, and one text far beyond the corpus' longest, against the library."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    rnd = random.Random(7)
+    rows.append((10**9, " ".join(rnd.choice(["the", "of", "naïve", "中文", "x1", "<|endoftext|>", "\n\n", "Zürich"]) for _ in range(400_000))))
+    df = brute.frame(spark, rows)
+    counted = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, PATH).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in bpe.digest_documents(df, PATH).collect()}
+    for d, t in rows:
+        own = ids(t)
+        text = LIBRARY.decode(own, skip_special_tokens=False)
+        assert counted[d] == len(own)
+        assert got[d] == (len(own), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_packing_of_the_corpus(spark, folder):
+    """Sequences of the whole table against the volume bound; every piece has its place."""
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    out = packing.pack_documents(df, PATH).collect()
+    volume = sum(len(ids(r["text"])) + 1 for r in df.collect())
+    assert sum(r["length"] for r in out) == volume
+    n = len({r["sequence_id"] for r in out})
+    # no packing can do with fewer than either bound: the volume, and pieces of which no two fit together
+    assert n <= 1.01 * max(-(-volume // 1024), sum(r["length"] > 512 for r in out)) + 1
+
+
 def test_packing(spark):
     rnd = random.Random(1)
     rows = brute.MIXED + [(100 + i, "word " * rnd.randint(0, 1500)) for i in range(300)] + [(100, "again")]

@@ -13,14 +13,15 @@ from .common import ids_and_texts, prepare
 from .tokens import ByteLevel, broadcast_spec, byte_level
 
 CACHE_WORDS = 300_000
-LONG_WORD = 400  # bytes; a longer pre-token is merged exactly without a proposal
+FEW_WORDS = 16  # so few words are walked one by one, which gives the same as all in step
+NEVER = np.int64(1) << 40  # later than any merge
 
 
 class Speculator:
     """Encodes distinct pre-tokens of one byte-level vocabulary.
 
-    An encoding is what merging gives exactly if each token encodes to itself and each adjacent pair
-    encodes to that pair; so a longest-match proposal all of whose pairs pass is right as it is.
+    An encoding is what merging gives exactly if each token encodes to itself and no merge crosses the
+    border of any adjacent pair; so a longest-match proposal all of whose pairs pass is right as it is.
     """
 
     def __init__(self, vocabulary: ByteLevel):
@@ -36,9 +37,8 @@ class Speculator:
         self.length = np.array([len(t) for t in table], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.flat = np.frombuffer(b"".join(table), np.uint8)
-        self.good = np.zeros(0, np.uint64)  # sorted pairs known to pass
-        self.bad = np.zeros(0, np.uint64)
         self.cache: dict[str, bytes] = {}
+        self._merges()
 
     def _trie(self) -> None:
         nodes, accept, edges = 1, [-1], {}
@@ -54,6 +54,7 @@ class Speculator:
             accept[at] = i
         keys = np.fromiter(edges, np.int64, len(edges))
         order = np.argsort(keys)
+        self.walk, self.ends = edges, accept
         self.edge = keys[order]
         self.to = np.fromiter(edges.values(), np.int64, len(edges))[order]
         self.accept = np.array(accept, np.int64)
@@ -61,6 +62,59 @@ class Speculator:
         first = self.edge < 256
         self.root[self.edge[first]] = self.to[first]
 
+    def _merges(self) -> None:
+        """All pairs of tokens that can merge, and the two parts that each token is merged of last.
+
+        A token's rank is its id, the time at which it is formed. The last split of a token is the one whose
+        parts stay apart until then; parts are shorter, so the splits are judged by length.
+        """
+        ranks = self.v.ranks
+        found = [
+            (len(t), i, ranks[t[:c]], ranks[t[c:]])
+            for t, i in ranks.items() for c in range(1, len(t)) if t[:c] in ranks and t[c:] in ranks
+        ]
+        size, whole, left, right = np.array(found, np.int64).reshape(-1, 4).T
+        key = left << 32 | right
+        order = np.argsort(key)
+        self.pair, self.merged = key[order], whole[order]
+        n = len(self.token)
+        self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        self.formed = np.where(self.length > 1, np.arange(n), -1)
+        for k in np.unique(size).tolist():
+            own = np.flatnonzero(size == k)
+            own = own[self.apart(left[own], right[own], whole[own])]
+            self.left[whole[own]], self.right[whole[own]] = left[own], right[own]
+
+    def whole(self, token: np.ndarray) -> np.ndarray:
+        """Which tokens merging gives for their own bytes."""
+        return (self.length[token] == 1) | (self.left[token] >= 0)
+
+    def apart(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | np.int64 = NEVER) -> np.ndarray:
+        """For each pair of neighbours, whether no merge joins them across their border before the time `until`.
+
+        All pairs are followed back in time at once: of the two tokens at the border the one formed later is
+        taken apart (of two formed at one rank the right one, as merges go from left to right). A merge across
+        the border happens if it ranks before those that hid either token.
+        """
+        x, y = a.copy(), b.copy()
+        px, py = (np.broadcast_to(until, x.shape).copy() for _ in range(2))
+        ok = self.whole(x) & self.whole(y)
+        live = np.flatnonzero(ok)
+        while len(live):
+            u, v = x[live], y[live]
+            key = u << 32 | v
+            i = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1) if len(self.pair) else np.zeros(len(key), np.int64)
+            m = np.where(self.pair[i] == key, self.merged[i], NEVER) if len(self.pair) else np.full(len(key), NEVER)
+            joined = (m < px[live]) & (m <= py[live])
+            ok[live[joined]] = False
+            more = ~joined & ((self.left[u] >= 0) | (self.left[v] >= 0))
+            live, u, v = live[more], u[more], v[more]
+            first = self.formed[u] > self.formed[v]
+            l, r = live[first], live[~first]
+            px[l], x[l] = self.formed[x[l]], self.right[x[l]]
+            py[r], y[r] = self.formed[y[r]], self.left[y[r]]
+        return ok
+
     def propose(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Longest-match tokens of all words at once: word number and token, in order of the text."""
         word = np.flatnonzero(offs[1:] > offs[:-1])
@@ -69,6 +123,12 @@ class Speculator:
         best, stop = np.full(len(word), -1, np.int64), begin.copy()
         out_word, out_at, out_token = [], [], []
         while len(word):
+            if len(word) <= FEW_WORDS:
+                rest = [self._follow(data[i:j].tobytes()) for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+                out_word += [np.full(len(t), w) for w, (t, _) in zip(word.tolist(), rest, strict=True)]
+                out_at += [a + i for i, (_, a) in zip(begin.tolist(), rest, strict=True)]
+                out_token += [t for t, _ in rest]
+                break
             byte = data[np.minimum(at, len(data) - 1)].astype(np.int64)
             key = node << 8 | byte
             i = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
@@ -96,50 +156,39 @@ class Speculator:
         order = np.argsort(a, kind="stable")
         return w[order], t[order]
 
-    def passes(self, pairs: np.ndarray) -> np.ndarray:
-        """For each pair of tokens, whether merging their bytes gives that pair; new pairs are tried once."""
-        new = np.setdiff1d(np.setdiff1d(pairs, self.good, assume_unique=False), self.bad)
-        if len(new):
-            token, exact = self.token, self.v.exact
-            ok = np.fromiter(
-                (exact(token[p >> 32] + token[p & 0xFFFFFFFF]) == [p >> 32, p & 0xFFFFFFFF] for p in new.tolist()),
-                bool,
-                len(new),
-            )
-            if len(self.good) + len(self.bad) > 4_000_000:
-                self.good = self.bad = np.zeros(0, np.uint64)
-            self.good, self.bad = np.union1d(self.good, new[ok]), np.union1d(self.bad, new[~ok])
-        if not len(self.good):
-            return np.zeros(len(pairs), bool)
-        i = np.minimum(np.searchsorted(self.good, pairs), len(self.good) - 1)
-        return self.good[i] == pairs
+    def _follow(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Longest-match tokens of one word, and where each starts."""
+        walk, accept, token, place = self.walk, self.ends, [], []
+        at, n = 0, len(word)
+        while at < n:
+            node, best, stop, i = 0, -1, at, at
+            while i < n and (to := walk.get(node << 8 | word[i])) is not None:
+                node, i = to, i + 1
+                if accept[node] >= 0:
+                    best, stop = accept[node], i
+            token.append(best)
+            place.append(at)
+            at = stop
+        return np.array(token, np.int64), np.array(place, np.int64)
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct pre-tokens, as little-endian unsigned 32-bit integers."""
         out: dict[str, bytes] = {}
-        short, raw = [], []
-        for w in words:
-            if w in self.v.special:
-                out[w] = np.array([self.v.special[w]], "<u4").tobytes()
-                continue
-            b = w.encode()
-            if len(b) > LONG_WORD:
-                out[w] = np.array(self.v.exact(b), "<u4").tobytes()
-            else:
-                short.append(w)
-                raw.append(b)
-        if not short:
+        plain = [w for w in words if w not in self.v.special]
+        out |= {w: np.array([self.v.special[w]], "<u4").tobytes() for w in words if w in self.v.special}
+        if not plain:
             return out
+        raw = [w.encode() for w in plain]
         offs = np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int64)
         word, token = self.propose(np.frombuffer(b"".join(raw), np.uint8), offs)
         same = word[1:] == word[:-1]
-        pairs = (token[:-1].astype(np.uint64) << np.uint64(32) | token[1:].astype(np.uint64))[same]
-        failed = np.zeros(len(short), bool)
-        distinct, where = np.unique(pairs, return_inverse=True)
-        failed[word[1:][same][~self.passes(distinct)[where]]] = True
-        cut = np.searchsorted(word, np.arange(len(short) + 1))
+        failed = np.zeros(len(plain), bool)
+        distinct, where = np.unique((token[:-1] << 32 | token[1:])[same], return_inverse=True)
+        failed[word[1:][same][~self.apart(distinct >> 32, distinct & 0xFFFFFFFF)[where]]] = True
+        failed[word[~self.whole(token)]] = True
+        cut = np.searchsorted(word, np.arange(len(plain) + 1))
         ids = token.astype("<u4").tobytes()
-        for k, (w, bad) in enumerate(zip(short, failed.tolist(), strict=True)):
+        for k, (w, bad) in enumerate(zip(plain, failed.tolist(), strict=True)):
             out[w] = np.array(self.v.exact(raw[k]), "<u4").tobytes() if bad else ids[4 * cut[k] : 4 * cut[k + 1]]
         return out
 
