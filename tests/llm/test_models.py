@@ -86,6 +86,16 @@ def test_toxicity_on_the_real_labels(spark, folder):
     assert {r["doc_id"]: r["score"] for r in again} == {d: r["score"] for d, r in scored.items()}
 
 
+def test_counts_add_up_over_many_tasks(spark):
+    rows, labels = planted(300)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = toxicity._learnable(brute.frame(spark, rows), known)
+    few, many = (sorted(map(tuple, toxicity._count(x).collect())) for x in (kept.coalesce(1), kept.repartition(2 * toxicity.FAN_IN + 3)))
+    assert few and few == many
+    bits = toxicity._bits(known)
+    assert bits.sum() == 300 and bits.size == toxicity.ID_BITS
+
+
 def test_copies_of_one_text_are_one_row_to_learn_from(spark):
     rows, labels = planted(200)
     rows += [(1000 + i, "the very same words in a row") for i in range(50)] + [(None, "no id")]

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ LEVELS = 3
 FEATURES = 1 << (BITS + 2)
 VOTERS = 400  # lexicon voters of a lexicon, the most telling ones; grams of the same documents are one voter
 CHUNKS = 64
+FAN_IN = 64
+ID_BITS = 1 << 25  # of the bitmap by which unlabelled texts leave early; a full one only lets more pass
 LEAST_SUPPORT = 4
 LEAST_SHARE = 0.6  # of a voter's documents that are toxic
 LEAST_GAIN = 20.0  # log-likelihood ratio of a voter against chance
@@ -191,75 +194,106 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed doc_ids: whatever their number, the driver gets at most ID_BITS / 64 words."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    word = ids.select(place.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
+    found = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(ID_BITS // 64, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
 def _learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic and fold of the labelled rows that aren't held out, one of each family of copies.
 
     A family shares its least five-word shingle; of its rows of one label the one of the least id (then
-    text) stays. Folds are of families. Which rows stay doesn't depend on the partitioning.
+    text) stays. Folds are of families. Which rows stay doesn't depend on the partitioning. Texts whose
+    hashed id has no label leave before the shuffle.
     """
     spark = docs.sparkSession
     own = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     usable = own.where(F.col("toxic").isin(0, 1) & (F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5 != 0))
     one = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = ids_and_texts(docs).join(one, "doc_id")
+    sent = spark.sparkContext.broadcast(np.packbits(_bits(one)))  # ID_BITS / 8 bytes
 
     def family(batches):
+        known = sent.value
         for b in batches:
+            at = b.column(2).to_numpy()
+            b = b.filter(pa.array((known[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
             least = []
             raw = [t.encode() for t in b.column(1).to_pylist()]
             for lo, hi in _runs(raw, 1 << 20):
                 h, at = shingles(raw[lo:hi])
                 least += [int(h[x:y].min() >> U(1)) if y > x else 0 for x, y in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], ["doc_id", "text", "toxic", "family"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(least, pa.int64())], ["doc_id", "text", "family"])
 
-    known = texts.select("doc_id", "text", "toxic").mapInArrow(family, "doc_id long, text string, toxic int, family long")
+    texts = ids_and_texts(docs).where("doc_id IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS)))
+    known = texts.mapInArrow(family, "doc_id long, text string, family long").join(one.hint("merge"), "doc_id")
     kept = known.groupBy("family", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("row"))
     fold = F.pmod(F.xxhash64("family"), F.lit(FOLDS)).cast("int").alias("fold")
     return materialise(kept.select("row.doc_id", "row.text", "toxic", fold))
 
 
 def _count(rows: DataFrame) -> DataFrame:
-    """gram, clean and toxic of each fold (arrays) and `documents` (a sum of hashes of its documents) of the frequent features."""
+    """gram, clean and toxic of each fold (n0, n1, ...) and `documents` (a sum of hashes of its documents) of the
+    frequent features.
+
+    A task sums its rows in arrays of fixed size, which are then added up by CHUNKS slices, FAN_IN at a time.
+    """
+    kinds = {f"n{i}": np.int32 for i in range(2 * FOLDS)} | {"documents": np.uint16}
 
     def count(batches):
-        n = np.zeros((FOLDS, 2, FEATURES), np.int32)
-        where = np.zeros(FEATURES, U)
+        n = np.zeros((2 * FOLDS, FEATURES), np.int32)
+        where = np.zeros(FEATURES, np.uint16)
         any_ = False
         for b in batches:
-            own, toxic, fold = b.column(0).to_numpy().astype(U), b.column(2).to_numpy(), b.column(3).to_numpy()
-            name = mixed(own + U(1))
+            own, group = b.column(0).to_numpy().astype(U), 2 * b.column(3).to_numpy() + b.column(2).to_numpy()
+            name = mixed(own + U(1)).astype(np.uint16)
             texts = lowered(b.column(1).to_pylist())
             for lo, hi in _runs(texts, 1 << 20):  # the features of a whole batch would take too much memory
                 doc, gram = grams(texts[lo:hi])
+                if not len(doc):
+                    continue
+                any_ = True
                 order = np.argsort(gram, kind="stable")
                 doc, gram = doc[order] + lo, gram[order]
-                head = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
-                any_ |= bool(len(head))
-                if len(head):
-                    where[gram[head]] += np.add.reduceat(name[doc], head)
-                    for f in range(FOLDS):
-                        for k in (0, 1):
-                            n[f, k, gram[head]] += np.add.reduceat(((toxic[doc] == k) & (fold[doc] == f)).astype(np.int32), head)
+                head = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+                where[gram[head]] += np.add.reduceat(name[doc], head)
+                for i in range(2 * FOLDS):
+                    n[i, gram[head]] += np.add.reduceat((group[doc] == i).astype(np.int32), head)
         if any_:
-            packed = [pa.array([pack(x) for x in a.reshape(CHUNKS, -1)], pa.binary()) for a in (*n.reshape(-1, FEATURES), where)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), *packed], names)
+            part = TaskContext.get().partitionId()
+            packed = [pa.array([pack(x) for x in a.reshape(CHUNKS, -1)], pa.binary()) for a in (*n, where)]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), *packed], ["part", "chunk", *kinds])
+
+    def total(t: pa.Table) -> list[np.ndarray]:
+        out = []
+        for c, kind in kinds.items():
+            out.append(np.zeros(FEATURES // CHUNKS, kind))
+            for x in t.column(c):
+                out[-1] += unpack(x.as_py(), kind)
+        return out
 
     def add(t: pa.Table) -> pa.Table:
-        def total(c, kind, wide):
-            return sum(unpack(x, kind).astype(wide) for x in t.column(c).to_pylist())
+        own = {"part": pa.array([t.column("part")[0].as_py() // FAN_IN], pa.int32()), "chunk": pa.array([t.column("chunk")[0].as_py()], pa.int32())}
+        return pa.table(own | {c: pa.array([pack(x)], pa.binary()) for c, x in zip(kinds, total(t), strict=True)})
 
-        n = [total(f"n{i}", np.int32, np.int64) for i in range(2 * FOLDS)]
-        where = total("documents", U, U)
+    def frequent(t: pa.Table) -> pa.Table:
+        *n, where = (x.astype(np.int64) for x in total(t))
         clean, toxic = sum(n[0::2]), sum(n[1::2])
         keep = np.flatnonzero((toxic >= LEAST_SUPPORT) & (toxic >= LEAST_SHARE / 2 * (toxic + clean)))
         base = t.column("chunk")[0].as_py() * (FEATURES // CHUNKS)
-        cols = {"gram": keep + base} | {f"n{i}": n[i][keep] for i in range(2 * FOLDS)} | {"documents": where[keep].view(np.int64)}
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in cols.items()})
+        return pa.table({"gram": keep + base} | {c: x[keep] for c, x in zip(kinds, (*n, where), strict=True)})
 
-    names = ["chunk", *(f"n{i}" for i in range(2 * FOLDS)), "documents"]
-    counts = ", ".join(f"n{i} binary" for i in range(2 * FOLDS))
-    found = rows.mapInArrow(count, f"chunk int, {counts}, documents binary")
-    return found.groupBy("chunk").applyInArrow(add, "gram long, " + counts.replace("binary", "long") + ", documents long")
+    schema = "part int, chunk int, " + ", ".join(f"{c} binary" for c in kinds)
+    made = rows.mapInArrow(count, schema)
+    tasks = rows.rdd.getNumPartitions()
+    while tasks > FAN_IN:
+        made = made.groupBy("chunk", F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(add, schema)
+        tasks = -(-tasks // FAN_IN)
+    return made.groupBy("chunk").applyInArrow(frequent, "gram long, " + ", ".join(f"{c} long" for c in kinds))
 
 
 def _lexicon(counted: DataFrame, folds: list[int], share: float) -> np.ndarray:
@@ -272,7 +306,7 @@ def _lexicon(counted: DataFrame, folds: list[int], share: float) -> np.ndarray:
     part = F.greatest(clean, F.lit(1e-9))
     gain = 2 * (toxic * F.log(toxic / (n * share)) + part * F.log(part / (n * (1 - share))))
     able = counted.where((toxic >= LEAST_SUPPORT) & (toxic >= LEAST_SHARE * n)).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
-    each = able.groupBy("documents").agg(F.min("gram").alias("gram"), F.max("gain").alias("gain"))
+    each = able.groupBy(*(c for c in counted.columns if c != "gram")).agg(F.min("gram").alias("gram"), F.max("gain").alias("gain"))
     return np.array(sorted(r["gram"] for r in each.orderBy(F.desc("gain"), "gram").limit(VOTERS).collect()), np.int64)
 
 
