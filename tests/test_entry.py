@@ -11,22 +11,20 @@ ROOT = Path(__file__).resolve().parent.parent
 SAY = "import __spark_entry__ as e; q = e.queries(); print(len(q), sum(n.startswith('op') for n in q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
 
 
-@pytest.mark.parametrize("left", ["all", "nothing", "empty folder"])
+@pytest.mark.parametrize("left", ["all", "nothing", "empty folder", "no pipeline"])
 def test_registry(tmp_path, left):
     shutil.copytree(ROOT / "threadloom", tmp_path / "threadloom", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    had = (ROOT / "corpus_pipeline.py").exists()
-    if had:
+    pipeline = (ROOT / "corpus_pipeline.py").exists() and left in ("all", "empty folder")
+    if pipeline:
         shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
-    if left != "all":
+    operators = (ROOT / "threadloom/llm/queries.py").exists() and left in ("all", "no pipeline")
+    if not operators:
         shutil.rmtree(tmp_path / "threadloom/llm", ignore_errors=True)
-        if left == "empty folder":
-            (tmp_path / "threadloom/llm").mkdir()
-        else:
-            (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+    if left == "empty folder":
+        (tmp_path / "threadloom/llm").mkdir()
     out = subprocess.run([sys.executable, "-c", SAY], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
-    full = left == "all" and had
-    assert (int(out[1]), out[2], out[3]) == (10 if full else 0, str(full), "True")
+    assert (int(out[1]), out[2], out[3]) == (10 if operators else 0, str(operators and pipeline), "True")
 
 
 def test_flagship(spark):
