@@ -6,13 +6,16 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import archive as archive_module
 from threadloom.archive import Archive
 from threadloom.functions.vectors import HashVectorizer
 from threadloom.operators import fulltext as T
 from threadloom.operators import semantic as V
 from threadloom.operators import slices as S
 from threadloom.operators import upsert as U
+from threadloom.schema import SCHEMAS
 from threadloom.sources import landing, media
+from threadloom.sources.lock import LockHeldError, SharedLock
 from threadloom.streaming import ingest as I
 
 NOW = datetime(2026, 5, 1, 12, tzinfo=UTC)
@@ -260,3 +263,102 @@ def test_media(spark, tmp_path):
     assert {r["media_status"]: r["n"] for r in media.counts(got).collect()} == {"fetched": 105, "error": 1}
     assert media.fetch_pending(ups, str(tmp_path), download, NOW, limit=100).count() == 100
     assert (tmp_path / "1/7/f.txt").read_bytes() == b"x" * 12
+
+
+def test_media_streams_into_a_shared_file_system(spark, tmp_path):
+    """Chunks as they come, a URI as the folder, nothing left of a body that breaks off."""
+    ups = spark.createDataFrame([(1, "/user_uploads/a.bin", "", ""), (2, "/user_uploads/b.bin", "", "")], "id long, url string, file_name string, content_type string")
+    ups = ups.selectExpr("*", "CAST(NULL AS STRING) AS media_status", "timestamp_seconds(id) AS timestamp")
+
+    def download(url):
+        yield b"ab" * 500
+        if url.endswith("b.bin"):
+            raise OSError("broken off")
+        yield b"c"
+
+    got = {r["id"]: r for r in media.fetch_pending(ups, f"file://{tmp_path}/m", download, NOW).collect()}
+    assert (got[1]["media_status"], got[1]["media_bytes"], got[2]["media_status"]) == ("fetched", 1001, "error")
+    assert [x.name for x in (tmp_path / "m").iterdir()] == ["a.bin"] and (tmp_path / "m/a.bin").stat().st_size == 1001
+
+
+def test_search_reads_the_kept_index(spark, tmp_path):
+    """Postings follow new, edited and moved messages without the texts; a rebuild gives the same."""
+    root = str(tmp_path / "a")
+    batch = lambda rows: spark.createDataFrame([tuple(r.get(f.name) for f in landing.MESSAGE.fields) for r in rows], landing.MESSAGE)
+    archive = Archive.open(spark, root).commit({"streams": spark.createDataFrame([(10, "general")], "id long, name string")})
+    assert archive.has("message_postings", "topic_postings", "part_rollups")
+    far = 3 * archive_module.PART_IDS
+    first = [message(i) | {"content": f"<p>common word{i}</p>"} for i in (1, 2, far, far + 1)]
+    archive = I.ingest(archive, batch(first), NOW)
+    edit = message(2) | {"content": "<p>common changed</p>", "edit_timestamp": message(2)["timestamp"] + 50, "topic": "elsewhere"}
+    read = []
+    some = Archive.some_parts
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Archive, "some_parts", lambda self, t, p, other=False: read.append((t, other)) or some(self, t, p, other))
+        archive = I.ingest(archive, batch([edit, message(3)]), NOW)
+    assert ("messages", True) not in read and ("part_rollups", True) in read  # no message of another part is read
+
+    def found(a, query):
+        return {r["rowid"]: round(r["bm25"], 9) for r in T.message_index(a).scores(query).collect()}
+
+    plain = Archive(spark, {n: archive.tables[n] for n in SCHEMAS})  # searched through the texts
+    for query in ("common", "changed OR word1", "word2", "elsewhere", "topic_name : elsewhere"):
+        assert found(archive, query) == found(plain, query)
+    assert found(archive, "word2") == {} and set(found(archive, "changed")) == {2}
+    assert archive.topics.select(*sorted(archive.topics.columns)).exceptAll(U.recompute_topics(archive.topics, archive.messages).select(*sorted(archive.topics.columns))).count() == 0
+    names = lambda a: [(r["topic_name"], round(r["rank"], 9)) for r in T.search_topics(a, "elsewhere OR common", NOW).collect()]
+    assert names(archive) == names(plain) != []
+    told = []
+    again = I.rebuild(archive, 1, lambda done, of: told.append((done, of)))
+    assert told == [(1, 2), (2, 2)] and found(again, "common") == found(archive, "common") and names(again) == names(plain)
+    assert again.messages.count() == 5
+
+
+def test_old_versions_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive_module, "KEEP_SECONDS", -60)
+    root = str(tmp_path / "a")
+    archive = Archive.open(spark, root)
+    org = lambda n: spark.createDataFrame([(1, "u", n)], "id long, url string, name string")
+    for n in "abcd":
+        before, archive = archive, archive.commit({"organizations": org(n)})
+    assert len(list((tmp_path / "a/organizations").iterdir())) == 2
+    assert (before.organizations.first()["name"], archive.organizations.first()["name"]) == ("c", "d")
+    with archive.lock():
+        with pytest.raises(LockHeldError):
+            archive.commit({"organizations": org("e")})
+        assert archive.commit({"organizations": org("f")}, locked=True).organizations.first()["name"] == "f"
+    for f in (tmp_path / "a/organizations").rglob("*.parquet"):
+        f.write_bytes(b"no table")
+        f.with_name(f".{f.name}.crc").unlink()
+    assert not Archive.open(spark, root).check()["organizations"]
+
+
+def test_shared_lock(spark, tmp_path):
+    path = spark._jvm.org.apache.hadoop.fs.Path(str(tmp_path / "x/writer.lock"))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    one, two = SharedLock(fs, path), SharedLock(fs, path)
+    with one, pytest.raises(LockHeldError):
+        two.acquire()
+    with two:
+        pass
+    two.release()
+
+
+def test_search_at_the_recency_pole(chat):
+    """A message thirty days after `as_of` has no recency: it comes last instead of failing the search."""
+    at = chat.messages.orderBy("id").first()["timestamp"].replace(tzinfo=UTC)
+    word = "OR".join(f" {w} " for w in chat.messages.orderBy("id").first()["content_text"].split()[:1])
+    rows = T.search_messages(chat, word, at - timedelta(days=30)).collect()
+    assert rows and rows[-1]["rank"] is None
+
+
+def test_uploads_are_of_their_own_stream(spark):
+    tables = {
+        "streams": spark.createDataFrame([(1, "now"), (2, "then")], "id long, name string"),
+        "topics": spark.createDataFrame([(5, "t")], "id long, name string"),
+        "messages": spark.createDataFrame([(9, 1, 5, 3)], "id long, stream_id long, topic_id long, sender_id long"),
+        "message_attachments": spark.createDataFrame([(7, 9, 2, 5, "/u")], "id long, message_id long, stream_id long, topic_id long, url string"),
+    }
+    a = Archive(spark, tables)
+    assert [r["stream_name"] for r in S.attachments(a).collect()] == ["then"]
+    assert S.attachments(a, stream="now").count() == 0

@@ -6,6 +6,7 @@ from datetime import UTC, datetime
 import pytest
 
 from threadloom.cli import run
+from threadloom.sources.lock import LockHeldError, WriterLock
 
 NOW = datetime(2024, 1, 10, tzinfo=UTC)
 
@@ -59,3 +60,21 @@ def test_answers(command):
 def test_refusals(command, args):
     with pytest.raises(ValueError):
         command(*args)
+
+
+def test_since_keeps_its_zone(spark, tmp_path):
+    land = tmp_path / "land"
+    for kind, rows in {
+        "streams": [{"stream_id": 1, "name": "general"}], "users": [],
+        "messages": [{"id": i, "stream_id": 1, "sender_id": 5, "content": "<p>x</p>", "timestamp": 1704800000 + 3600 * i, "topic": "t"} for i in range(1, 5)],
+    }.items():
+        (land / kind).mkdir(parents=True)
+        (land / kind / "1.json").write_text("\n".join(map(json.dumps, rows)))
+    go = lambda *args: run(spark, ["--config", str(tmp_path / "none"), "--archive", str(tmp_path / "a"), *args], NOW)
+    # 1704800000 is 11:33:20 UTC; 15:00 two hours east is 13:00 UTC
+    assert go("sync", "--landing", str(land), "--since", "2024-01-09T15:00:00+02:00") == "3 messages"
+    assert go("doctor").endswith("server: not set up") and "model hash" in go("embeddings-status")
+    with WriterLock(tmp_path / "a/writer.lock"), pytest.raises(LockHeldError):
+        go("sync", "--landing", str(land))
+    with pytest.raises(RuntimeError, match="switched off"):
+        go("embeddings-backfill")

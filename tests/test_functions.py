@@ -1,5 +1,6 @@
 """Rendered messages, vectors, times, settings, locks."""
 
+from dataclasses import replace
 from datetime import UTC, datetime
 
 import numpy as np
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import columns as C
 from threadloom.functions.html import MOST_BYTES, bounded, extract, file_name
-from threadloom.functions.vectors import HashVectorizer, HttpVectorizer, decode, dot, encode, normalised, unit
-from threadloom.sources import config
+from threadloom.functions.vectors import HashVectorizer, HttpVectorizer, ModelServerError, decode, dot, encode, is_unit_length, model_server, normalised, unit
+from threadloom.sources import config, landing, rest
 from threadloom.sources.lock import LockHeldError, WriterLock
 from threadloom.sources.media import UnsafePathError, cache_path
 from threadloom.sources.rest import Client, HttpError, Response
@@ -181,3 +182,55 @@ def test_rest_source(spark):
     server.shutdown()
     assert sorted((r["stream_id"], r["id"]) for r in rows) == [(0, 9), (10, 2), (10, 3), (10, 4), (10, 5), (11, 7)]
     assert rows[0]["reactions"] == '[{"e": 1}]'
+
+
+def test_a_failing_stream_gives_what_it_had_and_a_mark():
+    pages = {"a": [b'{"messages": [{"id": 5, "type": "stream", "content": "x"}], "found_newest": false}', None], "b": [b'{"messages": [{"id": 7, "content": "y"}], "found_newest": true}']}
+
+    def transport(method, url, headers):
+        name = "a" if "%22a%22" in url else "b"
+        body = pages[name].pop(0)
+        return Response(500, {}, b"broken") if body is None else Response(200, {}, body)
+
+    reader = rest._Reader({"url": "https://x", "email": "e", "api_key": "k", "streams": '[[1, "a", 0], [2, "b", 0]]'})
+    reader.more = {"transport": transport}
+    names = [f.name for f in landing.MESSAGE.fields]
+    rows = [dict(zip(names, r, strict=True)) for p in reader.partitions() for r in reader.read(p)]
+    assert [(r["stream_id"], r["id"], r["type"]) for r in rows] == [(1, 5, "stream"), (1, None, rest.FAILED), (2, 7, None)]
+    assert rows[1]["content"].startswith("a: status 500")
+
+
+def test_downloads_come_in_chunks():
+    client = Client("https://a", "e", "k", stream=lambda m, u, h: Response(200, {}, iter([b"ab", b"c"])))
+    assert list(client.download("/user_uploads/1/x")) == [b"ab", b"c"]
+
+
+def test_model_server():
+    asked = []
+
+    def call(url, body=None):
+        asked.append((url, body))
+        return {"models": [{"name": "Nomic:latest"}]} if body is None else {"embeddings": [[3.0, 4.0]] * len(body["input"])}
+
+    v = model_server("http://m/", "nomic", 2, call)
+    assert [x.tolist() for x in v.embed(["a", "b", "c"])] == [np.float32([0.6, 0.8]).tolist()] * 3
+    assert [u for u, _ in asked[:3]] == ["http://m/api/tags", "http://m/api/embed", "http://m/api/embed"]
+    with pytest.raises(ModelServerError, match="no model 'other'"):
+        model_server("http://m", "other", 2, call)
+    with pytest.raises(ModelServerError, match="no model server"):
+        model_server("http://127.0.0.1:9", "other")
+
+
+def test_unit_length(spark):
+    rows = [([0.6, 0.8],), ([1.0, 1.0],), ([],), (None,)]
+    got = spark.createDataFrame(rows, "v array<float>").select(is_unit_length(F.col("v")).alias("u")).collect()
+    assert [r["u"] for r in got] == [True, False, False, None]
+
+
+def test_settings_are_saved_and_folders_expanded(tmp_path, monkeypatch):
+    monkeypatch.setenv("HOME", str(tmp_path))
+    c = config.load(tmp_path / "none.toml", {})
+    assert c.archive == f"{tmp_path}/.threadloom/archive" and c.media_dir.startswith(str(tmp_path))
+    own = replace(c, server=config.Server("https://x", "e@x", 'k"\\'), sync=config.Sync(2, ("a", "b"), ()))
+    config.save(own, tmp_path / "d/c.toml")
+    assert config.load(tmp_path / "d/c.toml", {}) == own and (tmp_path / "d/c.toml").stat().st_mode & 0o77 == 0

@@ -94,15 +94,18 @@ def _with_rollups(spark: SparkSession, streams, topics, messages, users, **more)
     return Archive(spark, {"streams": streams, "topics": rolled, "messages": messages, "users": users} | more)
 
 
-def vectors_archive(spark: SparkSession, folder: str) -> Archive:
-    """Embeddings as topics with vectors: a stream for each label, every fourth topic resolved."""
+def vectors_archive(spark: SparkSession, folder: str, lacking: bool = False) -> Archive:
+    """Embeddings as topics with vectors: a stream for each label, every fourth topic resolved.
+
+    lacking: a tenth of the topics have no vector, for what has to do with missing ones.
+    """
     e = table(spark, folder, "embeddings")
     streams = e.select(F.col("label").cast("long").alias("id"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("name")).distinct()
     topics = e.select(
         F.col("vec_id").alias("id"), F.col("label").cast("long").alias("stream_id"), F.concat(F.lit("topic "), F.col("vec_id").cast("string")).alias("name"),
         (F.col("vec_id") % 4 == 0).alias("resolved"), (F.col("vec_id") % 7).alias("message_count"),
     )
-    vectors = e.where(F.col("vec_id") % 10 != 3).select(
+    vectors = (e.where(F.col("vec_id") % 10 != 3) if lacking else e).select(
         F.col("vec_id").alias("topic_id"), F.lit(MODEL).alias("model"), F.lit("local").alias("provider"), F.size("embedding").alias("dimension"),
         F.col("embedding").alias("vector"),
     )

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import tempfile
+import time
 import uuid
 from collections.abc import Sequence
 from pathlib import Path
@@ -12,12 +11,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schema import SCHEMAS
-from .sources.lock import WriterLock
+from .deploy import ship
+from .schema import INDEXES, SCHEMAS
+from .sources.lock import SharedLock, WriterLock
 
 #: tables kept in parts, by the message id in this column
-PARTED = {"messages": "id", "message_mentions": "message_id", "message_attachments": "message_id"}
+PARTED = {
+    "messages": "id", "message_mentions": "message_id", "message_attachments": "message_id",
+    "message_postings": "rowid", "part_rollups": "first_message_id",
+}
 PART_IDS = 1 << 20
+POSTING_FILES = 8  # of a bucket in a part
+KEEP_SECONDS = 24 * 3600
 WHOLE = "*"
 Pointer = dict[str, dict[str, str]]  # table -> part -> folder
 
@@ -36,12 +41,15 @@ class Archive:
     A write makes new folders and then swaps the pointer file, so readers see the whole old state or
     the whole new one, and a run that fails in between leaves the old one. Messages and their children
     are kept in parts of 2^20 ids, and a write may replace some parts only: an ingest costs what its
-    messages' parts cost, however large the archive is.
+    messages' parts cost (and the small tables of topics and users), however large the archive is. Folders
+    that neither the present state nor the one before it names are removed once they are KEEP_SECONDS old,
+    so that long readers can end.
     """
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], root: str | None = None, pointer: Pointer | None = None):
         self.spark, self.root, self.pointer = spark, root, pointer or {}
         self.tables = {n: _shaped(spark, n, tables.get(n)) for n in SCHEMAS}
+        self.tables |= {n: _shaped(spark, n, tables[n]) for n in INDEXES if n in tables}
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -51,11 +59,21 @@ class Archive:
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Archive:
-        """The archive's present state; a new folder is an empty archive."""
+        """The archive's present state; a new folder is an empty archive, with empty indexes."""
+        ship(spark)
         pointer = _Store(spark, root).read()
         tables = {n: _read(spark, root, n, list(p.values())) for n, p in pointer.items() if p}
+        if not pointer.get("messages"):
+            tables |= {n: _shaped(spark, n, None) for n in INDEXES}
+        # an index that some part of the messages lacks yet is none
+        partial = [n for n in INDEXES if n in PARTED and not pointer.get("messages", {}).keys() <= pointer.get(n, {}).keys()]
+        tables = {n: df for n, df in tables.items() if n not in partial}
         return cls(spark, tables, root, pointer)
 
+    def has(self, *indexes: str) -> bool:
+        """Whether these derived tables are kept."""
+        return all(n in self.tables for n in indexes)
+
     def some_parts(self, table: str, parts: Sequence[int], other: bool = False) -> DataFrame:
         """The rows of these parts of a table kept in parts (or of all others); only their folders are read."""
         own = {str(p) for p in parts}
@@ -86,11 +104,16 @@ class Archive:
                     rows.write.parquet(f"{self.root}/{folder}")
                     new[name] = {WHOLE: folder}
                     continue
-                rows.withColumn("part", part_of(PARTED[name])).write.partitionBy("part").parquet(f"{self.root}/{folder}")
+                rows = rows.withColumn("part", part_of(PARTED[name]))
+                if "term" in rows.columns:  # a search reads its terms' row groups
+                    dealt = rows.repartition("part", "bucket", F.pmod(F.xxhash64("rowid"), F.lit(POSTING_FILES)))
+                    rows = dealt.sortWithinPartitions("part", "bucket", "term", "rowid")
+                rows.write.partitionBy("part").parquet(f"{self.root}/{folder}")
                 made = {x.removeprefix("part="): f"{folder}/{x}" for x in store.names(folder) if x.startswith("part=")}
                 kept = {} if parts is None else {p: f for p, f in new.get(name, {}).items() if int(p) not in set(parts)}
                 new[name] = kept | made
             store.write(new)
+            store.clear({f for pointer in (self.pointer, new) for p in pointer.values() for f in p.values()})
         finally:
             if lock:
                 lock.release()
@@ -98,8 +121,8 @@ class Archive:
 
     def register(self, prefix: str = "") -> None:
         """Every table as a temporary view."""
-        for n, df in self.tables.items():
-            df.createOrReplaceTempView(prefix + n)
+        for n in SCHEMAS:
+            self.tables[n].createOrReplaceTempView(prefix + n)
 
     def sql(self, query: str) -> DataFrame:
         """Any query over the tables. Views can't be written, so this reads only."""
@@ -110,8 +133,8 @@ class Archive:
         return self.spark.sql(query)
 
     def check(self) -> dict[str, bool]:
-        """Whether each table can be read."""
-        return {n: df.limit(1).count() >= 0 for n, df in self.tables.items()}
+        """Whether each table can be read: a row of all its columns."""
+        return {n: _readable(self.tables[n]) for n in SCHEMAS}
 
     def size_in_bytes(self) -> int:
         if self.root is None:
@@ -119,7 +142,7 @@ class Archive:
         store = _Store(self.spark, self.root)
         return sum(store.size(f) for p in self.pointer.values() for f in p.values())
 
-    def lock(self) -> WriterLock:
+    def lock(self) -> WriterLock | SharedLock:
         return _Store(self.spark, self.root).lock()
 
 
@@ -158,27 +181,53 @@ class _Store:
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), self.conf)
         context.rename(self.fs.makeQualified(fresh), qualified, how)
 
+    def clear(self, keep: set[str]) -> None:
+        """Removes old table folders (and parts in them) that `keep` doesn't name."""
+        whole = {f.split("/part=")[0] for f in keep}
+        old = 1000 * (time.time() - KEEP_SECONDS)
+        made = lambda f: self.fs.getFileStatus(self._path(f)).getModificationTime()
+        for table in (*SCHEMAS, *INDEXES):
+            if not self.fs.exists(self._path(table)):
+                continue
+            for folder in (f"{table}/{x}" for x in self.names(table)):
+                if made(folder) > old:
+                    continue
+                if folder not in whole:
+                    self.fs.delete(self._path(folder), True)
+                    continue
+                for part in (f"{folder}/{x}" for x in self.names(folder) if x.startswith("part=")):
+                    if part not in keep:
+                        self.fs.delete(self._path(part), True)
+
     def names(self, folder: str) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self._path(folder))]
 
     def size(self, folder: str) -> int:
         return self.fs.getContentSummary(self._path(folder)).getLength()
 
-    def lock(self) -> WriterLock:
-        """Beside the tables if these are in local files, else in the driver's temporary folder."""
+    def lock(self) -> WriterLock | SharedLock:
+        """Beside the tables: an advisory lock if these are in local files, else a file that only one can create."""
         if self.fs.getScheme() == "file":
             return WriterLock(Path(self._path("").toUri().getPath(), "writer.lock"))
-        return WriterLock(Path(tempfile.gettempdir(), f"threadloom-{hashlib.sha256(self.root.encode()).hexdigest()[:16]}.lock"))
+        return SharedLock(self.fs, self._path("writer.lock"))
+
+
+def _readable(df: DataFrame) -> bool:
+    try:
+        df.limit(1).collect()
+    except Exception:  # whatever keeps Spark from reading it
+        return False
+    return True
 
 
 def _read(spark: SparkSession, root: str, name: str, folders: list[str]) -> DataFrame:
     """Folders of any version of a table; columns that an older one lacks are null."""
-    return spark.read.schema(SCHEMAS[name]).parquet(*(f"{root}/{f}" for f in folders))
+    return spark.read.schema((SCHEMAS | INDEXES)[name]).parquet(*(f"{root}/{f}" for f in folders))
 
 
 def _shaped(spark: SparkSession, name: str, df: DataFrame | None) -> DataFrame:
     """The table's columns in order; ones that are missing are null."""
-    schema = SCHEMAS[name]
+    schema = (SCHEMAS | INDEXES)[name]
     if df is None:
         return spark.createDataFrame([], schema)
     have = set(df.columns)

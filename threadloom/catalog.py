@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters as A
+from .archive import Archive
 from .functions import columns as C
 from .functions.html import html_to_text, parse_html
-from .functions.vectors import HashVectorizer, dot, embed_column, encode_vectors, normalised
+from .functions.vectors import HashVectorizer, decode_vectors, dot, embed_column, encode_vectors, normalised
 from .operators import fulltext as T
 from .operators import semantic as V
 from .operators import slices as S
@@ -299,14 +300,12 @@ def _rebuilt_mentions(spark: SparkSession, folder: str, through_id: int | None =
     return U.rebuild_derived(a, through_id)["message_mentions"].select("message_id", "mentioned_user_id", "mentioned_name", "mention_kind")
 
 
-@query("SELECT event_id AS message_id, user_id AS mentioned_user_id, 'User ' || user_id AS mentioned_name, 'user' AS mention_kind FROM events WHERE user_id > 0 AND event_id <= 5000")
-def derived_rows_rebuilt(spark, folder):
-    return _rebuilt_mentions(spark, folder, 5000)
-
-
 @query("SELECT event_id AS message_id, user_id AS mentioned_user_id, 'User ' || user_id AS mentioned_name, 'user' AS mention_kind FROM events WHERE user_id > 0")
-def derived_rows_rebuilt_whole(spark, folder):
-    return _rebuilt_mentions(spark, folder)
+def derived_rows_rebuilt(spark, folder):
+    a = A.events_archive(spark, folder)
+    a.tables["messages"] = a.messages.withColumn("content", F.expr(_SPAN.format(u="sender_id", e="id", t="content")))
+    rows = U.rebuild_derived(a)["message_mentions"]
+    return rows.select("message_id", "mentioned_user_id", "mentioned_name", "mention_kind")
 
 
 # ---------------------------------------------------------------- rendered messages
@@ -354,7 +353,7 @@ WITH v AS (
   SELECT vec_id AS topic_id, 'label ' || CAST(label AS VARCHAR) AS stream_name, 'topic ' || CAST(vec_id AS VARCHAR) AS topic_name,
          vec_id % 4 = 0 AS resolved, vec_id % 7 AS message_count, '' AS last_message_at,
          list_inner_product(CAST(embedding AS DOUBLE[]), {_QUERY_SQL}) AS exact
-  FROM embeddings WHERE vec_id % 10 <> 3)
+  FROM embeddings)
 SELECT topic_id, stream_name, topic_name, resolved, message_count, last_message_at, round(exact, 6) AS score FROM v
 """
 
@@ -373,19 +372,19 @@ def semantic_topk_filtered(spark, folder):
     return _rounded(V.nearest_topics(A.vectors_archive(spark, folder), A.MODEL, _QUERY, "label 3", True, 10))
 
 
-@query("SELECT 'table' AS model, 'local' AS provider, CAST(len(embedding) AS INTEGER) AS dimension, count(*) AS vectors FROM embeddings WHERE vec_id % 10 <> 3 GROUP BY 3")
+@query("SELECT 'table' AS model, 'local' AS provider, CAST(len(embedding) AS INTEGER) AS dimension, count(*) AS vectors FROM embeddings GROUP BY 3")
 def embedding_stats(spark, folder):
     return V.vector_stats(A.vectors_archive(spark, folder), A.MODEL)
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (vec_id % 10 <> 3) AS embedded, count(*) FILTER (vec_id % 10 = 3) AS missing FROM embeddings")
 def embedding_coverage(spark, folder):
-    return V.coverage(A.vectors_archive(spark, folder), A.MODEL)
+    return V.coverage(A.vectors_archive(spark, folder, lacking=True), A.MODEL)
 
 
 @query("SELECT vec_id AS topic_id FROM embeddings WHERE vec_id % 10 = 3 ORDER BY 1")
 def topics_missing_embedding(spark, folder):
-    return V.topics_without_vector(A.vectors_archive(spark, folder), A.MODEL)
+    return V.topics_without_vector(A.vectors_archive(spark, folder, lacking=True), A.MODEL)
 
 
 @query(
@@ -398,19 +397,26 @@ def topic_text(spark, folder):
     return V.topic_texts(A.documents_archive(spark, folder)).select("topic_id", F.md5(F.encode("text", "utf-8")).alias("digest"))
 
 
-@query("SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS norm, 4 * len(embedding) AS size FROM embeddings")
+@query(
+    "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),"
+    " u AS (SELECT vec_id, list_transform(v, lambda x: CAST(CAST(x / n AS FLOAT) AS DOUBLE)) AS v FROM e)"
+    " SELECT vec_id, 4 * len(v) AS size, round(v[1], 4) AS first, round(v[len(v)], 4) AS last, round(list_sum(v), 3) AS total FROM u"
+)
 def vector_codec(spark, folder):
-    e = A.table(spark, folder, "embeddings")
-    unit = normalised(F.col("embedding"))
-    return e.select(
-        "vec_id", F.round(F.sqrt(F.aggregate(unit.cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)), 4).alias("norm"),
-        F.octet_length(encode_vectors("embedding")).cast("long").alias("size"),
-    )
+    """Unit vectors to bytes and back."""
+    e = A.table(spark, folder, "embeddings").select("vec_id", encode_vectors(normalised(F.col("embedding"))).alias("bytes"))
+    d = e.select("vec_id", F.octet_length("bytes").cast("long").alias("size"), decode_vectors("bytes").cast("array<double>").alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return d.select(
+        "vec_id", "size", F.round(F.col("v")[0], 4).alias("first"), F.round(F.element_at("v", -1), 4).alias("last"), F.round(total, 3).alias("total")
+    )
 
 
-@query("SELECT vec_id AS topic_id, len(embedding) AS size FROM embeddings WHERE vec_id % 10 <> 3")
+@query("SELECT vec_id AS topic_id, len(embedding) AS size, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
 def vector_scan(spark, folder):
-    return V.vectors_of(A.vectors_archive(spark, folder), A.MODEL).select("topic_id", F.size("vector").cast("long").alias("size"))
+    total = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    rows = V.vectors_of(A.vectors_archive(spark, folder), A.MODEL)
+    return rows.select("topic_id", F.size("vector").cast("long").alias("size"), F.round(total, 4).alias("total"))
 
 
 @query(
@@ -428,13 +434,17 @@ def topic_lookup(spark, folder):
 def embedding_upsert(spark, folder):
     e = A.table(spark, folder, "embeddings").where("vec_id % 2 = 0")
     new = e.select(F.col("vec_id").alias("topic_id"), F.lit(A.MODEL).alias("model"), F.slice("embedding", 1, 8).alias("vector"))
-    out = V.store_vectors(A.vectors_archive(spark, folder), new, "new", AS_OF)
+    out = V.store_vectors(A.vectors_archive(spark, folder, lacking=True), new, "new", AS_OF)
     return out.select("topic_id", "provider", F.col("dimension").cast("long").alias("dimension"))
 
 
-@query("SELECT count(*) AS vectors FROM embeddings WHERE false")
+@query("SELECT 'other' AS model, count(*) AS vectors, CAST(sum(vec_id) AS BIGINT) AS ids FROM embeddings WHERE vec_id % 2 = 1")
 def embeddings_of_model_deleted(spark, folder):
-    return V.delete_vectors(A.vectors_archive(spark, folder), A.MODEL).agg(F.count("*").alias("vectors"))
+    """Every topic has a vector of one model and every other of two."""
+    a = A.vectors_archive(spark, folder)
+    other = a.topic_embeddings.where("topic_id % 2 = 1").withColumn("model", F.lit("other"))
+    left = V.delete_vectors(Archive(spark, a.tables | {"topic_embeddings": a.topic_embeddings.unionByName(other)}), A.MODEL)
+    return left.groupBy("model").agg(F.count("*").alias("vectors"), F.sum("topic_id").alias("ids"))
 
 
 @query()

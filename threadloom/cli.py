@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
+from dataclasses import replace
 from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .archive import Archive
-from .functions.vectors import HashVectorizer
+from .functions import columns as C
+from .functions.vectors import HashVectorizer, Vectorizer, model_server
 from .operators import fulltext as T
 from .operators import semantic as V
 from .operators import slices as S
@@ -34,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(f"--{n.replace('_', '-')}", type=kind, default=default)
         return c
 
-    add("init", url="")
+    add("init", url="", from_json="", channel="")
     add("doctor")
     add("sync", "full", "with-media", landing="", since="", streams="")
     add("search", "resolved", stream="", limit=20).add_argument("query")
@@ -44,8 +48,8 @@ def parser() -> argparse.ArgumentParser:
     add("messages", "all", stream="", topic="", sender="", since="", until="", days=0, hours=0, last=0, limit=200)
     add("attachments", stream="", topic="", status="", limit=100)
     add("attachments-fetch", "force", limit=0)
-    add("backfill-indexes")
-    add("embeddings-backfill", "force", limit=0)
+    add("backfill-indexes", batch=0)
+    add("embeddings-backfill", "force", limit=0, batch=0)
     add("embeddings-status")
     return p
 
@@ -57,8 +61,8 @@ def run(spark: SparkSession, arguments: list[str], now: datetime | None = None)
     root = a.archive or c.archive
     archive = Archive.open(spark, root)
     commands = {
-        "init": lambda: _init(archive, a.url or c.server.url),
-        "doctor": lambda: "\n".join(f"{n}: {'ok' if ok else 'unreadable'}" for n, ok in archive.check().items()),
+        "init": lambda: _init(archive, c, a),
+        "doctor": lambda: _doctor(archive, c),
         "sync": lambda: _sync(archive, c, a, now),
         "search": lambda: T.format_hits(T.search_messages(archive, a.query, now, a.stream, a.resolved, a.limit)),
         "topics": lambda: _topics(archive, c, a, now),
@@ -67,17 +71,58 @@ def run(spark: SparkSession, arguments: list[str], now: datetime | None = None)
         "messages": lambda: _messages(archive, a, now),
         "attachments": lambda: S.tsv(S.attachments(archive, a.stream, a.topic, a.status, a.limit)),
         "attachments-fetch": lambda: _fetch(archive, c, a.limit, a.force, now),
-        "backfill-indexes": lambda: f"{I.rebuild(archive).message_attachments.count()} attachments",
+        "backfill-indexes": lambda: f"{I.rebuild(archive, a.batch, _progress).message_attachments.count()} attachments",
         "embeddings-backfill": lambda: _embed(archive, c, a, now),
-        "embeddings-status": lambda: S.tsv(V.coverage(archive, c.embeddings.model)),
+        "embeddings-status": lambda: _embedded(archive, c),
     }
     return commands[a.command]()
 
 
-def _init(archive: Archive, url: str) -> str:
-    row = archive.spark.createDataFrame([(1, url, url)], "id long, url string, name string")
+def _init(archive: Archive, c: config.Config, a) -> str:
+    """With credentials the server is asked for its name and the settings are saved; else the URL is the name."""
+    if a.from_json:
+        c = config.fill_from_json(c, a.from_json, a.channel)
+    if a.url:
+        c = replace(c, server=replace(c.server, url=a.url))
+    url, name = c.server.url, c.server.url
+    if c.server.email and c.server.api_key:
+        told = _client(c).settings()
+        name = told.get("realm_name") or url
+        config.save(c, a.config)
+    row = archive.spark.createDataFrame([(1, url, name)], "id long, url string, name string")
     archive.commit({"organizations": U.upsert("organizations", archive.organizations, archive.organizations.limit(0).unionByName(row, allowMissingColumns=True))})
-    return f"archive at {archive.root}"
+    return f"archive at {archive.root}\norganization: {name}"
+
+
+def _doctor(archive: Archive, c: config.Config) -> str:
+    """What can be read, and whether the server knows us."""
+    lines = [f"{n}: {'ok' if ok else 'unreadable'}" for n, ok in archive.check().items()]
+    if not (c.server.email and c.server.api_key):
+        return "\n".join([*lines, "server: not set up"])
+    try:
+        return "\n".join([*lines, f"server: reachable, {len(_client(c).streams())} streams"])
+    except (OSError, RuntimeError, ValueError) as e:
+        return "\n".join([*lines, f"server: {e}"])
+
+
+def _progress(done: int, total: int) -> None:
+    print(f"{done} of {total} parts", file=sys.stderr)
+
+
+def _vectorizer(e: config.Embeddings, batch: int = 0) -> Vectorizer:
+    provider = e.provider.strip().lower()
+    if provider in ("", "local", "hash"):
+        return HashVectorizer(e.model)
+    if provider == "ollama":
+        return model_server(e.base, e.model, batch or e.batch_size)
+    raise ValueError(f"unknown provider of embeddings {e.provider!r}")
+
+
+def _embedded(archive: Archive, c: config.Config) -> str:
+    """How many topics have a vector of the model, and which kinds of vectors there are."""
+    e = c.embeddings
+    head = f"enabled {str(e.enabled).lower()}, model {e.model}, provider {e.provider}, base {e.base}"
+    return "\n".join([S.tsv(V.coverage(archive, e.model)), head, S.tsv(V.vector_stats(archive, e.model))])
 
 
 def _client(c: config.Config) -> rest.Client:
@@ -88,7 +133,19 @@ def _client(c: config.Config) -> rest.Client:
 def _sync(archive: Archive, c: config.Config, a, now: datetime) -> str:
     """From a landing folder, or from the server by the chat_rest source; bookmarks say where to go on."""
     spark = archive.spark
-    since = datetime.fromisoformat(a.since).replace(tzinfo=UTC) if a.since else None
+    since = C.time_bound(a.since, False) if a.since else None
+    with archive.lock():
+        archive, failed = _synced(Archive.open(spark, archive.root), c, a, since, now)
+    if a.with_media:
+        _fetch(archive, c, 0, False, now)
+    if failed:
+        raise RuntimeError("; ".join(failed))
+    return f"{archive.messages.count()} messages"
+
+
+def _synced(archive: Archive, c: config.Config, a, since: datetime | None, now: datetime) -> tuple[Archive, list[str]]:
+    """The archive after the new messages, and what went wrong with streams that failed; the lock is held."""
+    spark = archive.spark
     asked = [x for x in a.streams.split(",") if x]
     if a.landing:
         streams, users, messages = (landing.read(spark, a.landing, k) for k in ("streams", "users", "messages"))
@@ -107,16 +164,16 @@ def _sync(archive: Archive, c: config.Config, a, now: datetime) -> str:
         options = {"url": c.server.url, "email": c.server.email, "api_key": c.server.api_key, "streams": json.dumps(parts)}
         wanted = spark.read.format("chat_rest").options(**options).load()
     whole = lambda t, new: U.upsert(t, getattr(archive, t), getattr(archive, t).limit(0).unionByName(new, allowMissingColumns=True), kept=("org_id",))
-    archive = archive.commit({"streams": whole("streams", chosen), "users": whole("users", roster)})
-    archive = I.ingest(archive, wanted, now, since)
-    if a.with_media:
-        _fetch(archive, c, 0, False, now)
-    return f"{archive.messages.count()} messages"
+    wanted = staged(wanted)  # asked for once, read twice
+    failed = [r["content"] for r in wanted.where(F.col("type") == rest.FAILED).orderBy("content").collect()]
+    archive = archive.commit({"streams": whole("streams", chosen), "users": whole("users", roster)}, locked=True)
+    good = wanted.where(F.coalesce("type", F.lit("")) != rest.FAILED)
+    return I.ingest(archive, good, now, since, locked=True), failed
 
 
 def _topics(archive: Archive, c: config.Config, a, now: datetime) -> str:
     if a.semantic:
-        found = V.semantic_topics(archive, HashVectorizer(c.embeddings.model), a.search, a.stream, a.unresolved, a.limit)
+        found = V.semantic_topics(archive, _vectorizer(c.embeddings), a.search, a.stream, a.unresolved, a.limit)
     elif a.search:
         found = T.search_topics(archive, a.search, now, a.stream, a.unresolved, a.limit)
     else:
@@ -132,15 +189,22 @@ def _messages(archive: Archive, a, now: datetime) -> str:
 
 
 def _fetch(archive: Archive, c: config.Config, limit: int, force: bool, now: datetime) -> str:
-    updates = media.fetch_pending(archive.message_attachments, c.media_dir, _client(c).download, now, limit, force)
-    updates = staged(updates)  # fetched once, read twice
-    archive.commit({"message_attachments": U.update_media(archive.message_attachments, updates)})
+    with archive.lock():
+        archive = Archive.open(archive.spark, archive.root)
+        updates = media.fetch_pending(archive.message_attachments, c.media_dir, _client(c).download, now, limit, force)
+        updates = staged(updates)  # fetched once, read twice
+        archive.commit({"message_attachments": U.update_media(archive.message_attachments, updates)}, locked=True)
     return S.tsv(media.counts(updates))
 
 
 def _embed(archive: Archive, c: config.Config, a, now: datetime) -> str:
     e = c.embeddings
+    if not e.enabled:
+        raise RuntimeError("embeddings are switched off")
     options = V.EmbedOptions(e.enabled, e.provider, e.sample_messages, a.limit, a.force)
-    vectors, n = V.embed_topics(archive, HashVectorizer(e.model), options, now)
-    archive.commit({"topic_embeddings": vectors})
+    vectorizer = _vectorizer(e, a.batch)
+    with archive.lock():
+        archive = Archive.open(archive.spark, archive.root)
+        vectors, n = V.embed_topics(archive, vectorizer, options, now)
+        archive.commit({"topic_embeddings": vectors}, locked=True)
     return f"embedded {n}"

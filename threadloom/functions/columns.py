@@ -52,13 +52,13 @@ def age_days(c: Column, as_of: datetime) -> Column:
 
 
 def message_recency(c: Column, as_of: datetime) -> Column:
-    """1 now, one half after 30 days; above 1 for times to come."""
-    return F.lit(1.0) / (F.lit(1.0) + age_days(c, as_of) / F.lit(30.0))
+    """1 now, one half after 30 days; above 1 for times to come, null at the pole 30 days ahead."""
+    return F.try_divide(F.lit(1.0), F.lit(1.0) + age_days(c, as_of) / F.lit(30.0))
 
 
 def topic_recency(c: Column, as_of: datetime) -> Column:
-    """Half of message_recency, 0 without a time."""
-    return F.coalesce(F.lit(0.5) / (F.lit(1.0) + age_days(c, as_of) / F.lit(30.0)), F.lit(0.0))
+    """Half of message_recency, 0 without a time and at the pole."""
+    return F.coalesce(F.try_divide(F.lit(0.5), F.lit(1.0) + age_days(c, as_of) / F.lit(30.0)), F.lit(0.0))
 
 
 def activity(count: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -22,6 +25,12 @@ def normalised(v: Column) -> Column:
     return F.when(norm < TINY, v.cast("array<float>")).otherwise(F.transform(d, lambda x: x / norm).cast("array<float>"))
 
 
+def is_unit_length(v: Column) -> Column:
+    """Whether the squares sum to 1 within 1e-5, in doubles."""
+    total = F.aggregate(v.cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)
+    return F.abs(total - 1.0) < 1e-5
+
+
 def dot(v: Column, q: Sequence[float]) -> Column:
     """Product with a query vector, in doubles; the cosine of unit vectors."""
     query = F.array(*[F.lit(float(np.float32(x))) for x in q])
@@ -113,6 +122,34 @@ class HttpVectorizer:
         return any(n.lower().split(":")[0] == own for n in names)
 
 
+class ModelServerError(RuntimeError):
+    """The model server can't be reached, refuses, or lacks the model."""
+
+
+def json_call(url: str, body: dict | None = None, timeout: float = 120) -> dict:
+    """POST of a body as JSON, or GET without one; the answer's JSON."""
+    data = None if body is None else json.dumps(body).encode()
+    request = urllib.request.Request(url, data, {"Content-Type": "application/json"})
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as r:
+            return json.loads(r.read())
+    except urllib.error.HTTPError as e:
+        raise ModelServerError(f"{url}: status {e.code}: {e.read()[:200].decode('utf-8', 'replace')}") from e
+    except OSError as e:
+        raise ModelServerError(f"no model server at {url}: {e}") from e
+
+
+def model_server(base: str, model: str, batch: int = 32, call: Callable = json_call) -> HttpVectorizer:
+    """A vectorizer by the server at `base`; the calls are made on the executors. An error if it lacks the model."""
+    # fixed values: the server's paths and fields
+    base = base.rstrip("/")
+    made = HttpVectorizer(model, lambda body: call(f"{base}/api/embed", body), batch=batch if batch > 0 else 32)
+    names = [m["name"] for m in call(f"{base}/api/tags").get("models", [])]
+    if not made.available(names):
+        raise ModelServerError(f"the server at {base} has no model {model!r}, but {', '.join(sorted(names)) or 'none'}")
+    return made
+
+
 def embed_column(df: DataFrame, text: str, vectorizer: Vectorizer, out: str = "vector") -> DataFrame:
     """A vector column, made in Arrow batches on the executors."""
 

@@ -117,15 +117,18 @@ def status_is(status: Column, wanted: str) -> Column | None:
 
 
 def attachments(archive: Archive, stream: str = "", topic: str = "", status: str = "", limit: int = 0) -> DataFrame:
-    """Uploads with their message's names, newest first, ties by greater id; limit below 1: all."""
+    """Uploads with their stream's, topic's and sender's names, newest first, ties by greater id; limit below 1: all.
+
+    The stream and topic are the upload's own, the sender its message's.
+    """
     a = archive.message_attachments
     wanted = status_is(F.col("media_status"), status)
     if wanted is not None:
         a = a.where(wanted)
-    sent = archive.messages.select(F.col("id").alias("message_id"), F.col("stream_id").alias("own_stream"), "sender_id")
+    sent = archive.messages.select(F.col("id").alias("message_id"), "sender_id")
     rows = (
         a.join(sent, "message_id")
-        .join(_named(archive.streams, "own_stream", "stream_name", stream), "own_stream")
+        .join(_named(archive.streams, "stream_id", "stream_name", stream), "stream_id")
         .join(_named(archive.topics, "topic_id", "topic_name", topic), "topic_id")
         .join(_named(archive.users, "sender_id", "sender_name", of="full_name"), "sender_id", "left")
         .orderBy(F.desc("timestamp"), F.desc("id"))

@@ -115,22 +115,54 @@ def rollup(messages: DataFrame) -> DataFrame:
     )
 
 
+def rollup_parts(messages: DataFrame, part) -> DataFrame:
+    """rollup of each part of the messages by itself."""
+    numbered = messages.select("id", "topic_id", "timestamp", part.alias("part"))
+    return numbered.groupBy("part", "topic_id").agg(
+        F.count("*").alias("message_count"),
+        F.min("id").alias("first_message_id"),
+        F.max("id").alias("last_message_id"),
+        F.min("timestamp").alias("first_message_at"),
+        F.max("timestamp").alias("last_message_at"),
+    ).drop("part")
+
+
+def merged_rollups(rollups: DataFrame) -> DataFrame:
+    """One rollup of each topic from those of several parts of the messages."""
+    return rollups.groupBy("topic_id").agg(
+        F.sum("message_count").alias("message_count"),
+        *(F.min(c).alias(c) for c in ("first_message_id", "first_message_at")),
+        *(F.max(c).alias(c) for c in ("last_message_id", "last_message_at")),
+    )
+
+
+def with_rollups(topics: DataFrame, rollups: DataFrame) -> DataFrame:
+    """The topics with these counts and first and last ids and times; topics that have none get 0 and nulls."""
+    own = [c for c in rollups.columns if c != "topic_id"]
+    out = topics.drop(*own).join(rollups.withColumnRenamed("topic_id", "id"), "id", "left")
+    return out.withColumn("message_count", F.coalesce("message_count", F.lit(0).cast("long"))).select(*topics.columns)
+
+
 def recompute_topics(topics: DataFrame, messages: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """The topic table with rollups anew, of all topics or of those with a topic_id in `only`.
 
     Topics without messages have 0 and nulls. Three columns of the messages are read.
     """
-    own = ["message_count", "first_message_id", "last_message_id", "first_message_at", "last_message_at"]
     m = messages.select("id", "topic_id", "timestamp")
-    touched = topics
-    if only is not None:
-        m = m.join(only, "topic_id", "left_semi")
-        ids = only.select(F.col("topic_id").alias("id"))
-        touched = topics.join(ids, "id", "left_semi")
-    r = rollup(m).withColumnRenamed("topic_id", "id")
-    out = touched.drop(*own).join(r, "id", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0).cast("long")))
-    out = out.select(*topics.columns)
-    return out if only is None else topics.join(ids, "id", "left_anti").select(*topics.columns).union(out)
+    if only is None:
+        return with_rollups(topics, rollup(m))
+    return _replaced(topics, rollup(m.join(only, "topic_id", "left_semi")), only)
+
+
+def refresh_topics(topics: DataFrame, rollups: DataFrame, only: DataFrame) -> DataFrame:
+    """recompute_topics of the topics in `only` from rollups of the messages' parts, without the messages."""
+    return _replaced(topics, merged_rollups(rollups.join(only, "topic_id", "left_semi")), only)
+
+
+def _replaced(topics: DataFrame, rollups: DataFrame, only: DataFrame) -> DataFrame:
+    ids = only.select(F.col("topic_id").alias("id"))
+    fresh = with_rollups(topics.join(ids, "id", "left_semi").select(*topics.columns), rollups)
+    return topics.join(ids, "id", "left_anti").select(*topics.columns).union(fresh)
 
 
 def derive(messages: DataFrame) -> DataFrame:

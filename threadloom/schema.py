@@ -8,7 +8,7 @@ from pyspark.sql.types import (
 
 _TYPES = {
     "long": LongType(), "int": IntegerType(), "string": StringType(), "boolean": BooleanType(),
-    "timestamp": TimestampType(), "array<float>": ArrayType(FloatType()),
+    "timestamp": TimestampType(), "array<float>": ArrayType(FloatType()), "array<int>": ArrayType(IntegerType()),
 }
 
 _DDL = {
@@ -33,10 +33,17 @@ _DDL = {
     "sync_state": "org_id long, stream_id long, last_message_id long, synced_at timestamp",
 }
 
-SCHEMAS = {
-    name: StructType([StructField(*x.split()[:1], _TYPES[x.split()[1]]) for x in ddl.split(", ")])
-    for name, ddl in _DDL.items()
-}
+_POSTINGS = "rowid long, bucket int, term string, n int, col int, positions array<int>"
+_ROLLUPS = "topic_id long, message_count long, first_message_id long, last_message_id long, first_message_at timestamp, last_message_at timestamp"
+
+
+def _schemas(ddl: dict[str, str]) -> dict[str, StructType]:
+    return {name: StructType([StructField(*x.split()[:1], _TYPES[x.split()[1]]) for x in d.split(", ")]) for name, d in ddl.items()}
+
+
+SCHEMAS = _schemas(_DDL)
+#: derived tables, kept beside the others in archives on disk: full-text postings, and each part's share of the topics' rollups
+INDEXES = _schemas({"message_postings": _POSTINGS, "topic_postings": _POSTINGS, "part_rollups": _ROLLUPS})
 
 KEYS = {
     "organizations": ["id"],

@@ -33,7 +33,8 @@ class Sync:
 @dataclass(frozen=True)
 class Embeddings:
     enabled: bool = False
-    provider: str = "local"
+    provider: str = "local"  # or "ollama", a model server at `base`
+    base: str = "http://localhost:11434"
     model: str = "hash"
     batch_size: int = 32
     sample_messages: int = 50
@@ -53,13 +54,17 @@ def _part(kind, values: dict):
     return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in known})
 
 
+def _expanded(folder: str) -> str:
+    return os.path.expanduser(folder) if folder.startswith("~") else folder
+
+
 def load(path: str | os.PathLike = "~/.threadloom/config.toml", environ: dict[str, str] | None = None) -> Config:
     """A missing file gives the defaults; values that can't hold (concurrency below 1) become defaults."""
     file = Path(path).expanduser()
     d = tomllib.loads(file.read_text()) if file.exists() else {}
     c = Config(
-        d.get("archive") or Config.archive,
-        d.get("media_dir") or Config.media_dir,
+        _expanded(d.get("archive") or Config.archive),
+        _expanded(d.get("media_dir") or Config.media_dir),
         _part(Server, d.get("server", {})),
         _part(Sync, d.get("sync", {})),
         _part(Embeddings, d.get("embeddings", {})),
@@ -71,6 +76,22 @@ def load(path: str | os.PathLike = "~/.threadloom/config.toml", environ: dict[st
     return replace(c, server=replace(c.server, **own))
 
 
+def save(config: Config, path: str | os.PathLike) -> None:
+    """The settings as a TOML file that only its owner can read."""
+    lines = [f"{f.name} = {_toml(getattr(config, f.name))}" for f in fields(config) if isinstance(getattr(config, f.name), str)]
+    for section in ("server", "sync", "embeddings"):
+        own = getattr(config, section)
+        lines += ["", f"[{section}]", *(f"{f.name} = {_toml(getattr(own, f.name))}" for f in fields(own))]
+    file = Path(path).expanduser()
+    file.parent.mkdir(parents=True, exist_ok=True)
+    file.touch(mode=0o600)
+    file.write_text("\n".join(lines) + "\n")
+
+
+def _toml(value) -> str:
+    return json.dumps(list(value) if isinstance(value, tuple) else value)
+
+
 def fill_from_json(config: Config, path: str | os.PathLike, channel: str) -> Config:
     """Blank server settings from `channels.<channel>` of a JSON file, or from its top level."""
     d = json.loads(Path(path).expanduser().read_text())

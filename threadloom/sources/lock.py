@@ -1,4 +1,4 @@
-"""One writer at a time: an exclusive advisory lock on a file, held by the driver."""
+"""One writer at a time: an exclusive lock held by the driver."""
 
 from __future__ import annotations
 
@@ -39,3 +39,32 @@ class WriterLock:
 
     def __exit__(self, *_) -> None:
         self.release()
+
+
+class SharedLock:
+    """A file on a shared file system that only one writer can create; it goes when the writer is done or ends.
+
+    A driver that dies without ending leaves it, and it has to be removed by hand.
+    """
+
+    def __init__(self, fs, path):
+        self.fs, self.path, self._held = fs, path, False
+
+    def acquire(self) -> SharedLock:
+        self.fs.mkdirs(self.path.getParent())
+        if not self.fs.createNewFile(self.path):
+            raise LockHeldError(f"another writer holds {self.path}")
+        self._held = True
+        self.fs.deleteOnExit(self.path)
+        return self
+
+    def release(self) -> None:
+        """Does nothing the second time."""
+        if self._held:
+            self.fs.delete(self.path, False)
+            self._held = False
+
+    __enter__ = acquire
+
+    def __exit__(self, *_) -> None:
+        self.release()

@@ -1,16 +1,16 @@
-"""Uploads fetched into a local cache."""
+"""Uploads fetched into a folder that all executors share."""
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from datetime import datetime
-from pathlib import Path
-from posixpath import normpath
+from posixpath import dirname, normpath
 from urllib.parse import quote, unquote, urlsplit
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +36,12 @@ def cache_path(url: str, fallback: str) -> str:
 
 
 def fetch_pending(
-    uploads: DataFrame, folder: str, download: Callable[[str], bytes], as_of: datetime, limit: int = 0, force: bool = False
+    uploads: DataFrame, folder: str, download: Callable[[str], bytes | Iterable[bytes]], as_of: datetime, limit: int = 0, force: bool = False
 ) -> DataFrame:
     """Updates for `update_media`: each pending upload (all with force) fetched, or what went wrong.
 
-    Files are written whole and then named, so that a lost task leaves none cut short. limit below 1: all.
+    `folder` is a path that all executors mount, or a URI of a shared file system. Bodies are written as
+    they come; files are named when whole, so that a lost task leaves none cut short. limit below 1: all.
     """
     wanted = uploads if force else uploads.where(status_is(F.col("media_status"), "pending"))
     if limit > 0:
@@ -58,13 +59,21 @@ def fetch_pending(
 def _one(row, folder: str, download) -> tuple:
     try:
         path = cache_path(row.url, row.file_name or f"attachment-{row.id}")
-        data = download(row.url)
-        target = Path(folder, path)
-        target.parent.mkdir(parents=True, exist_ok=True)
-        fresh = target.with_name(f".{uuid.uuid4().hex}.part")
-        fresh.write_bytes(data)
-        os.replace(fresh, target)
-        return row.id, path, "fetched", row.content_type or "", len(data), ""
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+        target = f"{base.rstrip('/')}/{path}"
+        system.create_dir(dirname(target), recursive=True)
+        fresh = f"{dirname(target)}/.{uuid.uuid4().hex}.part"
+        body, size = download(row.url), 0
+        try:
+            with system.open_output_stream(fresh) as out:
+                for chunk in (body,) if isinstance(body, bytes) else body:
+                    out.write(chunk)
+                    size += len(chunk)
+        except BaseException:
+            system.delete_file(fresh)
+            raise
+        system.move(fresh, target)
+        return row.id, path, "fetched", row.content_type or "", size, ""
     except (OSError, ValueError, RuntimeError) as e:
         return row.id, "", "error", "", 0, str(e)
 

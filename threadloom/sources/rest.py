@@ -18,13 +18,15 @@ from .landing import MESSAGE
 ATTEMPTS = 5
 PAGE_SIZE = 1000
 UPLOADS = "/user_uploads/"
+CHUNK = 1 << 20
+FAILED = "failed"  # the type of a row that stands for a stream whose reading failed
 
 
 @dataclass(frozen=True)
 class Response:
     status: int
     headers: dict[str, str]
-    body: bytes
+    body: bytes | Iterator[bytes]
 
 
 Transport = Callable[[str, str, dict[str, str]], Response]
@@ -46,6 +48,22 @@ def http_get(method: str, url: str, headers: dict[str, str]) -> Response:
         return Response(e.code, dict(e.headers), e.read())
 
 
+def http_stream(method: str, url: str, headers: dict[str, str]) -> Response:
+    """The transport for bodies of any length: a good answer's body comes in chunks."""
+    request = urllib.request.Request(url, method=method, headers=headers)
+    try:
+        r = urllib.request.urlopen(request, timeout=60)
+    except urllib.error.HTTPError as e:
+        return Response(e.code, dict(e.headers), e.read())
+
+    def chunks() -> Iterator[bytes]:
+        with r:
+            while data := r.read(CHUNK):
+                yield data
+
+    return Response(r.status, dict(r.headers), chunks())
+
+
 @dataclass
 class Client:
     """Transport errors wait 1 to 5 s and 429 as long as it says (2 s unless it does); little quota left, 1.5 s."""
@@ -55,15 +73,16 @@ class Client:
     api_key: str
     transport: Transport = http_get
     sleep: Callable[[float], None] = field(default=time.sleep)
+    stream: Transport = http_stream
 
-    def get(self, path: str, params: dict | None = None) -> bytes:
+    def get(self, path: str, params: dict | None = None, transport: Transport | None = None) -> bytes | Iterator[bytes]:
         key = base64.b64encode(f"{self.email}:{self.api_key}".encode()).decode()
         query = urllib.parse.urlencode({k: v if isinstance(v, str) else json.dumps(v) for k, v in (params or {}).items()})
         url = self.url.rstrip("/") + path + (f"?{query}" if query else "")
         last: Exception = RuntimeError("not tried")
         for attempt in range(1, ATTEMPTS + 1):
             try:
-                r = self.transport("GET", url, {"Authorization": f"Basic {key}"})
+                r = (transport or self.transport)("GET", url, {"Authorization": f"Basic {key}"})
             except OSError as e:
                 last = e
                 self.sleep(attempt)
@@ -104,10 +123,11 @@ class Client:
                 return
             anchor = str(page["messages"][-1]["id"] + 1)
 
-    def download(self, path: str) -> bytes:
+    def download(self, path: str) -> Iterator[bytes]:
+        """An upload in chunks, so that none is ever held whole."""
         if not path.startswith(UPLOADS):
             raise ValueError(f"not an upload: {path!r}")
-        return self.get(path)
+        return self.get(path, transport=self.stream)
 
 
 def _number(text: str | None, default: float) -> float:
@@ -133,6 +153,9 @@ class _Part(InputPartition):
 class MessageSource(DataSource):
     """format("chat_rest"): messages of streams, a partition each, read on the executors.
 
+    A stream that fails gives the messages it had and then a row of type FAILED with the error as its
+    content; the others go on.
+
     Options: url, email, api_key, streams (JSON list of [stream_id, name, last id]); name "" for direct
     messages.
     """
@@ -152,12 +175,17 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.server = (options["url"], options["email"], options["api_key"])
         self.parts = json.loads(options["streams"])
+        self.more: dict = {}  # a transport of one's own
 
     def partitions(self):
         return [_Part(*p) for p in self.parts]
 
     def read(self, part):
         narrow = stream_narrow(part.name) if part.name else direct_narrow()
-        for m in Client(*self.server).messages(narrow, part.after):
-            own = m | {"stream_id": part.stream_id, "reactions": json.dumps(m.get("reactions") or [])}
-            yield tuple(own.get(f.name) for f in MESSAGE.fields)
+        try:
+            for m in Client(*self.server, **self.more).messages(narrow, part.after):
+                own = m | {"stream_id": part.stream_id, "reactions": json.dumps(m.get("reactions") or [])}
+                yield tuple(own.get(f.name) for f in MESSAGE.fields)
+        except (OSError, RuntimeError, ValueError, KeyError) as e:
+            failed = {"stream_id": part.stream_id, "type": FAILED, "content": f"{part.name or 'direct messages'}: {e}"}
+            yield tuple(failed.get(f.name) for f in MESSAGE.fields)

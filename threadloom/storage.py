@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session names it; a local folder only where it is unset."""
+    """spark.checkpoint.dir as the session names it; a local folder only where driver and executors are one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or os.path.join(tempfile.gettempdir(), "threadloom-shared")).rstrip("/")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..archive import PARTED, Archive, part_of
 from ..functions import columns as C
+from ..operators import fulltext as T
 from ..operators import upsert as U
+from ..schema import SCHEMAS
 from ..storage import staged
 
 
@@ -33,13 +36,14 @@ def prepare(batch: DataFrame, as_of: datetime, org_id: int = 1) -> DataFrame:
     )
 
 
-def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime | None = None, org_id: int = 1) -> Archive:
+def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime | None = None, org_id: int = 1, locked: bool = False) -> Archive:
     """One batch of server messages (landing.MESSAGE) committed: senders, topics, messages, children,
     rollups of the topics that gained or lost messages, bookmarks.
 
     Messages before `since` are dropped, but for their senders. All of it becomes visible at once, so a
     run that fails can be run again; a batch that comes twice changes nothing. Of messages and their
-    children only the parts that the batch's ids lie in are written anew.
+    children, postings and rollups only the parts that the batch's ids lie in are read and written anew.
+    An archive without indexes (an older one) gets them from `rebuild`.
     """
     rows = staged(prepare(batch, as_of, org_id))
     senders = rows.select(
@@ -54,13 +58,25 @@ def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime
     ids = topics.select("stream_id", F.col("name").alias("topic_name"), F.col("id").alias("topic_id"))
     derived = staged(U.derive(rows.join(ids, ["stream_id", "topic_name"])).drop("topic_name", "sender_full_name"))
     parts = [r["part"] for r in rows.select(part_of("id").alias("part")).distinct().collect()]
-    touched_parts = Archive(archive.spark, {n: archive.some_parts(n, parts) for n in PARTED})
+    touched_parts = Archive(archive.spark, {n: archive.some_parts(n, parts) for n in PARTED if n in SCHEMAS})
     tables = U.upsert_messages(touched_parts, derived)
     messages = staged(tables.pop("messages"))
     # topics that gained or lost messages
     before_topics = touched_parts.messages.join(derived.select("id"), "id", "left_semi").select("topic_id")
     touched = staged(derived.select("topic_id").union(before_topics).distinct())
-    every = archive.some_parts("messages", parts, other=True).select("id", "topic_id", "timestamp").union(messages.select("id", "topic_id", "timestamp"))
+    if archive.has("part_rollups"):
+        by_part = U.rollup_parts(messages, part_of("id"))
+        refreshed = U.refresh_topics(topics, archive.some_parts("part_rollups", parts, other=True).unionByName(by_part), touched)
+        tables["part_rollups"] = by_part
+    else:
+        others = archive.some_parts("messages", parts, other=True).select("id", "topic_id", "timestamp")
+        refreshed = U.recompute_topics(topics, others.union(messages.select("id", "topic_id", "timestamp")), touched)
+    if archive.has("message_postings", "topic_postings"):
+        new_topics = topics.join(archive.topics.select("id"), "id", "left_anti")
+        changed = messages.join(derived.select("id"), "id", "left_semi")
+        uploads = tables["message_attachments"].join(derived.select(F.col("id").alias("message_id")), "message_id", "left_semi")
+        small = Archive(archive.spark, {"messages": changed, "message_attachments": uploads, "topics": topics, "users": users})
+        tables |= T.postings_after(archive, parts, small, new_topics)
     direct = archive.spark.createDataFrame([(U.DIRECT_ID, org_id, U.DIRECT_STREAM)], "id long, org_id long, name string")
     new_direct = direct.join(rows.where(F.col("stream_id") == U.DIRECT_ID).select("stream_id").distinct(), F.col("id") == F.col("stream_id"), "left_semi")
     marks = rows.groupBy("org_id", "stream_id").agg(F.max("id").alias("last_message_id")).withColumn("synced_at", C.instant(as_of))
@@ -74,11 +90,12 @@ def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime
         | {
             "messages": messages,
             "users": users,
-            "topics": U.recompute_topics(topics, every, touched),
+            "topics": refreshed,
             "streams": known.unionByName(new_direct, allowMissingColumns=True),
             "sync_state": U.upsert("sync_state", archive.sync_state, marks),
         },
         parts,
+        locked,
     )
 
 
@@ -91,8 +108,23 @@ def run_stream(source: DataFrame, root: str, checkpoint: str, as_of: datetime, s
     return source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rebuild(archive: Archive) -> Archive:
-    """Mentions and uploads of all messages there are now derived again, under the writer lock."""
+def rebuild(archive: Archive, batch: int = 0, progress: Callable[[int, int], None] | None = None) -> Archive:
+    """Mentions and uploads of all messages there are now derived again, and all indexes, under the writer lock.
+
+    batch: so many parts of the messages (all, if below 1) are written and committed at a time, so that a
+    run that ends early keeps what it did; progress(parts done, of how many) is told after each.
+    """
     with archive.lock():
-        top = archive.messages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        return archive.commit(U.rebuild_derived(archive, top), locked=True)
+        archive = Archive.open(archive.spark, archive.root)
+        parts = sorted(int(p) for p in archive.pointer.get("messages", {}))
+        size = batch if batch > 0 else max(1, len(parts))
+        for k in range(0, len(parts), size):
+            some = parts[k : k + size]
+            own = Archive(archive.spark, {n: archive.tables[n] for n in SCHEMAS} | {n: archive.some_parts(n, some) for n in PARTED if n in SCHEMAS})
+            tables = {n: staged(df) for n, df in U.rebuild_derived(own).items()}
+            new = Archive(archive.spark, {n: own.tables[n] for n in SCHEMAS} | tables)
+            indexes = T.reindexed(new) | {"part_rollups": U.rollup_parts(own.messages, part_of("id"))}
+            archive = archive.commit(tables | indexes, some, locked=True)
+            if progress:
+                progress(min(k + size, len(parts)), len(parts))
+        return archive
