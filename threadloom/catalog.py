@@ -400,23 +400,22 @@ def topic_text(spark, folder):
 @query(
     "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),"
     " u AS (SELECT vec_id, list_transform(v, lambda x: CAST(CAST(x / n AS FLOAT) AS DOUBLE)) AS v FROM e)"
-    " SELECT vec_id, 4 * len(v) AS size, round(v[1], 4) AS first, round(v[len(v)], 4) AS last, round(list_sum(v), 3) AS total FROM u"
+    " SELECT vec_id, 4 * len(v) AS size, round(v[1], 4) + 0.0 AS first, round(v[len(v)], 4) + 0.0 AS last, round(list_sum(v), 3) + 0.0 AS total FROM u"
 )
 def vector_codec(spark, folder):
     """Unit vectors to bytes and back."""
     e = A.table(spark, folder, "embeddings").select("vec_id", encode_vectors(normalised(F.col("embedding"))).alias("bytes"))
     d = e.select("vec_id", F.octet_length("bytes").cast("long").alias("size"), decode_vectors("bytes").cast("array<double>").alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
-    return d.select(
-        "vec_id", "size", F.round(F.col("v")[0], 4).alias("first"), F.round(F.element_at("v", -1), 4).alias("last"), F.round(total, 3).alias("total")
-    )
+    rounded = lambda c, n, name: (F.round(c, n) + F.lit(0.0)).alias(name)  # no negative zeros
+    return d.select("vec_id", "size", rounded(F.col("v")[0], 4, "first"), rounded(F.element_at("v", -1), 4, "last"), rounded(total, 3, "total"))
 
 
-@query("SELECT vec_id AS topic_id, len(embedding) AS size, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
+@query("SELECT vec_id AS topic_id, len(embedding) AS size, round(list_sum(CAST(embedding AS DOUBLE[])), 4) + 0.0 AS total FROM embeddings")
 def vector_scan(spark, folder):
     total = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
     rows = V.vectors_of(A.vectors_archive(spark, folder), A.MODEL)
-    return rows.select("topic_id", F.size("vector").cast("long").alias("size"), F.round(total, 4).alias("total"))
+    return rows.select("topic_id", F.size("vector").cast("long").alias("size"), (F.round(total, 4) + F.lit(0.0)).alias("total"))
 
 
 @query(
