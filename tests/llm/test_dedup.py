@@ -110,6 +110,45 @@ def test_paths_are_compacted_and_answered():
         anchors.Marked(copy, pa.concat_tables([own, anchors.answer(source.table, wrong, lambda t: source)]))
 
 
+def plain_paths(docs, k=13):
+    """The compacted graph from the places of all windows."""
+    words = {d: brute.WORD.findall((t or "").encode()) for d, t in docs.items()}
+    first, again = {}, {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - k + 1):
+            e = tuple(words[d][i : i + k])
+            if first.setdefault(e, (d, i))[0] < d:
+                again.setdefault(e, []).append((d, i))
+    source = {(d, i): first[tuple(words[d][i : i + k])] for places in again.values() for d, i in places}
+    starts, ends, cover, sides = {}, {}, {}, ({}, {})
+    word = lambda d, i: words[d][i] if 0 <= i < len(words[d]) else None
+    for (d, i), (a, x) in source.items():
+        cover[a, x] = cover.get((a, x), 0) + 1
+        if source.get((d, i - 1)) != (a, x - 1):
+            starts.setdefault((a, x), []).append(word(d, i - 1))
+        if source.get((d, i + 1)) != (a, x + 1):
+            ends.setdefault((a, x + 1), []).append(word(d, i + k))
+    out = set()
+    for a, x in cover:
+        if (a, x - 1) in cover and (a, x) not in starts and (a, x) not in ends:
+            continue
+        y = x + 1
+        while (a, y) in cover and (a, y) not in starts and (a, y) not in ends:
+            y += 1
+        into = {*starts.get((a, x), []), word(a, x - 1)} - {None}
+        outof = {*ends.get((a, y), []), word(a, y - 1 + k)} - {None}
+        out.add((a, x, y - x + k - 1, cover[a, x] + 1, len(into), len(outof)))
+    return out
+
+
+@pytest.mark.parametrize("texts", ["corpus", "small"])
+def test_compacted_graph(spark, corpus, texts):
+    df, docs = corpus if texts == "corpus" else (brute.frame(spark, small()), dict(small()))
+    got = [tuple(r) for r in substring_dedup.repeated_paths(df).collect()]
+    assert set(got) == plain_paths(docs) and len(got) == len(set(got)) and max(r[4] for r in got) > 1
+    assert substring_dedup.repeated_paths(df.limit(0)).count() == 0
+
+
 def test_rows_of_one_id_lie_in_many_blocks(spark):
     rnd = random.Random(8)
     text = lambda: " ".join(f"{rnd.random():.17f}" for _ in range(60))

@@ -576,6 +576,92 @@ def answer(table: pa.Table, claims: pa.Table, read) -> pa.Table:
     return _table(out, CLAIMS)
 
 
+GRAPH = "block long, place binary, count binary, times binary, before binary, after binary, digest binary"
+PATHS = "doc_id long, start long, n_symbols long, occurrences long, in_degree long, out_degree long"
+
+
+def _beside(text: Text, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols before and after runs of symbols of one document, 0 at its ends (no symbol's hash is)."""
+    values = np.append(text.values(0, text.n), U(0)) | U(1)
+    doc = text.doc_of(first)
+    before = np.where(first > text.at[doc], values[first - 1], U(0))
+    return before, np.where(stop < text.at[doc + 1], values[stop], U(0))
+
+
+def graph_claims(text: Text, found: Proposed) -> dict:
+    """Every occurrence of a path elsewhere, to the block of its source: occurrences alike are one with their number."""
+    n = found.count + text.k - 1
+    before, after = _beside(text, found.first, found.first + n)
+    raw = text.digests(found.first, n)
+    digest = np.array(raw, "S32") if raw else np.zeros(0, "S32")
+    order = np.lexsort((digest, after, before, n, found.source))
+    new = _heads(found.source[order], n[order], before[order], after[order], digest[order])
+    head = order[new]
+    times = np.diff(np.append(np.flatnonzero(new), len(order)))
+    block, lo = np.unique(found.source[head] >> PLACE_BITS, return_index=True)
+    cut = [*lo.tolist(), len(head)]
+    rows = list(zip(cut, cut[1:], strict=False))
+    cols = {"place": found.source[head] & PLACE, "count": found.count[head], "times": times, "before": before[head], "after": after[head]}
+    own = [raw[i] for i in head.tolist()]
+    return {"block": block.tolist(), **{c: [pack(x[i:j]) for i, j in rows] for c, x in cols.items()}, "digest": [b"".join(own[i:j]) for i, j in rows]}
+
+
+def graph_paths(text: Text, claims: pa.Table) -> pa.Table:
+    """The paths of the graph whose first places are in this block, compacted as far as no node branches.
+
+    Each claim is an occurrence of a run of edges that start here. Between two places where an occurrence
+    begins or ends, every occurrence of an edge goes on to the next one, so the edges are one path; the
+    degrees of its end nodes are the numbers of distinct symbols before and after them.
+    """
+    place, count, times = (_join(claims.column(c), np.int64)[0] for c in ("place", "count", "times"))
+    before, after = (_join(claims.column(c), U)[0] for c in ("before", "after"))
+    told, k = b"".join(claims.column("digest").to_pylist()), text.k
+    _confirm(b"".join(text.digests(place, count + k - 1)) == told)
+    stop = place + count
+    cut, where = np.unique(np.concatenate([place, stop]), return_inverse=True)
+    step = np.zeros(len(cut), np.int64)
+    np.add.at(step, where, np.concatenate([times, -times]))
+    cover = np.cumsum(step)
+    some = np.flatnonzero(cover > 0)
+    first, last = cut[some], cut[some + 1]
+
+    def degrees(at: np.ndarray, node: np.ndarray, beside: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Distinct symbols beside each node, the source's own included."""
+        x, y = np.concatenate([node, at]), np.concatenate([beside, own])
+        x, y = x[y > 0], y[y > 0]
+        order = np.lexsort((y, x))
+        found = x[order][_heads(x[order], y[order])]
+        return np.searchsorted(found, at, side="right") - np.searchsorted(found, at)
+
+    own = _beside(text, first, last + k - 1)
+    doc = text.doc_of(first)
+    ids = text.ids.take(pa.array(doc))
+    cols = (first - text.at[doc], last - first + k - 1, cover[some] + 1, degrees(first, place, before, own[0]), degrees(last, stop, after, own[1]))
+    return pa.table([ids, *(pa.array(c, pa.int64()) for c in cols)], names=[x.split()[0] for x in PATHS.split(", ")])
+
+
+def find_paths(docs: DataFrame, words: bool, k: int, s: int) -> DataFrame:
+    """PATHS: the compacted De Bruijn graph of the windows that come again in a document of greater id.
+
+    A path is told where it comes first; a window that a document repeats itself counts there once.
+    """
+    by_block, read, verdicts = _verdicts(docs, words, k, s, False)
+
+    def claims(table: pa.Table, found: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _table({}, GRAPH)
+        text = read(table)
+        return _table(graph_claims(text, Proposed(Pieces(text, s), Verdicts(found), False)), GRAPH)
+
+    def paths(table: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.schema([(x.split()[0], pa.int64()) for x in PATHS.split(", ")]).empty_table()
+        return graph_paths(read(table), asked)
+
+    claimed = by_block.cogroup(verdicts.groupBy("block")).applyInArrow(claims, GRAPH)
+    return by_block.cogroup(claimed.groupBy("block")).applyInArrow(paths, PATHS)
+
+
 def _confirm(same: bool) -> None:
     if not same:
         raise RuntimeError("two different texts have one 64-bit hash; run again (hashes are salted anew)")

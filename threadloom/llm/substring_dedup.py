@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import Marked, Text, find_repeats
+from .anchors import Marked, Text, find_paths, find_repeats
 
 ANCHOR_WORDS = 4
 
@@ -80,3 +80,15 @@ def digest_repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     """remove_repeated_spans with the kept words' digest in place of the text and spans."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return find_repeats(docs, True, k, ANCHOR_WORDS, False, _emit(False), schema)
+
+
+def repeated_paths(docs: DataFrame, k: int = 13) -> DataFrame:
+    """The De Bruijn graph of repeated windows, compacted: doc_id, start, n_symbols, occurrences, in_degree, out_degree.
+
+    Edges are windows of k words that come again in a document of greater id. A row is a maximal run of
+    them through which all their occurrences go together, at its first place (least doc_id, then position):
+    start and n_symbols count words, occurrences the places it comes at (of windows that the first document
+    repeats itself only the first), the degrees the distinct words before its first and after its last node.
+    Rows of one id are no repeats of each other; null ids rank last; an empty table gives an empty one.
+    """
+    return find_paths(docs, True, k, ANCHOR_WORDS)
