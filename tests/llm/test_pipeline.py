@@ -3,10 +3,11 @@
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from threadloom.llm import queries
+from threadloom.llm import ann, queries, simhash
 from threadloom.llm.common import materialise
 
 from . import brute
@@ -47,6 +48,22 @@ def test_odd_documents_pass_all_stages(spark, folder):
         assert (now.count() > 0) == (rows.count() > 0)
 
 
+def test_stages_leave_clashing_columns_alone(spark, folder):
+    """Columns that are called like the stages' own."""
+    names = ["_null", "none", "c0", "carried", "_carried", "block", "rank", "at", "family", "fold", "fingerprint", "_row_1", "n_chars_1", "root", "least", "_"]
+    docs = brute.frame(spark).select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = materialise(stage(spark, now, folder))
+        assert now.columns == docs.columns and now.select(*names).distinct().collect() == docs.select(*names).distinct().collect()
+    assert materialise(corpus_pipeline.STAGES[-1][1](spark, now, folder)).count() == now.count() > 0
+    ids = lambda df: sorted((r["doc_id"] or -1) for r in df.collect())
+    assert ids(now) == ids(simhash.keep_one_of_each(brute.frame(spark)))
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    clashing = vectors.select("*", *(F.lit(1).alias(c) for c in ("cell", "leaf", "v", "n", "d", "leaves", "query_id", "q", "score")))
+    assert sorted(map(tuple, ann.nearest(clashing).collect())) == sorted(map(tuple, ann.nearest(vectors).collect())) != []
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_sql_says_the_same(spark, folder, name):
     c = duckdb.connect()

@@ -226,7 +226,10 @@ def speculator(spec: str) -> Speculator:
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """doc_id, ids (array<int>) and decoded text of every row; see digest_documents for the cases."""
+    """doc_id, ids (array<int>) and decoded text of every row.
+
+    Null or empty text: no ids and an empty text. The other cases are those of digest_documents.
+    """
     return _map(docs, vocabulary_path, "doc_id long, ids array<int>, decoded string", _full)
 
 

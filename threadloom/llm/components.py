@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large stars tie every greater neighbour to the least one, small stars every lesser; alternating,
     the edges become one star for each component in a number of rounds that grows as the logarithm of
-    its size. Minima are combined before the shuffle and the joins are sort-merge joins that adaptive
+    its size. Self-links, repeated and reversed pairs count once, pairs with a null are ignored, and an empty
+    table gives an empty one. Minima are combined before the shuffle and the joins are sort-merge joins that adaptive
     execution splits, so a hub is no hot task. Each round is written to the shared folder.
     """
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

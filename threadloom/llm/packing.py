@@ -18,7 +18,11 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut_documents(docs: DataFrame, vocabulary_path: str, room: int = 1024, end_id: int = 2) -> DataFrame:
-    """Pieces of at most room tokens: a document's ids and end_id; of a longer one the first is shorter."""
+    """Pieces of at most room tokens: a document's ids and end_id; of a longer one the first is shorter.
+
+    Null or empty text: end_id alone. Null ids stay null, repeated rows give repeated rows, an empty table
+    an empty one; other columns are ignored.
+    """
     spark = docs.sparkSession
     prepare(spark)
     spec = broadcast_spec(spark, vocabulary_path)

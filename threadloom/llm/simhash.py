@@ -16,7 +16,6 @@ from .components import components
 RADIUS = 3
 SMALL = 24  # members of a bucket that are compared pair by pair
 BUCKET_BYTES = 1 << 19
-ROW = ("_row_1", "_row_2")  # hashes of a whole row
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -137,6 +136,8 @@ def link_buckets(mask: np.ndarray, key: np.ndarray, x: np.ndarray, masks: list[i
 def link(nodes: DataFrame) -> DataFrame:
     """Distinct fingerprints -> links (a, b) whose components are those of all pairs within 3 bits.
 
+    No fingerprints, or one, give no links; there are no null or repeated ones, as `near_duplicates` groups them.
+
     Each fingerprint enters one bucket for each of 15 masks. Buckets are dealt by their key, a copy
     group being one fingerprint already; a bucket holds distinct values that agree on over half of the
     bits, and its work is linear in them.
@@ -195,8 +196,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     apart by two 64-bit hashes of the whole row (maps aside), the lesser stays; rows alike are one.
     """
     whole = [x for c, t in docs.dtypes if "map<" not in t for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
-    keyed = docs.withColumns({c: F.xxhash64(F.lit(c), *whole) for c in ROW})
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *ROW))
-    rooted = _rooted(materialise(fingerprints(keyed, ROW)), first)
-    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(*(F.col("least")[c].alias(c) for c in ROW))
-    return keyed.join(kept, list(ROW), "left_semi").dropDuplicates(list(ROW)).drop(*ROW)
+    row = tuple(f"{max(docs.columns, key=len)}_{i}" for i in (1, 2))  # no column has such a name
+    keyed = docs.withColumns({c: F.xxhash64(F.lit(i), *whole) for i, c in enumerate(row)})
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *(F.col(f"`{c}`").alias(f"h{i}") for i, c in enumerate(row))))
+    rooted = _rooted(materialise(fingerprints(keyed, row)), first)
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(*(F.col("least")[f"h{i}"].alias(c) for i, c in enumerate(row)))
+    return keyed.join(kept, list(row), "left_semi").dropDuplicates(list(row)).drop(*row)

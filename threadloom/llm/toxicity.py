@@ -387,6 +387,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that aren't predicted toxic, all columns as they are.
 
+    Null and empty texts are scored as texts without voters, rows without an id like others; repeated rows
+    stay or go together, and an empty table stays empty. Labels are those of score_documents.
+
     The scorer runs where the rows are, so nothing is shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))

@@ -65,6 +65,9 @@ def tokens(host: Column, path: Column) -> Column:
 def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
     """rule_id, antecedent, verdict, confidence, support of the rules of a table (tokens, label).
 
+    Rows are counted as often as they come; null or empty token sets count and support no rule. An empty
+    table, or one whose labels nothing tells apart, gives an empty one.
+
     Spark's FP-growth finds the frequent token sets. Tokens below the support are dropped first, which
     no frequent set can hold. Tokens of the same URLs (all folders of one long path) are mined as one, as
     together they say no more than each alone, and each stands in for it in the rules. A rule is dropped if a part of its antecedent says the same with no less
@@ -127,7 +130,7 @@ def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(key, tokens) -> key, mined verdict and rule of those that a rule fits: the most confident, then best
-    supported, longest, first in order.
+    supported, longest, first in order. Keys without tokens, or without a rule that fits, have no row.
 
     The inverted index lists each rule under its rarest token, by support. Distinct token sets are
     matched once, so a host that fills the table costs one lookup.
