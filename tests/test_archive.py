@@ -362,3 +362,14 @@ def test_uploads_are_of_their_own_stream(spark):
     a = Archive(spark, tables)
     assert [r["stream_name"] for r in S.attachments(a).collect()] == ["then"]
     assert S.attachments(a, stream="now").count() == 0
+
+
+@pytest.mark.parametrize("query", ["deploy", "deploy OR database", "(deploy AND ci) OR bug", "deploy NOT ci", "data* OR onboard*", "^found", "topic_name : database", "(onboarding NOT docker) OR (deploy AND passed)", "nowhere OR deploy"])
+def test_counts_judge_like_places(chat, query, monkeypatch):
+    index = T.message_index(chat)
+    found = lambda: {r["rowid"]: r["bm25"] for r in index.scores(query).collect()}
+    assert T._plain(index.parse(query)) and not T._plain(index.parse('"two words"')) and not T._plain(index.parse("NEAR(a b, 3)"))
+    by_counts = found()
+    monkeypatch.setattr(T, "_plain", lambda node: False)
+    by_places = found()
+    assert by_counts.keys() == by_places.keys() != set() and all(by_counts[k] == pytest.approx(by_places[k]) for k in by_counts)

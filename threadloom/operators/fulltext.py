@@ -11,7 +11,7 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from ..archive import Archive
@@ -145,6 +145,33 @@ class FullTextIndex:
         """rowid, bm25 of the rows that match; statistics are those of the whole table."""
         node = self.parse(query)
         phrases = node.all_phrases()
+        postings = self._postings(phrases)
+        found = postings.where(F.col("bucket") != LENGTHS).groupBy("rowid")
+        judged = self._judged_by_counts(found, node) if _plain(node) else self._judged_by_places(found, node)
+        have = judged.agg(*(F.coalesce(F.sum(F.col("j.present")[i]), F.lit(0)).alias(f"p{i}") for i in range(len(phrases))))
+        size = postings.where(F.col("bucket") == LENGTHS).agg(
+            F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")
+        )
+        one = F.broadcast(have.crossJoin(size))  # one row each
+        total: Column = F.lit(0.0)
+        for i in range(len(phrases)):
+            idf = F.log((F.col("rows") - F.col(f"p{i}") + 0.5) / (F.col(f"p{i}") + 0.5))
+            tf = F.col("j.tf")[i].cast("double")
+            long = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n") * F.col("rows") / F.col("words"))
+            total = total + F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * (tf * F.lit(K1 + 1)) / (tf + long)
+        return judged.where("j.matched").crossJoin(one).select("rowid", total.alias("bm25"))
+
+    def _judged_by_counts(self, found: GroupedData, node: Node) -> DataFrame:
+        """rowid, n and j (matched, present, tf) of a query of single words: counts say all, no places are compared."""
+        phrases = node.all_phrases()
+        counts = [F.sum(_count_of(p, self.columns)).alias(f"c{i}") for i, p in enumerate(phrases)]
+        ok, tf = _tree(node, iter([F.col(f"c{i}") for i in range(len(phrases))]))
+        present = [(F.col(f"c{i}") > 0).cast("int") for i in range(len(phrases))]
+        j = F.struct(ok.alias("matched"), F.array(*present).alias("present"), F.array(*tf).alias("tf"))
+        return found.agg(F.first("n").alias("n"), *counts).select("rowid", "n", j.alias("j"))
+
+    def _judged_by_places(self, found: GroupedData, node: Node) -> DataFrame:
+        """The same of any query, row by row."""
         columns = self.columns
 
         @F.pandas_udf("struct<matched:boolean,present:array<int>,tf:array<int>>")
@@ -159,24 +186,9 @@ class FullTextIndex:
                 rows.append((ok, present, [sum(map(len, h.values())) for h in hits]))
             return pd.DataFrame(rows, columns=["matched", "present", "tf"])
 
-        postings = self._postings(phrases)
         # at most the query's terms of one row come together
-        found = postings.where(F.col("bucket") != LENGTHS).groupBy("rowid").agg(
-            F.first("n").alias("n"), F.collect_list(F.struct("term", "col", "positions")).alias("found")
-        )
-        judged = staged(found.select("rowid", "n", judge("found").alias("j")))  # judged once, read twice
-        have = judged.agg(*(F.coalesce(F.sum(F.col("j.present")[i]), F.lit(0)).alias(f"p{i}") for i in range(len(phrases))))
-        size = postings.where(F.col("bucket") == LENGTHS).agg(
-            F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")
-        )
-        one = F.broadcast(have.crossJoin(size))  # one row each
-        total: Column = F.lit(0.0)
-        for i in range(len(phrases)):
-            idf = F.log((F.col("rows") - F.col(f"p{i}") + 0.5) / (F.col(f"p{i}") + 0.5))
-            tf = F.col("j.tf")[i].cast("double")
-            long = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n") * F.col("rows") / F.col("words"))
-            total = total + F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * (tf * F.lit(K1 + 1)) / (tf + long)
-        return judged.where("j.matched").crossJoin(one).select("rowid", total.alias("bm25"))
+        each = found.agg(F.first("n").alias("n"), F.collect_list(F.struct("term", "col", "positions")).alias("found"))
+        return staged(each.select("rowid", "n", judge("found").alias("j")))  # judged once, read twice
 
     def snippets(self, rows: DataFrame, column: str, query: str, out: str = "snippet", size: int = 20) -> DataFrame:
         """A column of excerpts of `column` around the query's hits; for few rows, as after a limit."""
@@ -189,6 +201,35 @@ class FullTextIndex:
         return rows.withColumn(out, cut(F.col(column)))
 
 
+def _plain(node: Node) -> bool:
+    """Whether the query has no phrase of several words and no NEAR."""
+    if node.kind == "near":
+        return len(node.phrases) == 1 and len(node.phrases[0].terms) < 2
+    return all(_plain(x) for x in node.parts)
+
+
+def _count_of(p: Phrase, columns: tuple[str, ...]) -> Column:
+    """How often a posting has a phrase of one word."""
+    if not p.terms:
+        return F.lit(0)
+    own = F.col("term").startswith(p.terms[0]) if p.prefix else F.col("term") == p.terms[0]
+    if p.columns is not None:
+        own = own & F.col("col").isin([i for i, c in enumerate(columns) if c in p.columns])
+    times = F.array_contains("positions", 0).cast("int") if p.first else F.size("positions")
+    return F.when(own, times).otherwise(0)
+
+
+def _tree(node: Node, counts: Iterator[Column]) -> tuple[Column, list[Column]]:
+    """Whether a row matches, and how often each phrase counts: not at all in a part of the query that fails."""
+    if node.kind == "near":
+        c = next(counts)
+        return c > 0, [c]
+    (a, x), (b, y) = [_tree(part, counts) for part in node.parts]
+    ok = {"and": a & b, "or": a | b, "not": a & ~b}[node.kind]
+    none = F.lit(0).cast("long")
+    return ok, [*(F.when(ok, c).otherwise(none) for c in x), *(none if node.kind == "not" else F.when(ok, c).otherwise(none) for c in y)]
+
+
 def bucket_of(term: str) -> int:
     return zlib.crc32(term.encode()) % BUCKETS
 
