@@ -252,7 +252,7 @@ def _count(rows: DataFrame) -> DataFrame:
             own, group = b.column(0).to_numpy().astype(U), 2 * b.column(3).to_numpy() + b.column(2).to_numpy()
             name = mixed(own + U(1)).astype(np.uint16)
             texts = lowered(b.column(1).to_pylist())
-            for lo, hi in _runs(texts, 1 << 20):  # the features of a whole batch would take too much memory
+            for lo, hi in _runs(texts, 1 << 19):  # the features of a whole batch would take too much memory
                 doc, gram = grams(texts[lo:hi])
                 if not len(doc):
                     continue
