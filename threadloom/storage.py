@@ -23,12 +23,18 @@ def staged(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     This cuts lineage and survives lost executors. The files go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/threadloom/{uuid.uuid4().hex}"
+    path = fresh_folder(spark)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """The name of a new folder in the shared one; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/threadloom/{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def spread(df: DataFrame) -> DataFrame:
