@@ -171,14 +171,15 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, room: int = 1024, end_
     packed each. An empty table gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = materialise(cut_documents(docs, vocabulary_path, room, end_id))
+    cut = cut_documents(docs, vocabulary_path, room, end_id)
+    pieces = materialise(cut.withColumn("salt", F.monotonically_increasing_id()))  # tells like rows apart
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     histogram = np.zeros(room + 1, np.int64)
     for k, n in counts.items():
         histogram[k] = n
     slots = spark.sparkContext.broadcast(_slots(plan_sequences(histogram)))
     blocks = max(64, int(histogram.sum()) // ROWS_A_BLOCK)
-    blocked = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
+    blocked = pieces.withColumn("block", F.pmod(F.xxhash64("salt"), F.lit(blocks)).cast("int"))
     before = (
         blocked.groupBy("length", "block")
         .agg(F.count("*").alias("n"))
@@ -188,7 +189,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, room: int = 1024, end_
             (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"),
         )
     )
-    own = Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32", "salt")
     ranked = (
         blocked.withColumn("own", F.row_number().over(own) - 1)
         .join(before, ["length", "block"])

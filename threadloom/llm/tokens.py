@@ -12,6 +12,8 @@ from pyspark.sql import SparkSession
 
 # The byte-level pre-tokenizer's pattern in the terms of Python's re; right for SAFE texts only.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# Longer runs of white space overflow the stack of the fast encoder's regex engine.
+LONG_SPACE = re.compile(r"(?<!\s)\s{5000}")
 # A character outside these ranges may be classed differently by the library's regex engine.
 UNSAFE = re.compile(
     "[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-Ρα-ωА-я"
@@ -78,6 +80,9 @@ class ByteLevel:
 
     def ids(self, text: str) -> np.ndarray:
         """All ids of a text as the library gives them."""
+        if LONG_SPACE.search(text):
+            pieces = ([self.special[x]] if x in self.special else self.exact(x.encode()) for x in self.pretokens(text))
+            return np.array([i for own in pieces for i in own], np.uint32)
         if not UNSAFE.search(text):
             return self.tiktoken.encode_to_numpy(text, allowed_special="all")
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
