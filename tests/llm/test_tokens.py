@@ -120,6 +120,39 @@ def test_the_corpus_and_a_very_long_text(spark, folder):
         assert got[d] == (len(own), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_long_white_space_and_long_words(spark):
+    """Runs that overflow a backtracking regex engine, next to words and alone."""
+    rnd = random.Random(8)
+    mixed = "".join(rnd.choice(" \t\n") for _ in range(2_000_000))
+    rows = [(1, "\n" * 1_000_000), (2, mixed), (3, "a" * 1_000_000), (4, "é <|endoftext|>" + " " * 20_000 + "☃ x"), (5, "a" + " " * 4999 + "b"), (6, "b" + "\u3000" * 9000 + "c")]
+    df = brute.frame(spark, rows)
+    lengths = {d: len(ids(t)) for d, t in rows}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, PATH).collect()} == lengths
+    assert {r["doc_id"]: r["n_tokens"] for r in bpe.digest_documents(df, PATH).collect()} == lengths
+    packed = packing.pack_documents(df, PATH).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {r[0]: r[1] - 1 for r in packed} == lengths
+
+
+def test_packing_ids_of_the_corpus(spark, folder):
+    """Every piece's checksum, over the whole small table, against the library's ids."""
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    own = {r["doc_id"]: np.array([*ids(r["text"]), 2], "<u4") for r in df.collect()}
+    for r in packing.pack_documents(df, PATH).collect():
+        assert r["ids_crc32"] == zlib.crc32(own[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+
+
+def test_packing_of_like_rows(spark):
+    """A third of the rows alike and without an id are dealt over all blocks, and each has a place of its own."""
+    rows = [(None if i % 3 == 0 else i, "same text" if i % 3 == 0 else f"text {i}") for i in range(3000)]
+    out = packing.pack_documents(brute.frame(spark, rows).repartition(4), PATH).collect()
+    assert len(out) == 3000 == len({(r["sequence_id"], r["offset"]) for r in out})
+    ends = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert ends.get(r["sequence_id"], 0) == r["offset"]
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 1024
+
+
 def test_packing_of_the_corpus(spark, folder):
     """Sequences of the whole table against the volume bound; every piece has its place."""
     df = spark.read.parquet(f"{folder}/documents.parquet")

@@ -17,30 +17,37 @@ WHOLE = -1
 BOUNDS = ("below_min", "below_max", "upto_min", "upto_max")
 
 
-def exact_ranks(values: DataFrame, keys: list[str], x: str = "x", times: str = "times") -> DataFrame:
-    """keys, x, below, upto, place, n, distinct: of each distinct x of a key how many values lie below and up
-    to it, and which of the key's distinct ones it is.
-
-    A range sort of all rows of distinct (key, x), wherever keys begin and end, so a key with a third of the
-    rows fills a third of the partitions. Each partition counts by itself; offsets are running sums of the
-    partitions' totals, one row for each key in each partition.
+def exact_ranks(values: DataFrame, by: list[str], batch: str) -> DataFrame:
+    """by, batch, x, below, upto, place, n, distinct of rows of distinct (by, batch, x) and `times`: how many values of
+    the batch lie below and up to x, which of its distinct ones x is, and of how many; whole_below, whole_upto and
+    whole_n say the same of all batches of `by` together, whole_first whether the row is the first of its x there.
+
+    One range sort of all rows by (by, x), wherever keys begin and end, so a key with a third of the rows fills a
+    third of the partitions. Each partition counts by itself; offsets are running sums of the partitions'
+    totals, one row for each key in each partition.
     """
-    dealt = values.repartitionByRange(*keys, x).withColumn("pid", F.spark_partition_id())
-    ranged = materialise(dealt.sortWithinPartitions(*keys, x))
-    totals = ranged.groupBy(*keys, "pid").agg(F.sum(times).alias("t"), F.count("*").alias("d"))
-    own = Window.partitionBy(*keys)
-    before = own.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, batch]
+    dealt = values.select(*keys, "x", "times").repartitionByRange(*by, "x").withColumn("pid", F.spark_partition_id())
+    ranged = materialise(dealt.sortWithinPartitions(*by, "x", batch))
+    totals = ranged.groupBy(*by, "pid", batch).agg(F.sum("times").alias("t"), F.count("*").alias("d"))
     nothing = F.lit(0).cast("long")
+    own, every = Window.partitionBy(*keys), Window.partitionBy(*by)
+    before = own.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = every.orderBy("pid").rangeBetween(Window.unboundedPreceding, -1)  # all batches' rows of the partitions before
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w), nothing)
     offsets = totals.select(
-        *keys, "pid", F.coalesce(F.sum("t").over(before), nothing).alias("t0"), F.coalesce(F.sum("d").over(before), nothing).alias("d0"),
-        F.sum("t").over(own).alias("n"), F.sum("d").over(own).alias("distinct"),
+        *keys, "pid", so_far("t", before).alias("t0"), so_far("d", before).alias("d0"), F.sum("t").over(own).alias("n"), F.sum("d").over(own).alias("distinct"),
+        so_far("t", earlier).alias("w0"), F.sum("t").over(every).alias("whole_n"),
     )
-    here = Window.partitionBy(*keys, "pid").orderBy(x)
-    upto = F.col("t0") + F.sum(times).over(here.rowsBetween(Window.unboundedPreceding, 0))
-    joined = _null_safe(ranged, offsets, [*keys, "pid"])
+    joined = _null_safe(ranged, offsets, [*by, "pid", batch])
+    here = Window.partitionBy(*by, "pid")
+    mine = Window.partitionBy(*by, "pid", batch).orderBy("x")
+    rows = Window.unboundedPreceding, 0
+    upto, whole = F.col("t0") + F.sum("times").over(mine.rowsBetween(*rows)), F.col("w0") + F.sum("times").over(here.orderBy("x").rangeBetween(*rows))
     return joined.select(
-        *keys, F.col(x).alias("x"), (upto - F.col(times)).alias("below"), upto.alias("upto"),
-        (F.col("d0") + F.row_number().over(here)).alias("place"), "n", "distinct",
+        *keys, "x", (upto - F.col("times")).alias("below"), upto.alias("upto"), (F.col("d0") + F.row_number().over(mine)).alias("place"), "n", "distinct",
+        whole.alias("whole_upto"), (whole - F.sum("times").over(Window.partitionBy(*by, "pid", "x"))).alias("whole_below"), "whole_n",
+        (F.row_number().over(Window.partitionBy(*by, "pid", "x").orderBy(batch)) == 1).alias("whole_first"),
     )
 
 
@@ -101,18 +108,28 @@ def merge(summaries: DataFrame, keys: list[str], batch: str, most: int = MOST_PO
     return merged.withColumn("_held", (F.col("points") <= most) | thin).where("_held").select(*keys, "n", "x", *BOUNDS)
 
 
+def _targets(n: Column, parts: int) -> list[Column]:
+    return [F.ceil(F.lit(i) * n / parts) for i in range(1, parts)]
+
+
 def estimate(summaries: DataFrame, keys: list[str], parts: int, least: int = 20) -> DataFrame:
-    """keys, n, points, i, target, answer of every summary of at least `least` rows, for i in 1..parts-1: target is
-    ceil(i n / parts), answer the point whose rank is sure to be nearest to it, the least of several.
+    """keys, n, points, i, target, answer and the answer's BOUNDS of every summary of at least `least` rows, for i in
+    1..parts-1: target is ceil(i n / parts), answer the point whose rank is sure to be nearest to it, the least of several.
 
     Answers don't decrease with i: rank intervals of greater points lie higher.
     """
-    targets = [F.ceil(F.lit(i) * F.col("n") / parts) for i in range(1, parts)]
+    targets = _targets(F.col("n"), parts)
     off = lambda t: F.greatest(F.lit(0).cast("long"), F.col("below_max") + 1 - t, t - F.col("upto_min"))
-    best = [F.min(F.struct(off(t), F.col("x"))).alias(f"a{i}") for i, t in enumerate(targets, 1)]
+    best = [F.min(F.struct(off(t), F.col("x").alias("answer"), *BOUNDS)).alias(f"a{i}") for i, t in enumerate(targets, 1)]
     found = summaries.where(F.col("n") >= least).groupBy(*keys, "n").agg(F.count("*").alias("points"), *best)
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), targets[i - 1].alias("target"), F.col(f"a{i}")["x"].alias("answer")) for i in range(1, parts))))
-    return found.select(*keys, "n", "points", each.alias("e")).select(*keys, "n", "points", "e.*")
+    each = [F.struct(F.lit(i).alias("i"), t.alias("target"), *(F.col(f"a{i}")[c].alias(c) for c in ("answer", *BOUNDS))) for i, t in enumerate(targets, 1)]
+    return found.select(*keys, "n", "points", F.explode(F.array(*each)).alias("e")).select(*keys, "n", "points", "e.*")
+
+
+def exact_quantiles(ranks: DataFrame, keys: list[str], n: str, below: str, upto: str, parts: int, least: int) -> DataFrame:
+    """keys, i, exact_x: the x of `exact_ranks` that hold the targets."""
+    hit = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), t.alias("t")) for i, t in enumerate(_targets(F.col(n), parts), 1))), lambda s: (s["t"] > F.col(below)) & (s["t"] <= F.col(upto)))
+    return ranks.where(F.col(n) >= least).select(*keys, F.col("x").alias("exact_x"), F.explode(F.transform(hit, lambda s: s["i"])).alias("i"))
 
 
 def quantiles_of_batches(rows: DataFrame, by: list[str], batch: str, parts: int = 4, allowed: int = 20, least: int = 20) -> DataFrame:
@@ -125,17 +142,16 @@ def quantiles_of_batches(rows: DataFrame, by: list[str], batch: str, parts: int
     """
     keys = [*by, batch]
     counted = rows.groupBy(*keys, "x").agg(F.sum("times").alias("times"))
-    both = counted.unionByName(counted.withColumn(batch, F.lit(WHOLE)))
-    every = both.groupBy(*keys, "x").agg(F.sum("times").alias("times"))
-    ranks = materialise(exact_ranks(every.select(*keys, "x", "times"), keys))
-    own = materialise(summarise(ranks.where(F.col(batch) != WHOLE), keys))
-    merged = merge(own, by, batch).withColumn(batch, F.lit(WHOLE))
-    told = materialise(estimate(own.unionByName(merged), keys, parts, least))
-    at = [F.ceil(F.lit(i) * F.col("n") / parts) for i in range(1, parts)]
-    hit = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), t.alias("t")) for i, t in enumerate(at, 1))), lambda s: (s["t"] > F.col("below")) & (s["t"] <= F.col("upto")))
-    exact = ranks.where(F.col("n") >= least).select(*keys, F.col("x").alias("exact_x"), F.explode(F.transform(hit, lambda s: s["i"])).alias("i"))
-    counts = ranks.where(F.col("n") >= least).select(*keys, F.col("x").alias("answer"), F.col("below").alias("n_below"), F.col("upto").alias("n_upto"))
-    out = _null_safe(_null_safe(told, counts, [*keys, "answer"]), exact, [*keys, "i"])
+    ranks = materialise(exact_ranks(counted, by, batch))
+    own = materialise(summarise(ranks, keys))
+    whole = ranks.where("whole_first")
+    # a batch's summary knows its points' ranks; those of the whole's answers are looked up among all rows
+    parts_ = estimate(own, keys, parts, least).withColumnsRenamed({"below_min": "n_below", "upto_min": "n_upto"}).drop("below_max", "upto_max")
+    counts = whole.where(F.col("whole_n") >= least).select(*by, F.col("x").alias("answer"), F.col("whole_below").alias("n_below"), F.col("whole_upto").alias("n_upto"))
+    all_ = _null_safe(estimate(merge(own, by, batch), by, parts, least).drop(*BOUNDS), counts, [*by, "answer"])
+    told = _null_safe(parts_, exact_quantiles(ranks, keys, "n", "below", "upto", parts, least), [*keys, "i"])
+    told_all = _null_safe(all_, exact_quantiles(whole, by, "whole_n", "whole_below", "whole_upto", parts, least), [*by, "i"])
+    out = told.unionByName(told_all.withColumn(batch, F.lit(WHOLE)))
     error = F.greatest(F.lit(0).cast("long"), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto"))
     out = out.withColumn("rank_error", error).withColumn("within", 1000 * F.col("rank_error") <= allowed * F.col("n"))
     return out.select(*keys, "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", "within")
