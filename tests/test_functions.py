@@ -1,7 +1,11 @@
 """Rendered messages, vectors, times, settings, locks."""
 
+import json
+import threading
+import time
 from dataclasses import replace
 from datetime import UTC, datetime
+from http.server import BaseHTTPRequestHandler, HTTPServer, ThreadingHTTPServer
 
 import numpy as np
 import pytest
@@ -148,13 +152,8 @@ def test_retries():
 
 def test_rest_source(spark):
     """Two streams and direct messages read from a server by Spark."""
-    import json
-    import threading
-    from http.server import BaseHTTPRequestHandler, HTTPServer
     from urllib.parse import parse_qs, urlsplit
 
-    from threadloom.sources import rest
-
     held = {"general": [1, 2, 3, 4, 5], "dev": [7], "": [9]}
 
     class Handler(BaseHTTPRequestHandler):
@@ -202,7 +201,94 @@ def test_a_failing_stream_gives_what_it_had_and_a_mark():
 
 def test_downloads_come_in_chunks():
     client = Client("https://a", "e", "k", stream=lambda m, u, h: Response(200, {}, iter([b"ab", b"c"])))
-    assert list(client.download("/user_uploads/1/x")) == [b"ab", b"c"]
+    body, kind = client.download("/user_uploads/1/x")
+    assert (list(body), kind) == ([b"ab", b"c"], "")
+
+
+class Server:
+    """A chat server on this machine that counts how many requests it has at a time; `answer` gives (headers, body)."""
+
+    def __init__(self, answer):
+        self.now = self.most = self.asked = 0
+        self.lock = threading.Lock()
+        outer = self
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):  # noqa: N802
+                with outer.lock:
+                    outer.now, outer.asked = outer.now + 1, outer.asked + 1
+                    outer.most = max(outer.most, outer.now)
+                headers, body = answer(self.path)
+                with outer.lock:  # before the answer, as the next request follows it at once
+                    outer.now -= 1
+                self.send_response(200)
+                for k, v in headers.items():
+                    self.send_header(k, v)
+                self.end_headers()
+                self.wfile.write(body)
+
+            def log_message(self, *_):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.server.server_port}"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.server.shutdown()
+
+
+def test_answers_that_break_off():
+    """Fewer bytes than told are an error, of downloads and of the interface, and only for the stream in question."""
+    whole = b'{"messages": [{"id": 7, "content": "y"}], "found_newest": true}'
+    cut = lambda path: ({"Content-Length": "1000", "Content-Type": "image/png"}, b"x" * 100) if "user_uploads" in path or "%22a%22" in path else ({"Content-Length": str(len(whole))}, whole)
+    with Server(cut) as server:
+        waits = []
+        client = Client(server.url, "e", "k", sleep=waits.append)
+        body, kind = client.download("/user_uploads/1/x.png")
+        assert kind == "image/png"
+        with pytest.raises(rest.CutShortError):
+            list(body)
+        with pytest.raises(rest.CutShortError):
+            client.get("/api/v1/messages", {"narrow": rest.stream_narrow("a")})
+        assert waits == [1, 2, 3, 4, 5]  # asked again as after any transport error
+        reader = rest._Reader({"url": server.url, "email": "e", "api_key": "k", "streams": '[[1, "a", 0], [2, "b", 0]]'})
+        reader.more = {"sleep": waits.append}
+        rows = [r for p in reader.partitions() for r in reader.read(p)]
+        assert sorted((r[1], r[7] == rest.FAILED) for r in rows) == [(1, True), (2, False)]
+
+
+def test_tasks_share_the_server(spark):
+    """Never more requests at a time than the settings allow, however many streams or uploads there are."""
+    page = b'{"messages": [{"id": 7, "content": "y"}], "found_newest": true}'
+
+    def answer(path):
+        time.sleep(0.05)
+        return {"Content-Length": str(len(page))}, page
+
+    spark.dataSource.register(rest.MessageSource)
+    with Server(answer) as server:
+        streams = json.dumps([[i, f"s{i}", 0] for i in range(12)])
+        rows = spark.read.format("chat_rest").options(url=server.url, email="e", api_key="k", streams=streams, concurrency=2).load()
+        assert rows.count() == 12 and server.asked == 12 and server.most <= 2
+    assert [len(p) for p in rest.packed(list(range(5)), 2)] == [3, 2] and rest.packed([], 2) == []
+
+
+def test_quota():
+    """Each of 4 tasks has a quarter of 60 requests a minute."""
+    now, waits = [0.0], []
+
+    def sleep(s):
+        waits.append(s)
+        now[0] += s
+
+    client = Client("https://a", "e", "k", lambda *_: Response(200, {}, b'{"members": []}'), sleep, gap=rest.gap(60, 4), clock=lambda: now[0])
+    for _ in range(3):
+        client.users()
+    assert waits == [4.0, 4.0] and rest.gap(0, 4) == 0
 
 
 def test_model_server():

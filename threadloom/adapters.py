@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .archive import Archive
 from .functions import columns as C
+from .operators.fulltext import rebuild_index
 from .operators.upsert import recompute_topics
-from .storage import spread
+from .storage import fresh_folder, spread
 
 AS_OF = datetime(2024, 3, 1, tzinfo=UTC)
 MODEL = "table"
@@ -88,6 +89,22 @@ def documents_archive(spark: SparkSession, folder: str) -> Archive:
     return _with_rollups(spark, streams, topics, messages, users, message_attachments=uploads, topic_embeddings=vectors)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_documents(spark: SparkSession, folder: str) -> Archive:
+    """documents_archive in the shared folder, with its full-text segments: written once in an application, then opened."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        root = fresh_folder(spark)
+        made = documents_archive(spark, folder)
+        archive = Archive.open(spark, root).commit({n: made.tables[n] for n in ("streams", "topics", "users", "messages", "message_attachments")})
+        with archive.lock():
+            rebuild_index(archive)
+        _STORED[key] = root
+    return Archive.open(spark, _STORED[key])
+
+
 def _with_rollups(spark: SparkSession, streams, topics, messages, users, **more) -> Archive:
     bare = Archive(spark, {"topics": topics, "messages": messages})
     rolled = recompute_topics(bare.topics, bare.messages)

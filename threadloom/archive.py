@@ -12,16 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .deploy import ship
-from .schema import INDEXES, SCHEMAS
+from .schema import DERIVED, SCHEMAS, SEGMENTS
 from .sources.lock import SharedLock, WriterLock
 
 #: tables kept in parts, by the message id in this column
 PARTED = {
     "messages": "id", "message_mentions": "message_id", "message_attachments": "message_id",
-    "message_postings": "rowid", "part_rollups": "first_message_id",
+    "part_rollups": "first_message_id",
 }
 PART_IDS = 1 << 20
-POSTING_FILES = 8  # of a bucket in a part
 KEEP_SECONDS = 24 * 3600
 WHOLE = "*"
 Pointer = dict[str, dict[str, str]]  # table -> part -> folder
@@ -49,7 +48,7 @@ class Archive:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], root: str | None = None, pointer: Pointer | None = None):
         self.spark, self.root, self.pointer = spark, root, pointer or {}
         self.tables = {n: _shaped(spark, n, tables.get(n)) for n in SCHEMAS}
-        self.tables |= {n: _shaped(spark, n, tables[n]) for n in INDEXES if n in tables}
+        self.tables |= {n: _shaped(spark, n, tables[n]) for n in DERIVED if n in tables}
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -62,17 +61,30 @@ class Archive:
         """The archive's present state; a new folder is an empty archive, with empty indexes."""
         ship(spark)
         pointer = _Store(spark, root).read()
-        tables = {n: _read(spark, root, n, list(p.values())) for n, p in pointer.items() if p}
+        tables = {n: _read(spark, root, n, list(p.values())) for n, p in pointer.items() if p and n not in SEGMENTS}
         if not pointer.get("messages"):
-            tables |= {n: _shaped(spark, n, None) for n in INDEXES}
-        # an index that some part of the messages lacks yet is none
-        partial = [n for n in INDEXES if n in PARTED and not pointer.get("messages", {}).keys() <= pointer.get(n, {}).keys()]
+            tables |= {n: _shaped(spark, n, None) for n in DERIVED}
+        # what some part of the messages lacks yet is as if there were none
+        partial = [n for n in DERIVED if not pointer.get("messages", {}).keys() <= pointer.get(n, {}).keys()]
         tables = {n: df for n, df in tables.items() if n not in partial}
         return cls(spark, tables, root, pointer)
 
-    def has(self, *indexes: str) -> bool:
+    def has(self, *derived: str) -> bool:
         """Whether these derived tables are kept."""
-        return all(n in self.tables for n in indexes)
+        return all(n in self.tables for n in derived)
+
+    @property
+    def indexed(self) -> bool:
+        """Whether there are full-text segments, or nothing yet that they would index."""
+        return self.root is not None and (not self.pointer.get("messages") or "message_totals" in self.pointer)
+
+    def segments(self, table: str, only: Sequence[str] | None = None) -> DataFrame:
+        """A table of the full-text segments (or of some of them), by one folder for each segment."""
+        folders = [f for seg, f in sorted(self.pointer.get(table, {}).items()) if only is None or seg in only]
+        if not folders:
+            return self.spark.createDataFrame([], SEGMENTS[table])
+        read = self.spark.read.option("basePath", f"{self.root}/{table}").schema(SEGMENTS[table])
+        return read.parquet(*(f"{self.root}/{f}" for f in folders))
 
     def some_parts(self, table: str, parts: Sequence[int], other: bool = False) -> DataFrame:
         """The rows of these parts of a table kept in parts (or of all others); only their folders are read."""
@@ -83,10 +95,14 @@ class Archive:
         paths = [f for p, f in self.pointer.get(table, {}).items() if (p in own) != other]
         return _shaped(self.spark, table, _read(self.spark, self.root, table, paths) if paths else None)
 
-    def commit(self, changed: dict[str, DataFrame], parts: Sequence[int] | None = None, locked: bool = False) -> Archive:
+    def commit(
+        self, changed: dict[str, DataFrame], parts: Sequence[int] | None = None, locked: bool = False,
+        added: Pointer | None = None, dropped: Sequence[str] = (),
+    ) -> Archive:
         """Writes new versions of tables and swaps the pointer, under the writer lock.
 
         parts: of tables kept in parts, `changed` has all rows of these parts, and the others stay.
+        added: folders of new full-text segments, already written; dropped: "table/segment" of those that go.
         ConflictError if another write came in between.
         """
         if self.root is None:
@@ -105,13 +121,15 @@ class Archive:
                     new[name] = {WHOLE: folder}
                     continue
                 rows = rows.withColumn("part", part_of(PARTED[name]))
-                if "term" in rows.columns:  # a search reads its terms' row groups
-                    dealt = rows.repartition("part", "bucket", F.pmod(F.xxhash64("rowid"), F.lit(POSTING_FILES)))
-                    rows = dealt.sortWithinPartitions("part", "bucket", "term", "rowid")
                 rows.write.partitionBy("part").parquet(f"{self.root}/{folder}")
                 made = {x.removeprefix("part="): f"{folder}/{x}" for x in store.names(folder) if x.startswith("part=")}
                 kept = {} if parts is None else {p: f for p, f in new.get(name, {}).items() if int(p) not in set(parts)}
                 new[name] = kept | made
+            for name, own in (added or {}).items():
+                new[name] = new.get(name, {}) | own
+            for gone in dropped:
+                table, seg = gone.split("/")
+                new.get(table, {}).pop(seg, None)
             store.write(new)
             store.clear({f for pointer in (self.pointer, new) for p in pointer.values() for f in p.values()})
         finally:
@@ -186,7 +204,7 @@ class _Store:
         whole = {f.split("/part=")[0] for f in keep}
         old = 1000 * (time.time() - KEEP_SECONDS)
         made = lambda f: self.fs.getFileStatus(self._path(f)).getModificationTime()
-        for table in (*SCHEMAS, *INDEXES):
+        for table in (*SCHEMAS, *DERIVED, *SEGMENTS):
             if not self.fs.exists(self._path(table)):
                 continue
             for folder in (f"{table}/{x}" for x in self.names(table)):
@@ -222,12 +240,12 @@ def _readable(df: DataFrame) -> bool:
 
 def _read(spark: SparkSession, root: str, name: str, folders: list[str]) -> DataFrame:
     """Folders of any version of a table; columns that an older one lacks are null."""
-    return spark.read.schema((SCHEMAS | INDEXES)[name]).parquet(*(f"{root}/{f}" for f in folders))
+    return spark.read.schema((SCHEMAS | DERIVED)[name]).parquet(*(f"{root}/{f}" for f in folders))
 
 
 def _shaped(spark: SparkSession, name: str, df: DataFrame | None) -> DataFrame:
     """The table's columns in order; ones that are missing are null."""
-    schema = (SCHEMAS | INDEXES)[name]
+    schema = (SCHEMAS | DERIVED)[name]
     if df is None:
         return spark.createDataFrame([], schema)
     have = set(df.columns)

@@ -293,13 +293,6 @@ def media_status_counts(spark, folder):
     return uploads.groupBy(F.coalesce("media_status", F.lit("")).alias("media_status")).agg(F.count("*").alias("n"))
 
 
-def _rebuilt_mentions(spark: SparkSession, folder: str, through_id: int | None = None) -> DataFrame:
-    a = A.events_archive(spark, folder)
-    html = F.expr(_SPAN.format(u="sender_id", e="id", t="content"))
-    a.tables["messages"] = a.messages.withColumn("content", html)
-    return U.rebuild_derived(a, through_id)["message_mentions"].select("message_id", "mentioned_user_id", "mentioned_name", "mention_kind")
-
-
 @query("SELECT event_id AS message_id, user_id AS mentioned_user_id, 'User ' || user_id AS mentioned_name, 'user' AS mention_kind FROM events WHERE user_id > 0")
 def derived_rows_rebuilt(spark, folder):
     a = A.events_archive(spark, folder)
@@ -458,7 +451,7 @@ def embed_and_search(spark, folder):
 
 # ---------------------------------------------------------------- full text
 
-# the unstemmed index in SQL: fields, word lists, lengths
+# the stored segments in SQL: fields, word lists, lengths; a stem is given by the words of the corpus that have it
 _WORDS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
 _FTS = (
     _DOC
@@ -472,22 +465,29 @@ g AS (SELECT *, len(w) + len(o) AS n, avg(len(w) + len(o)) OVER () AS avgn, coun
 )
 
 
-def _tf(word: str, prefix: bool = False) -> str:
-    hit = f"starts_with(x, '{word}')" if prefix else f"x = '{word}'"
-    return f"(len(list_filter(w, lambda x: {hit})) + len(list_filter(o, lambda x: {hit})))"
+def _is(word: str, x: str = "x") -> str:
+    """Whether a word of a list is one of some forms (a|b), or begins like one (a*)."""
+    return f"starts_with({x}, '{word[:-1]}')" if word.endswith("*") else f"{x} IN ('" + "', '".join(word.split("|")) + "')"
+
+
+def _tf(word: str) -> str:
+    return f"(len(list_filter(w, lambda x: {_is(word)})) + len(list_filter(o, lambda x: {_is(word)})))"
+
+
+def _idf_sql(have: str, rows: str = "rows") -> str:
+    return f"(CASE WHEN ln(({rows} - {have} + 0.5) / ({have} + 0.5)) <= 0 THEN 1e-6 ELSE ln(({rows} - {have} + 0.5) / ({have} + 0.5)) END)"
+
+
+def _term(i: int) -> str:
+    return f"{_idf_sql(f'c{i}')} * (t{i} * 2.2) / (t{i} + 1.2 * (0.25 + 0.75 * n / avgn))"
 
 
 def _bm25(*words: str) -> str:
     """Counts and the score's terms, as two more tables."""
-    tfs = ", ".join(f"{_tf(w.rstrip('*'), w.endswith('*'))} AS t{i}" for i, w in enumerate(words))
-    idf = ", ".join(
-        f"greatest(ln((rows - c{i} + 0.5) / (c{i} + 0.5)), 0) AS l{i}" for i in range(len(words))
-    )
+    tfs = ", ".join(f"{_tf(w)} AS t{i}" for i, w in enumerate(words))
     counts = ", ".join(f"count(*) FILTER (t{i} > 0) OVER () AS c{i}" for i in range(len(words)))
-    terms = " + ".join(
-        f"(CASE WHEN l{i} <= 0 THEN 1e-6 ELSE l{i} END) * (t{i} * 2.2) / (t{i} + 1.2 * (0.25 + 0.75 * n / avgn))" for i in range(len(words))
-    )
-    return f", h AS (SELECT *, {tfs} FROM g), i AS (SELECT *, {counts} FROM h), j AS (SELECT *, {idf} FROM i), b AS (SELECT *, {terms} AS bm25 FROM j)"
+    terms = " + ".join(map(_term, range(len(words))))
+    return f", h AS (SELECT *, {tfs} FROM g), i AS (SELECT *, {counts} FROM h), b AS (SELECT *, {terms} AS bm25 FROM i)"
 
 
 _RANK = (
@@ -498,13 +498,21 @@ _HIT = f"SELECT id AS message_id, stream_name, topic_name, round({_RANK}, 6) AS
 
 
 def _search(spark, folder, text, **more) -> DataFrame:
-    a = A.documents_archive(spark, folder)
-    index = T.message_index(a, stemmed=False)
-    hits = T.search_messages(a, text, AS_OF, index=index, **more)
+    hits = T.search_messages(A.stored_documents(spark, folder), text, AS_OF, **more)
     return _rounded(hits, "rank").select("message_id", "stream_name", "topic_name", "rank")
 
 
-@query(f"{_FTS}{_bm25('license')} {_HIT} WHERE t0 > 0 ORDER BY {_RANK} DESC, id LIMIT 20")
+@query(f"{_FTS} SELECT count(*) AS rows, CAST(sum(n) AS BIGINT) AS words, count(*) FILTER (len(list_filter(w, lambda x: {_is('license|licensed')})) > 0) AS with_license FROM g")
+def fulltext_segments(spark, folder):
+    """What the stored segments say of the whole: rows, words, and the rows that have a stem, by totals and blocks' heads alone."""
+    a = A.stored_documents(spark, folder)
+    store = T.message_index(a).store
+    rows, total, _ = store.totals()
+    heads = store.blocks(T.Wanted(frozenset(["licens"]), ())).select("n_rows")
+    return heads.agg(F.lit(rows).cast("long").alias("rows"), F.lit(total).cast("long").alias("words"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("with_license"))
+
+
+@query(f"{_FTS}{_bm25('license|licensed')} {_HIT} WHERE t0 > 0 ORDER BY {_RANK} DESC, id LIMIT 20")
 def bm25_search(spark, folder):
     return _search(spark, folder, "license")
 
@@ -514,15 +522,36 @@ def bm25_boolean_prefix(spark, folder):
     return _search(spark, folder, "apache OR (hand* AND src1)", limit=30)
 
 
-@query(f"{_FTS}{_bm25('the', 'and')} {_HIT} WHERE t0 > 0 AND t1 = 0 AND stream_name = 'en' AND starts_with(topic_name, '✔') ORDER BY {_RANK} DESC, id LIMIT 10")
+@query(f"{_FTS}{_bm25('the|thes', 'and')} {_HIT} WHERE t0 > 0 AND t1 = 0 AND stream_name = 'en' AND starts_with(topic_name, '✔') ORDER BY {_RANK} DESC, id LIMIT 10")
 def bm25_search_filtered(spark, folder):
     return _search(spark, folder, "the NOT and", stream="en", resolved_only=True, limit=10)
 
 
-@query(f"{_FTS}{_bm25('notes', 'note')} SELECT id AS rowid, round(bm25, 6) AS bm25 FROM b WHERE t0 > 0 OR t1 > 0")
+@query(f"{_FTS}{_bm25('note|notes', 'sender')} SELECT id AS rowid, round(bm25, 6) AS bm25 FROM b WHERE t0 > 0 OR t1 > 0")
 def bm25_scores(spark, folder):
-    index = T.message_index(A.documents_archive(spark, folder), stemmed=False)
-    return _rounded(index.scores("notes OR note"), "bm25")
+    return _rounded(T.message_index(A.stored_documents(spark, folder)).scores("notes OR sender"), "bm25").select("rowid", "bm25")
+
+
+# places of two words near each other: a place closes a pair if each has one at most 3 places before, and they are in it
+_NEAR = """,
+pl AS (SELECT id, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] IN ('the', 'thes', 'of'))) AS p, w FROM g),
+pk AS (SELECT id, p, w[p] = 'of' AS is_of FROM pl),
+cl AS (SELECT *, bool_or(is_of) OVER b AND bool_or(NOT is_of) OVER b AS closes FROM pk
+       WINDOW b AS (PARTITION BY id ORDER BY p RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)),
+nr AS (SELECT *, bool_or(closes) OVER (PARTITION BY id ORDER BY p RANGE BETWEEN CURRENT ROW AND 3 FOLLOWING) AS near FROM cl),
+nk AS (SELECT id, count(*) FILTER (near AND NOT is_of) AS k1, count(*) FILTER (near AND is_of) AS k2 FROM nr GROUP BY 1),
+h AS (SELECT g.*, coalesce(k1, 0) AS k1, coalesce(k2, 0) AS k2, coalesce(w[1] = 'is', false) AS begins,
+             len(list_filter(range(1, len(w)), lambda i: w[i] = 'apache' AND w[i + 1] IN ('license', 'licensed'))) AS t0,
+             len(list_filter(w, lambda x: x IN ('the', 'thes'))) AS a1, len(list_filter(w, lambda x: x = 'of')) AS a2 FROM g LEFT JOIN nk USING (id)),
+i AS (SELECT *, CASE WHEN begins THEN 0 ELSE k1 END AS t1, CASE WHEN begins THEN 0 ELSE k2 END AS t2,
+             count(*) FILTER (t0 > 0) OVER () AS c0, count(*) FILTER (a1 > 0) OVER () AS c1, count(*) FILTER (a2 > 0) OVER () AS c2 FROM h),
+"""
+
+
+@query(f"{_FTS}{_NEAR} b AS (SELECT *, {_term(0)} + {_term(1)} + {_term(2)} AS bm25 FROM i) {_HIT} WHERE t0 > 0 OR t1 > 0 ORDER BY {_RANK} DESC, id LIMIT 20")
+def search_stemmed(spark, folder):
+    """Phrases, nearness and first words over the stemmed segments."""
+    return _search(spark, folder, '"apache license" OR NEAR(the of, 2) NOT ^is')
 
 
 _TOPIC_RANK = (
@@ -531,32 +560,36 @@ _TOPIC_RANK = (
 )
 
 
-@query(
-    f"{_FTS}{_bm25('src1')}, tw AS (SELECT *, {_WORDS.format('topic_name')} AS nw FROM tp),"
-    " ts2 AS (SELECT *, len(list_filter(nw, lambda x: x = 'src1')) AS k, len(nw) AS l, avg(len(nw)) OVER () AS al, count(*) OVER () AS r FROM tw),"
-    " ts3 AS (SELECT *, count(*) FILTER (k > 0) OVER () AS c FROM ts2),"
-    " nm AS (SELECT topic_id, (CASE WHEN ln((r - c + 0.5) / (c + 0.5)) <= 0 THEN 1e-6 ELSE ln((r - c + 0.5) / (c + 0.5)) END)"
-    " * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * l / al)) AS s FROM ts3 WHERE k > 0 ORDER BY s DESC, topic_id LIMIT 40),"
-    " ct AS (SELECT topic_id, bm25 AS s FROM b JOIN tp USING (stream_name, topic_name) WHERE t0 > 0 ORDER BY bm25 DESC, id LIMIT 80),"
-    " mg AS (SELECT topic_id, max(s) AS base FROM (SELECT * FROM nm UNION ALL SELECT * FROM ct) GROUP BY 1)"
-    f" SELECT topic_id, stream_name, topic_name, resolved, message_count, round({_TOPIC_RANK}, 6) AS rank FROM mg JOIN tp USING (topic_id)"
-    f" ORDER BY {_TOPIC_RANK} DESC, topic_id LIMIT 10"
-)
-def bm25_topics_hybrid(spark, folder):
-    a = A.documents_archive(spark, folder)
-    hits = T.search_topics(a, "src1", AS_OF, limit=10, messages=T.message_index(a, stemmed=False), topics=T.topic_index(a, stemmed=False))
+def _topics_sql(limit: int, *words: str) -> str:
+    """Topics by any of the words in their names or messages: both legs with their cuts, merged and ranked."""
+    k = ", ".join(f"len(list_filter(nw, lambda x: {_is(w)})) AS k{i}" for i, w in enumerate(words))
+    c = ", ".join(f"count(*) FILTER (k{i} > 0) OVER () AS c{i}" for i in range(len(words)))
+    s = " + ".join(f"{_idf_sql(f'c{i}', 'r')} * k{i} * 2.2 / (k{i} + 1.2 * (0.25 + 0.75 * l / al))" for i in range(len(words)))
+    any_ = lambda x: " OR ".join(f"{x}{i} > 0" for i in range(len(words)))
+    return (
+        f"{_FTS}{_bm25(*words)}, tw AS (SELECT *, {_WORDS.format('topic_name')} AS nw FROM tp),"
+        f" ts2 AS (SELECT *, {k}, len(nw) AS l, avg(len(nw)) OVER () AS al, count(*) OVER () AS r FROM tw), ts3 AS (SELECT *, {c} FROM ts2),"
+        f" nm AS (SELECT topic_id, {s} AS s FROM ts3 WHERE {any_('k')} ORDER BY s DESC, topic_id LIMIT {4 * limit}),"
+        f" ct AS (SELECT topic_id, bm25 AS s FROM b JOIN tp USING (stream_name, topic_name) WHERE {any_('t')} ORDER BY bm25 DESC, id LIMIT {8 * limit}),"
+        " mg AS (SELECT topic_id, max(s) AS base FROM (SELECT * FROM nm UNION ALL SELECT * FROM ct) GROUP BY 1)"
+        f" SELECT topic_id, stream_name, topic_name, resolved, message_count, round({_TOPIC_RANK}, 6) AS rank FROM mg JOIN tp USING (topic_id)"
+        f" ORDER BY {_TOPIC_RANK} DESC, topic_id LIMIT {limit}"
+    )
+
+
+def _search_topics(spark, folder, text, limit) -> DataFrame:
+    hits = T.search_topics(A.stored_documents(spark, folder), text, AS_OF, limit=limit)
     return _rounded(hits, "rank").select("topic_id", "stream_name", "topic_name", "resolved", "message_count", "rank")
 
 
-@query()
-def search_stemmed(spark, folder):
-    """Phrases, prefixes and nearness over the stemmed index, with excerpts."""
-    return T.search_messages(A.documents_archive(spark, folder), '"apache license" OR NEAR(the of, 2) NOT ^is', AS_OF)
+@query(_topics_sql(10, "src1"))
+def bm25_topics_hybrid(spark, folder):
+    return _search_topics(spark, folder, "src1", 10)
 
 
-@query()
+@query(_topics_sql(20, "license|licensed", "src4"))
 def search_topics_stemmed(spark, folder):
-    return T.search_topics(A.documents_archive(spark, folder), "licensed OR src4", AS_OF)
+    return _search_topics(spark, folder, "licensed OR src4", 20)
 
 
 # ---------------------------------------------------------------- SQL over the tables

@@ -8,7 +8,7 @@ import sys
 from dataclasses import replace
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .archive import Archive
@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
 
     add("init", url="", from_json="", channel="")
     add("doctor")
-    add("sync", "full", "with-media", landing="", since="", streams="")
+    add("sync", "full", "with-media", "quiet", landing="", since="", streams="")
     add("search", "resolved", stream="", limit=20).add_argument("query")
     add("topics", "unresolved", "semantic", stream="", limit=0, search="")
     add("stats")
@@ -161,16 +161,29 @@ def _synced(archive: Archive, c: config.Config, a, since: datetime | None, now:
         names = [(r["id"], r["name"]) for r in chosen.collect()] + [(U.DIRECT_ID, "")]
         parts = [[i, n, 0 if a.full else U.bookmark(archive, i)] for i, n in names]
         spark.dataSource.register(rest.MessageSource)
-        options = {"url": c.server.url, "email": c.server.email, "api_key": c.server.api_key, "streams": json.dumps(parts)}
+        options = {
+            "url": c.server.url, "email": c.server.email, "api_key": c.server.api_key, "streams": json.dumps(parts),
+            "concurrency": c.sync.concurrency, "requests_a_minute": c.sync.requests_a_minute,
+        }
         wanted = spark.read.format("chat_rest").options(**options).load()
     whole = lambda t, new: U.upsert(t, getattr(archive, t), getattr(archive, t).limit(0).unionByName(new, allowMissingColumns=True), kept=("org_id",))
     wanted = staged(wanted)  # asked for once, read twice
     failed = [r["content"] for r in wanted.where(F.col("type") == rest.FAILED).orderBy("content").collect()]
     archive = archive.commit({"streams": whole("streams", chosen), "users": whole("users", roster)}, locked=True)
     good = wanted.where(F.coalesce("type", F.lit("")) != rest.FAILED)
+    if not a.quiet:
+        _tell_streams(good, chosen)
     return I.ingest(archive, good, now, since, locked=True), failed
 
 
+def _tell_streams(messages: DataFrame, streams: DataFrame) -> None:
+    """How many messages came of each stream; a row for each stream."""
+    names = streams.select(F.col("id").alias("stream_id"), "name")
+    own = messages.select(F.when(F.col("type") == "private", U.DIRECT_ID).otherwise(F.col("stream_id")).alias("stream_id"))
+    for r in own.groupBy("stream_id").count().join(names, "stream_id", "left").orderBy("stream_id").collect():
+        print(f"{r['name'] or U.DIRECT_STREAM}: {r['count']} messages", file=sys.stderr)
+
+
 def _topics(archive: Archive, c: config.Config, a, now: datetime) -> str:
     if a.semantic:
         found = V.semantic_topics(archive, _vectorizer(c.embeddings), a.search, a.stream, a.unresolved, a.limit)
@@ -191,7 +204,8 @@ def _messages(archive: Archive, a, now: datetime) -> str:
 def _fetch(archive: Archive, c: config.Config, limit: int, force: bool, now: datetime) -> str:
     with archive.lock():
         archive = Archive.open(archive.spark, archive.root)
-        updates = media.fetch_pending(archive.message_attachments, c.media_dir, _client(c).download, now, limit, force)
+        client = replace(_client(c), gap=rest.gap(c.sync.requests_a_minute, c.sync.concurrency))
+        updates = media.fetch_pending(archive.message_attachments, c.media_dir, client.download, now, limit, force, c.sync.concurrency)
         updates = staged(updates)  # fetched once, read twice
         archive.commit({"message_attachments": U.update_media(archive.message_attachments, updates)}, locked=True)
     return S.tsv(media.counts(updates))

@@ -56,6 +56,12 @@ def message_recency(c: Column, as_of: datetime) -> Column:
     return F.try_divide(F.lit(1.0), F.lit(1.0) + age_days(c, as_of) / F.lit(30.0))
 
 
+def most_recency(newest: Column, as_of: datetime) -> Column:
+    """The most that message_recency can be of times up to `newest`: anything, if that is near the pole or beyond, or null."""
+    ahead = newest.isNull() | (age_days(newest, as_of) < F.lit(-29.99))
+    return F.when(ahead, F.lit(float("inf"))).otherwise(message_recency(newest, as_of))
+
+
 def topic_recency(c: Column, as_of: datetime) -> Column:
     """Half of message_recency, 0 without a time and at the pole."""
     return F.coalesce(F.try_divide(F.lit(0.5), F.lit(1.0) + age_days(c, as_of) / F.lit(30.0)), F.lit(0.0))

@@ -3,192 +3,124 @@
 from __future__ import annotations
 
 import bisect
-import zlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..archive import Archive
+from ..archive import PART_IDS, Archive, Pointer
 from ..functions import columns as C
-from ..functions.text import split, stem, words
-from ..plans.fulltext import Node, Phrase, match, occurrences, parse, phrase_counts
+from ..functions.text import stem, words
+from ..plans.fulltext import Node, Phrase, occurrences, parse
 from ..storage import staged
+from .segments import SPAN_IDS, Segments, Wanted, blocks_of, merge_segments, next_sequence, postings_of, write_segment
 
 MESSAGE_COLUMNS = ("content_text", "topic_name", "sender_name", "attachment_text")
 TOPIC_COLUMNS = ("name",)
-BUCKETS = 64
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
-POSTINGS = "bucket int, term string, rowid long, n int, col int, positions array<int>"  # schema.INDEXES has it too
-LENGTHS = -1  # the bucket of rows that hold documents' lengths alone
-
-
-@dataclass(frozen=True)
-class Wanted:
-    """Terms that a search needs: whole ones and beginnings."""
-
-    whole: frozenset[str]
-    begins: tuple[str, ...]
-
-    @classmethod
-    def of(cls, phrases: list[Phrase]) -> Wanted:
-        whole = {t for p in phrases for t in (p.terms[:-1] if p.prefix else p.terms)}
-        return cls(frozenset(whole), tuple(sorted({p.terms[-1] for p in phrases if p.prefix and p.terms})))
-
-    def has(self, term: str) -> bool:
-        return term in self.whole or term.startswith(self.begins) if self.begins else term in self.whole
-
-    def condition(self) -> Column:
-        c = F.col("term").isin(sorted(self.whole)) if self.whole else F.lit(False)
-        for x in self.begins:
-            c = c | F.col("term").startswith(x)
-        if not self.begins:
-            c = c & F.col("bucket").isin(sorted({bucket_of(t) for t in self.whole}) or [LENGTHS])
-        return c & (F.col("bucket") != LENGTHS)
-
-
-def postings_of(rows: DataFrame, columns: tuple[str, ...], stemmed: bool, wanted: Wanted | None = None) -> DataFrame:
-    """POSTINGS of a table of rowid and text columns, all or only the wanted terms', and every row's length."""
-    texts = rows.select("rowid", *(F.coalesce(c, F.lit("")).alias(c) for c in columns))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[str, int] = {}  # of the folded word's term, -1 if it isn't wanted
-        terms: dict[str, int] = {}
-        for b in batches:
-            size = b.num_rows
-            if len(number) > 500_000:
-                number, terms = {}, {}
-            codes: list[int] = []
-            counts = np.zeros((size, len(columns)), np.int64)
-            column_texts = [b.column(k + 1).to_pylist() for k in range(len(columns))]
-            for i in range(size):
-                for k in range(len(columns)):
-                    own = [w for w in split(column_texts[k][i]) if w]
-                    counts[i, k] = len(own)
-                    for w in own:
-                        if (c := number.get(w)) is None:
-                            t = stem(w) if stemmed else w
-                            c = number[w] = -1 if wanted is not None and not wanted.has(t) else terms.setdefault(t, len(terms))
-                        codes.append(c)
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            n = counts.sum(1)
-            flat = counts.ravel()
-            slot = np.repeat(np.arange(len(flat)), flat)  # row and column of each word
-            at = np.arange(len(slot)) - np.repeat(np.cumsum(flat) - flat, flat)
-            code = np.array(codes, np.int64)
-            keep = np.flatnonzero(code >= 0)
-            keep = keep[np.lexsort((at[keep], slot[keep], code[keep]))]
-            code, slot, at = code[keep], slot[keep], at[keep]
-            new = np.ones(len(code), bool)
-            new[1:] = (code[1:] != code[:-1]) | (slot[1:] != slot[:-1])
-            first = np.flatnonzero(new)
-            names = list(terms)
-            bucket = np.array([bucket_of(t) for t in names], np.int32)
-            row, column = slot[first] // len(columns), slot[first] % len(columns)
-            none = np.zeros(size, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([bucket[code[first]] if len(first) else bucket[:0], none - 1]).astype(np.int32)),
-                    pa.array([names[c] for c in code[first].tolist()] + [""] * size, pa.string()),
-                    pa.array(np.concatenate([ids[row], ids])),
-                    pa.array(np.concatenate([n[row], n]).astype(np.int32)),
-                    pa.array(np.concatenate([column, none]).astype(np.int32)),
-                    pa.ListArray.from_arrays(np.concatenate([first, none + len(at), [len(at)]]).astype(np.int32), pa.array(at.astype(np.int32))),
-                ],
-                ["bucket", "term", "rowid", "n", "col", "positions"],
-            )
-
-    return texts.mapInArrow(run, POSTINGS)
+FIRST_SPANS = 32  # of the greatest bounds, scored to find what the others have to reach
+FEW_SPANS = 2000  # that are named in the filter of a scan; more are joined
+FEW_HITS = 1000  # that are looked up by their ids; more are joined
 
 
 @dataclass(frozen=True)
 class FullTextIndex:
-    """Search over a table's texts: by stored postings, or by one pass over the texts for each search.
+    """Search over a table's texts: by stored segments, or by one pass over the texts for each search.
 
-    A posting has the number of words of its whole row, so scoring joins no table of lengths. Stored
-    postings are dealt by the hash of their term, and a search reads its terms' buckets; a term that is
-    in most rows fills many files of its bucket.
+    A posting has the number of words of its whole row, so scoring joins no table of lengths, and the
+    statistics of stored segments are sums over the blocks of the query's terms.
     """
 
     rows: DataFrame
     columns: tuple[str, ...]
     stemmed: bool = True
-    postings: DataFrame | None = None
-
-    @classmethod
-    def build(cls, rows: DataFrame, columns: tuple[str, ...], stemmed: bool = True, stored: bool = True) -> FullTextIndex:
-        """From a table of rowid and text columns. stored: postings are written to the shared folder."""
-        postings = None
-        if stored:
-            spread = F.pmod(F.xxhash64("rowid"), F.lit(8))
-            every = postings_of(rows, tuple(columns), stemmed)
-            postings = staged(every.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "rowid"), ("bucket",))
-        return cls(rows, tuple(columns), stemmed, postings)
+    store: Segments | None = None
 
     def parse(self, query: str) -> Node:
         return parse(query, self.columns, self.stemmed)
 
-    def _postings(self, phrases: list[Phrase]) -> DataFrame:
-        """The lengths and the postings of the query's terms."""
-        wanted = Wanted.of(phrases)
-        if self.postings is None:
-            return staged(postings_of(self.rows, self.columns, self.stemmed, wanted))
-        return self.postings.where(wanted.condition() | (F.col("bucket") == LENGTHS))
-
     def scores(self, query: str) -> DataFrame:
         """rowid, bm25 of the rows that match; statistics are those of the whole table."""
         node = self.parse(query)
-        phrases = node.all_phrases()
-        postings = self._postings(phrases)
-        found = postings.where(F.col("bucket") != LENGTHS).groupBy("rowid")
-        judged = self._judged_by_counts(found, node) if _plain(node) else self._judged_by_places(found, node)
-        have = judged.agg(*(F.coalesce(F.sum(F.col("j.present")[i]), F.lit(0)).alias(f"p{i}") for i in range(len(phrases))))
-        size = postings.where(F.col("bucket") == LENGTHS).agg(
-            F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")
-        )
+        wanted = Wanted.of(node.all_phrases())
+        if self.store is None:
+            every = staged(postings_of(self.rows, self.columns, self.stemmed, wanted, lengths=True))
+            size = every.where("term IS NULL").agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
+            flat = every.where("term IS NOT NULL").withColumn("times", F.size("positions"))
+        else:
+            rows, total, _ = self.store.totals()
+            size = every_one(self.rows.sparkSession, rows=rows, words=total)
+            flat = self.store.flat(self.store.blocks(wanted), not _by_times(node))
+        judged = staged(self._judged(flat, node))  # read twice: for the statistics and for the scores
+        have = judged.agg(*(F.count_if(F.col("p")[i]).alias(f"p{i}") for i in range(len(node.all_phrases()))))
         one = F.broadcast(have.crossJoin(size))  # one row each
-        total: Column = F.lit(0.0)
-        for i in range(len(phrases)):
-            idf = F.log((F.col("rows") - F.col(f"p{i}") + 0.5) / (F.col(f"p{i}") + 0.5))
-            tf = F.col("j.tf")[i].cast("double")
-            long = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n") * F.col("rows") / F.col("words"))
-            total = total + F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * (tf * F.lit(K1 + 1)) / (tf + long)
-        return judged.where("j.matched").crossJoin(one).select("rowid", total.alias("bm25"))
-
-    def _judged_by_counts(self, found: GroupedData, node: Node) -> DataFrame:
-        """rowid, n and j (matched, present, tf) of a query of single words: counts say all, no places are compared."""
+        idf = [_idf(F.col("rows"), F.col(f"p{i}")) for i in range(len(node.all_phrases()))]
+        ranked = judged.where("matched").crossJoin(one)
+        return ranked.select("rowid", *self._seg(), _bm25(idf, F.col("n"), F.col("rows") / F.col("words")).alias("bm25"))
+
+    def _seg(self) -> list[str]:
+        return ["seg"] if self.store is not None else []
+
+    def _judged(self, flat: DataFrame, node: Node) -> DataFrame:
+        """rowid, n, matched, p (whether the row has each phrase) and tf (how often each counts) of rows with any term."""
+        return _judged_by_counts(flat, node, self.columns, self._seg()) if _plain(node) else _judged_by_places(flat, node, self.columns, self._seg())
+
+    # -------------------------------------------------------------- the best rows
+
+    def best(self, query: str, k: int, ranked: Callable[[DataFrame], DataFrame], adds: Callable[[Column], Column]) -> DataFrame:
+        """The k rows of greatest rank, ties by rowid, of what `ranked` makes of scores (rowid, bm25; seg if stored): rows
+        that pass its filters, with their rank.
+
+        adds: the most that a rank is above the score, by the time of the newest row. With it, whole spans of rows
+        whose blocks can't reach the k-th rank are left unread: the spans of the greatest bounds are
+        scored first, then those of the others that can still matter.
+        """
+        order = (F.desc("rank"), "rowid")
+        node = self.parse(query)
+        if self.store is None or not _whole_words(node):  # phrases, beginnings, columns and ^: the blocks' heads don't tell
+            return ranked(self.scores(query)).orderBy(*order).limit(k)
+        spans, idf = self.bounds(node, adds)
+        first = [r["span"] for r in spans.orderBy(F.desc("bound"), "span").limit(FIRST_SPANS).collect()]
+        begun = staged(ranked(self._scores_in(node, idf, F.col("span").isin(first))).orderBy(*order).limit(k))
+        ranks = [r["rank"] for r in begun.select("rank").collect()]  # k at most
+        least = min(ranks) if len(ranks) == k and None not in ranks else -math.inf
+        rest = spans.where(~F.col("span").isin(first) & (F.col("bound") >= least)).select("span")
+        few = [r["span"] for r in rest.limit(FEW_SPANS + 1).collect()]
+        if not few:
+            return begun.orderBy(*order)
+        more = ranked(self._scores_in(node, idf, F.col("span").isin(few) if len(few) <= FEW_SPANS else rest))
+        return begun.unionByName(more).orderBy(*order).limit(k)
+
+    def bounds(self, node: Node, adds: Callable[[Column], Column]) -> tuple[DataFrame, list[float]]:
+        """span, bound: no row of a span ranks above its bound, and rows of other spans don't match; and the inverse
+        document frequencies of the query's words. The blocks' heads are read, not their entries."""
         phrases = node.all_phrases()
-        counts = [F.sum(_count_of(p, self.columns)).alias(f"c{i}") for i, p in enumerate(phrases)]
-        ok, tf = _tree(node, iter([F.col(f"c{i}") for i in range(len(phrases))]))
-        present = [(F.col(f"c{i}") > 0).cast("int") for i in range(len(phrases))]
-        j = F.struct(ok.alias("matched"), F.array(*present).alias("present"), F.array(*tf).alias("tf"))
-        return found.agg(F.first("n").alias("n"), *counts).select("rowid", "n", j.alias("j"))
-
-    def _judged_by_places(self, found: GroupedData, node: Node) -> DataFrame:
-        """The same of any query, row by row."""
-        columns = self.columns
-
-        @F.pandas_udf("struct<matched:boolean,present:array<int>,tf:array<int>>")
-        def judge(found: pd.Series) -> pd.DataFrame:
-            rows = []
-            for one in found:
-                where: dict[str, dict[str, list[int]]] = {}
-                for x in one:
-                    where.setdefault(x["term"], {})[columns[x["col"]]] = list(x["positions"])
-                ok, hits = match(node, where)
-                present = [int(p) for p in phrase_counts(node, where)]
-                rows.append((ok, present, [sum(map(len, h.values())) for h in hits]))
-            return pd.DataFrame(rows, columns=["matched", "present", "tf"])
-
-        # at most the query's terms of one row come together
-        each = found.agg(F.first("n").alias("n"), F.collect_list(F.struct("term", "col", "positions")).alias("found"))
-        return staged(each.select("rowid", "n", judge("found").alias("j")))  # judged once, read twice
+        rows, total, _ = self.store.totals()
+        heads = staged(self.store.blocks(Wanted.of(phrases)).select("term", "span", "removed", "n_rows", "top_times", "least_n", "newest"))
+        told = heads.groupBy("term").agg(F.sum(F.when(F.col("removed"), -F.col("n_rows")).otherwise(F.col("n_rows")))).collect()
+        own = dict(map(tuple, told))  # a number for each word of the query
+        idf = [_idf_of(rows, own.get(p.terms[0], 0)) for p in phrases]
+        most = []
+        for i, p in enumerate(phrases):
+            score = _bm25_of(F.lit(idf[i]), F.col("top_times"), F.col("least_n"), F.lit(rows / max(total, 1)))
+            most.append(F.max(F.when(F.col("term") == p.terms[0], score)).alias(f"b{i}"))
+        by_span = heads.where(~F.col("removed")).groupBy("span").agg(F.max("newest").alias("newest"), *most)
+        possible, bound = _bound(node, iter([F.col(f"b{i}") for i in range(len(phrases))]))
+        slack = F.lit(1e-9) + bound * F.lit(1 + 1e-9)  # sums in another order may differ in the last digits
+        return by_span.where(possible).select("span", (slack + adds(F.col("newest"))).alias("bound")), idf
+
+    def _scores_in(self, node: Node, idf: list[float], spans: Column | DataFrame) -> DataFrame:
+        """scores of the rows of some spans (a condition, or a table of them), by the statistics of all."""
+        rows, total, _ = self.store.totals()
+        blocks = self.store.blocks(Wanted.of(node.all_phrases()))
+        here = blocks.where(spans) if isinstance(spans, Column) else blocks.join(spans, "span", "left_semi")
+        judged = self._judged(self.store.flat(here, False), node)
+        return judged.where("matched").select("rowid", "seg", _bm25([F.lit(x) for x in idf], F.col("n"), F.lit(rows / max(total, 1))).alias("bm25"))
 
     def snippets(self, rows: DataFrame, column: str, query: str, out: str = "snippet", size: int = 20) -> DataFrame:
         """A column of excerpts of `column` around the query's hits; for few rows, as after a limit."""
@@ -201,6 +133,120 @@ class FullTextIndex:
         return rows.withColumn(out, cut(F.col(column)))
 
 
+def every_one(spark, **numbers: int) -> DataFrame:
+    """One row of numbers."""
+    return spark.range(1).select(*(F.lit(v).cast("long").alias(k) for k, v in numbers.items()))
+
+
+def _idf(rows: Column, have: Column) -> Column:
+    idf = F.log((rows - have + 0.5) / (have + 0.5))
+    return F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
+
+
+def _idf_of(rows: int, have: int) -> float:
+    idf = math.log((rows - have + 0.5) / (have + 0.5))
+    return idf if idf > 0 else LEAST_IDF
+
+
+def _bm25_of(idf: Column, tf: Column, n: Column, rows_a_word: Column) -> Column:
+    tf = tf.cast("double")
+    return idf * (tf * F.lit(K1 + 1)) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * n * rows_a_word))
+
+
+def _bm25(idf: list[Column], n: Column, rows_a_word: Column) -> Column:
+    total: Column = F.lit(0.0)
+    for i, own in enumerate(idf):
+        total = total + _bm25_of(own, F.col("tf")[i], n, rows_a_word)
+    return total
+
+
+def _judged_by_counts(flat: DataFrame, node: Node, columns: tuple[str, ...], more: list[str]) -> DataFrame:
+    """Rows judged by a query of single words: counts say all, no places are compared."""
+    phrases = node.all_phrases()
+    counts = [F.sum(_count_of(p, columns)).alias(f"c{i}") for i, p in enumerate(phrases)]
+    ok, tf = _tree(node, iter([F.col(f"c{i}") for i in range(len(phrases))]))
+    have = [F.col(f"c{i}") > 0 for i in range(len(phrases))]
+    rows = flat.groupBy("rowid").agg(F.first("n").alias("n"), *(F.max(c).alias(c) for c in more), *counts)
+    return rows.select("rowid", "n", *more, ok.alias("matched"), F.array(*have).alias("p"), F.array(*tf).alias("tf"))
+
+
+def _judged_by_places(flat: DataFrame, node: Node, columns: tuple[str, ...], more: list[str]) -> DataFrame:
+    """Rows judged by any query: a phrase begins where each of its words stands at its distance from there, and phrases
+    are near in windows over these places. All is within rows, so one shuffle by row serves every step."""
+    phrases = node.all_phrases()
+    dealt = flat.repartition("rowid").select("rowid", "n", *more, "term", "col", F.explode("positions").alias("at"))
+    parts = []
+    for i, p in enumerate(phrases):
+        for j, t in enumerate(p.terms):
+            hit = F.col("term").startswith(t) if p.prefix and j == len(p.terms) - 1 else F.col("term") == t
+            if p.columns is not None:
+                hit = hit & F.col("col").isin([c for c, name in enumerate(columns) if name in p.columns])
+            if p.first:
+                hit = hit & (F.col("at") == j)
+            parts.append(F.when(hit, F.struct(F.lit(i).alias("phrase"), F.lit(j).alias("word"))))
+    sized = F.element_at(F.array(*(F.lit(len(p.terms)) for p in phrases)), F.col("phrase") + 1)
+    words_of = dealt.select("rowid", "n", *more, "col", "at", F.explode(F.array_compact(F.array(*parts))).alias("w"))
+    placed = words_of.groupBy("rowid", "col", F.col("w.phrase").alias("phrase"), (F.col("at") - F.col("w.word")).alias("start")).agg(
+        F.first("n").alias("n"), *(F.max(c).alias(c) for c in more), F.count("*").alias("words")
+    )
+    found = placed.where(F.col("words") == sized)
+    kept, at = F.lit(True), 0
+    for own in node.nears():
+        k = len(own.phrases)
+        if k > 1:
+            inside = F.col("phrase").between(at, at + k - 1)
+            found = _near(found, own, at, inside)
+            kept = F.when(inside, F.col(f"near{at}")).otherwise(kept)
+        at += k
+    counted = found.groupBy("rowid").agg(
+        F.first("n").alias("n"), *(F.max(c).alias(c) for c in more),
+        *(F.count_if((F.col("phrase") == i) & kept).alias(f"c{i}") for i in range(len(phrases))),
+        *(F.count_if(F.col("phrase") == i).alias(f"h{i}") for i in range(len(phrases))),
+    )
+    ok, tf = _tree(node, iter([F.col(f"c{i}") for i in range(len(phrases))]))
+    have = [F.col(f"h{i}") > 0 for i in range(len(phrases))]
+    return counted.select("rowid", "n", *more, ok.alias("matched"), F.array(*have).alias("p"), F.array(*tf).alias("tf"))
+
+
+def _near(found: DataFrame, near: Node, at: int, inside: Column) -> DataFrame:
+    """A column that tells which places of the phrases at..: are in some group of all of them. A place closes a group
+    if each phrase begins at most `distance` words and its own length before it; then it and the places that
+    are so near before it are in."""
+    sizes = [len(p.terms) for p in near.phrases]
+    own = Window.partitionBy("rowid", "col").orderBy("start")
+    before = [F.max(F.when(F.col("phrase") == at + j, True)).over(own.rangeBetween(-(n + near.distance), 0)) for j, n in enumerate(sizes)]
+    closes = inside
+    for b in before:
+        closes = closes & F.coalesce(b, F.lit(False))
+    found = found.withColumn("_closes", closes)
+    into = F.lit(False)
+    for j, n in enumerate(sizes):
+        after = F.max(F.when(F.col("_closes"), True)).over(own.rangeBetween(0, n + near.distance))
+        into = F.when(F.col("phrase") == at + j, F.coalesce(after, F.lit(False))).otherwise(into)
+    return found.withColumn(f"near{at}", into).drop("_closes")
+
+
+def _by_times(node: Node) -> bool:
+    """Whether counts of words decide, without their places."""
+    return _plain(node) and not any(p.first for p in node.all_phrases())
+
+
+def _whole_words(node: Node) -> bool:
+    """Whether all phrases are single whole words of any column."""
+    return _plain(node) and all(len(p.terms) == 1 and not p.prefix and not p.first and p.columns is None for p in node.all_phrases())
+
+
+def _bound(node: Node, bounds: Iterator[Column]) -> tuple[Column, Column]:
+    """Whether rows of a span can match, and the most they can score."""
+    if node.kind == "near":
+        b = next(bounds)
+        return b.isNotNull(), F.coalesce(b, F.lit(0.0))
+    (x, a), (y, b) = [_bound(part, bounds) for part in node.parts]
+    if node.kind == "not":
+        return x, a
+    return (x & y, a + b) if node.kind == "and" else (x | y, a + b)
+
+
 def _plain(node: Node) -> bool:
     """Whether the query has no phrase of several words and no NEAR."""
     if node.kind == "near":
@@ -215,25 +261,24 @@ def _count_of(p: Phrase, columns: tuple[str, ...]) -> Column:
     own = F.col("term").startswith(p.terms[0]) if p.prefix else F.col("term") == p.terms[0]
     if p.columns is not None:
         own = own & F.col("col").isin([i for i, c in enumerate(columns) if c in p.columns])
-    times = F.array_contains("positions", 0).cast("int") if p.first else F.size("positions")
+    times = F.array_contains("positions", 0).cast("int") if p.first else F.col("times")
     return F.when(own, times).otherwise(0)
 
 
 def _tree(node: Node, counts: Iterator[Column]) -> tuple[Column, list[Column]]:
     """Whether a row matches, and how often each phrase counts: not at all in a part of the query that fails."""
     if node.kind == "near":
-        c = next(counts)
-        return c > 0, [c]
+        own = [next(counts) for _ in node.phrases]
+        ok = own[0] > 0
+        for c in own[1:]:
+            ok = ok & (c > 0)
+        return ok, own
     (a, x), (b, y) = [_tree(part, counts) for part in node.parts]
     ok = {"and": a & b, "or": a | b, "not": a & ~b}[node.kind]
     none = F.lit(0).cast("long")
     return ok, [*(F.when(ok, c).otherwise(none) for c in x), *(none if node.kind == "not" else F.when(ok, c).otherwise(none) for c in y)]
 
 
-def bucket_of(term: str) -> int:
-    return zlib.crc32(term.encode()) % BUCKETS
-
-
 def snippet(text: str, column: str, node: Node, size: int = 20, stemmed: bool = True, gap: str = " … ") -> str:
     """The window of `size` words with most distinct phrases, preferring one that begins a sentence."""
     found = words(text)
@@ -281,14 +326,19 @@ def _begins_sentence(text: str, at: int) -> bool:
     return i != at - 1 and i >= 0 and text[i] in ".:"
 
 
-def message_rows(archive: Archive) -> DataFrame:
-    """rowid and the text columns of each message; its indexed uploads' texts are joined in order of id."""
-    uploads = (
+def upload_texts(archive: Archive) -> DataFrame:
+    """id, attachment_text: the texts of a message's indexed uploads in order of their ids."""
+    return (
         archive.message_attachments.where("indexed")
         .groupBy("message_id")
         .agg(F.array_sort(F.collect_list(F.struct("id", "url", "text_content"))).alias("all"))
         .select(F.col("message_id").alias("id"), F.array_join(F.col("all.text_content"), " ").alias("attachment_text"))
     )
+
+
+def message_rows(archive: Archive) -> DataFrame:
+    """rowid and the text columns of each message."""
+    uploads = upload_texts(archive)
     topics = archive.topics.select(F.col("id").alias("topic_id"), F.col("name").alias("topic_name"))
     users = archive.users.select(F.col("id").alias("sender_id"), F.col("full_name").alias("sender_name"))
     return (
@@ -304,34 +354,75 @@ def topic_rows(archive: Archive) -> DataFrame:
     return archive.topics.select(F.col("id").alias("rowid"), "name")
 
 
-def message_index(archive: Archive, stemmed: bool = True, stored: bool = False) -> FullTextIndex:
-    """By the archive's own postings if it keeps them; `stored` makes some for this application."""
-    if stemmed and archive.has("message_postings"):
-        return FullTextIndex(message_rows(archive), MESSAGE_COLUMNS, True, archive.message_postings)
-    return FullTextIndex.build(message_rows(archive), MESSAGE_COLUMNS, stemmed, stored)
+def message_index(archive: Archive, stemmed: bool = True) -> FullTextIndex:
+    """By the archive's own segments if it keeps them."""
+    store = Segments(archive, "message") if stemmed and archive.indexed else None
+    return FullTextIndex(message_rows(archive), MESSAGE_COLUMNS, stemmed, store)
 
 
-def topic_index(archive: Archive, stemmed: bool = True, stored: bool = False) -> FullTextIndex:
-    if stemmed and archive.has("topic_postings"):
-        return FullTextIndex(topic_rows(archive), TOPIC_COLUMNS, True, archive.topic_postings)
-    return FullTextIndex.build(topic_rows(archive), TOPIC_COLUMNS, stemmed, stored)
+def topic_index(archive: Archive, stemmed: bool = True) -> FullTextIndex:
+    store = Segments(archive, "topic") if stemmed and archive.indexed else None
+    return FullTextIndex(topic_rows(archive), TOPIC_COLUMNS, stemmed, store)
 
 
-def reindexed(archive: Archive) -> dict[str, DataFrame]:
-    """The postings of all messages and topics as they are now."""
-    return {"message_postings": postings_of(message_rows(archive), MESSAGE_COLUMNS, True), "topic_postings": postings_of(topic_rows(archive), TOPIC_COLUMNS, True)}
+# ------------------------------------------------------------------ keeping the segments
 
 
-def postings_after(archive: Archive, parts: list[int], changed: Archive, new_topics: DataFrame) -> dict[str, DataFrame]:
-    """The postings of these parts of the messages, and of the topics, where `changed` has the new or altered
-    messages with all topics and users; others' postings stay as they are."""
-    out = {}
-    for name, rows, columns, old in (
-        ("message_postings", message_rows(changed), MESSAGE_COLUMNS, archive.some_parts("message_postings", parts)),
-        ("topic_postings", new_topics.select(F.col("id").alias("rowid"), "name"), TOPIC_COLUMNS, archive.topic_postings),
-    ):
-        out[name] = old.join(rows.select("rowid"), "rowid", "left_anti").unionByName(postings_of(rows, columns, True))
-    return out
+def _facts(archive: Archive) -> DataFrame:
+    """What a search needs of a message besides its postings, and the names it is indexed under."""
+    topics = archive.topics.select(F.col("id").alias("topic_id"), F.col("name").alias("topic_name"))
+    users = archive.users.select(F.col("id").alias("sender_id"), F.col("full_name").alias("sender_name"))
+    m = archive.messages.select(F.col("id").alias("rowid"), F.col("timestamp").alias("at"), "stream_id", "topic_id", "sender_id")
+    known = m.join(topics, "topic_id", "left").join(users, "sender_id", "left")
+    return known.select("rowid", "at", "stream_id", "topic_id", "sender_id", "topic_name", "sender_name")
+
+
+def _at(postings: DataFrame, facts: DataFrame, removed: bool) -> DataFrame:
+    return postings.join(facts.select("rowid", "at"), "rowid").withColumn("removed", F.lit(removed))
+
+
+def rebuild_index(archive: Archive) -> Archive:
+    """One segment each of all messages and topics as they are now, in place of those there are; the lock is held."""
+    seq = next_sequence(archive)
+    facts = staged(_facts(archive))
+    blocks = blocks_of(_at(postings_of(message_rows(archive), MESSAGE_COLUMNS, True), facts, False))
+    added = write_segment(archive, "message", blocks, facts.count(), seq, facts) | _topic_segment(archive, archive.topics, seq)
+    old = [f"{t}/{seg}" for t, own in archive.pointer.items() if t in added for seg in own]
+    return archive.commit({}, locked=True, added=added, dropped=old)
+
+
+def _topic_segment(archive: Archive, topics: DataFrame, seq: int) -> Pointer:
+    rows = topics.select(F.col("id").alias("rowid"), "name")
+    postings = postings_of(rows, TOPIC_COLUMNS, True).withColumn("at", F.lit(None).cast("timestamp")).withColumn("removed", F.lit(False))
+    return write_segment(archive, "topic", blocks_of(postings), rows.count(), seq)
+
+
+def segment_of(archive: Archive, changed: Archive, before: Archive, new_topics: DataFrame) -> Pointer:
+    """A segment of a batch: the postings of its messages, those of their older versions as removals, and new topics.
+
+    changed: the batch's messages and uploads as they are now, and all topics and users; before: the messages
+    of these ids, and their uploads, as they were. The names that older versions were indexed under are in the facts.
+    """
+    seq = next_sequence(archive)
+    facts = staged(_facts(changed))
+    old = before.messages.select(F.col("id").alias("rowid"))
+    ids = old.agg(F.min("rowid"), F.max("rowid"), F.count("*")).first()
+    blocks = _at(postings_of(message_rows(changed), MESSAGE_COLUMNS, True), facts, False)
+    if ids[2]:
+        kept = archive.segments("message_facts").where(F.col("rowid").between(ids[0], ids[1])).join(old, "rowid", "left_semi")
+        names = kept.groupBy("rowid").agg(F.max_by(F.struct("topic_name", "sender_name"), "seg").alias("f")).select("rowid", "f.*")
+        texts = before.messages.select(F.col("id").alias("rowid"), "content_text")
+        uploads = upload_texts(before).withColumnRenamed("id", "rowid")
+        rows = texts.join(names, "rowid", "left").join(uploads, "rowid", "left").select("rowid", *MESSAGE_COLUMNS)
+        gone = postings_of(rows, MESSAGE_COLUMNS, True).withColumn("at", F.lit(None).cast("timestamp")).withColumn("removed", F.lit(True))
+        blocks = blocks.unionByName(gone)
+    added = write_segment(archive, "message", blocks_of(blocks), facts.count() - ids[2], seq, facts)
+    return added if new_topics.isEmpty() and "topic_totals" in archive.pointer else added | _topic_segment(archive, new_topics, seq)
+
+
+def merge_due(archive: Archive) -> Archive:
+    """Merges segments of messages and of topics where there are many of like size; the lock is held."""
+    return merge_segments(merge_segments(archive, "message"), "topic")
 
 
 def _topics(archive: Archive, stream: str | None) -> DataFrame:
@@ -354,33 +445,46 @@ def search_messages(
     message_id, stream_name, topic_name, resolved, timestamp, sender_name, snippet, rank; best first,
     ties by id. Filters don't change the statistics. limit below 1 means 20.
     """
-    index = index or message_index(archive)
-    scores = index.scores(query)
+    index, k = index or message_index(archive), limit if limit > 0 else 20
     streams = archive.streams.select(F.col("id").alias("stream_id"), F.col("name").alias("stream_name"))
     topics = archive.topics.select(F.col("id").alias("topic_id"), F.col("name").alias("topic_name"), "resolved")
-    users = archive.users.select(F.col("id").alias("sender_id"), F.col("full_name").alias("sender_name"))
     if stream:
         streams = streams.where(F.col("stream_name") == stream)
     if resolved_only:
         topics = topics.where("resolved")
-    rank = F.col("bm25") + F.when(F.col("resolved"), 0.2).otherwise(0.0) + C.message_recency(F.col("timestamp"), as_of)
-    best = (
-        archive.messages.select("id", "stream_id", "topic_id", "sender_id", "timestamp", "content_text")
-        .join(scores, F.col("id") == F.col("rowid"))
-        .join(topics, "topic_id")
-        .join(streams, "stream_id")
-        .join(users, "sender_id")
-        .withColumn("rank", rank)
-        .orderBy(F.desc("rank"), "id")
-        .limit(limit if limit > 0 else 20)
-    )
-    cut = index.snippets(best, "content_text", query)
+    users = archive.users.select(F.col("id").alias("sender_id"), F.col("full_name").alias("sender_name"))
+    rank = F.col("bm25") + F.when(F.col("resolved"), 0.2).otherwise(0.0) + C.message_recency(F.col("at"), as_of)
+
+    def ranked(scores: DataFrame) -> DataFrame:
+        known = _with_facts(archive, index, scores).join(topics, "topic_id").join(streams, "stream_id").join(users, "sender_id")
+        return known.select("rowid", "stream_name", "topic_name", "resolved", "sender_name", F.col("at").alias("timestamp"), rank.alias("rank"))
+
+    best = index.best(query, k, ranked, lambda newest: F.lit(0.2) + C.most_recency(newest, as_of))
+    cut = index.snippets(_looked_up(archive, best, k, "content_text"), "content_text", query)
     return cut.select(
-        F.col("id").alias("message_id"), "stream_name", "topic_name", "resolved", C.rfc3339(F.col("timestamp")).alias("timestamp"),
+        F.col("rowid").alias("message_id"), "stream_name", "topic_name", "resolved", C.rfc3339(F.col("timestamp")).alias("timestamp"),
         "sender_name", "snippet", "rank",
     ).orderBy(F.desc("rank"), "message_id")
 
 
+def _with_facts(archive: Archive, index: FullTextIndex, scores: DataFrame) -> DataFrame:
+    """Scores with when and where their messages are from."""
+    if index.store is not None:
+        return scores.join(index.store.facts(), ["rowid", "seg"])
+    own = archive.messages.select(F.col("id").alias("rowid"), F.col("timestamp").alias("at"), "stream_id", "topic_id", "sender_id")
+    return scores.join(own, "rowid")
+
+
+def _looked_up(archive: Archive, best: DataFrame, k: int, *columns: str) -> DataFrame:
+    """The best rows with more columns of their messages: of the parts that they lie in, if they are few."""
+    own = archive.messages
+    if archive.root is not None and k <= FEW_HITS:
+        best = staged(best)
+        ids = [r["rowid"] for r in best.select("rowid").where("rowid IS NOT NULL").collect()]
+        own = archive.some_parts("messages", sorted({i // PART_IDS for i in ids})).where(F.col("id").isin(ids))
+    return best.join(own.select(F.col("id").alias("rowid"), *columns), "rowid", "left")
+
+
 def search_topics(
     archive: Archive, query: str, as_of: datetime, stream: str | None = None, unresolved_only: bool = False, limit: int = 20,
     messages: FullTextIndex | None = None, topics: FullTextIndex | None = None,
@@ -399,26 +503,28 @@ def search_topics(
     meta = _topics(archive, stream)
     if unresolved_only:
         meta = meta.where(~F.col("resolved"))
-    names = (
-        topics.scores(query).withColumnRenamed("rowid", "topic_id").join(meta.select("topic_id"), "topic_id")
-        .orderBy(F.desc("bm25"), "topic_id").limit(4 * limit)
-        .select("topic_id", F.col("bm25").alias("score"), F.lit(None).cast("string").alias("content_text"), F.lit(None).cast("long").alias("id"))
-    )
+    first = lambda df: df.withColumnRenamed("bm25", "rank")
+    nothing = lambda newest: F.lit(0.0)
+
+    def named(scores: DataFrame) -> DataFrame:
+        return first(scores.join(meta.select(F.col("topic_id").alias("rowid")), "rowid")).select("rowid", "rank")
+
+    names = topics.best(query, 4 * limit, named, nothing).select(
+        F.col("rowid").alias("topic_id"), F.col("rank").alias("score"), F.lit(None).cast("long").alias("rowid")
+    )
     # the stream is the message's own here
     streams = archive.streams.select(F.col("id").alias("stream_id"), F.col("name").alias("stream_name"))
     if stream:
         streams = streams.where(F.col("stream_name") == stream)
     own = archive.topics.where(~F.col("resolved")) if unresolved_only else archive.topics
-    contents = (
-        messages.scores(query).join(archive.messages.select("id", "topic_id", "stream_id", "content_text"), F.col("rowid") == F.col("id"))
-        .join(streams, "stream_id").join(own.select(F.col("id").alias("topic_id")), "topic_id")
-        .orderBy(F.desc("bm25"), "id").limit(8 * limit)
-        .select("topic_id", F.col("bm25").alias("score"), "content_text", "id")
-    )
-    best_message = F.max_by(F.struct("content_text"), F.when(F.col("id").isNotNull(), F.struct("score", -F.col("id"))))
-    merged = names.unionByName(contents).groupBy("topic_id").agg(
-        F.max("score").alias("base"), best_message["content_text"].alias("content_text")
-    )
+
+    def told(scores: DataFrame) -> DataFrame:
+        known = _with_facts(archive, messages, scores).join(streams, "stream_id").join(own.select(F.col("id").alias("topic_id")), "topic_id")
+        return first(known).select("rowid", "topic_id", "rank")
+
+    contents = messages.best(query, 8 * limit, told, nothing).select("topic_id", F.col("rank").alias("score"), "rowid")
+    best_message = F.max_by("rowid", F.when(F.col("rowid").isNotNull(), F.struct("score", -F.col("rowid"))))
+    merged = names.unionByName(contents).groupBy("topic_id").agg(F.max("score").alias("base"), best_message.alias("rowid"))
     every = _topics(archive, None)
     rank = (
         F.greatest(F.col("base"), F.lit(0.0))
@@ -427,7 +533,7 @@ def search_topics(
         + F.when(F.col("resolved"), 0.15).otherwise(0.0)
     )
     top = merged.join(every, "topic_id").withColumn("rank", rank).orderBy(F.desc("rank"), "topic_id").limit(limit)
-    cut = messages.snippets(top, "content_text", query, "best_snippet")
+    cut = messages.snippets(_looked_up(archive, top, limit, "content_text"), "content_text", query, "best_snippet")
     return cut.select(
         "topic_id", "stream_name", "topic_name", "resolved", "message_count",
         F.coalesce(C.rfc3339(F.col("last_message_at")), F.lit("")).alias("last_message_at"),

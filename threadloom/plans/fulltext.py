@@ -36,6 +36,10 @@ class Node:
     def all_phrases(self) -> list[Phrase]:
         return self.phrases + [p for x in self.parts for p in x.all_phrases()]
 
+    def nears(self) -> list[Node]:
+        """The nodes that hold phrases, in order of the query."""
+        return [self] if self.kind == "near" else [n for x in self.parts for n in x.nears()]
+
     @property
     def empty(self) -> bool:
         return self.kind == "near" and len(self.phrases) == 1 and not self.phrases[0].terms

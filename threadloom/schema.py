@@ -10,6 +10,9 @@ _TYPES = {
     "long": LongType(), "int": IntegerType(), "string": StringType(), "boolean": BooleanType(),
     "timestamp": TimestampType(), "array<float>": ArrayType(FloatType()), "array<int>": ArrayType(IntegerType()),
 }
+_TYPES["entries"] = ArrayType(
+    StructType([StructField(n, _TYPES[t]) for n, t in (("rowid", "long"), ("n", "int"), ("col", "int"), ("times", "int"), ("positions", "array<int>"))])
+)
 
 _DDL = {
     "organizations": "id long, url string, name string, synced_at timestamp",
@@ -33,8 +36,14 @@ _DDL = {
     "sync_state": "org_id long, stream_id long, last_message_id long, synced_at timestamp",
 }
 
-_POSTINGS = "rowid long, bucket int, term string, n int, col int, positions array<int>"
 _ROLLUPS = "topic_id long, message_count long, first_message_id long, last_message_id long, first_message_at timestamp, last_message_at timestamp"
+_BLOCKS = (
+    "term string, span long, removed boolean, n_rows int, words long, top_times int, least_n int, newest timestamp, entries entries,"
+    " seg string, slice int"
+)
+_SLICES = "slice int, first_term string, last_term string, seg string"
+_TOTALS = "rows long, words long, size long, removals long, seg string"
+_FACTS = "rowid long, at timestamp, stream_id long, topic_id long, sender_id long, topic_name string, sender_name string, seg string"
 
 
 def _schemas(ddl: dict[str, str]) -> dict[str, StructType]:
@@ -42,8 +51,13 @@ def _schemas(ddl: dict[str, str]) -> dict[str, StructType]:
 
 
 SCHEMAS = _schemas(_DDL)
-#: derived tables, kept beside the others in archives on disk: full-text postings, and each part's share of the topics' rollups
-INDEXES = _schemas({"message_postings": _POSTINGS, "topic_postings": _POSTINGS, "part_rollups": _ROLLUPS})
+#: derived, kept beside the other tables in archives on disk: each part's share of the topics' rollups
+DERIVED = _schemas({"part_rollups": _ROLLUPS})
+#: full-text segments: postings in blocks, the terms of their files, totals, and what is known of each row
+SEGMENTS = _schemas(
+    {f"{kind}_{name}": ddl for kind in ("message", "topic") for name, ddl in (("blocks", _BLOCKS), ("slices", _SLICES), ("totals", _TOTALS))}
+    | {"message_facts": _FACTS}
+)
 
 KEYS = {
     "organizations": ["id"],

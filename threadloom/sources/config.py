@@ -25,7 +25,8 @@ class Server:
 
 @dataclass(frozen=True)
 class Sync:
-    concurrency: int = 4
+    concurrency: int = 4  # tasks that ask the server at a time
+    requests_a_minute: int = 0  # of all tasks together; 0: any number
     streams: tuple[str, ...] = ()
     exclude_streams: tuple[str, ...] = ("social", "random")
 

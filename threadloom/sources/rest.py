@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import http.client
 import json
 import time
 import urllib.error
@@ -38,35 +39,56 @@ class HttpError(RuntimeError):
         self.status = status
 
 
-def http_get(method: str, url: str, headers: dict[str, str]) -> Response:
-    """The transport for real servers."""
-    request = urllib.request.Request(url, method=method, headers=headers)
-    try:
-        with urllib.request.urlopen(request, timeout=60) as r:
-            return Response(r.status, dict(r.headers), r.read())
-    except urllib.error.HTTPError as e:
-        return Response(e.code, dict(e.headers), e.read())
+class CutShortError(OSError):
+    """An answer ended before its whole body came."""
 
 
-def http_stream(method: str, url: str, headers: dict[str, str]) -> Response:
-    """The transport for bodies of any length: a good answer's body comes in chunks."""
+def _open(method: str, url: str, headers: dict[str, str]):
+    """The open answer, or a Response if the server refused."""
     request = urllib.request.Request(url, method=method, headers=headers)
     try:
-        r = urllib.request.urlopen(request, timeout=60)
+        return urllib.request.urlopen(request, timeout=60)
     except urllib.error.HTTPError as e:
-        return Response(e.code, dict(e.headers), e.read())
+        try:
+            return Response(e.code, dict(e.headers), e.read())
+        except http.client.HTTPException as cut:
+            raise CutShortError(str(cut)) from cut
+    except http.client.HTTPException as e:
+        raise CutShortError(str(e)) from e
 
-    def chunks() -> Iterator[bytes]:
-        with r:
+
+def _chunks(r) -> Iterator[bytes]:
+    """The body; raises CutShortError if fewer bytes come than the answer's Content-Length says."""
+    told, came = r.headers.get("Content-Length"), 0
+    with r:
+        try:
             while data := r.read(CHUNK):
+                came += len(data)
                 yield data
+        except http.client.HTTPException as e:
+            raise CutShortError(str(e)) from e
+    if told is not None and told.isdigit() and came < int(told):
+        raise CutShortError(f"{came} of {told} bytes came")
+
+
+def http_get(method: str, url: str, headers: dict[str, str]) -> Response:
+    """The transport for real servers."""
+    r = _open(method, url, headers)
+    return r if isinstance(r, Response) else Response(r.status, dict(r.headers), b"".join(_chunks(r)))
+
 
-    return Response(r.status, dict(r.headers), chunks())
+def http_stream(method: str, url: str, headers: dict[str, str]) -> Response:
+    """The transport for bodies of any length: a good answer's body comes in chunks."""
+    r = _open(method, url, headers)
+    return r if isinstance(r, Response) else Response(r.status, dict(r.headers), _chunks(r))
 
 
 @dataclass
 class Client:
-    """Transport errors wait 1 to 5 s and 429 as long as it says (2 s unless it does); little quota left, 1.5 s."""
+    """Transport errors wait 1 to 5 s and 429 as long as it says (2 s unless it does); little quota left, 1.5 s.
+
+    gap: the least seconds between two requests, this client's share of the server's quota.
+    """
 
     url: str
     email: str
@@ -74,15 +96,29 @@ class Client:
     transport: Transport = http_get
     sleep: Callable[[float], None] = field(default=time.sleep)
     stream: Transport = http_stream
+    gap: float = 0.0
+    clock: Callable[[], float] = field(default=time.monotonic)
+    _next: float = field(default=0.0, init=False)
 
-    def get(self, path: str, params: dict | None = None, transport: Transport | None = None) -> bytes | Iterator[bytes]:
+    def _wait_for_turn(self) -> None:
+        if self.gap > 0:
+            now = self.clock()
+            if now < self._next:
+                self.sleep(self._next - now)
+            self._next = max(now, self._next) + self.gap
+
+    def get(self, path: str, params: dict | None = None) -> bytes:
+        return self.ask(path, params, self.transport).body
+
+    def ask(self, path: str, params: dict | None, transport: Transport) -> Response:
         key = base64.b64encode(f"{self.email}:{self.api_key}".encode()).decode()
         query = urllib.parse.urlencode({k: v if isinstance(v, str) else json.dumps(v) for k, v in (params or {}).items()})
         url = self.url.rstrip("/") + path + (f"?{query}" if query else "")
         last: Exception = RuntimeError("not tried")
         for attempt in range(1, ATTEMPTS + 1):
+            self._wait_for_turn()
             try:
-                r = (transport or self.transport)("GET", url, {"Authorization": f"Basic {key}"})
+                r = transport("GET", url, {"Authorization": f"Basic {key}"})
             except OSError as e:
                 last = e
                 self.sleep(attempt)
@@ -96,7 +132,7 @@ class Client:
                 raise HttpError(r.status, r.body.decode("utf-8", "replace"))
             if "x-ratelimit-remaining" in headers and _number(headers["x-ratelimit-remaining"], 5) < 5:
                 self.sleep(1.5)
-            return r.body
+            return r
         raise last
 
     def settings(self) -> dict:
@@ -123,11 +159,12 @@ class Client:
                 return
             anchor = str(page["messages"][-1]["id"] + 1)
 
-    def download(self, path: str) -> Iterator[bytes]:
-        """An upload in chunks, so that none is ever held whole."""
+    def download(self, path: str) -> tuple[Iterator[bytes], str]:
+        """An upload in chunks, so that none is ever held whole, and the content type that the server tells."""
         if not path.startswith(UPLOADS):
             raise ValueError(f"not an upload: {path!r}")
-        return self.get(path, transport=self.stream)
+        r = self.ask(path, None, self.stream)
+        return r.body, {k.lower(): v for k, v in r.headers.items()}.get("content-type", "")
 
 
 def _number(text: str | None, default: float) -> float:
@@ -146,18 +183,26 @@ def direct_narrow() -> list[dict]:
 
 
 class _Part(InputPartition):
-    def __init__(self, stream_id: int, name: str, after: int):
-        self.stream_id, self.name, self.after = stream_id, name, after
+    """Streams that one task reads after each other: (id, name, last message id)."""
+
+    def __init__(self, streams: list[list]):
+        self.streams = streams
+
+
+def packed(streams: list[list], tasks: int) -> list[list[list]]:
+    """Streams dealt to at most so many tasks."""
+    n = max(1, min(tasks, len(streams)))
+    return [streams[k::n] for k in range(n)] if streams else []
 
 
 class MessageSource(DataSource):
-    """format("chat_rest"): messages of streams, a partition each, read on the executors.
+    """format("chat_rest"): messages of streams, read on the executors by at most `concurrency` tasks.
 
     A stream that fails gives the messages it had and then a row of type FAILED with the error as its
     content; the others go on.
 
-    Options: url, email, api_key, streams (JSON list of [stream_id, name, last id]); name "" for direct
-    messages.
+    Options: url, email, api_key, streams (JSON list of [stream_id, name, last id]; name "" for direct
+    messages), concurrency (4), requests_a_minute (0: any number), which the tasks share out.
     """
 
     @classmethod
@@ -174,18 +219,29 @@ class MessageSource(DataSource):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.server = (options["url"], options["email"], options["api_key"])
-        self.parts = json.loads(options["streams"])
-        self.more: dict = {}  # a transport of one's own
+        self.parts = packed(json.loads(options["streams"]), int(options.get("concurrency", 4)))
+        self.more: dict = {"gap": gap(float(options.get("requests_a_minute", 0)), len(self.parts))}  # and a transport of one's own
 
     def partitions(self):
-        return [_Part(*p) for p in self.parts]
+        return [_Part(p) for p in self.parts]
 
     def read(self, part):
-        narrow = stream_narrow(part.name) if part.name else direct_narrow()
-        try:
-            for m in Client(*self.server, **self.more).messages(narrow, part.after):
-                own = m | {"stream_id": part.stream_id, "reactions": json.dumps(m.get("reactions") or [])}
-                yield tuple(own.get(f.name) for f in MESSAGE.fields)
-        except (OSError, RuntimeError, ValueError, KeyError) as e:
-            failed = {"stream_id": part.stream_id, "type": FAILED, "content": f"{part.name or 'direct messages'}: {e}"}
-            yield tuple(failed.get(f.name) for f in MESSAGE.fields)
+        client = Client(*self.server, **self.more)
+        for stream_id, name, after in part.streams:
+            yield from stream_rows(client, stream_id, name, after)
+
+
+def gap(requests_a_minute: float, tasks: int) -> float:
+    """The seconds between the requests of each of so many tasks."""
+    return 60 * max(1, tasks) / requests_a_minute if requests_a_minute > 0 else 0.0
+
+
+def stream_rows(client: Client, stream_id: int, name: str, after: int) -> Iterator[tuple]:
+    """The messages of a stream from an id on, and a FAILED row if they break off."""
+    try:
+        for m in client.messages(stream_narrow(name) if name else direct_narrow(), after):
+            own = m | {"stream_id": stream_id, "reactions": json.dumps(m.get("reactions") or [])}
+            yield tuple(own.get(f.name) for f in MESSAGE.fields)
+    except (OSError, RuntimeError, ValueError, KeyError) as e:
+        failed = {"stream_id": stream_id, "type": FAILED, "content": f"{name or 'direct messages'}: {e}"}
+        yield tuple(failed.get(f.name) for f in MESSAGE.fields)

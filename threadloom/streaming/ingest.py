@@ -41,9 +41,9 @@ def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime
     rollups of the topics that gained or lost messages, bookmarks.
 
     Messages before `since` are dropped, but for their senders. All of it becomes visible at once, so a
-    run that fails can be run again; a batch that comes twice changes nothing. Of messages and their
-    children, postings and rollups only the parts that the batch's ids lie in are read and written anew.
-    An archive without indexes (an older one) gets them from `rebuild`.
+    run that fails can be run again; a batch that comes twice changes nothing. Of messages, their
+    children and rollups only the parts that the batch's ids lie in are read and written anew; full-text
+    segments get one more, as large as the batch. An archive without them (an older one) gets them from `rebuild`.
     """
     rows = staged(prepare(batch, as_of, org_id))
     senders = rows.select(
@@ -71,12 +71,14 @@ def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime
     else:
         others = archive.some_parts("messages", parts, other=True).select("id", "topic_id", "timestamp")
         refreshed = U.recompute_topics(topics, others.union(messages.select("id", "topic_id", "timestamp")), touched)
-    if archive.has("message_postings", "topic_postings"):
-        new_topics = topics.join(archive.topics.select("id"), "id", "left_anti")
-        changed = messages.join(derived.select("id"), "id", "left_semi")
-        uploads = tables["message_attachments"].join(derived.select(F.col("id").alias("message_id")), "message_id", "left_semi")
-        small = Archive(archive.spark, {"messages": changed, "message_attachments": uploads, "topics": topics, "users": users})
-        tables |= T.postings_after(archive, parts, small, new_topics)
+    added = None
+    if archive.indexed:
+        own = derived.select("id").distinct()
+        of_message = own.withColumnRenamed("id", "message_id")
+        small = lambda now, uploads: {"messages": now.join(own, "id", "left_semi"), "message_attachments": uploads.join(of_message, "message_id", "left_semi")}
+        changed = Archive(archive.spark, small(messages, tables["message_attachments"]) | {"topics": topics, "users": users})
+        before = Archive(archive.spark, small(touched_parts.messages, touched_parts.message_attachments))
+        added = T.segment_of(archive, changed, before, topics.join(archive.topics.select("id"), "id", "left_anti"))
     direct = archive.spark.createDataFrame([(U.DIRECT_ID, org_id, U.DIRECT_STREAM)], "id long, org_id long, name string")
     new_direct = direct.join(rows.where(F.col("stream_id") == U.DIRECT_ID).select("stream_id").distinct(), F.col("id") == F.col("stream_id"), "left_semi")
     marks = rows.groupBy("org_id", "stream_id").agg(F.max("id").alias("last_message_id")).withColumn("synced_at", C.instant(as_of))
@@ -85,7 +87,7 @@ def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime
         "org_id", "stream_id", F.greatest("last_message_id", F.coalesce("was", F.lit(0))).alias("last_message_id"), "synced_at"
     )
     known = archive.streams.join(new_direct.select("id"), "id", "left_anti")
-    return archive.commit(
+    archive = archive.commit(
         tables
         | {
             "messages": messages,
@@ -96,7 +98,14 @@ def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime
         },
         parts,
         locked,
+        added,
     )
+    if not added:
+        return archive
+    if locked:
+        return T.merge_due(archive)
+    with archive.lock():
+        return T.merge_due(Archive.open(archive.spark, archive.root))
 
 
 def run_stream(source: DataFrame, root: str, checkpoint: str, as_of: datetime, since: datetime | None = None) -> StreamingQuery:
@@ -109,7 +118,7 @@ def run_stream(source: DataFrame, root: str, checkpoint: str, as_of: datetime, s
 
 
 def rebuild(archive: Archive, batch: int = 0, progress: Callable[[int, int], None] | None = None) -> Archive:
-    """Mentions and uploads of all messages there are now derived again, and all indexes, under the writer lock.
+    """Mentions and uploads of all messages there are now derived again, then the full-text segments, under the writer lock.
 
     batch: so many parts of the messages (all, if below 1) are written and committed at a time, so that a
     run that ends early keeps what it did; progress(parts done, of how many) is told after each.
@@ -122,9 +131,8 @@ def rebuild(archive: Archive, batch: int = 0, progress: Callable[[int, int], Non
             some = parts[k : k + size]
             own = Archive(archive.spark, {n: archive.tables[n] for n in SCHEMAS} | {n: archive.some_parts(n, some) for n in PARTED if n in SCHEMAS})
             tables = {n: staged(df) for n, df in U.rebuild_derived(own).items()}
-            new = Archive(archive.spark, {n: own.tables[n] for n in SCHEMAS} | tables)
-            indexes = T.reindexed(new) | {"part_rollups": U.rollup_parts(own.messages, part_of("id"))}
-            archive = archive.commit(tables | indexes, some, locked=True)
+            tables["part_rollups"] = U.rollup_parts(own.messages, part_of("id"))
+            archive = archive.commit(tables, some, locked=True)
             if progress:
                 progress(min(k + size, len(parts)), len(parts))
-        return archive
+        return T.rebuild_index(archive)
