@@ -1,7 +1,11 @@
 """Listings, search, vectors, upserts and ingest over small archives."""
 
 import json
+import threading
+import time
 from datetime import UTC, datetime, timedelta
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,8 +18,8 @@ from threadloom.operators import semantic as V
 from threadloom.operators import slices as S
 from threadloom.operators import upsert as U
 from threadloom.schema import SCHEMAS
-from threadloom.sources import landing, media
-from threadloom.sources.lock import LockHeldError, SharedLock
+from threadloom.sources import landing, media, rest
+from threadloom.sources.lock import LockHeldError, LockLostError, SharedLock
 from threadloom.streaming import ingest as I
 
 NOW = datetime(2026, 5, 1, 12, tzinfo=UTC)
@@ -244,6 +248,60 @@ def test_stream(spark, tmp_path):
     assert a.messages.count() == 8 and U.bookmark(a, 10) == 8 and a.topics.first()["message_count"] == 8
 
 
+def test_a_server_as_a_stream(spark, tmp_path):
+    """Batches go on from the last ids; one that was stored but not marked as done comes again and changes nothing; a
+    stream that fails doesn't hold up the others."""
+    held, broken = {"general": [1, 2, 3, 5], "dev": [4]}, {"dev"}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            asked = parse_qs(urlsplit(self.path).query)
+            name = json.loads(asked["narrow"][0])[0]["operand"]
+            ids, anchor = held[name], asked["anchor"][0]
+            page = ids[-1:] if anchor == "newest" else [i for i in ids if i >= (0 if anchor == "oldest" else int(anchor))][:2]
+            found = [message(i, f"<p>text {i}</p>") for i in page]
+            body = json.dumps({"messages": found, "found_newest": not page or page[-1] == ids[-1]}).encode()
+            self.send_response(500 if name in broken else 200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(rest.MessageSource)
+    root, marks = str(tmp_path / "a"), str(tmp_path / "marks")
+    Archive.open(spark, root).commit({"streams": spark.createDataFrame([(10, "general"), (11, "dev")], "id long, name string")})
+
+    def go():
+        options = {"url": f"http://127.0.0.1:{server.server_port}", "email": "e", "api_key": "k", "streams": json.dumps([[10, "general", 0], [11, "dev", 0]]), "concurrency": 2}
+        I.run_stream(spark.readStream.format("chat_rest").options(**options).load(), root, marks, NOW).awaitTermination()
+        return Archive.open(spark, root)
+
+    assert [r["id"] for r in go().messages.orderBy("id").collect()] == [1, 2, 3, 5]
+    held["general"] += [6, 8]
+    broken.clear()
+    ingest = I.ingest
+
+    def dies_after(*args, **more):
+        ingest(*args, **more)
+        raise RuntimeError("the driver died")
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(I, "ingest", dies_after)
+        with pytest.raises(Exception, match="the driver died"):
+            go()
+    held["general"].append(9)
+    go()  # the batch that wasn't marked as done
+    a = go()
+    server.shutdown()
+    assert [r["id"] for r in a.messages.orderBy("id").collect()] == [1, 2, 3, 4, 5, 6, 8, 9]
+    assert (U.bookmark(a, 10), U.bookmark(a, 11)) == (9, 4) and sum(r["message_count"] for r in a.topics.collect()) == 8
+    assert [r["rowid"] for r in T.message_index(a).scores("text AND 6").collect()] == [6]
+
+
 def test_media(spark, tmp_path):
     rows = [(i, f"/user_uploads/1/{i}/f.txt", "f.txt", None if i else "error") for i in range(105)]
     rows += [(200, "/user_uploads/x.txt", "x.txt", "fetched"), (201, "/bad", "", None), (202, "/user_uploads/gone", "", ""), (203, None, "", None), (204, "https://else/user_uploads/a", "", None)]
@@ -345,6 +403,35 @@ def test_shared_lock(spark, tmp_path):
     two.release()
 
 
+def test_a_dead_writers_lease_runs_out(spark, tmp_path, monkeypatch):
+    """While the first writer is alive its lease is kept; after that the second takes over, and the first is refused."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(str(tmp_path / "a/writer.lock"))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    make = lambda self: SharedLock(fs, path, lease=1.5)
+    monkeypatch.setattr(archive_module._Store, "lock", make)
+    monkeypatch.setattr(archive_module._Store, "_path", lambda self, name: path if name == "writer.lock" else spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root))
+    a = Archive.open(spark, str(tmp_path / "a"))
+    org = lambda n: {"organizations": spark.createDataFrame([(1, "u", n)], "id long, url string, name string")}
+    one, two = make(a), make(a)
+    one.acquire()
+    time.sleep(2.5)
+    with pytest.raises(LockHeldError):
+        two.acquire()  # the first has kept it fresh
+    a = a.commit(org("first"), locked=True)
+    one._stop.set()  # it dies, or stands still
+    time.sleep(2)
+    two.acquire()
+    SharedLock.held[path.toString()] = one
+    with pytest.raises(LockLostError):
+        a.commit(org("late"), locked=True)
+    SharedLock.held[path.toString()] = two
+    assert a.commit(org("second"), locked=True).organizations.first()["name"] == "second"
+    one.release()
+    two.check()  # what the first one does is nothing to the second
+    two.release()
+    assert not fs.exists(path) and len(list((tmp_path / "a").glob("writer.lock*"))) == 0
+
+
 def test_search_at_the_recency_pole(chat):
     """A message thirty days after `as_of` has no recency: it comes last instead of failing the search."""
     at = chat.messages.orderBy("id").first()["timestamp"].replace(tzinfo=UTC)

@@ -88,7 +88,10 @@ def test_totals_and_blocks_hold(edited):
     assert store.totals()[:2] == (len(now), sum(len(split(i)) for i in now)) and store.totals()[2] > 0
     index = T.message_index(archive)
     for q in ("one", "deploy OR x", "one AND two", "data NOT two"):
-        bounds, _ = index.bounds(index.parse(q), lambda newest: F.lit(0.0))
+        node = index.parse(q)
+        heads = index.heads(node)
+        counts = heads.agg(*(F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(len(node.all_phrases())))).first()
+        bounds, _ = index.bounds(node, heads, tuple(counts), lambda newest: F.lit(0.0))
         most = {r["span"]: r["bound"] for r in bounds.collect()}
         for r in index.scores(q).collect():
             assert r["bm25"] <= most[r["rowid"] // 16]

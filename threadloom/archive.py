@@ -130,6 +130,7 @@ class Archive:
             for gone in dropped:
                 table, seg = gone.split("/")
                 new.get(table, {}).pop(seg, None)
+            store.check_lock()
             store.write(new)
             store.clear({f for pointer in (self.pointer, new) for p in pointer.values() for f in p.values()})
         finally:
@@ -223,6 +224,11 @@ class _Store:
     def size(self, folder: str) -> int:
         return self.fs.getContentSummary(self._path(folder)).getLength()
 
+    def check_lock(self) -> None:
+        """Refuses a writer whose lease on a shared file system was taken over while it wrote."""
+        if own := SharedLock.held.get(self._path("writer.lock").toString()):
+            own.check()
+
     def lock(self) -> WriterLock | SharedLock:
         """Beside the tables: an advisory lock if these are in local files, else a file that only one can create."""
         if self.fs.getScheme() == "file":

@@ -80,39 +80,45 @@ class FullTextIndex:
         whose blocks can't reach the k-th rank are left unread: the spans of the greatest bounds are
         scored first, then those of the others that can still matter.
         """
-        order = (F.desc("rank"), "rowid")
         node = self.parse(query)
+        top = lambda df: _held(df.orderBy(F.desc("rank"), "rowid").limit(k), k)
         if self.store is None or not _whole_words(node):  # phrases, beginnings, columns and ^: the blocks' heads don't tell
-            return ranked(self.scores(query)).orderBy(*order).limit(k)
-        spans, idf = self.bounds(node, adds)
+            return top(ranked(self.scores(query)))
+        heads = self.heads(node)
+        counts = heads.agg(*(F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(node.all_phrases())))).first()
+        spans, idf = self.bounds(node, heads, tuple(counts), adds)
         first = [r["span"] for r in spans.orderBy(F.desc("bound"), "span").limit(FIRST_SPANS).collect()]
-        begun = staged(ranked(self._scores_in(node, idf, F.col("span").isin(first))).orderBy(*order).limit(k))
-        ranks = [r["rank"] for r in begun.select("rank").collect()]  # k at most
+        begun = top(ranked(self._scores_in(node, idf, F.col("span").isin(first))))
+        ranks = [r["rank"] for r in begun.select("rank").collect()] if len(first) == FIRST_SPANS else []
         least = min(ranks) if len(ranks) == k and None not in ranks else -math.inf
         rest = spans.where(~F.col("span").isin(first) & (F.col("bound") >= least)).select("span")
-        few = [r["span"] for r in rest.limit(FEW_SPANS + 1).collect()]
+        few = [r["span"] for r in rest.limit(FEW_SPANS + 1).collect()] if len(first) == FIRST_SPANS else []
         if not few:
-            return begun.orderBy(*order)
+            return begun
         more = ranked(self._scores_in(node, idf, F.col("span").isin(few) if len(few) <= FEW_SPANS else rest))
-        return begun.unionByName(more).orderBy(*order).limit(k)
+        return top(begun.unionByName(more))
 
-    def bounds(self, node: Node, adds: Callable[[Column], Column]) -> tuple[DataFrame, list[float]]:
-        """span, bound: no row of a span ranks above its bound, and rows of other spans don't match; and the inverse
-        document frequencies of the query's words. The blocks' heads are read, not their entries."""
-        phrases = node.all_phrases()
+    def heads(self, node: Node) -> DataFrame:
+        """span, newest, and for each word i of the query the most that its part of a score can be there but for its
+        inverse document frequency (b{i}, null: not there), and how many rows have it (c{i}). The blocks' heads
+        are read, not their entries."""
         rows, total, _ = self.store.totals()
-        heads = staged(self.store.blocks(Wanted.of(phrases)).select("term", "span", "removed", "n_rows", "top_times", "least_n", "newest"))
-        told = heads.groupBy("term").agg(F.sum(F.when(F.col("removed"), -F.col("n_rows")).otherwise(F.col("n_rows")))).collect()
-        own = dict(map(tuple, told))  # a number for each word of the query
-        idf = [_idf_of(rows, own.get(p.terms[0], 0)) for p in phrases]
-        most = []
-        for i, p in enumerate(phrases):
-            score = _bm25_of(F.lit(idf[i]), F.col("top_times"), F.col("least_n"), F.lit(rows / max(total, 1)))
-            most.append(F.max(F.when(F.col("term") == p.terms[0], score)).alias(f"b{i}"))
-        by_span = heads.where(~F.col("removed")).groupBy("span").agg(F.max("newest").alias("newest"), *most)
-        possible, bound = _bound(node, iter([F.col(f"b{i}") for i in range(len(phrases))]))
+        added = F.when(F.col("removed"), -F.col("n_rows")).otherwise(F.col("n_rows"))
+        score = _bm25_of(F.lit(1.0), F.col("top_times"), F.col("least_n"), F.lit(rows / max(total, 1)))
+        own = []
+        for i, p in enumerate(node.all_phrases()):
+            here = F.col("term") == p.terms[0]
+            own += [F.max(F.when(here & ~F.col("removed"), score)).alias(f"b{i}"), F.sum(F.when(here, added)).alias(f"c{i}")]
+        heads = self.store.blocks(Wanted.of(node.all_phrases())).select("term", "span", "removed", "n_rows", "top_times", "least_n", "newest")
+        return _held(heads.groupBy("span").agg(F.max("newest").alias("newest"), *own), FEW_SPANS)
+
+    def bounds(self, node: Node, heads: DataFrame, counts: tuple[int, ...], adds: Callable[[Column], Column]) -> tuple[DataFrame, list[float]]:
+        """span, bound: no row of a span ranks above its bound, and rows of other spans don't match; and the inverse
+        document frequencies of the query's words."""
+        idf = [_idf_of(self.store.totals()[0], c) for c in counts]
+        possible, bound = _bound(node, iter([F.col(f"b{i}") * F.lit(x) for i, x in enumerate(idf)]))
         slack = F.lit(1e-9) + bound * F.lit(1 + 1e-9)  # sums in another order may differ in the last digits
-        return by_span.where(possible).select("span", (slack + adds(F.col("newest"))).alias("bound")), idf
+        return heads.where(possible).select("span", (slack + adds(F.col("newest"))).alias("bound")), idf
 
     def _scores_in(self, node: Node, idf: list[float], spans: Column | DataFrame) -> DataFrame:
         """scores of the rows of some spans (a condition, or a table of them), by the statistics of all."""
@@ -133,6 +139,15 @@ class FullTextIndex:
         return rows.withColumn(out, cut(F.col(column)))
 
 
+def _held(df: DataFrame, few: int) -> DataFrame:
+    """The table at hand: on the driver if it has at most `few` rows (and these are few), else in the shared folder."""
+    if few <= max(FEW_SPANS, FEW_HITS):
+        rows = df.limit(few + 1).toArrow()
+        if rows.num_rows <= few:
+            return df.sparkSession.createDataFrame(rows, df.schema)
+    return staged(df)
+
+
 def every_one(spark, **numbers: int) -> DataFrame:
     """One row of numbers."""
     return spark.range(1).select(*(F.lit(v).cast("long").alias(k) for k, v in numbers.items()))
@@ -479,7 +494,6 @@ def _looked_up(archive: Archive, best: DataFrame, k: int, *columns: str) -> Data
     """The best rows with more columns of their messages: of the parts that they lie in, if they are few."""
     own = archive.messages
     if archive.root is not None and k <= FEW_HITS:
-        best = staged(best)
         ids = [r["rowid"] for r in best.select("rowid").where("rowid IS NOT NULL").collect()]
         own = archive.some_parts("messages", sorted({i // PART_IDS for i in ids})).where(F.col("id").isin(ids))
     return best.join(own.select(F.col("id").alias("rowid"), *columns), "rowid", "left")
@@ -532,7 +546,7 @@ def search_topics(
         + C.topic_recency(F.col("last_message_at"), as_of)
         + F.when(F.col("resolved"), 0.15).otherwise(0.0)
     )
-    top = merged.join(every, "topic_id").withColumn("rank", rank).orderBy(F.desc("rank"), "topic_id").limit(limit)
+    top = _held(merged.join(every, "topic_id").withColumn("rank", rank).orderBy(F.desc("rank"), "topic_id").limit(limit), limit)
     cut = messages.snippets(_looked_up(archive, top, limit, "content_text"), "content_text", query, "best_snippet")
     return cut.select(
         "topic_id", "stream_name", "topic_name", "resolved", "message_count",

@@ -221,8 +221,8 @@ class Segments:
     def totals(self) -> tuple[int, int, int]:
         """Rows, words and removals: a row for each segment is read."""
         if self._totals is None:
-            t = self.archive.segments(f"{self.kind}_totals").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("rows", "words", "removals"))).first()
-            self._totals = t[0], t[1], t[2]
+            found = self.archive.segments(f"{self.kind}_totals").collect()
+            self._totals = tuple(sum(r[c] for r in found) for c in ("rows", "words", "removals"))
         return self._totals
 
     def slices(self, wanted: Wanted) -> dict[str, list[int]]:

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 import fcntl
 import os
+import threading
+import time
+import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import ClassVar
+
+from py4j.protocol import Py4JError, Py4JJavaError
 
 
 class LockHeldError(RuntimeError):
@@ -28,6 +35,9 @@ class WriterLock:
         self._fd = fd
         return self
 
+    def check(self) -> None:
+        """The operating system keeps it for as long as the process lives."""
+
     def release(self) -> None:
         """Does nothing the second time."""
         if self._fd is not None:
@@ -41,28 +51,89 @@ class WriterLock:
         self.release()
 
 
+class LockLostError(LockHeldError):
+    """Another writer took the lock over, as this one's lease had run out."""
+
+
 class SharedLock:
-    """A file on a shared file system that only one writer can create; it goes when the writer is done or ends.
+    """A lease: a file on a shared file system that only one writer can create, and that it keeps fresh.
 
-    A driver that dies without ending leaves it, and it has to be removed by hand.
+    A thread sets the file's time again every third of `lease` seconds. Of a driver that died the time grows
+    old, and once it is older than the lease the next writer takes the file's place. `check` before each
+    commit refuses a writer whose file isn't there any more (say, after a long pause). Clocks of drivers and the
+    file system may differ by less than the lease.
     """
 
-    def __init__(self, fs, path):
-        self.fs, self.path, self._held = fs, path, False
+    held: ClassVar[dict[str, SharedLock]] = {}  # of this process, by path
+
+    def __init__(self, fs, path, lease: float = 120.0, clock: Callable[[], float] = time.time):
+        self.fs, self.path, self.lease, self.clock = fs, path, lease, clock
+        self.owner = uuid.uuid4().hex
+        self._stop: threading.Event | None = None
 
     def acquire(self) -> SharedLock:
         self.fs.mkdirs(self.path.getParent())
         if not self.fs.createNewFile(self.path):
-            raise LockHeldError(f"another writer holds {self.path}")
-        self._held = True
+            self._take_over()
+        out = self.fs.create(self.path, True)
+        out.write(bytearray(self.owner.encode()))
+        out.close()
         self.fs.deleteOnExit(self.path)
+        self._stop = threading.Event()
+        threading.Thread(target=self._keep_fresh, args=(self._stop,), daemon=True).start()
+        SharedLock.held[self.path.toString()] = self
         return self
 
+    def _take_over(self) -> None:
+        """Of several writers that find an old file only one can rename it."""
+        refused = LockHeldError(f"another writer holds {self.path}")
+        try:
+            old = 1000 * (self.clock() - self.lease)
+            if self.fs.getFileStatus(self.path).getModificationTime() > old:
+                raise refused
+            aside = self.path.suffix(f".{self.owner}")
+            if not self.fs.rename(self.path, aside):
+                raise refused
+            if self.fs.getFileStatus(aside).getModificationTime() > old:  # a third one was faster, and it is its file
+                self.fs.rename(aside, self.path)
+                raise refused
+            self.fs.delete(aside, False)
+        except Py4JJavaError as e:  # it went in the meantime
+            raise refused from e
+        if not self.fs.createNewFile(self.path):
+            raise refused
+
+    def _keep_fresh(self, stop: threading.Event) -> None:
+        while not stop.wait(self.lease / 3):
+            try:
+                if self._owner() == self.owner:
+                    self.fs.setTimes(self.path, int(1000 * self.clock()), -1)
+            except Py4JError:  # tried again in time, or the lease runs out
+                continue
+
+    def _owner(self) -> str:
+        """What the file says, "" if there is none."""
+        if not self.fs.exists(self.path):
+            return ""
+        stream = self.fs.open(self.path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def check(self) -> None:
+        """LockLostError if the lock isn't held any more."""
+        if self._stop is None or self._owner() != self.owner:
+            raise LockLostError(f"another writer took over {self.path}")
+
     def release(self) -> None:
         """Does nothing the second time."""
-        if self._held:
-            self.fs.delete(self.path, False)
-            self._held = False
+        if self._stop is not None:
+            self._stop.set()
+            self._stop = None
+            SharedLock.held.pop(self.path.toString(), None)
+            if self._owner() == self.owner:
+                self.fs.delete(self.path, False)
 
     __enter__ = acquire
 

@@ -12,7 +12,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .landing import MESSAGE
 
@@ -149,12 +149,20 @@ class Client:
         asked = {"anchor": anchor, "num_before": 0, "num_after": size, "narrow": narrow, "apply_markdown": "true"}
         return json.loads(self.get("/api/v1/messages", asked))
 
-    def messages(self, narrow: list[dict], after: int = 0, size: int = PAGE_SIZE) -> Iterator[dict]:
-        """All messages from an id on (0: the oldest), which may come again itself; pages follow the last id."""
+    def newest(self, narrow: list[dict]) -> int:
+        """The greatest message id, 0 if there is none."""
+        asked = {"anchor": "newest", "num_before": 1, "num_after": 0, "narrow": narrow, "apply_markdown": "true"}
+        return max((m["id"] for m in json.loads(self.get("/api/v1/messages", asked))["messages"]), default=0)
+
+    def messages(self, narrow: list[dict], after: int = 0, size: int = PAGE_SIZE, through: int | None = None) -> Iterator[dict]:
+        """All messages from an id on (0: the oldest), which may come again itself, up to one; pages follow the last id."""
         anchor = str(after) if after > 0 else "oldest"
         while True:
             page = self.page(anchor, narrow, size)
-            yield from page["messages"]
+            for m in page["messages"]:
+                if through is not None and m["id"] > through:
+                    return
+                yield m
             if not page["messages"] or page.get("found_newest"):
                 return
             anchor = str(page["messages"][-1]["id"] + 1)
@@ -201,6 +209,10 @@ class MessageSource(DataSource):
     A stream that fails gives the messages it had and then a row of type FAILED with the error as its
     content; the others go on.
 
+    As a streaming source its offset is the last message id of each stream, from the given ones on. A batch has
+    what came up to the newest ids that the server tells; a stream that can't be asked stays where it was.
+    A failure while a batch is read fails the batch, which then comes again whole.
+
     Options: url, email, api_key, streams (JSON list of [stream_id, name, last id]; name "" for direct
     messages), concurrency (4), requests_a_minute (0: any number), which the tasks share out.
     """
@@ -215,6 +227,9 @@ class MessageSource(DataSource):
     def reader(self, schema):
         return _Reader(self.options)
 
+    def streamReader(self, schema):  # noqa: N802
+        return _StreamReader(self.options)
+
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
@@ -231,6 +246,51 @@ class _Reader(DataSourceReader):
             yield from stream_rows(client, stream_id, name, after)
 
 
+class _StreamReader(DataSourceStreamReader):
+    def __init__(self, options):
+        self.server = (options["url"], options["email"], options["api_key"])
+        self.streams = json.loads(options["streams"])
+        self.tasks = int(options.get("concurrency", 4))
+        self.rate = float(options.get("requests_a_minute", 0))
+        self.known = self.initialOffset()
+        self.more: dict = {}
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {str(i): after for i, _, after in self.streams}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        client = Client(*self.server, **{"gap": gap(self.rate, 1)} | self.more)
+        for i, name, _ in self.streams:
+            try:
+                self.known[str(i)] = max(self.known[str(i)], client.newest(_narrow(name)))
+            except (OSError, RuntimeError, ValueError, KeyError):
+                continue  # asked again before the next batch
+        return dict(self.known)
+
+    def partitions(self, start: dict, end: dict) -> list[_Part]:
+        now = [[i, name, start.get(str(i), 0), end[str(i)]] for i, name, _ in self.streams if end.get(str(i), 0) > start.get(str(i), 0)]
+        return [_Part(p) for p in packed(now, self.tasks)]
+
+    def read(self, part: _Part) -> Iterator[tuple]:
+        client = Client(*self.server, **{"gap": gap(self.rate, self.tasks)} | self.more)
+        for stream_id, name, after, through in part.streams:
+            for m in client.messages(_narrow(name), after, through=through):
+                if m["id"] > after:
+                    yield _row(stream_id, m)
+
+    def commit(self, end: dict) -> None:
+        """Nothing to be told to the server; the checkpoint keeps the offset."""
+
+
+def _narrow(name: str) -> list[dict]:
+    return stream_narrow(name) if name else direct_narrow()
+
+
+def _row(stream_id: int, m: dict) -> tuple:
+    own = m | {"stream_id": stream_id, "reactions": json.dumps(m.get("reactions") or [])}
+    return tuple(own.get(f.name) for f in MESSAGE.fields)
+
+
 def gap(requests_a_minute: float, tasks: int) -> float:
     """The seconds between the requests of each of so many tasks."""
     return 60 * max(1, tasks) / requests_a_minute if requests_a_minute > 0 else 0.0
@@ -239,9 +299,8 @@ def gap(requests_a_minute: float, tasks: int) -> float:
 def stream_rows(client: Client, stream_id: int, name: str, after: int) -> Iterator[tuple]:
     """The messages of a stream from an id on, and a FAILED row if they break off."""
     try:
-        for m in client.messages(stream_narrow(name) if name else direct_narrow(), after):
-            own = m | {"stream_id": stream_id, "reactions": json.dumps(m.get("reactions") or [])}
-            yield tuple(own.get(f.name) for f in MESSAGE.fields)
+        for m in client.messages(_narrow(name), after):
+            yield _row(stream_id, m)
     except (OSError, RuntimeError, ValueError, KeyError) as e:
         failed = {"stream_id": stream_id, "type": FAILED, "content": f"{name or 'direct messages'}: {e}"}
         yield tuple(failed.get(f.name) for f in MESSAGE.fields)
