@@ -143,12 +143,16 @@ class Archive:
         for n in SCHEMAS:
             self.tables[n].createOrReplaceTempView(prefix + n)
 
-    def sql(self, query: str) -> DataFrame:
-        """Any query over the tables. Views can't be written, so this reads only."""
+    def sql(self, query: str, **views: DataFrame) -> DataFrame:
+        """Any query over the tables, and over more tables under names of one's own (say, a search's hits).
+
+        Views can't be written, so this reads only."""
         first = query.lstrip(" \t\r\n(").split(None, 1)
         if not first or first[0].upper() not in ("SELECT", "WITH", "VALUES", "FROM", "EXPLAIN", "DESCRIBE", "SHOW"):
             raise ValueError("only queries are taken")
         self.register()
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
         return self.spark.sql(query)
 
     def check(self) -> dict[str, bool]:

@@ -17,6 +17,7 @@ from .operators import fulltext as T
 from .operators import semantic as V
 from .operators import slices as S
 from .operators import upsert as U
+from .sources import media
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -290,7 +291,7 @@ def media_update(spark, folder):
 @query(f"{_DOC} SELECT media_status, count(*) AS n FROM att GROUP BY 1")
 def media_status_counts(spark, folder):
     uploads = A.documents_archive(spark, folder).message_attachments
-    return uploads.groupBy(F.coalesce("media_status", F.lit("")).alias("media_status")).agg(F.count("*").alias("n"))
+    return media.counts(uploads.select(F.coalesce("media_status", F.lit("")).alias("media_status")))
 
 
 @query("SELECT event_id AS message_id, user_id AS mentioned_user_id, 'User ' || user_id AS mentioned_name, 'user' AS mention_kind FROM events WHERE user_id > 0")
@@ -600,12 +601,8 @@ def _sql(text: str, archive: Query = A.events_archive) -> Query:
 
 
 def _tables(text: str, *names: str) -> Query:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        for n in names:
-            A.table(spark, folder, n).createOrReplaceTempView(n)
-        return spark.sql(text)
-
-    return run
+    """SQL through an archive that has no tables of its own, over these."""
+    return lambda spark, folder: Archive(spark, {}).sql(text, **{n: A.table(spark, folder, n) for n in names})
 
 
 def _passthrough(name: str, run: Query, sql: str) -> None:
@@ -639,8 +636,35 @@ _EXISTS = (
     " AND p_retailprice > (SELECT avg(p_retailprice) FROM part) GROUP BY p_brand"
 )
 _passthrough("exists_scalar", _tables(_EXISTS, "part", "lineitem"), _EXISTS)
-_RECURSIVE = "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM t WHERE n < 20) SELECT n, f FROM t"
-_passthrough("recursive", _tables(_RECURSIVE), _RECURSIVE)
+_passthrough(
+    "recursive",
+    _sql(
+        "WITH RECURSIVE t(day, last) AS (SELECT min(CAST(timestamp AS DATE)), max(CAST(timestamp AS DATE)) FROM messages"
+        " UNION ALL SELECT date_add(day, 1), last FROM t WHERE day < last)"
+        " SELECT CAST(t.day AS STRING) AS day, count(m.id) AS n FROM t LEFT JOIN messages m ON CAST(m.timestamp AS DATE) = t.day GROUP BY t.day"
+    ),
+    "WITH RECURSIVE t(day, last) AS (SELECT min(CAST(ts AS DATE)), max(CAST(ts AS DATE)) FROM events"
+    " UNION ALL SELECT CAST(day + INTERVAL 1 DAY AS DATE), last FROM t WHERE day < last)"
+    " SELECT CAST(t.day AS VARCHAR) AS day, count(e.event_id) AS n FROM t LEFT JOIN events e ON CAST(e.ts AS DATE) = t.day GROUP BY t.day",
+)
+_HITS = (
+    "SELECT t.name AS topic, count(*) AS hits, max(t.message_count) AS messages, round(max(h.rank), 6) AS best"
+    " FROM hits h JOIN messages m ON m.id = h.message_id JOIN topics t ON t.id = m.topic_id GROUP BY t.id, t.name"
+)
+
+
+def _search_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The full-text predicate in SQL: a search's hits joined with other tables."""
+    a = A.stored_documents(spark, folder)
+    return a.sql(_HITS, hits=T.search_messages(a, "license", AS_OF, limit=50))
+
+
+_passthrough(
+    "search_join",
+    _search_join,
+    f"{_FTS}{_bm25('license|licensed')}, hits AS (SELECT id, stream_name, topic_name, {_RANK} AS rank FROM b WHERE t0 > 0 ORDER BY {_RANK} DESC, id LIMIT 50)"
+    " SELECT topic_name AS topic, count(*) AS hits, max(message_count) AS messages, round(max(rank), 6) AS best FROM hits JOIN tp USING (stream_name, topic_name) GROUP BY stream_name, topic_name",
+)
 _passthrough(
     "days_between",
     _sql("SELECT date_format(timestamp, 'yyyy-MM-dd') AS day, count(*) AS n, round(max((unix_micros(timestamp) - unix_micros(TIMESTAMP '2024-01-01 00:00:00')) / 8.64e10), 6) AS days FROM messages GROUP BY 1"),

@@ -24,6 +24,12 @@ TEXT_TYPES = frozenset(
 )
 MOST_BYTES = 64 * 1024
 UPLOADS = "/user_uploads/"
+#: fixed values: elements and classes of mentions and of uploads' previews, and what holds the text beside an upload
+MARKED = frozenset(("a", "span"))
+MENTIONS = frozenset(("user-mention", "user-group-mention"))
+ID_ATTRIBUTES = ("data-user-id", "data-user-group-id", "data-id")
+PREVIEWS = ("message_inline_ref", "message_inline_image")
+HOLDERS = frozenset(("p", "blockquote"))
 
 
 def collapsed(text: str) -> str:
@@ -40,13 +46,6 @@ class Element:
     def get(self, name: str) -> str:
         return self.attributes.get(name, "")
 
-    def elements(self):
-        todo = [self]
-        while todo:
-            e = todo.pop()
-            yield e
-            todo += [c for c in reversed(e.children) if isinstance(c, Element)]
-
     def text(self) -> str:
         """All text below, each run apart, white space collapsed."""
         out, todo = [], [self]
@@ -133,26 +132,6 @@ class Upload:
     indexed: bool
 
 
-def _classes(e: Element) -> str:
-    return e.get("class").lower()
-
-
-def _mention(e: Element) -> Mention | None:
-    words = f" {_classes(e)} "
-    person, group = " user-mention " in words, " user-group-mention " in words
-    if e.name not in ("span", "a") or not (person or group):
-        return None
-    user = 0
-    for key in ("data-user-id", "data-user-group-id", "data-id"):
-        if re.fullmatch(r"[+-]?[0-9]+", number := collapsed(e.get(key))):
-            user = int(number)
-            break
-    if person and user <= 0:  # all, everyone
-        return None
-    name = e.text().removeprefix("@")
-    return Mention(user, name, "group" if "user-group-mention" in _classes(e) else "user") if name or user else None
-
-
 def file_name(url: str, title: str) -> str:
     """The last part of the URL's path, else the title."""
     if re.search(r"%(?![0-9A-Fa-f]{2})|[\x00-\x1f\x7f]", url):
@@ -171,40 +150,54 @@ def bounded(text: str, most: int = MOST_BYTES) -> str:
     return text.strip() if len(raw) <= most else raw[:most].decode("utf-8", "ignore").strip()
 
 
-def _upload(e: Element) -> Upload | None:
-    url = e.get("href")
-    if e.name != "a" or not url.strip().lower().startswith(UPLOADS):
-        return None
-    title = e.text()
-    name = file_name(url, title)
-    if "message_inline_ref" not in _classes(e) and not content_type(file_name(url.strip(), title)):
-        return None
-    near, p = "", e.parent
-    while p is not None:
-        wraps = any(x in _classes(p) for x in ("message_inline_ref", "message_inline_image"))
-        if wraps or p.name in ("p", "blockquote"):
-            text = p.text()
-            if content_type(file_name(url, text)):
-                near = text
-                break
-        p = p.parent
-    near = bounded(near)
-    return Upload(url, name, title, content_type(name), near, near != "")
+class _Finder:
+    """Mentions and uploads of a tree, met in one walk that knows what encloses each element."""
 
+    def __init__(self):
+        self.mentions: dict[Mention, None] = {}
+        self.uploads: dict[str, Upload] = {}
 
-def extract(html: str) -> tuple[str, list[Mention], list[Upload]]:
-    """Plain text, mentions (each once) and uploads (the last of each URL)."""
-    root = tree(html or "")
-    mentions: dict[Mention, None] = {}
-    uploads: dict[str, Upload] = {}
-    for e in root.elements():
-        if m := _mention(e):
-            mentions[m] = None
-        if u := _upload(e):
-            uploads[u.url] = u
-    return root.text(), list(mentions), list(uploads.values())
+    def walk(self, root: Element) -> None:
+        # beside an element the enclosing ones whose text describes an upload, the innermost first
+        todo: list[tuple[Element, tuple[Element, ...]]] = [(root, ())]
+        while todo:
+            e, around = todo.pop()
+            marks = e.get("class").lower()
+            if e.name in MARKED:
+                self.meet(e, marks, around)
+            inner = (e, *around) if e.name in HOLDERS or any(x in marks for x in PREVIEWS) else around
+            todo += [(c, inner) for c in reversed(e.children) if isinstance(c, Element)]
+
+    def meet(self, e: Element, marks: str, around: tuple[Element, ...]) -> None:
+        tokens = set(marks.split(" "))
+        if tokens & MENTIONS:
+            self.add_mention(e, someone="user-mention" in tokens, kind="group" if "user-group-mention" in marks else "user")
+        url = e.get("href")
+        if e.name == "a" and url.strip().lower().startswith(UPLOADS):
+            self.add_upload(e.text(), url, PREVIEWS[0] in marks, around)
+
+    def add_mention(self, e: Element, someone: bool, kind: str) -> None:
+        numbers = (collapsed(e.get(k)) for k in ID_ATTRIBUTES)
+        who = next((int(n) for n in numbers if re.fullmatch(r"[+-]?[0-9]+", n)), 0)
+        name = e.text().removeprefix("@")
+        everyone = someone and who <= 0
+        if (name or who) and not everyone:
+            self.mentions[Mention(who, name, kind)] = None
+
+    def add_upload(self, title: str, url: str, shown: bool, around: tuple[Element, ...]) -> None:
+        if not shown and not content_type(file_name(url.strip(), title)):
+            return
+        texts = (p.text() for p in around)
+        near = bounded(next((t for t in texts if content_type(file_name(url, t))), ""))
+        name = file_name(url, title)
+        self.uploads[url] = Upload(url, name, title, content_type(name), near, bool(near))
 
 
+def extract(html: str) -> tuple[str, list[Mention], list[Upload]]:
+    """Plain text, mentions (each once) and uploads (the last of each URL)."""
+    root, found = tree(html or ""), _Finder()
+    found.walk(root)
+    return root.text(), list(found.mentions), list(found.uploads.values())
 
 
 def _struct(**kinds) -> StructType:
