@@ -17,7 +17,9 @@ from .operators import fulltext as T
 from .operators import semantic as V
 from .operators import slices as S
 from .operators import upsert as U
-from .sources import media
+from .sources import landing, media
+from .storage import fresh_folder
+from .streaming import ingest as I
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,6 +304,69 @@ def derived_rows_rebuilt(spark, folder):
     return rows.select("message_id", "mentioned_user_id", "mentioned_name", "mention_kind")
 
 
+_SENT = """
+WITH m AS (
+  SELECT event_id AS id, CASE WHEN user_id % 11 = 0 THEN 0 ELSE user_id % 3 + 1 END AS stream_id,
+         CASE WHEN user_id % 11 = 0 THEN 'direct messages' WHEN user_id % 7 = 0 THEN 'old style' WHEN user_id % 13 = 0 THEN '(no topic)'
+              ELSE '✔ t' || CAST(user_id % 5 AS VARCHAR) END AS name,
+         date_trunc('second', ts) AS sent, user_id, event_id % 10 = 0 AS edited FROM events)
+"""
+
+
+def _sent(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as a server tells messages: epoch seconds, an old name of the topic's field, direct messages."""
+    u = F.col("user_id")
+    kinds = {f.name: f.dataType for f in landing.MESSAGE.fields}
+    e = A.table(spark, folder, "events").select(
+        F.col("event_id").alias("id"), (u % 3 + 1).alias("stream_id"), u.alias("sender_id"), F.concat(F.lit("User_"), u.cast("string")).alias("sender_full_name"),
+        F.concat(F.lit("<p>"), "event_type", F.lit("</p>")).alias("content"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"),
+        F.when(u % 11 == 0, "private").otherwise("stream").alias("type"), F.when(u % 7 == 0, "old style").otherwise("").alias("subject"),
+        F.when((u % 7 != 0) & (u % 13 != 0), F.concat(F.lit("✔ t"), (u % 5).cast("string"))).otherwise("").alias("topic"),
+    )
+    return e.select(*((F.col(c) if c in e.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
+
+
+@query(f"{_SENT} SELECT id, stream_id, name AS topic_name, strftime(sent, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, '[]' AS reactions, false AS is_me_message, false AS edited FROM m")
+def prepared_messages(spark, folder):
+    p = I.prepare(_sent(spark, folder), AS_OF)
+    return p.select("id", "stream_id", "topic_name", C.rfc3339(F.col("timestamp")).alias("timestamp"), "reactions", "is_me_message", F.col("edit_timestamp").isNotNull().alias("edited"))
+
+
+@query(
+    f"{_SENT}, n AS (SELECT id, stream_id, CASE WHEN edited AND stream_id <> 0 THEN 'moved' ELSE name END AS name, sent FROM m),"
+    " seen AS (SELECT DISTINCT stream_id, name FROM (SELECT stream_id, name FROM m UNION ALL SELECT stream_id, name FROM n)),"
+    " mark AS (SELECT stream_id, max(id) AS bookmark FROM m GROUP BY 1)"
+    " SELECT s.stream_id, s.name, starts_with(s.name, '✔') AS resolved, count(n.id) AS message_count, min(n.id) AS first_message_id, max(n.id) AS last_message_id,"
+    " coalesce(strftime(max(n.sent), '%Y-%m-%dT%H:%M:%SZ'), '') AS last_message_at, any_value(bookmark) AS bookmark"
+    " FROM seen s JOIN mark USING (stream_id) LEFT JOIN n ON n.stream_id = s.stream_id AND n.name = s.name GROUP BY 1, 2, 3"
+)
+def ingested_batches(spark, folder):
+    """All messages ingested into a new archive, then a tenth of them edited and moved: topics, rollups and bookmarks."""
+    sent = _sent(spark, folder)
+    a = I.ingest(Archive.open(spark, fresh_folder(spark)), sent, AS_OF)
+    moved = sent.where("id % 10 = 0").withColumn("topic", F.lit("moved")).withColumn("edit_timestamp", F.col("timestamp") + 9)
+    a = I.ingest(a, moved, AS_OF)
+    t = a.topics.join(a.sync_state.select("stream_id", F.col("last_message_id").alias("bookmark")), "stream_id")
+    last = F.coalesce(C.rfc3339(F.col("last_message_at")), F.lit("")).alias("last_message_at")
+    return t.select("stream_id", "name", "resolved", "message_count", "first_message_id", F.col("last_message_id"), last, "bookmark")
+
+
+@query(
+    "SELECT event_id AS id, (CASE WHEN event_id % 4 = 0 THEN '' ELSE 'c ' END) || 'b ' || CASE WHEN event_id % 3 = 0 THEN 'a' ELSE 'd' END AS attachment_text FROM events"
+)
+def attachment_text_order(spark, folder):
+    """Three uploads a message, of which some aren't indexed, joined in order of their ids."""
+    e = A.table(spark, folder, "events").select("event_id")
+    i = F.col("event_id")
+    ups = F.array(
+        F.struct((3 * i + F.when(i % 3 == 0, 2).otherwise(2)).alias("id"), F.when(i % 3 == 0, "a").otherwise("d").alias("text"), F.lit(True).alias("indexed")),
+        F.struct((3 * i + 1).alias("id"), F.lit("b").alias("text"), F.lit(True).alias("indexed")),
+        F.struct((3 * i).alias("id"), F.lit("c").alias("text"), (i % 4 != 0).alias("indexed")),
+    )
+    rows = e.select(i.alias("message_id"), F.explode(ups).alias("u")).select("message_id", "u.id", F.concat(F.lit("/u/"), "u.id").alias("url"), F.col("u.text").alias("text_content"), "u.indexed")
+    return T.upload_texts(Archive(spark, {"message_attachments": rows}))
+
+
 # ---------------------------------------------------------------- rendered messages
 
 
@@ -338,6 +403,34 @@ def html_mentions_and_uploads(spark, folder):
     return p.select("event_id", m["user_id"].alias("mentioned"), m["name"].alias("name"), u["url"].alias("url"), u["text"].alias("text"))
 
 
+_VARIED = """
+  CASE {e} % 7
+    WHEN 0 THEN concat('<p><span class="user-mention" data-user-id="*">@all</span> hi</p>')
+    WHEN 1 THEN concat('<div><a class="x user-group-mention" data-user-group-id=" ', {e}, ' ">@ team </a></div>')
+    WHEN 2 THEN concat('<blockquote>see <a href="/USER_uploads/1/', {e}, '/b.LOG">b.log</a> &amp; more</blockquote>')
+    WHEN 3 THEN concat('<p><a href="/user_uploads/1/', {e}, '/pic.png">pic</a> none</p>')
+    WHEN 4 THEN concat('<div class="message_inline_image"><a class="message_inline_ref" href="/user_uploads/', {e}, '/pic.png">p</a></div>')
+    WHEN 5 THEN concat('<p><span class="user-mention" data-user-id="x" data-id="', {e} + 1, '">@Bo</span> <span class="user-mention" data-id="', {e} + 1, '">@Bo</span></p>')
+    ELSE concat('<p>plain <b>', {e}, '</b><!-- no --><br>end</p>') END
+"""
+
+
+@query(
+    "WITH e AS (SELECT event_id AS e, event_id % 7 AS k FROM events) SELECT e AS event_id,"
+    " CASE k WHEN 1 THEN 'group ' || e || ' team' WHEN 5 THEN 'user ' || (e + 1) || ' Bo' ELSE '' END AS mentions,"
+    " CASE k WHEN 2 THEN '/USER_uploads/1/' || e || '/b.LOG b.LOG text/plain see b.log & more true' WHEN 4 THEN '/user_uploads/' || e || '/pic.png pic.png   false' ELSE '' END AS uploads,"
+    " CASE k WHEN 0 THEN '@all hi' WHEN 1 THEN '@ team' WHEN 2 THEN 'see b.log & more' WHEN 3 THEN 'pic none' WHEN 4 THEN 'p' WHEN 5 THEN '@Bo @Bo' ELSE 'plain ' || e || ' end' END AS text FROM e"
+)
+def html_varied(spark, folder):
+    """Groups, wildcards, ids in other attributes, repeated mentions; uploads in quotes and previews, and links that are none."""
+    html = F.expr(_VARIED.format(e="event_id"))
+    p = A.table(spark, folder, "events").select("event_id", parse_html(html).alias("p"))
+    mention = lambda m: F.concat(m["kind"], F.lit(" "), m["user_id"].cast("string"), F.lit(" "), F.trim(m["name"]))
+    upload = lambda u: F.concat_ws(" ", u["url"], u["file_name"], u["content_type"], u["text"], u["indexed"].cast("string"))
+    joined = lambda c, f: F.array_join(F.transform(c, f), "; ")
+    return p.select("event_id", joined(F.col("p.mentions"), mention).alias("mentions"), joined(F.col("p.uploads"), upload).alias("uploads"), F.col("p.text").alias("text"))
+
+
 # ---------------------------------------------------------------- vectors
 
 _QUERY = [((i * 37) % 11 - 5) / 16 for i in range(64)]
@@ -381,6 +474,29 @@ def topics_missing_embedding(spark, folder):
     return V.topics_without_vector(A.vectors_archive(spark, folder, lacking=True), A.MODEL)
 
 
+@query("SELECT vec_id AS topic_id FROM embeddings WHERE vec_id % 10 = 3 ORDER BY 1 LIMIT 7")
+def topics_missing_embedding_first(spark, folder):
+    return V.topics_without_vector(A.vectors_archive(spark, folder, lacking=True), A.MODEL, 7)
+
+
+@query("SELECT vec_id AS topic_id, vec_id % 4 = 0 OR vec_id = 17 AS resolved FROM embeddings")
+def topic_set_resolved(spark, folder):
+    topics = U.set_resolved(A.vectors_archive(spark, folder).topics, 17, True)
+    return topics.select(F.col("id").alias("topic_id"), "resolved")
+
+
+@query(
+    "SELECT c_custkey AS id, c_name AS full_name FROM customer WHERE c_custkey <> 5 UNION ALL SELECT 5, 'Renamed' UNION ALL SELECT 100000000, 'New'"
+)
+def ensured_users(spark, folder):
+    """A known user and a new one made sure of; id 0 changes nothing."""
+    c = A.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"))
+    users = Archive(spark, {"users": c}).users
+    for i, name in ((5, "Renamed"), (100_000_000, "New"), (0, "nobody")):
+        users = U.ensure_user(users, i, name)
+    return users.select("id", "full_name")
+
+
 @query(
     f"{_DOC}, m AS (SELECT tp.topic_id, tp.stream_name, tp.topic_name, d.id, d.text,"
     " row_number() OVER (PARTITION BY tp.topic_id ORDER BY d.id) AS k FROM d JOIN tp USING (stream_name, topic_name))"

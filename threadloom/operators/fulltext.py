@@ -16,7 +16,7 @@ from ..archive import PART_IDS, Archive, Pointer
 from ..functions import columns as C
 from ..functions.text import stem, words
 from ..plans.fulltext import Node, Phrase, occurrences, parse
-from ..storage import staged
+from ..storage import spread, staged
 from .segments import SPAN_IDS, Segments, Wanted, blocks_of, merge_segments, next_sequence, postings_of, write_segment
 
 MESSAGE_COLUMNS = ("content_text", "topic_name", "sender_name", "attachment_text")
@@ -351,13 +351,14 @@ def upload_texts(archive: Archive) -> DataFrame:
     )
 
 
-def message_rows(archive: Archive) -> DataFrame:
-    """rowid and the text columns of each message."""
+def message_rows(archive: Archive, deal: bool = False) -> DataFrame:
+    """rowid and the text columns of each message; deal: over all cores, where their files are few."""
     uploads = upload_texts(archive)
+    messages = archive.messages.select("id", "topic_id", "sender_id", "content_text")
     topics = archive.topics.select(F.col("id").alias("topic_id"), F.col("name").alias("topic_name"))
     users = archive.users.select(F.col("id").alias("sender_id"), F.col("full_name").alias("sender_name"))
     return (
-        archive.messages.select("id", "topic_id", "sender_id", "content_text")
+        (spread(messages) if deal else messages)
         .join(topics, "topic_id", "left")
         .join(users, "sender_id", "left")
         .join(uploads, "id", "left")
@@ -400,7 +401,7 @@ def rebuild_index(archive: Archive) -> Archive:
     """One segment each of all messages and topics as they are now, in place of those there are; the lock is held."""
     seq = next_sequence(archive)
     facts = staged(_facts(archive))
-    blocks = blocks_of(_at(postings_of(message_rows(archive), MESSAGE_COLUMNS, True), facts, False))
+    blocks = blocks_of(_at(postings_of(message_rows(archive, deal=True), MESSAGE_COLUMNS, True), facts, False))
     added = write_segment(archive, "message", blocks, facts.count(), seq, facts) | _topic_segment(archive, archive.topics, seq)
     old = [f"{t}/{seg}" for t, own in archive.pointer.items() if t in added for seg in own]
     return archive.commit({}, locked=True, added=added, dropped=old)
