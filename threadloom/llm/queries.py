@@ -65,14 +65,25 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op2_url_filter: hosts, paths and the fixed rules that fit."""
+    return op2_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def document_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op10_minhash: lengths and edited texts."""
+    return op10_minhash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_url_filter, op3_toxicity, op4_token_counts, op5_bpe,
         op6_packing, op7_simhash, op8_suffix_dedup, op9_nearest, op10_minhash, op11_warc, op12_quantiles, op13_filter_audit,
+        url_rules, document_edits,
     )
 }
-#: The others can't be told whole in SQL (tokenizers, trained models, XXH64, approximate search); tests hold
+#: The operators without SQL can't be told whole in it (tokenizers, trained models, XXH64, approximate search); tests hold
 #: each against brute force, an exact round trip or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": """
@@ -101,6 +112,21 @@ SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
          list_transform(range(1, len(starts) + 2), lambda j: substring(x, 2 * (CASE WHEN j = 1 THEN 0 ELSE ends[j - 1] END) + 1,
            2 * ((CASE WHEN j > len(starts) THEN len(x) // 2 ELSE starts[j] END) - (CASE WHEN j = 1 THEN 0 ELSE ends[j - 1] END)))), 'string_agg', '') END)) AS kept_sha256
 FROM h LEFT JOIN l USING (doc_id)
+""",
+    "url_rules": """
+WITH r AS (SELECT * FROM (VALUES ('com/'), ('example.com/en/'), ('www.example.com/en/'), ('net/es/'), ('net/fr/')) v(rule)),
+s AS (SELECT rule, split_part(rule, '/', 1) AS rh, substring(rule, length(split_part(rule, '/', 1)) + 1) AS rp FROM r),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule FROM h JOIN s ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
+SELECT page_id, host, path, rule FROM h LEFT JOIN f USING (page_id)
+""",
+    "document_edits": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS following FROM documents)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(left(t, n - n // 3) || left(following, n // 3)) AS edited_sha256 FROM d
 """,
     "op11_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS x FROM pages),
