@@ -95,14 +95,16 @@ _STORED: dict[tuple[str, str], str] = {}
 def stored_documents(spark: SparkSession, folder: str) -> Archive:
     """documents_archive in the shared folder, with its full-text segments: written once in an application, then opened."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _STORED:
-        root = fresh_folder(spark)
-        made = documents_archive(spark, folder)
-        archive = Archive.open(spark, root).commit({n: made.tables[n] for n in ("streams", "topics", "users", "messages", "message_attachments")})
-        with archive.lock():
-            rebuild_index(archive)
-        _STORED[key] = root
-    return Archive.open(spark, _STORED[key])
+    if key in _STORED:
+        archive = Archive.open(spark, _STORED[key])
+        if archive.pointer:  # else someone has cleared the shared folder
+            return archive
+    made = documents_archive(spark, folder)
+    archive = Archive.open(spark, fresh_folder(spark)).commit({n: made.tables[n] for n in ("streams", "topics", "users", "messages", "message_attachments")})
+    with archive.lock():
+        archive = rebuild_index(archive)
+    _STORED[key] = archive.root
+    return archive
 
 
 def _with_rollups(spark: SparkSession, streams, topics, messages, users, **more) -> Archive:
