@@ -352,9 +352,9 @@ def upload_texts(archive: Archive) -> DataFrame:
 
 
 def message_rows(archive: Archive, deal: bool = False) -> DataFrame:
-    """rowid and the text columns of each message; deal: over all cores, where their files are few."""
+    """rowid, the text columns and the time (at) of each message; deal: over all cores, where their files are few."""
     uploads = upload_texts(archive)
-    messages = archive.messages.select("id", "topic_id", "sender_id", "content_text")
+    messages = archive.messages.select("id", "topic_id", "sender_id", "content_text", F.col("timestamp").alias("at"))
     topics = archive.topics.select(F.col("id").alias("topic_id"), F.col("name").alias("topic_name"))
     users = archive.users.select(F.col("id").alias("sender_id"), F.col("full_name").alias("sender_name"))
     return (
@@ -362,7 +362,7 @@ def message_rows(archive: Archive, deal: bool = False) -> DataFrame:
         .join(topics, "topic_id", "left")
         .join(users, "sender_id", "left")
         .join(uploads, "id", "left")
-        .select(F.col("id").alias("rowid"), *MESSAGE_COLUMNS)
+        .select(F.col("id").alias("rowid"), *MESSAGE_COLUMNS, "at")
     )
 
 
@@ -393,24 +393,24 @@ def _facts(archive: Archive) -> DataFrame:
     return known.select("rowid", "at", "stream_id", "topic_id", "sender_id", "topic_name", "sender_name")
 
 
-def _at(postings: DataFrame, facts: DataFrame, removed: bool) -> DataFrame:
-    return postings.join(facts.select("rowid", "at"), "rowid").withColumn("removed", F.lit(removed))
+def _postings(rows: DataFrame, columns: tuple[str, ...], removed: bool = False) -> DataFrame:
+    """What a segment's blocks are made of."""
+    return postings_of(rows, columns, True, dated=True).withColumn("removed", F.lit(removed))
 
 
 def rebuild_index(archive: Archive) -> Archive:
     """One segment each of all messages and topics as they are now, in place of those there are; the lock is held."""
     seq = next_sequence(archive)
     facts = staged(_facts(archive))
-    blocks = blocks_of(_at(postings_of(message_rows(archive, deal=True), MESSAGE_COLUMNS, True), facts, False))
+    blocks = blocks_of(_postings(message_rows(archive, deal=True), MESSAGE_COLUMNS))
     added = write_segment(archive, "message", blocks, facts.count(), seq, facts) | _topic_segment(archive, archive.topics, seq)
     old = [f"{t}/{seg}" for t, own in archive.pointer.items() if t in added for seg in own]
     return archive.commit({}, locked=True, added=added, dropped=old)
 
 
 def _topic_segment(archive: Archive, topics: DataFrame, seq: int) -> Pointer:
-    rows = topics.select(F.col("id").alias("rowid"), "name")
-    postings = postings_of(rows, TOPIC_COLUMNS, True).withColumn("at", F.lit(None).cast("timestamp")).withColumn("removed", F.lit(False))
-    return write_segment(archive, "topic", blocks_of(postings), rows.count(), seq)
+    rows = topics.select(F.col("id").alias("rowid"), "name", F.lit(None).cast("timestamp").alias("at"))
+    return write_segment(archive, "topic", blocks_of(_postings(rows, TOPIC_COLUMNS)), rows.count(), seq)
 
 
 def segment_of(archive: Archive, changed: Archive, before: Archive, new_topics: DataFrame) -> Pointer:
@@ -423,15 +423,14 @@ def segment_of(archive: Archive, changed: Archive, before: Archive, new_topics:
     facts = staged(_facts(changed))
     old = before.messages.select(F.col("id").alias("rowid"))
     ids = old.agg(F.min("rowid"), F.max("rowid"), F.count("*")).first()
-    blocks = _at(postings_of(message_rows(changed), MESSAGE_COLUMNS, True), facts, False)
+    blocks = _postings(message_rows(changed), MESSAGE_COLUMNS)
     if ids[2]:
         kept = archive.segments("message_facts").where(F.col("rowid").between(ids[0], ids[1])).join(old, "rowid", "left_semi")
         names = kept.groupBy("rowid").agg(F.max_by(F.struct("topic_name", "sender_name"), "seg").alias("f")).select("rowid", "f.*")
         texts = before.messages.select(F.col("id").alias("rowid"), "content_text")
         uploads = upload_texts(before).withColumnRenamed("id", "rowid")
-        rows = texts.join(names, "rowid", "left").join(uploads, "rowid", "left").select("rowid", *MESSAGE_COLUMNS)
-        gone = postings_of(rows, MESSAGE_COLUMNS, True).withColumn("at", F.lit(None).cast("timestamp")).withColumn("removed", F.lit(True))
-        blocks = blocks.unionByName(gone)
+        rows = texts.join(names, "rowid", "left").join(uploads, "rowid", "left").select("rowid", *MESSAGE_COLUMNS, F.lit(None).cast("timestamp").alias("at"))
+        blocks = blocks.unionByName(_postings(rows, MESSAGE_COLUMNS, removed=True))
     added = write_segment(archive, "message", blocks_of(blocks), facts.count() - ids[2], seq, facts)
     return added if new_topics.isEmpty() and "topic_totals" in archive.pointer else added | _topic_segment(archive, new_topics, seq)
 

@@ -61,12 +61,13 @@ class Wanted:
         return c
 
 
-def postings_of(rows: DataFrame, columns: tuple[str, ...], stemmed: bool, wanted: Wanted | None = None, lengths: bool = False) -> DataFrame:
+def postings_of(rows: DataFrame, columns: tuple[str, ...], stemmed: bool, wanted: Wanted | None = None, lengths: bool = False, dated: bool = False) -> DataFrame:
     """POSTINGS of a table of rowid and text columns, all or only the wanted terms'.
 
-    lengths: and for each row one of a null term that has its number of words.
+    lengths: and for each row one of a null term that has its number of words. dated: with the rows' `at`.
     """
-    texts = rows.select("rowid", *(F.coalesce(c, F.lit("")).alias(c) for c in columns))
+    more = [F.unix_micros("at").alias("at")] if dated else []
+    texts = rows.select("rowid", *(F.coalesce(c, F.lit("")).alias(c) for c in columns), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[str, int] = {}  # of the folded word's term, -1 if it isn't wanted
@@ -109,11 +110,13 @@ def postings_of(rows: DataFrame, columns: tuple[str, ...], stemmed: bool, wanted
                     pa.array(np.concatenate([n[row], n[: len(none)]]).astype(np.int32)),
                     pa.array(np.concatenate([column, none - 1]).astype(np.int32)),
                     pa.ListArray.from_arrays(np.concatenate([first, none + len(at), [len(at)]]).astype(np.int32), pa.array(at.astype(np.int32))),
+                    *((b.column(len(columns) + 1).take(pa.array(row)),) if dated else ()),
                 ],
-                ["term", "rowid", "n", "col", "positions"],
+                ["term", "rowid", "n", "col", "positions", *(("at",) if dated else ())],
             )
 
-    return texts.mapInArrow(run, POSTINGS)
+    found = texts.mapInArrow(run, POSTINGS + ", at long" if dated else POSTINGS)
+    return found.withColumn("at", F.timestamp_micros("at")) if dated else found
 
 
 # ------------------------------------------------------------------ writing
@@ -196,13 +199,12 @@ def merge_segments(archive: Archive, kind: str) -> Archive:
     some = segs[-n:]
     blocks = archive.segments(f"{kind}_blocks", some)
     flat = blocks.select("seg", "removed", "term", F.col("newest").alias("at"), F.explode("entries").alias("e")).select("seg", "removed", "term", "at", "e.*")
-    left = merged_postings(flat)
+    left = merged_postings(flat)  # an entry counts as being as new as the newest of its block, which keeps bounds bounds
     facts = None
     if f"{kind}_facts" in archive.pointer:
         every = archive.segments(f"{kind}_facts", some)
         last = every.groupBy("rowid").agg(F.max("seg").alias("seg"))
         facts = every.join(last, ["rowid", "seg"], "left_semi").drop("seg")
-        left = left.drop("at").join(facts.select("rowid", "at"), "rowid", "left")
     added = write_segment(archive, kind, blocks_of(left), sum(told[s]["rows"] for s in some), int(some[-1][:8]), facts)
     return archive.commit({}, locked=True, added=added, dropped=[f"{t}/{s}" for t in SEGMENTS if t.startswith(f"{kind}_") for s in some])
 
