@@ -10,7 +10,6 @@ is as large as the batch; segments of like size are merged, so that there are fe
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -176,15 +175,23 @@ def merged_postings(flat: DataFrame) -> DataFrame:
     return numbered.where(F.when(F.col("removed"), F.col("_k") == 1).otherwise(F.col("_next").isNull())).drop("_k", "_next")
 
 
+def _tier(size: int) -> int:
+    """The number of digits to the base MERGE_AT."""
+    n = 0
+    while size > 0:
+        size, n = size // MERGE_AT, n + 1
+    return n
+
+
 def due_for_merge(sizes: list[int]) -> int:
-    """How many of the newest segments to merge, by their sizes from old to new (0: none): MERGE_AT or more of which
-    none is of a higher power of MERGE_AT than the greatest of the last ones."""
-    tier = [int(math.log(max(s, 1), MERGE_AT)) for s in sizes]
-    for t in sorted(set(tier)):
+    """How many of the newest segments to merge, by their sizes from old to new (0: none): once MERGE_AT of them are of
+    one tier, these and the smaller ones after them. A row is so written again once a tier."""
+    tiers = [_tier(s) for s in sizes]
+    for t in sorted(set(tiers)):
         n = 0
-        while n < len(tier) and tier[len(tier) - 1 - n] <= t:
+        while n < len(tiers) and tiers[len(tiers) - 1 - n] <= t:
             n += 1
-        if n >= MERGE_AT:
+        if tiers[len(tiers) - n :].count(t) >= MERGE_AT:
             return n
     return 0
 
