@@ -5,14 +5,15 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .deploy import ship
-from .schema import DERIVED, SCHEMAS, SEGMENTS
+from .schema import DERIVED, GONE, SCHEMAS, SEGMENTS
 from .sources.lock import SharedLock, WriterLock
 
 #: tables kept in parts, by the message id in this column
@@ -20,10 +21,16 @@ PARTED = {
     "messages": "id", "message_mentions": "message_id", "message_attachments": "message_id",
     "part_rollups": "first_message_id",
 }
+#: which rows of older layers are gone, by the table that says so and the column that it names them by
+GONE_BY = {
+    "messages": ("message_gone", "id"), "message_mentions": ("message_gone", "message_id"),
+    "message_attachments": ("message_gone", "message_id"), "part_rollups": ("rollup_gone", "topic_id"),
+}
 PART_IDS = 1 << 20
+LAYER = "_layer"
 KEEP_SECONDS = 24 * 3600
 WHOLE = "*"
-Pointer = dict[str, dict[str, str]]  # table -> part -> folder
+Pointer = dict[str, dict[str, str]]  # table -> part, or part+layer -> folder
 
 
 class ConflictError(RuntimeError):
@@ -34,13 +41,25 @@ def part_of(column: str):
     return F.floor(F.col(column) / PART_IDS)
 
 
+def _place(key: str) -> tuple[int, int]:
+    """Part and layer of a key of the pointer."""
+    part, _, layer = key.partition("+")
+    return int(part), int(layer or 0)
+
+
+def _key(part: int | str, layer: int) -> str:
+    return f"{part}+{layer}" if layer else str(part)
+
+
 class Archive:
     """Tables as DataFrames; `root` is the folder they are kept in, if any.
 
     A write makes new folders and then swaps the pointer file, so readers see the whole old state or
     the whole new one, and a run that fails in between leaves the old one. Messages and their children
-    are kept in parts of 2^20 ids, and a write may replace some parts only: an ingest costs what its
-    messages' parts cost (and the small tables of topics and users), however large the archive is. Folders
+    are kept in parts of 2^20 ids. A write may replace some parts, or lay rows on top of them: a part then has
+    layers, and a small table of removals names the rows of older layers that a newer one replaces. Readers
+    leave these out by an anti-join of the parts that have removals; the others are read as they are. `compact`
+    makes layers of like size one. Folders
     that neither the present state nor the one before it names are removed once they are KEEP_SECONDS old,
     so that long readers can end.
     """
@@ -61,14 +80,18 @@ class Archive:
         """The archive's present state; a new folder is an empty archive, with empty indexes."""
         ship(spark)
         pointer = _Store(spark, root).read()
-        tables = {n: _read(spark, root, n, list(p.values())) for n, p in pointer.items() if p and n not in SEGMENTS}
+        tables = {n: _live(spark, root, n, pointer, p) for n, p in pointer.items() if p and n in SCHEMAS | DERIVED}
         if not pointer.get("messages"):
             tables |= {n: _shaped(spark, n, None) for n in DERIVED}
         # what some part of the messages lacks yet is as if there were none
-        partial = [n for n in DERIVED if not pointer.get("messages", {}).keys() <= pointer.get(n, {}).keys()]
+        partial = [n for n in DERIVED if not _parts(pointer, "messages") <= _parts(pointer, n)]
         tables = {n: df for n, df in tables.items() if n not in partial}
         return cls(spark, tables, root, pointer)
 
+    def parts(self, table: str) -> list[int]:
+        """The parts there are of a table that is kept in parts."""
+        return sorted(_parts(self.pointer, table))
+
     def has(self, *derived: str) -> bool:
         """Whether these derived tables are kept."""
         return all(n in self.tables for n in derived)
@@ -88,21 +111,23 @@ class Archive:
 
     def some_parts(self, table: str, parts: Sequence[int], other: bool = False) -> DataFrame:
         """The rows of these parts of a table kept in parts (or of all others); only their folders are read."""
-        own = {str(p) for p in parts}
         if self.root is None:
             inside = part_of(PARTED[table]).isin([int(p) for p in parts])
             return self.tables[table].where(~inside if other else inside)
-        paths = [f for p, f in self.pointer.get(table, {}).items() if (p in own) != other]
-        return _shaped(self.spark, table, _read(self.spark, self.root, table, paths) if paths else None)
+        own = {int(p) for p in parts}
+        keys = [k for k in self.pointer.get(table, {}) if (_place(k)[0] in own) != other]
+        return _shaped(self.spark, table, _live(self.spark, self.root, table, self.pointer, keys) if keys else None)
 
     def commit(
         self, changed: dict[str, DataFrame], parts: Sequence[int] | None = None, locked: bool = False,
-        added: Pointer | None = None, dropped: Sequence[str] = (),
+        added: Pointer | None = None, dropped: Sequence[str] = (), gone: dict[str, DataFrame] | None = None,
     ) -> Archive:
         """Writes new versions of tables and swaps the pointer, under the writer lock.
 
         parts: of tables kept in parts, `changed` has all rows of these parts, and the others stay.
-        added: folders of new full-text segments, already written; dropped: "table/segment" of those that go.
+        gone: of tables kept in parts, `changed` has rows to lay on top, and these removals (part, id) say which older
+        ones they replace, by tables of schema.GONE.
+        added: folders of new full-text segments or layers, already written; dropped: "table/key" of those that go.
         ConflictError if another write came in between.
         """
         if self.root is None:
@@ -113,6 +138,10 @@ class Archive:
             if store.read() != self.pointer:
                 raise ConflictError(self.root)
             new = {n: dict(p) for n, p in self.pointer.items()}
+            # a part that is replaced is as new as the newest layer, so that no removal so far is about it
+            layer = _newest(self.pointer) + (gone is not None)
+            for name, df in (gone or {}).items():
+                new[name] = new.get(name, {}) | self._put(store, name, df, layer)
             for name, df in changed.items():
                 folder = f"{name}/{uuid.uuid4().hex}"
                 rows = _shaped(self.spark, name, df)
@@ -120,16 +149,19 @@ class Archive:
                     rows.write.parquet(f"{self.root}/{folder}")
                     new[name] = {WHOLE: folder}
                     continue
-                rows = rows.withColumn("part", part_of(PARTED[name]))
-                rows.write.partitionBy("part").parquet(f"{self.root}/{folder}")
-                made = {x.removeprefix("part="): f"{folder}/{x}" for x in store.names(folder) if x.startswith("part=")}
-                kept = {} if parts is None else {p: f for p, f in new.get(name, {}).items() if int(p) not in set(parts)}
-                new[name] = kept | made
+                made = self._put(store, name, rows, layer)
+                if gone is not None:
+                    new[name] = new.get(name, {}) | made
+                    continue
+                new[name] = _but(new.get(name, {}), parts) | made
+            for name in GONE if gone is None else ():
+                if all(t in changed for t, (by, _) in GONE_BY.items() if by == name):
+                    new[name] = _but(new.get(name, {}), parts)
+            for old in dropped:
+                table, seg = old.split("/")
+                new.get(table, {}).pop(seg, None)
             for name, own in (added or {}).items():
                 new[name] = new.get(name, {}) | own
-            for gone in dropped:
-                table, seg = gone.split("/")
-                new.get(table, {}).pop(seg, None)
             store.check_lock()
             store.write(new)
             store.clear({f for pointer in (self.pointer, new) for p in pointer.values() for f in p.values()})
@@ -138,6 +170,52 @@ class Archive:
                 lock.release()
         return Archive.open(self.spark, self.root)
 
+    def _put(self, store: _Store, name: str, rows: DataFrame, layer: int) -> dict[str, str]:
+        """Rows of a table kept in parts written as this layer, in order of ids: the folder of each part."""
+        folder = f"{name}/{uuid.uuid4().hex}"
+        if name in GONE:
+            rows, order = rows.select("part", F.lit(layer).cast("long").alias("layer"), "id"), "id"
+            rows = rows.withColumn("of", F.col("part"))
+        else:
+            order = PARTED[name]
+            rows = rows.withColumn(LAYER, F.lit(layer).cast("long")).withColumn("of", part_of(order))
+        rows.sortWithinPartitions("of", order).withColumnRenamed("of", "part_").write.partitionBy("part_").parquet(f"{self.root}/{folder}")
+        return {_key(x.removeprefix("part_="), layer): f"{folder}/{x}" for x in store.names(folder) if x.startswith("part_=")}
+
+    def compact(self, parts: Sequence[int], due: Callable[[list[int]], int]) -> Archive:
+        """The archive with newest layers of these parts made one where that is due; the writer lock is held.
+
+        due: of the sizes in bytes of a part's layers, from old to new, how many of the newest to merge (below 2:
+        none). Rows that newer ones of them replace go; removals go once no older layer is left that they are about.
+        """
+        store, archive = _Store(self.spark, self.root), self
+        for by in GONE:
+            tables = [t for t in PARTED if GONE_BY[t][0] == by]
+            added: Pointer = {}
+            dropped: list[str] = []
+            for part in parts:
+                own = sorted((_place(k)[1], f) for k, f in archive.pointer.get(tables[0], {}).items() if _place(k)[0] == part)
+                n = due([store.size(f) for _, f in own])
+                if n < 2:
+                    continue
+                whole, newest = n == len(own), _newest(archive.pointer)
+                inside = lambda t: [k for k in archive.pointer.get(t, {}) if _place(k)[0] == part and (whole or _place(k)[1] >= own[-n][0])]  # noqa: B023, E731
+                for t in (*tables, by):
+                    if not (keys := inside(t)):
+                        continue
+                    dropped += [f"{t}/{k}" for k in keys]
+                    if t != by:
+                        rows = _shaped(self.spark, t, _live(self.spark, self.root, t, archive.pointer, keys))
+                    elif whole:
+                        continue
+                    else:
+                        rows = self.spark.read.schema(GONE[by]).parquet(*(f"{self.root}/{archive.pointer[by][k]}" for k in keys))
+                        rows = rows.select("part", "id").distinct()
+                    added[t] = added.get(t, {}) | archive._put(store, t, rows, newest)
+            if dropped:
+                archive = archive.commit({}, locked=True, added=added, dropped=dropped)
+        return archive
+
     def register(self, prefix: str = "") -> None:
         """Every table as a temporary view."""
         for n in SCHEMAS:
@@ -206,10 +284,10 @@ class _Store:
 
     def clear(self, keep: set[str]) -> None:
         """Removes old table folders (and parts in them) that `keep` doesn't name."""
-        whole = {f.split("/part=")[0] for f in keep}
+        whole = {"/".join(f.split("/")[:2]) for f in keep}
         old = 1000 * (time.time() - KEEP_SECONDS)
         made = lambda f: self.fs.getFileStatus(self._path(f)).getModificationTime()
-        for table in (*SCHEMAS, *DERIVED, *SEGMENTS):
+        for table in (*SCHEMAS, *DERIVED, *GONE, *SEGMENTS):
             if not self.fs.exists(self._path(table)):
                 continue
             for folder in (f"{table}/{x}" for x in self.names(table)):
@@ -218,7 +296,7 @@ class _Store:
                 if folder not in whole:
                     self.fs.delete(self._path(folder), True)
                     continue
-                for part in (f"{folder}/{x}" for x in self.names(folder) if x.startswith("part=")):
+                for part in (f"{folder}/{x}" for x in self.names(folder) if x.startswith(("part=", "part_="))):
                     if part not in keep:
                         self.fs.delete(self._path(part), True)
 
@@ -248,9 +326,45 @@ def _readable(df: DataFrame) -> bool:
     return True
 
 
-def _read(spark: SparkSession, root: str, name: str, folders: list[str]) -> DataFrame:
+def _parts(pointer: Pointer, table: str) -> set[int]:
+    return {_place(k)[0] for k in pointer.get(table, {})}
+
+
+def _newest(pointer: Pointer) -> int:
+    return max((_place(k)[1] for t in (*PARTED, *GONE) for k in pointer.get(t, {})), default=0)
+
+
+def _but(own: dict[str, str], parts: Sequence[int] | None) -> dict[str, str]:
+    """What stays of a table's folders if these parts (None: all) are replaced."""
+    replaced = set(parts or ())
+    return {} if parts is None else {k: f for k, f in own.items() if _place(k)[0] not in replaced}
+
+
+def _read(spark: SparkSession, root: str, name: str, folders: list[str], layer: bool = False) -> DataFrame:
     """Folders of any version of a table; columns that an older one lacks are null."""
-    return spark.read.schema((SCHEMAS | DERIVED)[name]).parquet(*(f"{root}/{f}" for f in folders))
+    schema = (SCHEMAS | DERIVED)[name]
+    if layer:
+        schema = StructType([*schema.fields, StructField(LAYER, LongType())])
+    return spark.read.schema(schema).parquet(*(f"{root}/{f}" for f in folders))
+
+
+def _live(spark: SparkSession, root: str, name: str, pointer: Pointer, keys: Iterable[str]) -> DataFrame:
+    """The rows of these layers that no newer layer replaces; parts without removals are read as they are."""
+    own = pointer[name]
+    if name not in GONE_BY:
+        return _read(spark, root, name, [own[k] for k in keys])
+    by, key = GONE_BY[name]
+    hit = _parts(pointer, by)
+    plain, over = ([own[k] for k in keys if (_place(k)[0] in hit) == x] for x in (False, True))
+    if not over:
+        return _read(spark, root, name, plain)
+    parts = {_place(k)[0] for k in keys}
+    gone = spark.read.schema(GONE[by]).parquet(*(f"{root}/{f}" for k, f in pointer[by].items() if _place(k)[0] in parts))
+    gone = gone.select(*(F.col(c).alias(f"_gone_{c}") for c in gone.columns))
+    same = (F.col(key) == F.col("_gone_id")) & (part_of(PARTED[name]) == F.col("_gone_part"))
+    older = F.coalesce(LAYER, F.lit(0)) < F.col("_gone_layer")
+    rows = _read(spark, root, name, over, layer=True).join(gone, same & older, "left_anti").drop(LAYER)
+    return rows.unionByName(_read(spark, root, name, plain)) if plain else rows
 
 
 def _shaped(spark: SparkSession, name: str, df: DataFrame | None) -> DataFrame:

@@ -127,9 +127,9 @@ def rollup_parts(messages: DataFrame, part) -> DataFrame:
     ).drop("part")
 
 
-def merged_rollups(rollups: DataFrame) -> DataFrame:
-    """One rollup of each topic from those of several parts of the messages."""
-    return rollups.groupBy("topic_id").agg(
+def merged_rollups(rollups: DataFrame, *by: str | Column) -> DataFrame:
+    """One rollup of each topic (and `by`) from those of several parts of the messages."""
+    return rollups.groupBy(*by, "topic_id").agg(
         F.sum("message_count").alias("message_count"),
         *(F.min(c).alias(c) for c in ("first_message_id", "first_message_at")),
         *(F.max(c).alias(c) for c in ("last_message_id", "last_message_at")),

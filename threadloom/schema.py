@@ -53,6 +53,8 @@ def _schemas(ddl: dict[str, str]) -> dict[str, StructType]:
 SCHEMAS = _schemas(_DDL)
 #: derived, kept beside the other tables in archives on disk: each part's share of the topics' rollups
 DERIVED = _schemas({"part_rollups": _ROLLUPS})
+#: rows (by their key in a part) for which layers up to before this one no longer speak
+GONE = _schemas({name: "part long, layer long, id long" for name in ("message_gone", "rollup_gone")})
 #: full-text segments: postings in blocks, the terms of their files, totals, and what is known of each row
 SEGMENTS = _schemas(
     {f"{kind}_{name}": ddl for kind in ("message", "topic") for name, ddl in (("blocks", _BLOCKS), ("slices", _SLICES), ("totals", _TOTALS))}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,6 +13,7 @@ from ..archive import PARTED, Archive, part_of
 from ..functions import columns as C
 from ..operators import fulltext as T
 from ..operators import upsert as U
+from ..operators.segments import due_for_merge
 from ..schema import SCHEMAS
 from ..storage import staged
 
@@ -41,8 +42,10 @@ def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime
     rollups of the topics that gained or lost messages, bookmarks.
 
     Messages before `since` are dropped, but for their senders. All of it becomes visible at once, so a
-    run that fails can be run again; a batch that comes twice changes nothing. Of messages, their
-    children and rollups only the parts that the batch's ids lie in are read and written anew; full-text
+    run that fails can be run again; a batch that comes twice changes nothing. Messages and their children are
+    laid on top of the parts that their ids lie in, with removals of the rows they replace, and so are the
+    rollups of their topics, so what is written grows with the batch. Of those parts the span of the batch's ids is read,
+    and times of all messages only for topics that an edited or moved message was in. Full-text
     segments get one more, as large as the batch. An archive without them (an older one) gets them from `rebuild`.
     """
     rows = staged(prepare(batch, as_of, org_id))
@@ -57,28 +60,37 @@ def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime
     topics = staged(U.assign_topics(archive.topics, seen, as_of))
     ids = topics.select("stream_id", F.col("name").alias("topic_name"), F.col("id").alias("topic_id"))
     derived = staged(U.derive(rows.join(ids, ["stream_id", "topic_name"])).drop("topic_name", "sender_full_name"))
-    parts = [r["part"] for r in rows.select(part_of("id").alias("part")).distinct().collect()]
-    touched_parts = Archive(archive.spark, {n: archive.some_parts(n, parts) for n in PARTED if n in SCHEMAS})
-    tables = U.upsert_messages(touched_parts, derived)
+    spans = rows.groupBy(part_of("id").alias("part")).agg(F.min("id").alias("least"), F.max("id").alias("most")).collect()
+    parts = [r["part"] for r in spans]
+    own = derived.select("id").distinct()
+    old = Archive(archive.spark, {n: staged(_known(archive, n, spans, own)) for n in ("messages", "message_attachments")})
+    tables = U.upsert_messages(old, derived)
     messages = staged(tables.pop("messages"))
+    replaced = old.messages.select("id").union(old.message_attachments.select("message_id")).distinct()
+    gone = {"message_gone": replaced.select(part_of("id").alias("part"), "id")}
     # topics that gained or lost messages
-    before_topics = touched_parts.messages.join(derived.select("id"), "id", "left_semi").select("topic_id")
-    touched = staged(derived.select("topic_id").union(before_topics).distinct())
+    lost = staged(old.messages.select("topic_id").distinct())
+    touched = staged(derived.select("topic_id").union(lost).distinct())
+    times = ("id", "topic_id", "timestamp")
+    left = archive.some_parts("messages", parts).select(*times).join(own, "id", "left_anti")
     if archive.has("part_rollups"):
-        by_part = U.rollup_parts(messages, part_of("id"))
+        known = archive.some_parts("part_rollups", parts).join(touched, "topic_id", "left_semi")
+        gone["rollup_gone"] = known.select(part_of(PARTED["part_rollups"]).alias("part"), F.col("topic_id").alias("id"))
+        grown = known.unionByName(U.rollup_parts(messages, part_of("id"))).join(lost, "topic_id", "left_anti")
+        by_part = U.merged_rollups(grown, part_of(PARTED["part_rollups"]).alias("part")).drop("part")
+        if not lost.isEmpty():
+            again = left.union(messages.select(*times)).join(lost, "topic_id", "left_semi")
+            by_part = by_part.unionByName(U.rollup_parts(again, part_of("id")))
+        by_part = staged(by_part)
         refreshed = U.refresh_topics(topics, archive.some_parts("part_rollups", parts, other=True).unionByName(by_part), touched)
         tables["part_rollups"] = by_part
     else:
-        others = archive.some_parts("messages", parts, other=True).select("id", "topic_id", "timestamp")
-        refreshed = U.recompute_topics(topics, others.union(messages.select("id", "topic_id", "timestamp")), touched)
+        others = archive.some_parts("messages", parts, other=True).select(*times)
+        refreshed = U.recompute_topics(topics, others.union(left).union(messages.select(*times)), touched)
     added = None
     if archive.indexed:
-        own = derived.select("id").distinct()
-        of_message = own.withColumnRenamed("id", "message_id")
-        small = lambda now, uploads: {"messages": now.join(own, "id", "left_semi"), "message_attachments": uploads.join(of_message, "message_id", "left_semi")}
-        changed = Archive(archive.spark, small(messages, tables["message_attachments"]) | {"topics": topics, "users": users})
-        before = Archive(archive.spark, small(touched_parts.messages, touched_parts.message_attachments))
-        added = T.segment_of(archive, changed, before, topics.join(archive.topics.select("id"), "id", "left_anti"))
+        changed = Archive(archive.spark, {"messages": messages, "message_attachments": tables["message_attachments"], "topics": topics, "users": users})
+        added = T.segment_of(archive, changed, old, topics.join(archive.topics.select("id"), "id", "left_anti"))
     direct = archive.spark.createDataFrame([(U.DIRECT_ID, org_id, U.DIRECT_STREAM)], "id long, org_id long, name string")
     new_direct = direct.join(rows.where(F.col("stream_id") == U.DIRECT_ID).select("stream_id").distinct(), F.col("id") == F.col("stream_id"), "left_semi")
     marks = rows.groupBy("org_id", "stream_id").agg(F.max("id").alias("last_message_id")).withColumn("synced_at", C.instant(as_of))
@@ -99,13 +111,27 @@ def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime
         parts,
         locked,
         added,
+        gone=gone,
     )
-    if not added:
-        return archive
     if locked:
-        return T.merge_due(archive)
+        return _merged(archive, parts)
     with archive.lock():
-        return T.merge_due(Archive.open(archive.spark, archive.root))
+        return _merged(Archive.open(archive.spark, archive.root), parts)
+
+
+def _known(archive: Archive, table: str, spans: list[Row], own: DataFrame) -> DataFrame:
+    """The rows of the messages `own`; files are read only where the batch's ids (spans of each part) may lie."""
+    near = F.lit(False)
+    for s in spans:
+        near = near | F.col(PARTED[table]).between(s["least"], s["most"])
+    ids = own.withColumnRenamed("id", PARTED[table])
+    return archive.some_parts(table, [s["part"] for s in spans]).where(near).join(ids, PARTED[table], "left_semi")
+
+
+def _merged(archive: Archive, parts: list[int]) -> Archive:
+    """The archive with layers of these parts and full-text segments merged where there are many of like size."""
+    archive = archive.compact(parts, due_for_merge)
+    return T.merge_due(archive) if archive.indexed else archive
 
 
 def run_stream(source: DataFrame, root: str, checkpoint: str, as_of: datetime, since: datetime | None = None) -> StreamingQuery:
@@ -125,7 +151,7 @@ def rebuild(archive: Archive, batch: int = 0, progress: Callable[[int, int], Non
     """
     with archive.lock():
         archive = Archive.open(archive.spark, archive.root)
-        parts = sorted(int(p) for p in archive.pointer.get("messages", {}))
+        parts = archive.parts("messages")
         size = batch if batch > 0 else max(1, len(parts))
         for k in range(0, len(parts), size):
             some = parts[k : k + size]
