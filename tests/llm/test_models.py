@@ -197,7 +197,7 @@ def test_nearest(spark, folder):
         assert [*sorted(ranks)] == [*range(1, 11)] and [x[1] for _, x in sorted(ranks.items())] == sorted(s for _, s in ranks.values())
 
 
-@pytest.mark.parametrize(("times", "step"), [(400, 0.0), (60, 1e-4)])
+@pytest.mark.parametrize(("times", "step"), [(400, 0.0), (60, 1e-4), (400, 1e-4)])
 def test_nearest_of_one_id_many_times(spark, times, step):
     rows = [(0, [1.0, 0.0])] + [(1, [1.1 + i * step, 0.0]) for i in range(times)] + [(i, [1.0 + i, 0.0]) for i in range(2, 30)]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()

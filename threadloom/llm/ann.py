@@ -58,10 +58,10 @@ class Forest:
     def trees(self) -> int:
         return len(self.at)
 
-    def leaves(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of every row in every tree."""
-        out = np.empty((self.trees, len(x)), np.int64)
-        for t in range(self.trees):
+    def leaves(self, x: np.ndarray, trees: int | None = None) -> np.ndarray:
+        """The leaf of every row in every tree, or in the first ones."""
+        out = np.empty((trees or self.trees, len(x)), np.int64)
+        for t in range(len(out)):
             node = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
                 node = 2 * node + 1 + (np.einsum("ij,ij->i", x, self.normal[t][node]) > self.at[t][node])
@@ -124,7 +124,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     be in a result, so no more enter the index, each once. Trees are fitted on a bounded sample, and how many
     leaves a query searches is measured there (Forest.effort); every row is then put into its leaf of
     every tree. Leaves are searched in cells; a cell with many rows is
-    split, and its queries go to all parts, so no group grows with the table.
+    split, and its queries go to all parts, so no group grows with the table. A query that holds fewer than k
+    ids after its leaves (rows of one id may fill them) goes on through all leaves of a tree, so its result is exact.
 
     Rows without an id, null or zero vectors and vectors with null or non-finite components take no
     part; nor do vectors of another length than the most usual. Rows of one id are apart as candidates
@@ -150,14 +151,14 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     cells = max(1, (1 << depth) // CELL_LEAVES)
     salts = max(1, n * TREES // (TREES * cells * CELL_ROWS))
 
-    def place(batches):
+    def place(batches, trees: int):
         for b in batches:
             if not b.num_rows:
                 continue
             x = _matrix(b.column(1))
-            leaf = forest.value.leaves(x)
-            at = np.tile(np.arange(len(x)), TREES)
-            tree = np.repeat(np.arange(TREES), len(x))
+            leaf = forest.value.leaves(x, trees)
+            at = np.tile(np.arange(len(x)), trees)
+            tree = np.repeat(np.arange(trees), len(x))
             salt = at % salts  # any part will do, as queries go to all
             cell = (tree * cells + leaf.ravel() // CELL_LEAVES) * salts + salt
             yield pa.RecordBatch.from_arrays(
@@ -165,12 +166,12 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
                 ["cell", "leaf", "vec_id", "v"],
             )
 
-    def ask(batches):
+    def ask(batches, wanted):
         for b in batches:
             out: list[tuple] = []
             for i, (q, v) in enumerate(zip(b.column(0).to_pylist(), _matrix(b.column(1)), strict=True)):
                 by: dict[int, list[int]] = {}
-                for t, leaf in forest.value.search(v, most):
+                for t, leaf in wanted(v):
                     by.setdefault(t * cells + leaf // CELL_LEAVES, []).append(leaf)
                 out += [(c * salts + s, sorted(x), q, i) for c, x in by.items() for s in range(salts)]
             if out:
@@ -205,17 +206,31 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
             {"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())}
         )
 
-    leaves = index.mapInArrow(place, "cell long, leaf int, vec_id long, v array<double>")
-    queries = index_queries(rows, every).mapInArrow(ask, "cell long, leaves array<int>, query_id long, q array<double>")
-    found = leaves.groupBy("cell").cogroup(queries.groupBy("cell")).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (
-        found.groupBy("query_id", "vec_id")
-        .agg(F.min("score").alias("score"))
-        .withColumn("rank", F.row_number().over(order).cast("int"))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    def ranked(queries: DataFrame, trees: int, wanted) -> DataFrame:
+        """The k nearest of each query among the rows of the leaves that `wanted` gives for its vector."""
+        leaves = index.mapInArrow(lambda x: place(x, trees), "cell long, leaf int, vec_id long, v array<double>")
+        asked = queries.mapInArrow(lambda x: ask(x, wanted), "cell long, leaves array<int>, query_id long, q array<double>")
+        found = leaves.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return (
+            found.groupBy("query_id", "vec_id")
+            .agg(F.min("score").alias("score"))
+            .withColumn("rank", F.row_number().over(order).cast("int"))
+            .where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score")
+        )
+
+    queries = index_queries(rows, every)
+    found = materialise(ranked(queries, TREES, lambda v: forest.value.search(v, most)))
+    held = found.groupBy("query_id").agg(F.count("*").alias("held"))
+    enough = min(k, index.select("vec_id").distinct().count() - 1)
+    short = queries.join(held, queries["vec_id"] == held["query_id"], "left").where(F.coalesce("held", F.lit(0)) < enough).select("vec_id", "v")
+    short = materialise(short)
+    if short.isEmpty():
+        return found
+    # these go on to the last leaf: one tree holds every row
+    rest = ranked(short, 1, lambda v: [(0, leaf) for leaf in range(1 << depth)])
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
 
 
 def index_queries(rows: DataFrame, every: int) -> DataFrame:
