@@ -332,6 +332,25 @@ def prepared_messages(spark, folder):
     return p.select("id", "stream_id", "topic_name", C.rfc3339(F.col("timestamp")).alias("timestamp"), "reactions", "is_me_message", F.col("edit_timestamp").isNotNull().alias("edited"))
 
 
+def _edited(spark, folder):
+    """All messages ingested into a new archive, then a tenth of them edited and moved, which lies on top of the first."""
+    sent = _sent(spark, folder)
+    a = I.ingest(Archive.open(spark, fresh_folder(spark)), sent, AS_OF)
+    moved = sent.where("id % 10 = 0").withColumn("topic", F.lit("moved")).withColumn("edit_timestamp", F.col("timestamp") + 9)
+    return I.ingest(a, moved, AS_OF)
+
+
+@query(
+    f"{_SENT} SELECT id, stream_id, CASE WHEN edited AND stream_id <> 0 THEN 'moved' ELSE name END AS topic_name,"
+    " strftime(sent, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, edited FROM m"
+)
+def edited_messages(spark, folder):
+    """Each message once, as it was edited last, read through the removals of its part's layers."""
+    a = _edited(spark, folder)
+    named = a.messages.join(a.topics.select(F.col("id").alias("topic_id"), F.col("name").alias("topic_name")), "topic_id")
+    return named.select("id", "stream_id", "topic_name", C.rfc3339(F.col("timestamp")).alias("timestamp"), F.col("edit_timestamp").isNotNull().alias("edited"))
+
+
 @query(
     f"{_SENT}, n AS (SELECT id, stream_id, CASE WHEN edited AND stream_id <> 0 THEN 'moved' ELSE name END AS name, sent FROM m),"
     " seen AS (SELECT DISTINCT stream_id, name FROM (SELECT stream_id, name FROM m UNION ALL SELECT stream_id, name FROM n)),"
@@ -341,11 +360,8 @@ def prepared_messages(spark, folder):
     " FROM seen s JOIN mark USING (stream_id) LEFT JOIN n ON n.stream_id = s.stream_id AND n.name = s.name GROUP BY 1, 2, 3"
 )
 def ingested_batches(spark, folder):
-    """All messages ingested into a new archive, then a tenth of them edited and moved: topics, rollups and bookmarks."""
-    sent = _sent(spark, folder)
-    a = I.ingest(Archive.open(spark, fresh_folder(spark)), sent, AS_OF)
-    moved = sent.where("id % 10 = 0").withColumn("topic", F.lit("moved")).withColumn("edit_timestamp", F.col("timestamp") + 9)
-    a = I.ingest(a, moved, AS_OF)
+    """Topics, rollups and bookmarks after a batch and edits of a tenth of it."""
+    a = _edited(spark, folder)
     t = a.topics.join(a.sync_state.select("stream_id", F.col("last_message_id").alias("bookmark")), "stream_id")
     last = F.coalesce(C.rfc3339(F.col("last_message_at")), F.lit("")).alias("last_message_at")
     return t.select("stream_id", "name", "resolved", "message_count", "first_message_id", F.col("last_message_id"), last, "bookmark")
