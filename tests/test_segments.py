@@ -191,3 +191,11 @@ def test_when_segments_are_merged():
             written += sum(sizes[-n:])
             sizes[-n:] = [sum(sizes[-n:])]
     assert sum(sizes) == 4096 and len(sizes) <= 8 * 5 and written < 4096 * 8
+
+
+def test_words_of_a_failing_part_count(spark, tmp_path):
+    """Of an AND that fails below an OR, a word that is there counts, as in the SQL of the catalogue."""
+    rows = [(1, "one two x", {}), (2, "one x x", {}), *((i, "x", {}) for i in range(3, 12))]
+    index = T.message_index(I.ingest(fresh(spark, tmp_path / "a"), batch(spark, rows), NOW))
+    both, first = ({r["rowid"]: r["bm25"] for r in index.scores(q).collect()} for q in ("one OR (two AND data)", "one"))
+    assert both.keys() == first.keys() == {1, 2} and both[1] > first[1] + 1 and both[2] == pytest.approx(first[2])
