@@ -199,3 +199,18 @@ def test_words_of_a_failing_part_count(spark, tmp_path):
     index = T.message_index(I.ingest(fresh(spark, tmp_path / "a"), batch(spark, rows), NOW))
     both, first = ({r["rowid"]: r["bm25"] for r in index.scores(q).collect()} for q in ("one OR (two AND data)", "one"))
     assert both.keys() == first.keys() == {1, 2} and both[1] > first[1] + 1 and both[2] == pytest.approx(first[2])
+
+
+def test_blocks_of_rows_in_pieces():
+    """Uploads' texts count in their message's length, those without one go, and each block tells of its rows."""
+    held = G._Held(16)
+    for rowid, pieces in ((1, [(["one two one", "t"], 5, True), ([None, "one"], None, False)]), (2, [([None, "lost"], None, False)]), (17, [(["one", None], 7, True)])):
+        held.begin(False, rowid)
+        for p in pieces:
+            held.add(*p)
+        held.end()
+    rows = sorted(held.blocks().to_pylist(), key=lambda b: (b["term"], b["span"]))
+    told = [tuple(b[c] for c in ("term", "span", "n_rows", "words", "top_times", "least_n", "newest")) for b in rows]
+    assert told == [("on", 0, 1, 3, 3, 5, 5), ("on", 1, 1, 1, 1, 1, 7), ("t", 0, 1, 1, 1, 5, 5), ("two", 0, 1, 1, 1, 5, 5)]
+    assert (rows[0]["places"], rows[0]["n"], rows[0]["col"], rows[0]["ends"], rows[0]["positions"]) == ([1, 1], [5, 5], [0, 1], [2, 3], [0, 2, 0])
+    assert not held.codes and not held.rows
