@@ -320,3 +320,38 @@ def test_settings_are_saved_and_folders_expanded(tmp_path, monkeypatch):
     own = replace(c, server=config.Server("https://x", "e@x", 'k"\\'), sync=config.Sync(2, ("a", "b"), ()))
     config.save(own, tmp_path / "d/c.toml")
     assert config.load(tmp_path / "d/c.toml", {}) == own and (tmp_path / "d/c.toml").stat().st_mode & 0o77 == 0
+
+
+def test_plain_markup_is_read_as_by_the_parser():
+    """The short way for plain markup gives the parser's tree, and leaves what isn't plain to it."""
+    import random
+
+    from threadloom.functions import html as H
+
+    def dump(e):
+        return e.name, e.attributes, [dump(c) if isinstance(c, H.Element) else c for c in e.children]
+
+    bits = [
+        "<p>", "</p>", '<div class="x">', "</div>", '<a href="/u/1">', "</a>", "<br>", "<br/>", "<!-- c -->", "<!--->", "&amp;", "&lt", "&", "a b", "<", ">", '"',
+        "<li>", "</ul>", "<td>", "<table>", "<script>", "<title>", "<P>", "<a b>", '<a b="" b="c">', "<a b='x'>", '<a b="&amp;">', "</br>", "<?pi>", "\n", "é", "<p >", '<a b="c"d="e">',
+    ]
+    rnd, plain = random.Random(2), 0
+    for _ in range(5000):
+        x = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 9)))
+        slow = H._Tree()
+        slow.feed(x)
+        slow.close()
+        if (fast := H._plain_tree(x)) is not None:
+            plain += 1
+            assert dump(fast) == dump(slow.root), x
+    assert plain > 500 and H._plain_tree("<script>a</script>") is None is H._plain_tree("<p class=x>")
+
+
+def test_messages_are_parsed_once(spark):
+    """A filter on mentions doesn't parse again, and an empty older table joins nothing."""
+    from threadloom.archive import Archive
+    from threadloom.operators import upsert as U
+
+    m = spark.range(3).selectExpr("id", "'<p>x</p>' AS content")
+    plan = U.rebuild_derived(Archive(spark, {"messages": m}))["message_mentions"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
