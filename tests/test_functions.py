@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from http.server import BaseHTTPRequestHandler, HTTPServer, ThreadingHTTPServer
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import columns as C
 from threadloom.functions.html import MOST_BYTES, bounded, extract, file_name
 from threadloom.functions.vectors import HashVectorizer, HttpVectorizer, ModelServerError, decode, dot, encode, is_unit_length, model_server, normalised, unit
+from threadloom.operators import upsert as U
 from threadloom.sources import config, landing, rest
 from threadloom.sources.lock import LockHeldError, WriterLock
 from threadloom.sources.media import UnsafePathError, cache_path
@@ -355,3 +357,23 @@ def test_messages_are_parsed_once(spark):
     m = spark.range(3).selectExpr("id", "'<p>x</p>' AS content")
     plan = U.rebuild_derived(Archive(spark, {"messages": m}))["message_mentions"]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+
+
+def test_equal_messages_of_a_batch_are_parsed_once(monkeypatch):
+    from threadloom.functions import html
+
+    seen, real = [], html.extract
+    monkeypatch.setattr(html, "extract", lambda x: seen.append(x) or real(x))
+    texts = ["<p>a</p>", None, '<p><span class="user-mention" data-user-id="3">@B</span></p>', "<p>a</p>"] * 50
+    out = html.parse_html.func(pa.array(texts)).to_pylist()
+    assert sorted(seen) == sorted({x or "" for x in texts})
+    assert [(r["text"], [m["user_id"] for m in r["mentions"]]) for r in out] == [("a", []), ("", []), ("@B", [3]), ("a", [])] * 50
+
+
+def test_latest_of_repeated_is_latest(spark):
+    rows = [(1, 5, "a"), (1, 7, "b"), (2, 1, "c"), (None, 3, "d"), (None, 2, "e"), (3, 9, "f"), (3, 9, "f")]
+    df = spark.createDataFrame(rows, "id long, at long, x string")
+    got = sorted(map(tuple, U.latest_of_repeated(df, ["id"], F.col("at")).collect()), key=str)
+    assert got == sorted(map(tuple, U.latest(df, ["id"], F.col("at")).collect()), key=str) and len(got) == 4
+    once = df.where("id = 2")
+    assert U.latest_of_repeated(once, ["id"], F.col("at")).collect() == once.collect()

@@ -59,12 +59,14 @@ def ingest(archive: Archive, batch: DataFrame, as_of: datetime, since: datetime
     seen = rows.select("org_id", "stream_id", F.col("topic_name").alias("name"))
     topics = staged(U.assign_topics(archive.topics, seen, as_of))
     ids = topics.select("stream_id", F.col("name").alias("topic_name"), F.col("id").alias("topic_id"))
-    derived = staged(U.derive(rows.join(ids, ["stream_id", "topic_name"])).drop("topic_name", "sender_full_name"))
+    newest = U.latest_of_repeated(rows.where("stream_id IS NOT NULL"), ["id"], U.last_edit())
+    derived = staged(U.derive(newest.join(ids, ["stream_id", "topic_name"])).drop("topic_name", "sender_full_name"))
     spans = rows.groupBy(part_of("id").alias("part")).agg(F.min("id").alias("least"), F.max("id").alias("most")).collect()
     parts = [r["part"] for r in spans]
     own = derived.select("id").distinct()
-    old = Archive(archive.spark, {n: staged(_known(archive, n, spans, own)) for n in ("messages", "message_attachments")})
-    tables = U.upsert_messages(old, derived)
+    before = {n: staged(_known(archive, n, spans, own)) for n in ("messages", "message_attachments")}
+    old = Archive(archive.spark, {n: df for n, df in before.items() if not df.isEmpty()})  # joins with empty ones go
+    tables = U.upsert_messages(old, derived, unique=True)
     messages = staged(tables.pop("messages"))
     replaced = old.messages.select("id").union(old.message_attachments.select("message_id")).distinct()
     gone = {"message_gone": replaced.select(part_of("id").alias("part"), "id")}
