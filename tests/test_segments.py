@@ -214,3 +214,22 @@ def test_blocks_of_rows_in_pieces():
     assert told == [("on", 0, 1, 3, 3, 5, 5), ("on", 1, 1, 1, 1, 1, 7), ("t", 0, 1, 1, 1, 5, 5), ("two", 0, 1, 1, 1, 5, 5)]
     assert (rows[0]["places"], rows[0]["n"], rows[0]["col"], rows[0]["ends"], rows[0]["positions"]) == ([1, 1], [5, 5], [0, 1], [2, 3], [0, 2, 0])
     assert not held.codes and not held.rows
+
+
+def test_blocks_of_a_frequent_term_are_dealt_over_slices(spark, tmp_path):
+    """Few blocks of many rows, beside thousands of one row: they don't all come into the range of one task."""
+    archive = Archive.open(spark, str(tmp_path / "a"))
+    rows = spark.range(20 * 1024).selectExpr(
+        "id AS rowid", "concat('common w', id) AS name", "CAST(null AS timestamp) AS at", "false AS removed", "true AS told"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        added = G.write_segment(archive, "topic", G.packed_blocks(rows, ("name",)), 20 * 1024, 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    (folder,) = added["topic_blocks"].values()
+    blocks = spark.read.parquet(f"{archive.root}/{folder}")
+    own = blocks.where("term = 'common'")
+    assert own.count() == 20 and own.selectExpr("sum(n_rows)").first()[0] == 20 * 1024
+    assert blocks.count() == 20 + 20 * 1024
+    assert own.select("slice").distinct().count() > 1
