@@ -3,11 +3,14 @@
 import hashlib
 import pathlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from threadloom.llm import ann, minhash, toxicity, url_filter
+from threadloom.llm.common import release, unpack
 
 from . import brute
 
@@ -96,6 +99,42 @@ def test_counts_add_up_over_many_tasks(spark):
     assert bits.sum() == 300 and bits.size == toxicity.ID_BITS
 
 
+def test_counts_leave_a_task_slice_by_slice(monkeypatch):
+    """All arrays in one batch were held three times over in the worker and once more in the executor."""
+    sent = []
+
+    class Rows:
+        rdd = SimpleNamespace(getNumPartitions=lambda: 1)
+
+        def mapInArrow(self, count, schema):
+            batch = pa.record_batch([pa.array([1, 2]), pa.array(["snarl at all", "snarl"]), pa.array([1, 0], pa.int32()), pa.array([0, 0], pa.int32())], ["doc_id", "text", "toxic", "fold"])
+            sent.extend(count(iter([batch])))
+            return SimpleNamespace(groupBy=lambda *_: SimpleNamespace(applyInArrow=lambda *_: None))
+
+    monkeypatch.setattr(toxicity, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    toxicity._count(Rows())
+    each = toxicity.FEATURES // toxicity.CHUNKS
+    assert [b.column("chunk").to_pylist() for b in sent] == [[k] for k in range(toxicity.CHUNKS)] and {b.column("part")[0].as_py() for b in sent} == {3}
+    assert max(b.nbytes for b in sent) < each * (4 * 2 * toxicity.FOLDS + 2) + 1000
+    clean, toxic = (sum(unpack(b.column(c)[0].as_py(), np.int32).sum() for b in sent) for c in ("n0", "n1"))
+    grams = [len(toxicity.grams([t.encode()])[0]) for t in ("snarl", "snarl at all")]
+    assert [clean, toxic] == grams and grams[1] > grams[0] > 0
+
+
+def test_freed_memory_goes_back_to_the_system():
+    """Small pieces that stay keep the C library from giving back what was freed between them."""
+
+    def resident():
+        return int(pathlib.Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    rows = [bytes(60_000) for _ in range(4000)]  # each below the size that gets a mapping of its own
+    stay = rows[::2]
+    del rows
+    before = resident()
+    release()
+    assert resident() < before - 60_000_000 and len(stay) == 2000
+
+
 def test_copies_of_one_text_are_one_row_to_learn_from(spark):
     rows, labels = planted(200)
     rows += [(1000 + i, "the very same words in a row") for i in range(50)] + [(None, "no id")]

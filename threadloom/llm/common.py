@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,35 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)  # other C libraries than glibc have none
+
+
+def release() -> None:
+    """Gives freed memory back to the system. Workers outlive their tasks: what one stage leaves adds to the next one's needs."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def released(f):
+    """f on a group (one table in, or two of a cogroup), with `release` after it. Spark tells the kinds apart by their arguments."""
+
+    def one(t: pa.Table) -> pa.Table:
+        try:
+            return f(t)
+        finally:
+            release()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(left, right)
+        finally:
+            release()
+
+    return two if f.__code__.co_argcount == 2 else one
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

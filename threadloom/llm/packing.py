@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, materialise, prepare
+from .common import ids_and_texts, materialise, prepare, release
 from .tokens import broadcast_spec, byte_level
 
 ROWS_A_BLOCK = 20_000
@@ -48,6 +48,7 @@ def cut_documents(docs: DataFrame, vocabulary_path: str, room: int = 1024, end_i
                 ],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        release()
 
     return ids_and_texts(docs).mapInArrow(run, PIECES)
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import estimated_bytes, ids_and_texts, materialise, prepare
+from .common import estimated_bytes, ids_and_texts, materialise, prepare, release, released
 from .components import components
 
 RADIUS = 3
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
         for b in batches:
             own = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own), *b.columns[2:]], ["doc_id", "fingerprint", *more])
+        release()
 
     schema = ", ".join(f"{c} long" for c in ("doc_id", "fingerprint", *more))
     return ids_and_texts(docs, more=more).mapInArrow(run, schema)
@@ -160,7 +161,7 @@ def link(nodes: DataFrame) -> DataFrame:
         a, b = link_buckets(mask.astype(np.int64), key, x.view(np.uint64), masks)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.groupBy("bucket").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("bucket").applyInArrow(released(run), "a long, b long")
 
 
 def _rooted(own: DataFrame, first: Column) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import BYTE, Rolling, mixed
-from .common import ids_and_texts, materialise, pack, prepare, unpack
+from .common import ids_and_texts, materialise, pack, prepare, release, released, unpack
 from .minhash import shingles
 
 U = np.uint64
@@ -228,6 +228,7 @@ def _learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 h, at = shingles(raw[lo:hi])
                 least += [int(h[x:y].min() >> U(1)) if y > x else 0 for x, y in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(least, pa.int64())], ["doc_id", "text", "family"])
+        release()
 
     texts = ids_and_texts(docs).where("doc_id IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS)))
     known = texts.mapInArrow(family, "doc_id long, text string, family long").join(one.hint("merge"), "doc_id")
@@ -240,7 +241,8 @@ def _count(rows: DataFrame) -> DataFrame:
     """gram, clean and toxic of each fold (n0, n1, ...) and `documents` (a sum of hashes of its documents) of the
     frequent features.
 
-    A task sums its rows in arrays of fixed size, which are then added up by CHUNKS slices, FAN_IN at a time.
+    A task sums its rows in arrays of fixed size, which leave it slice by slice (all at once they would be held three times
+    over, and once more by the executor) and are then added up by CHUNKS slices, FAN_IN at a time.
     """
     kinds = {f"n{i}": np.int32 for i in range(2 * FOLDS)} | {"documents": np.uint16}
 
@@ -252,7 +254,7 @@ def _count(rows: DataFrame) -> DataFrame:
             own, group = b.column(0).to_numpy().astype(U), 2 * b.column(3).to_numpy() + b.column(2).to_numpy()
             name = mixed(own + U(1)).astype(np.uint16)
             texts = lowered(b.column(1).to_pylist())
-            for lo, hi in _runs(texts, 1 << 19):  # the features of a whole batch would take too much memory
+            for lo, hi in _runs(texts):  # the features of a whole batch would take too much memory
                 doc, gram = grams(texts[lo:hi])
                 if not len(doc):
                     continue
@@ -265,8 +267,12 @@ def _count(rows: DataFrame) -> DataFrame:
                     n[i, gram[head]] += np.add.reduceat((group[doc] == i).astype(np.int32), head)
         if any_:
             part = TaskContext.get().partitionId()
-            packed = [pa.array([pack(x) for x in a.reshape(CHUNKS, -1)], pa.binary()) for a in (*n, where)]
-            yield pa.RecordBatch.from_arrays([pa.array([part] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), *packed], ["part", "chunk", *kinds])
+            for k in range(CHUNKS):
+                own = slice(k * FEATURES // CHUNKS, (k + 1) * FEATURES // CHUNKS)
+                packed = [pa.array([pack(x[own])], pa.binary()) for x in (*n, where)]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), *packed], ["part", "chunk", *kinds])
+        del n, where
+        release()
 
     def total(t: pa.Table) -> list[np.ndarray]:
         out = []
@@ -291,9 +297,9 @@ def _count(rows: DataFrame) -> DataFrame:
     made = rows.mapInArrow(count, schema)
     tasks = rows.rdd.getNumPartitions()
     while tasks > FAN_IN:
-        made = made.groupBy("chunk", F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(add, schema)
+        made = made.groupBy("chunk", F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(released(add), schema)
         tasks = -(-tasks // FAN_IN)
-    return made.groupBy("chunk").applyInArrow(frequent, "gram long, " + ", ".join(f"{c} long" for c in kinds))
+    return made.groupBy("chunk").applyInArrow(released(frequent), "gram long, " + ", ".join(f"{c} long" for c in kinds))
 
 
 def _lexicon(counted: DataFrame, folds: list[int], share: float) -> np.ndarray:
@@ -327,6 +333,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             x = sent.value.features(b.column(1).to_pylist())
             fired = pa.array([np.flatnonzero(r) for r in x], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), fired], ["doc_id", "toxic", "fold", "fired"])
+        release()
 
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE_ROWS)
     voted = sample.mapInArrow(votes, "doc_id long, toxic int, fold int, fired array<int>").collect()
@@ -367,6 +374,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = sent.value.score(b.column(1).to_pylist())
             out = [pa.array([held_out(d) for d in b.column(0).to_pylist()]), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([b.column(0), *out], ["doc_id", "held_out", "score", "predicted"])
+        release()
 
     return ids_and_texts(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -398,6 +406,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def clean(texts):
         import pandas as pd
 
-        return pd.Series(sent.value.score([t or "" for t in texts]) < 0.5)
+        low = pd.Series(sent.value.score([t or "" for t in texts]) < 0.5)
+        release()
+        return low
 
     return docs.where(clean(docs["text"].cast("string")))
