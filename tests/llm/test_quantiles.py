@@ -1,13 +1,16 @@
 """Summaries of quantiles against sorted lists."""
 
+import functools
 import math
 import random
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from threadloom.llm import quantiles as Q
+from threadloom.llm import whole_keys
 
 KEYS = ["k", "batch"]
 
@@ -117,3 +120,46 @@ def test_a_hot_key_fills_many_partitions(spark):
     assert max(r["count"] for r in dealt) < 3 * 60000 / 16
     got = Q.exact_ranks(rows, ["k"], "batch").where("k = 'hot'").agg(F.max("upto"), F.count("*"), F.countDistinct("below")).first()
     assert tuple(got) == (40000, 40000, 40000)
+
+
+def many(seed=3):
+    """Keys of all sizes, few and many batches, ties within and across batches, a null key, summaries to thin out."""
+    rnd = random.Random(seed)
+    rows = []
+    for k in range(300):
+        n, width, batches = rnd.choice([1, 5, 19, 20, 30, 80, 400]), rnd.choice([1, 3, 50, 10**6]), rnd.choice([1, 2, 4, 9])
+        rows += [(f"k{k}" if k else None, rnd.randrange(batches), rnd.randint(-width, width), rnd.randint(1, 3)) for _ in range(n)]
+    return rows + [(k, rnd.randrange(9), rnd.randint(0, 10**6), 1) for k in ("big1", "big2") for _ in range(9000)]
+
+
+def test_only_cut_keys_are_ranked_across_partitions(spark, monkeypatch):
+    """Keys that lie in one partition are done there, with the rows that the ranks across partitions give."""
+    rows, seen = frame(spark, many()), []
+    counted = rows.groupBy("k", "batch", "x").agg(F.sum("times").alias("times"))
+    ranks = Q.exact_ranks
+    monkeypatch.setattr(Q, "exact_ranks", lambda values, by, batch: seen.append(values) or ranks(values, by, batch))
+    got = Q.quantiles_of_batches(rows, ["k"], "batch")
+    assert [df.select("k").distinct().count() <= 2 * 4 for df in seen] == [True]
+    plain = Q._across_partitions(counted, ["k"], "batch", 4, 20, 20)
+    assert got.schema.simpleString() == plain.schema.simpleString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_whole_keys_in_chunks():
+    """Wherever batches and chunks end, and whether keys are long: inner keys are done, the others' rows come out as they went in."""
+    counts = defaultdict(int)
+    for k, b, x, times in many(4)[:4000]:
+        counts[k or "", x, b] += times
+    table = pa.table({"k": [k or None for k, _, _ in sorted(counts)], "batch": pa.array([b for *_, b in sorted(counts)], pa.int32()), "x": [x for _, x, _ in sorted(counts)], "times": [counts[c] for c in sorted(counts)]})
+    rule = functools.partial(whole_keys.answers, parts=4, allowed=20, least=20, points=200, least_points=10, most=1000, whole=-1)
+    expected, keys = None, [k or None for k in sorted({k for k, *_ in counts})]
+    size = {k: sum(c[0] == (k or "") for c in counts) for k in keys}
+    for rows, chunk in ((10**6, 10**6), (7, 10**6), (7, 500), (1, 50), (100, 30), (333, 1)):
+        out = pa.Table.from_batches(whole_keys.finisher(["k"], "batch", rule, chunk)(iter(table.to_batches(rows)))).to_pylist()
+        passed = [(r["k"], r["batch"], r["x"], r["times"]) for r in out if r["times"] is not None]
+        done = {(r["k"], r["batch"], r["i"]): r for r in out if r["times"] is None}
+        left = {r[0] for r in passed}
+        expected = expected or done
+        assert {keys[0], keys[-1]} <= left and left <= {keys[0], keys[-1]} | {k for k in keys if size[k] >= chunk}
+        assert sorted(passed, key=repr) == sorted(((r["k"], r["batch"], r["x"], r["times"]) for r in table.to_pylist() if r["k"] in left), key=repr)
+        assert done == {k: v for k, v in expected.items() if k[0] not in left}
